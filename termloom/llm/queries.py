@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.llm import components, leakage, sets, spans
+from termloom.llm import components, leakage, mixing, passages, pieces, sets, spans
 from termloom.session import materialize, table
 
 
@@ -23,6 +23,10 @@ def p3_class_pairs(spark, d):
     return pairs.join(rid.withColumnsRenamed({"ckey": "ckey_1", "rid": "r1"}), "ckey_1").join(rid.withColumnsRenamed({"ckey": "ckey_2", "rid": "r2"}), "ckey_2").select(F.least("r1", "r2").alias("class_1"), F.greatest("r1", "r2").alias("class_2"), "overlap")
 
 
+def _p7(spark, d):
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p4_report(spark, d):
     splits, corpus = table(spark, d, "splits"), table(spark, d, "corpus")
     return leakage.overlap_report(splits, materialize(leakage.cross_split_overlaps(splits, corpus), "overlaps"))
@@ -37,6 +41,13 @@ QUERIES = {
     "p4_found": lambda spark, d: leakage.cross_split_overlaps(table(spark, d, "splits"), table(spark, d, "corpus")).select("split", "u", "v"),
     "p4_report": p4_report,
     "p5_found": lambda spark, d: components.tied_sequences(table(spark, d, "xrefs")),
+    "p6_found": lambda spark, d: passages.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id"),
+    "p6_leak_report": lambda spark, d: passages.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_found": lambda spark, d: _p7(spark, d).report().filter("below_target").select("source"),
+    "p7_mix_report": lambda spark, d: _p7(spark, d).report(),
+    "p7_mix_documents": lambda spark, d: _p7(spark, d).documents(),
+    "p8_found": lambda spark, d: pieces.long_pieces(table(spark, d, "documents")).filter("piece = 0").select("doc_id").distinct(),
+    "p8_pieces": lambda spark, d: pieces.long_pieces(table(spark, d, "documents")),
 }
 
 # the clean terms of a record, in order: (id, i, t)
@@ -110,5 +121,11 @@ WITH RECURSIVE e AS (SELECT DISTINCT CAST(source AS BIGINT) AS a, CAST(target AS
  tie AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  reach AS (SELECT a AS id, a AS r FROM tie UNION SELECT tie.b, reach.r FROM reach JOIN tie ON tie.a = reach.id WHERE reach.r < tie.b)
 SELECT min(r) AS group_id, id AS a_number FROM (SELECT id, r FROM reach UNION SELECT a, a FROM tie) GROUP BY id
+""",
+    # sizes in bytes: every usual tokenizer gives the same sources, and so do bytes
+    "p7_found": r"""
+WITH t AS (SELECT source, regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS k, target_share, max_repeats FROM mix_targets),
+ d AS (SELECT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS k, sum(strlen(text)) AS n FROM documents GROUP BY 1)
+SELECT source FROM t LEFT JOIN d USING (k) WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(strlen(text)) FROM documents)
 """,
 }
