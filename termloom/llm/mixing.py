@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -29,7 +28,8 @@ from termloom.session import materialize, release
 SAMPLE = 1000
 #: Hashed token features of the classifier.
 FEATURES = 512
-MAX_STEPS = 40
+#: Passes over the table of counts and posteriors, at most: on the posteriors, and then on the labels.
+SOFT_STEPS, LABEL_STEPS = 12, 12
 
 
 def source_key(source: Column) -> Column:
@@ -108,32 +108,34 @@ def _measured(path: str, weights: np.ndarray, bias: np.ndarray):
     return run
 
 
-def _rates(pdf: pd.DataFrame, steps: list[tuple[str, np.ndarray]], caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rates, memberships by label, posteriors) after ``steps``; a rate follows from the steps alone, so no state is kept."""
-    soft = np.stack(pdf["post"].to_numpy()).astype(np.float64)
-    label = pdf["label"].to_numpy()
-    hard = soft.copy()
-    known = label >= 0
-    hard[known] = np.eye(soft.shape[1])[label[known]]
-    cap = caps[np.where(known, label, soft.argmax(axis=1))].astype(np.float64)
+def _rates(b: pa.RecordBatch, steps: list[tuple[str, np.ndarray]], caps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rates, caps, memberships by label, posteriors) after ``steps``; rates follow from the steps alone, so no state is kept."""
+    label = b.column(b.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
+    soft = b.column(b.schema.get_field_index("post")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(caps)).astype(np.float64)
+    hard, known = soft.copy(), label >= 0
+    hard[known] = np.eye(len(caps))[label[known]]
+    cap = caps[np.where(known, label, soft.argmax(axis=1))]
     r = np.minimum(1.0, cap)
     for kind, g in steps:
         r = np.clip(r + (soft if kind == "soft" else hard) @ g, 0.0, cap)
-    return r, hard, soft
+    return r, cap, hard, soft
+
+
+#: Sums over documents, by source: tokens by posterior, used by posterior, used by label, those that can be used more, or less, what the caps allow, tokens by label.
+SUMS = ("soft", "used_soft", "used_label", "more", "less", "most", "label")
 
 
 def _totals(steps: list, caps: np.ndarray):
-    """Per batch one row of sums over documents: tokens, used by posterior, used by label, and what the caps allow, per source."""
+    """One row of sums for each batch and source."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            r, hard, soft = _rates(pdf, steps, caps)
-            t = pdf["tokens"].to_numpy(dtype=np.float64)
-            most, _, _ = _rates(pdf, [("soft", np.full(len(caps), 1e12))], caps)
-            sums = [t @ soft, t @ hard, (r * t) @ soft, (r * t) @ hard, (most * t) @ hard]
-            yield pd.DataFrame([{"k": k, **{f"s{i}": float(s[k]) for i, s in enumerate(sums)}} for k in range(len(caps))])
+            r, cap, hard, soft = _rates(b, steps, caps)
+            t = b.column(b.schema.get_field_index("tokens")).to_numpy(zero_copy_only=False).astype(np.float64)
+            sums = [t @ soft, (r * t) @ soft, (r * t) @ hard, (t * (r < cap)) @ hard, (t * (r > 0)) @ hard, (cap * t) @ hard, t @ hard]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(caps), dtype=np.int32)), *map(pa.array, sums)], ["k", *SUMS])
 
     return run
 
@@ -141,33 +143,34 @@ def _totals(steps: list, caps: np.ndarray):
 class Mix:
     """A fitted mix: ``report()`` by source and ``documents()`` with rates and whole copies."""
 
-    def __init__(self, measured: DataFrame, names: list[str], shares: np.ndarray, caps: np.ndarray, max_steps: int = MAX_STEPS):
+    def __init__(self, measured: DataFrame, names: list[str], shares: np.ndarray, caps: np.ndarray):
         self.measured, self.names, self.shares, self.caps = measured, names, shares, caps
         self.steps: list[tuple[str, np.ndarray]] = []
         self.total = float(measured.agg(F.sum("tokens")).first()[0] or 0)
         self.target = shares * self.total
-        sums = self._sums()
-        self.after_soft = sums
-        for kind, size, used in (("soft", 0, 2), ("label", 1, 3)):
+        self.after_soft = self.sums = self._sums()
+        for kind, max_steps, least in (("soft", SOFT_STEPS, 1e-2), ("label", LABEL_STEPS, 1e-6)):
             before = np.inf
             for _ in range(max_steps):
-                lacks = self.target - sums[used]
-                loss = float((lacks**2 / np.maximum(sums[size], 1.0)).sum())
-                if loss == 0 or before - loss < 1e-9 * max(self.total, 1.0) or np.abs(lacks).max() < 1e-9 * self.total:
+                lacks = self.target - self.sums["used_" + kind]
+                # by label, only documents that can still move share what is lacking
+                mass = self.sums["soft"] if kind == "soft" else np.where(lacks > 0, self.sums["more"], self.sums["less"])
+                lacks = np.where(mass > 0, lacks, 0.0)
+                loss = float((lacks**2 / np.maximum(mass, 1e-9)).sum())
+                if before - loss <= least * min(before, self.total) or np.abs(lacks).max() <= 1e-6 * self.total:
                     break
                 before = loss
-                self.steps.append((kind, np.where(sums[size] > 0, lacks / np.maximum(sums[size], 1e-9), 0.0)))
-                sums = self._sums()
+                self.steps.append((kind, lacks / np.maximum(mass, 1e-9)))
+                self.sums = self._sums()
             if kind == "soft":
-                self.after_soft = sums
-        self.sums = sums
-
-    def _sums(self) -> np.ndarray:
-        cols = ", ".join(f"s{i} double" for i in range(5))
-        parts = self.measured.select("label", "tokens", "post").mapInPandas(_totals(self.steps, self.caps), f"k int, {cols}")
-        out = np.zeros((5, len(self.names)))
-        for row in parts.groupBy("k").agg(*(F.sum(f"s{i}") for i in range(5))).collect():  # one row per source
-            out[:, row[0]] = row[1:]
+                self.after_soft = self.sums
+
+    def _sums(self) -> dict[str, np.ndarray]:
+        parts = self.measured.select("label", "tokens", "post").mapInArrow(_totals(self.steps, self.caps), "k int, " + ", ".join(f"{s} double" for s in SUMS))
+        out = {s: np.zeros(len(self.names)) for s in SUMS}
+        for row in parts.groupBy("k").agg(*(F.sum(s) for s in SUMS)).collect():  # one row per source
+            for s, x in zip(SUMS, row[1:]):
+                out[s][row[0]] = x
         return out
 
     def report(self) -> DataFrame:
@@ -176,21 +179,24 @@ class Mix:
         Shares are of a mix as large as all documents: expected by posteriors after the first fit, actual by the sources of the
         documents at the end. A source is below its target if its documents at their caps, all used, hold less than its part.
         """
-        most, used = self.sums[4], self.sums[3]
+        most, used, tokens = self.sums["most"], self.sums["used_label"], self.sums["label"]
         size = max(self.total, 1.0)
-        rows = [(n, float(self.shares[k]), float(self.after_soft[2][k] / size), float(used[k] / size), float(self.sums[1][k]), float(used[k]), float(most[k]), bool(used[k] < self.target[k] * (1 - 1e-6) and most[k] < self.target[k])) for k, n in enumerate(self.names)]
+        expected = self.after_soft["used_soft"] / size
+        below = (used < self.target * (1 - 1e-6)) & (most < self.target)
+        rows = [(n, *(float(x[k]) for x in (self.shares, expected, used / size, tokens, used, most)), bool(below[k])) for k, n in enumerate(self.names)]
         return self.measured.sparkSession.createDataFrame(rows, "source string, target_share double, expected_share double, actual_share double, tokens double, mix_tokens double, most_tokens double, below_target boolean")
 
     def documents(self) -> DataFrame:
         """(doc_id, source, tokens, rate, copies): copies is the rate, rounded up or down by the hash of the id in proportion."""
         steps, caps = self.steps, self.caps
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not pdf.empty:
-                    yield pdf[["doc_id", "label", "tokens"]].assign(rate=_rates(pdf, steps, caps)[0])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "label", "tokens")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(_rates(b, steps, caps)[0])], ["doc_id", "label", "tokens", "rate"])
 
-        rated = self.measured.mapInPandas(run, "doc_id bigint, label int, tokens bigint, rate double")
+        rated = self.measured.mapInArrow(run, "doc_id bigint, label int, tokens bigint, rate double")
         part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000.0
         names = F.array(*map(F.lit, self.names))
         copies = F.floor("rate").cast("int") + (part < F.col("rate") - F.floor("rate")).cast("int")
