@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from termloom.plans import skew_queries
+from termloom.plans import graph_queries, skew_queries, text_queries
 
-MODULES = (skew_queries,)
+MODULES = (skew_queries, graph_queries, text_queries)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
