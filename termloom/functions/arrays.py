@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 32
 #: Lengths and residues of the feature vector.
@@ -43,7 +44,11 @@ def subsequence_match(a: Column, b: Column, least: int = 8) -> Column:
     return F.when(m >= least, hit).otherwise(False)
 
 
-@F.pandas_udf("struct<c_num string, c_den string, d_num string, d_den string, s int>")
+#: c and d as exact fractions, and the shift.
+AFFINE = T.StructType([*(T.StructField(c, T.StringType()) for c in ("c_num", "c_den", "d_num", "d_den")), T.StructField("s", T.IntegerType())])
+
+
+@F.pandas_udf(AFFINE)
 def affine_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The first shift s in -8..8 with b[i] = c * a[i + s] + d exactly over an overlap of at least 8 terms; all null if there is none.
 
@@ -96,7 +101,7 @@ def sequence_features(k: int = K):
     """
     width = len(feature_names(k))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def features(terms: pd.Series) -> pd.Series:
         import math
 

@@ -131,4 +131,4 @@ def content_hash(df: DataFrame, by: list[str]) -> DataFrame:
     """(by..., rows, hash): the wrapped sum of 64-bit row hashes; equal rows in any order give the same hash."""
     cols = sorted(c for c in df.columns if c not in by)
     h = F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.lower(F.hex(F.pmod(h, F.lit(2**63).cast("decimal(38,0)")).cast("bigint"))).alias("hash"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.lower(F.hex(F.pmod(h, F.lit("9223372036854775808").cast("decimal(38,0)")).cast("bigint"))).alias("hash"))
