@@ -17,6 +17,8 @@ from termloom.session import materialize, release
 #: Edges aimed at in one cell.
 CELL_EDGES = 500_000
 MAX_ROUNDS = 60
+#: Rows (of two numbers) up to which a table of pointers is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,14 +80,24 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
         left = alive.count()
     if not settled:
         return alive.select(F.col("u").alias("group_id"), F.col("v").alias("id"))
-    # v settled under u in some round; u may settle later
-    labels = settled[-1].select(F.col("v").alias("id"), F.col("u").alias("group_id"))
-    for s in reversed(settled[:-1]):
-        up = s.join(labels.select(F.col("id").alias("u"), F.col("group_id").alias("top")), "u", "left")
-        labels = labels.unionByName(up.select(F.col("v").alias("id"), F.coalesce("top", "u").alias("group_id")))
+    # each vertex settled once, under one that settled later or never: follow the pointers, doubling their reach
+    labels = settled[0]
+    for other in settled[1:]:
+        labels = labels.unionByName(other)
     labels = materialize(labels, "labels")
-    roots = labels.select("group_id").distinct().select("group_id", F.col("group_id").alias("id"))
-    return labels.select("group_id", "id").unionByName(roots)
+    while True:
+        ups = labels.select("u").distinct().join(labels.select(F.col("v").alias("u"), F.col("u").alias("top")), "u")
+        ups = materialize(ups, "ups")
+        n = ups.count()
+        if not n:
+            break
+        # a hot group's root is no key of ups, and a small ups spares the shuffle by u
+        longer = labels.join(F.broadcast(ups) if n <= BROADCAST_ROWS else ups, "u", "left")
+        old, labels = labels, materialize(longer.select(F.coalesce("top", "u").alias("u"), "v"), "labels")
+        release(old)
+        release(ups)
+    roots = labels.select("u").distinct().select(F.col("u").alias("group_id"), F.col("u").alias("id"))
+    return labels.select(F.col("u").alias("group_id"), F.col("v").alias("id")).unionByName(roots)
 
 
 def tied_sequences(xrefs: DataFrame, stratum: str = "s1") -> DataFrame:
