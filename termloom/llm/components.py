@@ -2,7 +2,7 @@
 
 Vertices are hashed to B blocks, and an edge lies in the cell of its two blocks, so the edges of a hub are spread over a
 whole row of cells. A round solves every cell by a local union-find, exchanges the cells' representatives of each vertex
-along its row and column, and ties them to the smallest. Vertices that are left with a single tie are settled and leave
+along its row and column, ties them to the smallest, and lets every tie skip one representative. Vertices that are left with a single tie are settled and leave
 the grid; the rounds end when no edge is left, and the settled pointers are then followed back, round by round.
 """
 
@@ -69,13 +69,18 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
     while left:
         if len(settled) == max_rounds:
             raise RuntimeError(f"not stable after {max_rounds} rounds")
-        blocks = max(2, round((2 * left / cell_edges) ** 0.5))
-        tied = materialize(_round(alive, blocks), "ties")
+        blocks = max(4, round((2 * left / cell_edges) ** 0.5))
+        stars = materialize(_round(alive, blocks), "stars")
+        # representatives pass from cell to cell: each tie moves up to the smallest tie of its smaller end
+        parents = stars.groupBy("v").agg(F.min("u").alias("p"))
+        ups = materialize(stars.select("u").distinct().join(parents.select(F.col("v").alias("u"), F.col("p").alias("top")), "u"), "ups")
+        higher = stars.join(F.broadcast(ups) if ups.count() <= BROADCAST_ROWS else ups, "u", "left")
+        tied = materialize(higher.select(F.coalesce("top", "u").alias("u"), "v").distinct(), "ties")
         ends = tied.select(F.explode(F.array("u", "v")).alias("v")).groupBy("v").agg(F.count("*").alias("deg"))
         flagged = materialize(tied.join(ends, "v", "left").select("u", "v", (F.col("deg") == 1).alias("leaf")), "flagged")
         settled.append(flagged.filter("leaf").select("u", "v"))
-        release(alive)
-        release(tied)
+        for old in (alive, stars, ups, tied):
+            release(old)
         alive = flagged.filter("not leaf").select("u", "v")
         left = alive.count()
     if not settled:
