@@ -23,6 +23,11 @@ CONSTANT_NAME_V1 = "^(?:decimal expansion|continued fraction expansion|expansion
 _I = "(?iU)"
 
 
+def clean_label(label: Column) -> Column:
+    """A label without outer white space, in lower case."""
+    return F.lower(F.regexp_replace(label, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+
+
 def has(text: Column, pattern: str) -> Column:
     return text.rlike(_I + pattern)
 

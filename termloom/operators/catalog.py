@@ -28,14 +28,6 @@ def direct_references(mentions: DataFrame) -> DataFrame:
     return mentions.filter("source <> target").select("source", "target").distinct()
 
 
-def reference_lists(mentions: DataFrame) -> DataFrame:
-    """(a_number, xrefs): the sorted distinct targets of each source but itself; sources with none are left out.
-
-    Pairs are made distinct before they are gathered, so a list holds each sequence once at most.
-    """
-    return direct_references(mentions).groupBy(F.col("source").alias("a_number")).agg(F.array_sort(F.collect_list("target")).alias("xrefs"))
-
-
 def term_subset(terms: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``terms`` whose a_number is among ``ids(a_number)``."""
     return terms.join(ids.select("a_number").distinct(), "a_number", "left_semi")

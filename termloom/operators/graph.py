@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
 from termloom.operators.skewed import dense_counts
 
 #: Ranks of the strata, the strongest first.
@@ -13,7 +14,7 @@ RANKS = {"s1": 0, "s2": 1, "s4": 2, "s3": 3}
 
 def rank_of(stratum: Column) -> Column:
     """The rank of a stratum, its case and outer blanks ignored; null for any other label."""
-    s = F.lower(F.trim(stratum))
+    s = clean_label(stratum)
     return F.coalesce(*(F.when(s == k, r) for k, r in RANKS.items()))
 
 

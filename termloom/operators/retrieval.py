@@ -69,7 +69,7 @@ def bootstrap_ci(ranks: DataFrame, k: int = 10, resamples: int = 1000, seed: int
     return counts.mapInPandas(draw, "stratum string, low double, high double")
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 5000) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 1000) -> DataFrame:
     """(q, vec_id, similarity, rank): the k nearest by cosine of each vector whose id is divisible by ``every``, itself excluded, exactly.
 
     Queries go out in blocks of at most ``block`` vectors; each task multiplies a block with its rows and keeps its own k

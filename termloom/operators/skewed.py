@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
+
 #: Keys of a block.
 WIDTH = 4096
 #: A split's dictionary is emptied into blocks when it holds this many keys, which bounds a task's memory.
@@ -101,10 +103,6 @@ def dense_counts(df: DataFrame, key: Column, cat: Column, n_cat: int, n: Column
 STRATA = ("s1", "s2", "s3", "s4")
 
 
-def clean_stratum(stratum: Column) -> Column:
-    return F.lower(F.trim(stratum))
-
-
 def key_profile(xrefs: DataFrame) -> DataFrame:
     """For each sequence as source and as target: mentions, distinct partners and mentions by stratum.
 
@@ -113,7 +111,7 @@ def key_profile(xrefs: DataFrame) -> DataFrame:
     """
     cat = F.lit(len(STRATA))
     for i, s in enumerate(STRATA):
-        cat = F.when(clean_stratum(F.col("stratum")) == s, i).otherwise(cat)
+        cat = F.when(clean_label(F.col("stratum")) == s, i).otherwise(cat)
     n_cat = len(STRATA) + 2
     rows = xrefs.select("source", "target", cat.alias("cat"))
     # the two sides are counted together: keys of side 1 are the odd numbers

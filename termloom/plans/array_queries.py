@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from termloom.functions import arrays
 from termloom.operators import retrieval
 from termloom.plans.graph_queries import TERMS
-from termloom.plans.split_queries import SQL as SPLIT_SQL
 from termloom.plans.split_queries import _train_sample
 from termloom.session import materialize, table
 

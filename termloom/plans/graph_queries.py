@@ -31,10 +31,11 @@ def _touching(spark, d):
 
 
 def _full_catalog(spark, d):
-    corpus, xrefs = _t(spark, d, "corpus", "xrefs")
+    corpus = table(spark, d, "corpus")
     terms = corpus.filter(F.size("terms") > 0).select("a_number", clean_terms(F.col("terms")).alias("terms"))
     names = names_of(corpus)
-    out = catalog.full_catalog(terms, names, catalog.reference_lists(xrefs))
+    refs = corpus.select("a_number", F.array_sort(F.array_distinct(F.filter("xrefs", lambda x: x.isNotNull() & (x != F.col("a_number"))))).alias("xrefs"))
+    out = catalog.full_catalog(terms, names, refs)
     return out.select("a_number", F.size("terms").alias("n_terms"), F.array_join("terms", ",").alias("terms"), "name", F.array_join("xrefs", ",").alias("xrefs"), "dead")
 
 
@@ -137,7 +138,7 @@ UNION ALL SELECT 'all_ids', count(*) FROM (SELECT id FROM nodes UNION SELECT id
 WITH {TERMS},
  tt AS (SELECT id, string_agg(t, ',' ORDER BY i) AS terms, count(*) AS n FROM term GROUP BY id),
  ids AS (SELECT a_number AS id, min(name) AS name FROM corpus WHERE a_number IS NOT NULL AND (len(terms) > 0 OR name IS NOT NULL) GROUP BY a_number),
- x AS (SELECT source AS id, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS xrefs FROM (SELECT DISTINCT source, target FROM xrefs WHERE source <> target) GROUP BY source)
+ x AS (SELECT id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS xrefs FROM (SELECT DISTINCT a_number AS id, unnest(xrefs) AS x FROM corpus) WHERE x <> id GROUP BY id)
 SELECT id AS a_number, CAST(coalesce(n, 0) AS INT) AS n_terms, coalesce(terms, '') AS terms, coalesce(name, '') AS name, coalesce(xrefs, '') AS xrefs, n IS NULL AS dead FROM ids LEFT JOIN tt USING (id) LEFT JOIN x USING (id)
 """,
     "direct_references": "SELECT DISTINCT source, target FROM xrefs WHERE source <> target",

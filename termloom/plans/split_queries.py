@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import graph, splits
 from termloom.operators.hashrank import with_hash_rank
-from termloom.plans.graph_queries import DEAD, EDGES, KEYS, NODES, RANK
+from termloom.plans.graph_queries import DEAD, EDGES, KEYS, NODES
 from termloom.session import materialize, table
 
 

@@ -51,6 +51,20 @@ def release(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def mark() -> int:
+    """A point in time for :func:`release_since`."""
+    return len(_written)
+
+
+def release_since(point: int, *keep: DataFrame) -> None:
+    """Delete all tables of :func:`materialize` written since a point, but those of ``keep``; nothing lazy may still read them."""
+    kept = {getattr(df, "_termloom_path", None) for df in keep}
+    for spark, path in _written[point:]:
+        if path not in kept:
+            _delete(spark, path)
+    _written[point:] = [x for x in _written[point:] if x[1] in kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
