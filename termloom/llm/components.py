@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
 from termloom.session import materialize, release
 
 #: Edges aimed at in one cell.
@@ -107,5 +108,5 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
 
 def tied_sequences(xrefs: DataFrame, stratum: str = "s1") -> DataFrame:
     """(group_id, a_number): sequences tied by mentions of one stratum, its case and outer blanks ignored."""
-    edges = xrefs.filter(F.lower(F.trim("stratum")) == stratum).select("source", "target")
+    edges = xrefs.filter(clean_label(F.col("stratum")) == stratum).select("source", "target")
     return connected_components(edges, "source", "target").select("group_id", F.col("id").alias("a_number"))

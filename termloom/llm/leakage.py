@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
 from termloom.llm.sets import set_classes, similar_classes
-from termloom.session import materialize
+from termloom.session import mark, materialize, release_since
 
 
 def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float = 0.6, min_size: int = 8) -> DataFrame:
@@ -20,7 +21,7 @@ def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float
     A pair overlaps if a train row joins the same two sequences or near ones, in either direction. A sequence without
     ``min_size`` distinct terms, or that corpus lacks, is near itself only. Rows with a null end or split are left out.
     """
-    ends = splits.select(F.lower(F.trim("split")).alias("split"), F.least("u", "v").cast("bigint").alias("u"), F.greatest("u", "v").cast("bigint").alias("v"), F.isnull("u").alias("nu"), F.isnull("v").alias("nv"))
+    ends = splits.select(clean_label(F.col("split")).alias("split"), F.least("u", "v").cast("bigint").alias("u"), F.greatest("u", "v").cast("bigint").alias("v"), F.isnull("u").alias("nu"), F.isnull("v").alias("nv"))
     ends = ends.filter("not nu and not nv").select("split", "u", "v").distinct()
     held = materialize(ends.filter(F.col("split").isin("val", "test")), "held")
     train = materialize(ends.filter("split = 'train'").select("u", "v"), "train")
@@ -31,7 +32,9 @@ def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float
     records = corpus.select(F.col("a_number").cast("bigint").alias("id"), "terms").join(used, "id", "left_semi")
     members, classes = set_classes(records, "id", "terms", min_size)
     flags = members.join(used, "id").groupBy("ckey").agg(F.max("is_index").alias("is_index"), F.max("is_probe").alias("is_probe"))
-    near = similar_classes(classes.join(flags, "ckey"), threshold)
+    point = mark()
+    near = materialize(similar_classes(classes.join(flags, "ckey"), threshold), "nearclasses")
+    release_since(point, near)
 
     # every sequence gets the node of its class, or a node of its own
     node = members.select("id", F.hex("ckey").alias("node"))
@@ -61,6 +64,6 @@ def overlap_report(splits: DataFrame, overlaps: DataFrame) -> DataFrame:
 
     Strata are trimmed and lower-cased, null is '(none)'; a pair stored with two strata counts in both.
     """
-    rows = splits.filter("u is not null and v is not null").select(F.lower(F.trim("split")).alias("split"), F.least("u", "v").cast("bigint").alias("u"), F.greatest("u", "v").cast("bigint").alias("v"), F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum"))
+    rows = splits.filter("u is not null and v is not null").select(clean_label(F.col("split")).alias("split"), F.least("u", "v").cast("bigint").alias("u"), F.greatest("u", "v").cast("bigint").alias("v"), F.coalesce(clean_label(F.col("stratum")), F.lit("(none)")).alias("stratum"))
     rows = rows.filter(F.col("split").isin("val", "test")).distinct().join(overlaps, ["split", "u", "v"], "left")
     return rows.groupBy("split", "stratum").agg(F.count("*").alias("pairs"), F.count_if(F.col("exact")).alias("exact"), F.count_if(~F.col("exact")).alias("near"))

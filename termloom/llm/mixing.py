@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
 from termloom.llm.tokens import DEFAULT_TOKENIZER, encoder
 from termloom.session import materialize, release
 
@@ -34,7 +35,7 @@ SOFT_STEPS, LABEL_STEPS = 12, 12
 
 def source_key(source: Column) -> Column:
     """A source's spelling without case, outer blanks and the kind of separator."""
-    return F.regexp_replace(F.lower(F.trim(source)), r"[\s\-_]+", "_")
+    return F.regexp_replace(clean_label(source), r"[\s\p{Z}\-_]+", "_")
 
 
 def _features(ids: list[int], size: int) -> np.ndarray:
@@ -99,6 +100,8 @@ def _measured(path: str, weights: np.ndarray, bias: np.ndarray):
             for i, text in enumerate(b.column(3).to_pylist()):
                 ids = enc.ids(text) if text else []
                 tokens[i] = len(ids)
+                if not k:
+                    continue
                 z = weights @ _features(ids, size) + bias
                 e = np.exp(z - z.max())
                 posts[i] = e / e.sum()
@@ -111,7 +114,9 @@ def _measured(path: str, weights: np.ndarray, bias: np.ndarray):
 def _rates(b: pa.RecordBatch, steps: list[tuple[str, np.ndarray]], caps: np.ndarray) -> tuple[np.ndarray, ...]:
     """(rates, caps, memberships by label, posteriors) after ``steps``; rates follow from the steps alone, so no state is kept."""
     label = b.column(b.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-    soft = b.column(b.schema.get_field_index("post")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(caps)).astype(np.float64)
+    soft = b.column(b.schema.get_field_index("post")).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(caps)).astype(np.float64)
+    if not len(caps):
+        return np.zeros(len(label)), np.zeros(len(label)), soft, soft
     hard, known = soft.copy(), label >= 0
     hard[known] = np.eye(len(caps))[label[known]]
     cap = caps[np.where(known, label, soft.argmax(axis=1))]
@@ -121,7 +126,7 @@ def _rates(b: pa.RecordBatch, steps: list[tuple[str, np.ndarray]], caps: np.ndar
     return r, cap, hard, soft
 
 
-#: Sums over documents, by source: tokens by posterior, used by posterior, used by label, those that can be used more, or less, what the caps allow, tokens by label.
+#: Sums over documents, by source: tokens by posterior, used by posterior, used by label, those that can be used more, or less; of documents that name their source, what the caps allow, and all tokens.
 SUMS = ("soft", "used_soft", "used_label", "more", "less", "most", "label")
 
 
@@ -134,7 +139,8 @@ def _totals(steps: list, caps: np.ndarray):
                 continue
             r, cap, hard, soft = _rates(b, steps, caps)
             t = b.column(b.schema.get_field_index("tokens")).to_numpy(zero_copy_only=False).astype(np.float64)
-            sums = [t @ soft, (r * t) @ soft, (r * t) @ hard, (t * (r < cap)) @ hard, (t * (r > 0)) @ hard, (cap * t) @ hard, t @ hard]
+            own = t * (b.column(b.schema.get_field_index("label")).to_numpy(zero_copy_only=False) >= 0)
+            sums = [t @ soft, (r * t) @ soft, (r * t) @ hard, (t * (r < cap)) @ hard, (t * (r > 0)) @ hard, (cap * own) @ hard, own @ hard]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(caps), dtype=np.int32)), *map(pa.array, sums)], ["k", *SUMS])
 
     return run
@@ -157,7 +163,7 @@ class Mix:
                 mass = self.sums["soft"] if kind == "soft" else np.where(lacks > 0, self.sums["more"], self.sums["less"])
                 lacks = np.where(mass > 0, lacks, 0.0)
                 loss = float((lacks**2 / np.maximum(mass, 1e-9)).sum())
-                if before - loss <= least * min(before, self.total) or np.abs(lacks).max() <= 1e-6 * self.total:
+                if before - loss <= least * min(before, self.total) or np.abs(lacks).max(initial=0) <= 1e-6 * self.total:
                     break
                 before = loss
                 self.steps.append((kind, lacks / np.maximum(mass, 1e-9)))
@@ -177,12 +183,12 @@ class Mix:
         """(source, target_share, expected_share, actual_share, tokens, mix_tokens, most_tokens, below_target) for each target.
 
         Shares are of a mix as large as all documents: expected by posteriors after the first fit, actual by the sources of the
-        documents at the end. A source is below its target if its documents at their caps, all used, hold less than its part.
+        documents at the end. A source is below its target if the documents that name it, each used to its cap, hold less than its part.
         """
         most, used, tokens = self.sums["most"], self.sums["used_label"], self.sums["label"]
         size = max(self.total, 1.0)
         expected = self.after_soft["used_soft"] / size
-        below = (used < self.target * (1 - 1e-6)) & (most < self.target)
+        below = most < self.target
         rows = [(n, *(float(x[k]) for x in (self.shares, expected, used / size, tokens, used, most)), bool(below[k])) for k, n in enumerate(self.names)]
         return self.measured.sparkSession.createDataFrame(rows, "source string, target_share double, expected_share double, actual_share double, tokens double, mix_tokens double, most_tokens double, below_target boolean")
 
@@ -198,7 +204,7 @@ class Mix:
 
         rated = self.measured.mapInArrow(run, "doc_id bigint, label int, tokens bigint, rate double")
         part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000.0
-        names = F.array(*map(F.lit, self.names))
+        names = F.array(*map(F.lit, self.names)).cast("array<string>")
         copies = F.floor("rate").cast("int") + (part < F.col("rate") - F.floor("rate")).cast("int")
         return rated.select("doc_id", F.when(F.col("label") >= 0, F.get(names, F.col("label"))).alias("source"), "tokens", "rate", copies.alias("copies"))
 
@@ -208,15 +214,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAU
 
     Targets whose names agree after ``source_key`` are one (largest share, largest cap); a null share or cap counts as 0.
     Documents of a source without target, or of none, take part by their posteriors. Null and empty texts have no tokens.
+    Without targets the report is empty and no document is used.
     """
     # one row per source: small by its meaning, and checked
     rows = targets.filter("source is not null").groupBy(source_key(F.col("source")).alias("key")).agg(F.min("source"), F.max("target_share"), F.max("max_repeats")).orderBy("key").limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more than 10000 sources")
-    if not rows:
-        raise ValueError("no targets")
     names, shares, caps = [r[1] for r in rows], np.array([r[2] or 0.0 for r in rows], float), np.array([r[3] or 0 for r in rows], float)
-    label = F.coalesce(F.array_position(F.array(*(F.lit(r[0]) for r in rows)), source_key(F.col("source"))), F.lit(0)).cast("int") - 1
+    label = F.coalesce(F.array_position(F.array(*(F.lit(r[0]) for r in rows)).cast("array<string>"), source_key(F.col("source"))), F.lit(0)).cast("int") - 1
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.alias("label"), "text")
     weights, bias = fit_classifier(docs.filter("label >= 0 and text is not null"), len(rows), sample, size, tokenizer)
     measured = docs.select("doc_id", "label", F.lit(0).alias("cap"), "text").mapInArrow(_measured(tokenizer, weights, bias), "doc_id bigint, label int, cap int, tokens bigint, post array<float>")

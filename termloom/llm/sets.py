@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.terms import clean_terms
-from termloom.session import block_pairs, materialize
+from termloom.session import block_pairs, mark, materialize, release_since
 
 #: At most this many tokens are called frequent: each holds more than 1/FREQUENT of all token occurrences.
 FREQUENT = 2000
@@ -98,7 +98,10 @@ def similar_records(corpus: DataFrame, submissions: DataFrame, threshold: float
     records = corpus.select(F.col("a_number").cast("bigint").alias("id"), "terms").unionByName(submissions.select(F.col("sub_id").cast("bigint").alias("id"), "terms"))
     members, classes = set_classes(records, "id", "terms", min_size)
     classes = materialize(classes, "classes")
-    return members, classes, materialize(similar_classes(classes, threshold), "pairs")
+    point = mark()
+    pairs = materialize(similar_classes(classes, threshold), "pairs")
+    release_since(point, pairs)
+    return members, classes, pairs
 
 
 def links_per_record(members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:

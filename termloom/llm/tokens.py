@@ -51,15 +51,17 @@ class Encoder:
 
     def starts(self, text: str) -> np.ndarray:
         """The character at which each token starts; tokens inside one character share its place."""
+        if self.kind == "json":
+            return np.array([a for a, _ in self._enc.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
         if self.kind == "tiktoken":
-            at = np.cumsum(self._bytes[np.array(self.ids(text), dtype=np.int64)])
-            at = np.concatenate(([0], at[:-1])) if len(at) else at
-            raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-            char = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-            return char[at] if len(at) else at
-        if self.kind == "model":
-            return np.array([p.begin for p in self._enc.encode(text, out_type="immutable_proto").pieces], dtype=np.int64)
-        return np.array([a for a, _ in self._enc.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
+            end = np.cumsum(self._bytes[np.array(self.ids(text), dtype=np.int64)])
+            at = np.concatenate(([0], end[:-1])) if len(end) else end
+        else:
+            at = np.array([p.begin for p in self._enc.encode(text, return_type="proto").pieces], dtype=np.int64)
+        # both count bytes
+        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        return char[np.minimum(at, len(raw) - 1)] if len(at) else at
 
 
 def encoder(path: str) -> Encoder:
