@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.text import clean_label
 from termloom.session import shared_dir
 
 
@@ -26,15 +27,23 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
+def _seen(mentions: DataFrame) -> DataFrame:
+    return mentions.filter("seen_at is not null").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+
+
+def _by_day(seen: DataFrame) -> DataFrame:
+    counts = seen.groupBy(F.window("seen_at", "1 day").alias("w"), F.coalesce(clean_label(F.col("stratum")), F.lit("(none)")).alias("stratum")).agg(F.count("*").alias("mentions"), F.count_if(F.col("source") == F.col("target")).alias("self_mentions"))
+    return counts.select(F.col("w.start").alias("day"), "stratum", "mentions", "self_mentions")
+
+
 def daily_counts(mentions: DataFrame) -> DataFrame:
     """(day, stratum, mentions, self_mentions); '(none)' for no stratum, rows never seen are left out. Works on streams and tables."""
-    day = F.window(F.col("seen_at").cast("timestamp"), "1 day")["start"]
-    return mentions.filter("seen_at is not null").groupBy(day.alias("day"), F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")).agg(F.count("*").alias("mentions"), F.count_if(F.col("source") == F.col("target")).alias("self_mentions"))
+    return _by_day(_seen(mentions))
 
 
 def closed_days(mentions: DataFrame, delay: str = "2 days") -> DataFrame:
     """``daily_counts`` that may be appended to a sink: days older than the watermark are final, and rows later than ``delay`` are dropped."""
-    return daily_counts(mentions.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", delay))
+    return _by_day(_seen(mentions).withWatermark("seen_at", delay))
 
 
 def stream_counts(spark: SparkSession, path: str) -> DataFrame:
