@@ -61,7 +61,7 @@ def draw_splits(pairs: DataFrame, seed: int = SEED, test: str = TEST_SHARE, val:
     return r.withColumn("split", F.when(F.col("rn") <= first, "test").when(F.col("rn") <= first + _floor(F.col("n"), val), "val").otherwise("train")).drop("rn", "n")
 
 
-def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+def _numbered(nodes: DataFrame) -> DataFrame:
     """Nodes with an index 0..N-1 in the order of their ids, without a window over all of them."""
     spread = nodes.select("id", F.floor(F.col("id") / 4096).alias("_k"))
     from pyspark.sql import Window as W
@@ -71,19 +71,26 @@ def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
     per = coarse.groupBy("_g").agg(F.sum("_c").alias("_gc"))
     per = per.select("_g", (F.sum("_gc").over(W.partitionBy(F.lit(0)).orderBy("_g")) - F.col("_gc")).alias("_go"))  # at most 2**31 / 2**24 = 128 rows
     offsets = coarse.join(per, "_g").select("_k", (F.col("_go") + F.sum("_c").over(W.partitionBy("_g").orderBy("_k")) - F.col("_c")).alias("_o"))
-    idx = spread.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("id"))).join(offsets, "_k").select("id", (F.col("_o") + F.col("_r") - 1).cast("bigint").alias("idx"))
-    return idx, nodes.count()
+    return spread.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("id"))).join(offsets, "_k").select("id", (F.col("_o") + F.col("_r") - 1).cast("bigint").alias("idx"))
 
 
-def draw_negatives(n: int, nodes: DataFrame, forbidden: DataFrame, seed: int = SEED, min_gap: int = MIN_GAP, max_rounds: int = 20) -> DataFrame:
+def room_for_negatives(nodes: DataFrame, forbidden: DataFrame) -> int:
+    """Half of the pairs of nodes that aren't forbidden: as many as attempts find in reasonable time."""
+    n = nodes.count()
+    return max(0, n * (n - 1) // 2 - forbidden.count()) // 2
+
+
+def draw_negatives(n: int, nodes: DataFrame, forbidden: DataFrame, seed: int = SEED, min_gap: int = MIN_GAP, max_rounds: int = 8) -> DataFrame:
     """(u, v, rn): ``n`` distinct pairs of nodes, u < v - ``min_gap``, none of them in ``forbidden(u, v)``; rn runs from 1 to n.
 
     Attempt i takes two nodes by the seeded hash of i. Pairs are kept in the order of their own hash. If a round of attempts
-    leaves too few, the next has twice as many; after ``max_rounds`` it raises, as the nodes can't give that many.
+    leaves too few, the next has twice as many. It raises at once if the nodes have fewer pairs, and after ``max_rounds``.
     """
     spark = nodes.sparkSession
-    idx, size = _numbered(nodes)
-    idx = materialize(idx, "nodes")
+    size = nodes.count()
+    if n > size * (size - 1) // 2:
+        raise ValueError(f"{size} nodes don't have {n} pairs")
+    idx = materialize(_numbered(nodes), "nodes")
     attempts = max(2 * n, 1024)
     for _ in range(max_rounds):
         at = lambda side: F.pmod(F.conv(F.substring(seeded_hash(seed, F.lit(side), "id"), 1, 15), 16, 10).cast("bigint"), F.lit(max(size, 1)))  # noqa: E731, B023
@@ -102,15 +109,18 @@ def build_splits(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, seed: int
     """(u, v, stratum, label, lt8_any, split): positives and, for each split, ``per_positive`` negatives each.
 
     Negatives are drawn once and dealt to train, val and test by rank, so no two splits share one. Their lt8_any is 0.
+    Nodes too few for that give half of their free pairs, in the same proportions.
     """
     positives = materialize(draw_splits(eligible_pairs(xrefs, corpus, meta), seed), "positives")
     counts = {r[0]: r[1] for r in positives.groupBy("split").agg(F.count("*")).collect()}
-    train, val, test = (per_positive * counts.get(s, 0) for s in ("train", "val", "test"))
     nodes = universe(corpus).join(dead_ids(meta), "id", "left_anti")
+    known = materialize(pair_table(xrefs), "known")
+    part = min(Fraction(1), Fraction(room_for_negatives(nodes, known), max(1, per_positive * sum(counts.values()))))
+    train, val, test = (int(part * per_positive * counts.get(s, 0)) for s in ("train", "val", "test"))
     out = positives.select("u", "v", "stratum", F.lit(1).alias("label"), "lt8_any", "split")
     if not train + val + test:
         return out
-    neg = draw_negatives(train + val + test, nodes, pair_table(xrefs), seed)
+    neg = draw_negatives(train + val + test, nodes, known, seed)
     split = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test")
     return out.unionByName(neg.select("u", "v", F.lit("neg").alias("stratum"), F.lit(0).alias("label"), F.lit(0).alias("lt8_any"), split.alias("split")))
 

@@ -24,9 +24,10 @@ def _built(s, d):
 
 def _negatives(s, d):
     xrefs, corpus, meta = _t(s, d)
-    n = 5 * _eligible(s, d).count()
     nodes = graph.universe(corpus).join(splits.dead_ids(meta), "id", "left_anti")
-    return splits.draw_negatives(n, nodes, graph.pair_table(xrefs)).select("u", "v")
+    known = materialize(graph.pair_table(xrefs), "known")
+    n = min(5 * _eligible(s, d).count(), splits.room_for_negatives(nodes, known))
+    return splits.draw_negatives(n, nodes, known).select("u", "v")
 
 
 def _train_sample(s, d):
