@@ -40,7 +40,8 @@ def subsequence_match(a: Column, b: Column, least: int = 8) -> Column:
     short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
     m, n = F.size(short), F.size(long)
     starts = F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))
-    hit = F.exists(starts, lambda s: F.slice(long, s + 1, F.least(m, n - s)) == F.slice(short, F.lit(1), F.least(m, n - s)))
+    # slices are built only where the first terms agree
+    hit = F.exists(starts, lambda s: (F.get(long, s) == F.get(short, F.lit(0))) & (F.slice(long, s + 1, F.least(m, n - s)) == F.slice(short, F.lit(1), F.least(m, n - s))))
     return F.when(m >= least, hit).otherwise(False)
 
 

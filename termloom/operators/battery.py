@@ -15,38 +15,52 @@ USED = 64
 TRANSFORMS = ("identity", "negation", "diff1", "partial_sums", "diff2", "even", "odd", "third_0", "third_1", "third_2", "binomial", "inverse_binomial", "euler", "inverse_euler", "moebius", "inverse_moebius", "complement")
 
 
-def _transforms(a: list[int]) -> Iterator[tuple[str, list[int]]]:
+def _divisors(n: int) -> tuple[list[list[int]], list[int]]:
+    """The divisors of 0..n, and the Moebius function of 0..n."""
+    divisors: list[list[int]] = [[] for _ in range(n + 1)]
+    for d in range(1, n + 1):
+        for m in range(d, n + 1, d):
+            divisors[m].append(d)
+    mu = [0, 1] + [0] * n
+    for m in range(2, n + 1):
+        mu[m] = -sum(mu[d] for d in divisors[m] if d < m)
+    return divisors, mu
+
+
+def _transforms(a: list[int], tables: tuple | None = None) -> Iterator[tuple[str, list[int]]]:
     from itertools import accumulate
-    from math import comb
+    from operator import add, mul, sub
 
     n = len(a)
-    diff = [y - x for x, y in zip(a, a[1:])]
+    divisors, mu = tables or _divisors(n)
+    diff = list(map(sub, a[1:], a))
     yield "identity", a
     yield "negation", [-x for x in a]
     yield "diff1", diff
     yield "partial_sums", list(accumulate(a))
-    yield "diff2", [y - x for x, y in zip(diff, diff[1:])]
+    yield "diff2", list(map(sub, diff[1:], diff))
     yield "even", a[0::2]
     yield "odd", a[1::2]
     for phi in range(3):
         yield f"third_{phi}", a[phi::3]
-    yield "binomial", [sum(comb(i, j) * a[j] for j in range(i + 1)) for i in range(n)]
-    yield "inverse_binomial", [sum((-1) ** (i - j) * comb(i, j) * a[j] for j in range(i + 1)) for i in range(n)]
+    # the first terms of (1 + shift)^i a, and of (shift - 1)^i a
+    for name, op in (("binomial", add), ("inverse_binomial", sub)):
+        row, out = a, []
+        while row:
+            out.append(row[0])
+            row = list(map(op, row[1:], row))
+        yield name, out
     # with c(m) = sum over d | m of d a(d), the Euler transform b solves m b(m) = c(m) + sum c(i) b(m - i)
-    divisors = [[d for d in range(1, m + 1) if m % d == 0] for m in range(n + 1)]
-    c = [sum(d * a[d - 1] for d in divisors[m]) for m in range(n + 1)]
+    c = [0] + [sum(d * a[d - 1] for d in divisors[m]) for m in range(1, n + 1)]
     b = [1]
     for m in range(1, n + 1):
-        b.append((c[m] + sum(c[i] * b[m - i] for i in range(1, m))) // m)
+        b.append((c[m] + sum(map(mul, c[1:m], b[m - 1 : 0 : -1]))) // m)
     yield "euler", b[1:]
-    mu = [0, 1] + [0] * n
-    for m in range(2, n + 1):
-        mu[m] = -sum(mu[d] for d in divisors[m] if d < m)
     c = [0]
     for m in range(1, n + 1):
-        c.append(m * a[m - 1] - sum(c[i] * a[m - i - 1] for i in range(1, m)))
+        c.append(m * a[m - 1] - sum(map(mul, c[1:m], a[m - 2 :: -1] if m > 1 else ())))
     yield "inverse_euler", [sum(mu[m // d] * c[d] for d in divisors[m]) // m for m in range(1, n + 1)]
-    yield "moebius", [sum(mu[m // d] * a[d - 1] for d in divisors[m]) for m in range(1, n + 1)]
+    yield "moebius", [sum(mu[m // d] * a[d - 1] for d in divisors[m] if mu[m // d]) for m in range(1, n + 1)]
     yield "inverse_moebius", [sum(a[d - 1] for d in divisors[m]) for m in range(1, n + 1)]
     # of a strictly rising sequence of whole numbers >= 0 with a bounded span
     if n > 1 and a[0] >= 0 and all(x < y for x, y in zip(a, a[1:])) and a[-1] <= 10_000:
@@ -58,8 +72,9 @@ def transformed(seqs: DataFrame, used: int = USED) -> DataFrame:
     """(id, transform, terms ARRAY<STRING>): the first ``used`` terms of each ``(id, seq)`` under every transform that applies and leaves terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = _divisors(used)
         for pdf in batches:
-            rows = [(i, name, [str(x) for x in t]) for i, s in zip(pdf["id"], pdf["seq"]) for name, t in _transforms([int(x) for x in s[:used]]) if t]
+            rows = [(i, name, [str(x) for x in t]) for i, s in zip(pdf["id"], pdf["seq"]) for name, t in _transforms([int(x) for x in s[:used]], tables) if t]
             yield pd.DataFrame(rows, columns=["id", "transform", "terms"])
 
     return seqs.select(F.col("id").cast("bigint").alias("id"), "seq").filter("seq is not null").mapInPandas(run, "id bigint, transform string, terms array<string>")

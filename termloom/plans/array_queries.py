@@ -8,7 +8,7 @@ from termloom.functions import arrays
 from termloom.operators import retrieval
 from termloom.plans.graph_queries import TERMS
 from termloom.plans.split_queries import _train_sample
-from termloom.session import materialize, table
+from termloom.session import materialize, spread, table
 
 NAMES = arrays.feature_names()
 
@@ -19,7 +19,7 @@ def _seqs(s, d):
 
 def _features(s, d):
     f = arrays.sequence_features()
-    rows = _seqs(s, d).select(F.col("id").alias("a_number"), f(F.col("seq")).alias("f"))
+    rows = spread(_seqs(s, d)).select(F.col("id").alias("a_number"), f(F.col("seq")).alias("f"))
     return rows.select("a_number", *((F.round(F.get("f", F.lit(i)), 5) + 0.0).alias(n) for i, n in enumerate(NAMES)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import battery, retrieval
 from termloom.plans.graph_queries import TERMS
-from termloom.session import materialize, table
+from termloom.session import materialize, spread, table
 from termloom.streaming.mentions import stream_counts
 
 
@@ -35,7 +35,7 @@ QUERIES = {
     "retrieval_report": lambda s, d: retrieval.retrieval_report(_ranks(s, d)),
     "retrieval_ci": lambda s, d: retrieval.bootstrap_ci(_ranks(s, d)),
     "nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")).select("q", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"),
-    "transforms": lambda s, d: battery.transformed(_seqs(s, d)).select("id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")),
+    "transforms": lambda s, d: battery.transformed(spread(_seqs(s, d))).select("id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")),
     "transform_links": lambda s, d: battery.transform_links(_seqs(s, d)),
     "stream_daily_mentions": lambda s, d: stream_counts(s, f"{d}/xrefs.parquet"),
 }

@@ -81,6 +81,15 @@ def _clean() -> None:
             return
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for heavy work by row: dealt out evenly if it has fewer partitions than the cluster has cores, else as it is.
+
+    Small files come as one partition each; on large tables nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def block_pairs(left: DataFrame, right: DataFrame, key: str, member: str, block: int = 2000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Split the hot keys of a many-to-many self join into tiles of at most ``2 * block`` rows.
 
