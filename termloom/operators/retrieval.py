@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termloom.functions.arrays import ngrams, pair_features
+from termloom.functions.arrays import affine_match, jaccard, ngrams, pair_features, subsequence_match
 from termloom.functions.terms import clean_terms
+from termloom.operators.battery import transformed
 
 
 def sequences(corpus: DataFrame) -> DataFrame:
@@ -33,6 +34,29 @@ def top_k(scored: DataFrame, k: int, score: str = "jaccard") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col(score).desc(), "id"))).filter(F.col("rank") <= k)
 
 
+def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, shortlist: int = 100) -> DataFrame:
+    """(q, id, transform, matched, ngram_jaccard, set_jaccard, rank): the k best related sequences of each query ``(id, seq)``.
+
+    Each query is searched under every transform. Candidates share an n-gram with one of them; the ``shortlist`` best by
+    n-gram Jaccard are probed for a subsequence or an affine match with their best transform, and ranked by the match first,
+    then by both Jaccards, ties by the smaller id.
+    """
+    asked = transformed(queries).select(F.col("id").alias("q"), "transform", "terms").filter(F.size("terms") >= 3)
+    grams = lambda c: F.array_distinct(ngrams(F.col(c)))
+    left = asked.select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
+    right = seqs.select("id", grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
+    hits = left.join(right, "g").filter("q <> id").groupBy("q", "transform", "id", "nq", "nid").agg(F.count("*").alias("s"))
+    score = F.col("s") / (F.col("nq") + F.col("nid") - F.col("s"))
+    # by name among equals, so that the untransformed query isn't preferred by chance
+    best = hits.groupBy("q", "id").agg(F.max_by(F.struct("transform", score.alias("j")), F.struct(score, "transform")).alias("b")).select("q", "id", "b.transform", F.col("b.j").alias("ngram_jaccard"))
+    short = top_k(best, shortlist, "ngram_jaccard").drop("rank")
+    full = short.join(asked, ["q", "transform"]).join(seqs, "id")
+    a, b = F.col("terms"), F.col("seq")
+    probed = full.select("q", "id", "transform", (subsequence_match(a, b) | affine_match(a, b)["s"].isNotNull()).alias("matched"), "ngram_jaccard", jaccard(a, b).alias("set_jaccard"))
+    order = W.partitionBy("q").orderBy(F.desc("matched"), F.desc("ngram_jaccard"), F.desc("set_jaccard"), "id")
+    return probed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def hit_ranks(held: DataFrame, ranked: DataFrame) -> DataFrame:
     """``held(u, v, ...)`` with rank: the better of v among the candidates of u and u among those of v; null if in neither."""
     one = ranked.select(F.col("q").alias("u"), F.col("id").alias("v"), F.col("rank").alias("_a"))

@@ -39,6 +39,15 @@ def eligible_pairs(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame) -> Data
     return flagged_pairs(xrefs, corpus, meta).filter("in_terms and not dead and stratum is not null").select("u", "v", "stratum", "lt8_any")
 
 
+def headline_pairs(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Eligible pairs that count in headline results: of s1 or s2, not short, and no end named as a placeholder (allocated)."""
+    held = corpus.filter(F.lower("name").contains("allocated")).select(F.col("a_number").alias("id")).filter("id is not null").distinct()
+    out = pairs.filter(F.col("stratum").isin("s1", "s2") & (F.col("lt8_any") == 0))
+    for c in ("u", "v"):
+        out = out.join(held.select(F.col("id").alias(c)), c, "left_anti")
+    return out.select("u", "v", "stratum")
+
+
 def funnel(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame) -> DataFrame:
     """One row: pairs in all, dropped for missing terms, then for a dead end, then for no stratum, eligible, short among those, and nodes."""
     f = flagged_pairs(xrefs, corpus, meta)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.operators import battery, retrieval
+from termloom.operators import battery, exclude, retrieval
 from termloom.plans.graph_queries import TERMS
 from termloom.session import materialize, spread, table
 from termloom.streaming.mentions import stream_counts
@@ -20,6 +20,17 @@ def _ranked(s, d, k):
     return retrieval.top_k(retrieval.shared_gram_candidates(asked, seqs), k)
 
 
+def _baseline(s, d):
+    seqs = materialize(_seqs(s, d), "seqs")
+    return retrieval.classical_baseline(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs)
+
+
+def _novel_links(s, d):
+    """Transform links of which the two sequences aren't related by a mention or a program call."""
+    links = battery.transform_links(_seqs(s, d)).withColumnsRenamed({"q": "u", "id": "v"})
+    return exclude.without_known(links, exclude.known_pairs(table(s, d, "relations"), table(s, d, "xrefs")))
+
+
 def _held(s, d):
     held = table(s, d, "splits").filter("split = 'test' and label = 1 and u is not null and v is not null").select("u", "v", F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")).distinct()
     # only pairs with a query sequence at an end can be found
@@ -36,6 +47,8 @@ QUERIES = {
     "retrieval_ci": lambda s, d: retrieval.bootstrap_ci(_ranks(s, d)),
     "nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")).select("q", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"),
     "transforms": lambda s, d: battery.transformed(spread(_seqs(s, d))).select("id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")),
+    "classical_baseline": _baseline,
+    "novel_links": _novel_links,
     "transform_links": lambda s, d: battery.transform_links(_seqs(s, d)),
     "stream_daily_mentions": lambda s, d: stream_counts(s, f"{d}/xrefs.parquet"),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.ids import format_id
 from termloom.operators import stats
+from termloom.plans.text_queries import _M as MENTIONS
+from termloom.plans.text_queries import _TYPE as LINE_TYPE
 from termloom.session import table
 from termloom.sources import dumps
 
@@ -38,9 +40,14 @@ QUERIES = {
     "statistics": _stats,
 }
 
+_LINES = " lines AS (SELECT DISTINCT source, sync_id, y_line_idx, trim(raw_text) AS raw_text FROM xrefs WHERE source IS NOT NULL AND raw_text IS NOT NULL)"
 _L = "SELECT DISTINCT source, sync_id, y_line_idx, raw_text FROM xrefs WHERE source IS NOT NULL AND raw_text IS NOT NULL"
 
 SQL = {
+    "entry_mentions": f"""
+WITH {_LINES}, {MENTIONS}
+SELECT source, target, {LINE_TYPE} AS link_type, paren, raw_text, count(*) AS n FROM ment WHERE source <> target GROUP BY ALL
+""",
     "entry_meta": f"WITH l AS ({_L}) SELECT source AS a_number, 'nonn' AS keywords, CAST(count(*) AS SMALLINT) AS n_y_lines FROM l GROUP BY source, sync_id",
     "entry_references": f"WITH l AS ({_L}), r AS (SELECT DISTINCT source AS a_number, CAST(unnest(regexp_extract_all(raw_text, 'A([0-9]{{6,7}})', 1)) AS INT) AS ref FROM l) SELECT * FROM r WHERE a_number <> ref",
     "program_calls": "SELECT program, calls FROM relations WHERE program IS NOT NULL AND calls IS NOT NULL",

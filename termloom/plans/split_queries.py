@@ -38,6 +38,7 @@ def _train_sample(s, d):
 
 QUERIES = {
     "eligible_pairs": _eligible,
+    "headline_pairs": lambda s, d: splits.headline_pairs(_eligible(s, d), table(s, d, "corpus")),
     "split_funnel": lambda s, d: splits.funnel(*_t(s, d)),
     "split_draw": lambda s, d: splits.draw_splits(_eligible(s, d)),
     "negatives": _negatives,
@@ -75,6 +76,7 @@ NEG = f"""
 """
 
 SQL = {
+    "headline_pairs": f"WITH {ELIGIBLE}, h AS (SELECT a_number FROM corpus WHERE contains(lower(name), 'allocated')) SELECT u, v, stratum FROM elig WHERE stratum IN ('s1', 's2') AND lt8_any = 0 AND u NOT IN (SELECT a_number FROM h) AND v NOT IN (SELECT a_number FROM h)",
     "eligible_pairs": f"WITH {ELIGIBLE} SELECT * FROM elig",
     "split_funnel": f"""
 WITH {ELIGIBLE}, {NODES}

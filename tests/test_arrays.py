@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import arrays
 from termloom.functions.terms import clean_terms, exact_longs
-from termloom.operators import battery
+from termloom.operators import battery, retrieval
 
 FIB = [0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610]
 NAT, POW2, ALT = list(range(1, 17)), [2**i for i in range(16)], [i if i % 2 else -i for i in range(1, 17)]
@@ -117,6 +117,16 @@ def test_transforms_invert_each_other():
     assert set(t) | {"complement"} == set(battery.TRANSFORMS) and list(battery._transforms([]))[0] == ("identity", [])
 
 
+def test_classical_baseline(table):
+    rng = random.Random(4)
+    sq = [i * i for i in range(1, 25)]
+    seqs = [(100, sq), (1, [y - x for x, y in zip(sq, sq[1:])]), (2, sq[3:]), (3, [-x for x in sq]), (4, sq[:4] + [rng.randrange(999) for _ in range(20)]), (5, [5, 6]), (6, [7 * x + 1 for x in sq])]
+    df = table("id int, seq array<string>", [(i, strs(s)) for i, s in seqs])
+    rows = {r["id"]: r for r in retrieval.classical_baseline(df.filter("id = 100"), df).collect()}
+    assert rows.keys() == {1, 2, 3, 4} and all(rows[i]["matched"] for i in (1, 2, 3)) and not rows[4]["matched"] and rows[4]["rank"] == 4
+    assert (rows[1]["transform"], rows[3]["transform"], rows[3]["rank"]) == ("diff1", "negation", 2)
+
+
 def test_transform_links(table):
     sq = [i * i for i in range(1, 25)]
     seqs = [(100, strs(sq)), (1, strs([y - x for x, y in zip(sq, sq[1:])])), (2, strs(sq[3:])), (3, strs([-x for x in sq])), (4, ["5"] * 20), (200, ["5"] * 20), (5, None), (6, ["1"])]
