@@ -31,14 +31,14 @@ def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float
     used = materialize(used.select("id", F.col("i").isin(1, 3).alias("is_index"), F.col("i").isin(2, 3).alias("is_probe")), "used")
     records = corpus.select(F.col("a_number").cast("bigint").alias("id"), "terms").join(used, "id", "left_semi")
     members, classes = set_classes(records, "id", "terms", min_size)
-    flags = members.join(used, "id").groupBy("ckey").agg(F.max("is_index").alias("is_index"), F.max("is_probe").alias("is_probe"))
+    flags = members.join(used, "id").groupBy("cid").agg(F.max("is_index").alias("is_index"), F.max("is_probe").alias("is_probe"))
     point = mark()
-    near = materialize(similar_classes(classes.join(flags, "ckey"), threshold), "nearclasses")
+    near = materialize(similar_classes(materialize(classes.join(flags, "cid").drop("rid", "copies"), "flagged"), threshold), "nearclasses")
     release_since(point, near)
 
-    # every sequence gets the node of its class, or a node of its own
-    node = members.select("id", F.hex("ckey").alias("node"))
-    named = used.select("id").join(node, "id", "left").select("id", F.coalesce("node", F.col("id").cast("string")).alias("node"))
+    # every sequence gets the node of its class, an even number, or a node of its own, an odd one
+    of_class, of_self = (lambda c: c * 2), (lambda c: c * 2 + 1)
+    named = used.select("id").join(members.select("id", "cid"), "id", "left").select("id", F.coalesce(of_class(F.col("cid")), of_self(F.col("id"))).alias("node"))
     named = materialize(named, "nodes")
 
     def nodes(d: DataFrame, *rest: str) -> DataFrame:
@@ -51,7 +51,7 @@ def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float
     known = nodes(train).select(F.least("nu", "nv").alias("a"), F.greatest("nu", "nv").alias("b")).distinct()
     # a node's neighbours in training: its near classes and itself
     themselves = held_nodes.select(F.explode(F.array("nu", "nv")).alias("n")).distinct()
-    around = materialize(near.select(F.hex("ckey_1").alias("n"), F.hex("ckey_2").alias("to")).unionByName(themselves.select("n", F.col("n").alias("to"))).distinct(), "near")
+    around = materialize(near.select(of_class(F.col("cid_1")).alias("n"), of_class(F.col("cid_2")).alias("to")).unionByName(themselves.select("n", F.col("n").alias("to"))).distinct(), "near")
     for c in ("nu", "nv"):
         asked = asked.join(around.select(F.col("n").alias(c), F.col("to").alias(f"t{c}")), c)
     hit = asked.withColumns({"a": F.least("tnu", "tnv"), "b": F.greatest("tnu", "tnv")}).join(known, ["a", "b"], "left_semi").select("nu", "nv").distinct()

@@ -18,9 +18,9 @@ def p3_found(spark, d):
 
 
 def p3_class_pairs(spark, d):
-    members, _, pairs = _p3(spark, d)
-    rid = members.select("ckey", "rid").distinct()
-    return pairs.join(rid.withColumnsRenamed({"ckey": "ckey_1", "rid": "r1"}), "ckey_1").join(rid.withColumnsRenamed({"ckey": "ckey_2", "rid": "r2"}), "ckey_2").select(F.least("r1", "r2").alias("class_1"), F.greatest("r1", "r2").alias("class_2"), "overlap")
+    _, classes, pairs = _p3(spark, d)
+    rid = classes.select("cid", "rid")
+    return pairs.join(rid.withColumnsRenamed({"cid": "cid_1", "rid": "r1"}), "cid_1").join(rid.withColumnsRenamed({"cid": "cid_2", "rid": "r2"}), "cid_2").select(F.least("r1", "r2").alias("class_1"), F.greatest("r1", "r2").alias("class_2"), "overlap")
 
 
 def _p7(spark, d):

@@ -25,23 +25,21 @@ BLOCK = 2000
 
 
 def set_classes(records: DataFrame, id_col: str, terms_col: str, min_size: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): ``members(id, rid)`` and ``classes(rid, toks, n, copies)``.
+    """(members, classes): ``members(id, cid, rid)`` and ``classes(cid, rid, toks, n, copies)``.
 
-    A record is in if it has at least ``min_size`` distinct whole-number terms. ``rid`` is the smallest id of the class.
-    Null ids are left out; repeated rows count once; a record stored with several term lists is in each list's class.
+    A record is in if it has at least ``min_size`` distinct whole-number terms. ``cid`` numbers the classes, ``rid`` is the smallest
+    id of one. Null ids are left out; repeated rows count once; a record stored with several term lists is in each list's class.
     """
     toks = F.array_sort(F.array_distinct(clean_terms(F.col(terms_col))))
     rows = records.select(F.col(id_col).cast("bigint").alias("id"), toks.alias("toks")).filter(F.col("id").isNotNull() & (F.size("toks") >= min_size))
     rows = materialize(rows.withColumn("key", F.unhex(F.sha2(F.array_join("toks", ","), 256))), "sets")
     ids = rows.select("id", "key").distinct()
-    reps = ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
-    # the smaller side is unique in key, so AQE can split a hot key of ids
-    members = materialize(ids.join(reps, "key").select("id", "rid", "copies", "key"), "members")
-    firsts = members.filter("id = rid").select("key", "rid", "copies")
-    classes = rows.join(firsts.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("toks").alias("toks"), F.first("copies").alias("copies"))
-    classes = classes.select(F.col("key").alias("ckey"), F.col("id").alias("rid"), "toks", F.size("toks").alias("n"), "copies")
-    # two classes can share their smallest id only if that id was stored with two lists: ckey tells them apart
-    return members.select("id", F.col("key").alias("ckey"), "rid"), classes
+    # numbered once and written, so a number stays with its class
+    reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
+    # reps is unique in key, so AQE can split a hot key of ids
+    members = materialize(ids.join(reps, "key").select("id", "cid", "rid"), "members")
+    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("toks").alias("toks"), F.first("copies").alias("copies"))
+    return members, classes.select("cid", F.col("id").alias("rid"), "toks", F.size("toks").alias("n"), "copies")
 
 
 def _ceil(share: Fraction, n: Column) -> Column:
@@ -57,22 +55,22 @@ def _frequencies(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def similar_classes(classes: DataFrame, threshold: float = 0.6, block: int = BLOCK) -> DataFrame:
-    """(ckey_1, ckey_2, n_1, n_2, overlap): pairs of classes whose overlap is at least ``threshold`` of either's size.
+    """(cid_1, cid_2, n_1, n_2, overlap): pairs of ``classes(cid, toks, n)`` whose overlap is at least ``threshold`` of either's size.
 
     With boolean columns ``is_index`` and ``is_probe`` in ``classes``, pairs are directed: 1 is an index class and 2 a
     probe class. Without them every unordered pair comes once.
     """
     t = Fraction(str(threshold))
     directed = "is_index" in classes.columns
+    if not hasattr(classes, "_termloom_path"):  # it is read several times
+        classes = materialize(classes, "classes")
     if not directed:
         classes = classes.withColumns({"is_index": F.lit(True), "is_probe": F.lit(True)})
-    # cid: a number for ckey in the narrow tables; ckey itself decides in the end
-    classes = materialize(classes.select("ckey", F.xxhash64("ckey").alias("cid"), "toks", "n", "is_index", "is_probe"), "classes")
-    tokens = classes.select("cid", "n", "is_index", "is_probe", F.explode(F.transform("toks", lambda x: F.xxhash64(x))).alias("h"))
+    tokens = classes.select("cid", F.explode(F.transform("toks", lambda x: F.xxhash64(x))).alias("h"))
     rare, frequent = _frequencies(tokens)
     frequent = F.broadcast(frequent)
     ranked = tokens.join(frequent, "h", "left_anti").join(rare, "h").unionByName(tokens.join(frequent, "h"))
-    lists = ranked.groupBy("cid", "n", "is_index", "is_probe").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))
+    lists = ranked.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l")).join(classes.select("cid", "n", "is_index", "is_probe"), "cid")
     lone = F.col("n") - F.size("l")  # tokens of this class only come first in the order
     keep = F.greatest(F.lit(0), F.col("n") - _ceil(t, F.col("n")) + 1 - lone)
     prefix = lists.select("cid", "n", "is_index", "is_probe", lone.alias("lone"), F.posexplode(F.slice("l", F.lit(1), keep)).alias("i", "x"))
@@ -88,9 +86,9 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, block: int = BLO
     hit &= (F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2"))) * t.denominator >= most  # positions
     pairs = a.join(b, on).filter(hit).select("cid_1", "cid_2").distinct()
 
-    side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("ckey").alias(f"ckey_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("n").alias(f"n_{s}"))
+    side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("n").alias(f"n_{s}"))
     full = pairs.join(side(1), "cid_1").join(side(2), "cid_2").withColumn("overlap", F.size(F.array_intersect("toks_1", "toks_2")))
-    return full.filter(F.col("overlap") * t.denominator >= F.greatest("n_1", "n_2") * t.numerator).select("ckey_1", "ckey_2", "n_1", "n_2", "overlap")
+    return full.filter(F.col("overlap") * t.denominator >= F.greatest("n_1", "n_2") * t.numerator).select("cid_1", "cid_2", "n_1", "n_2", "overlap")
 
 
 def similar_records(corpus: DataFrame, submissions: DataFrame, threshold: float = 0.6, min_size: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,17 +107,17 @@ def links_per_record(members: DataFrame, classes: DataFrame, pairs: DataFrame) -
 
     Counts are summed per class, so no group of copies is spelled out.
     """
-    size = classes.select("ckey", "copies")
-    both = pairs.select(F.col("ckey_1").alias("ckey"), F.col("ckey_2").alias("other")).unionByName(pairs.select(F.col("ckey_2").alias("ckey"), F.col("ckey_1").alias("other")))
-    linked = both.join(size.withColumnsRenamed({"ckey": "other", "copies": "m"}), "other").groupBy("ckey").agg(F.sum("m").alias("m"))
-    per_class = classes.select("ckey", "n", "copies").join(linked, "ckey", "left").select("ckey", "n", "copies", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
-    return members.join(per_class, "ckey").select("id", F.col("rid").alias("class_id"), "n", "copies", "links")
+    size = classes.select("cid", "copies")
+    both = pairs.select(F.col("cid_1").alias("cid"), F.col("cid_2").alias("other")).unionByName(pairs.select(F.col("cid_2").alias("cid"), F.col("cid_1").alias("other")))
+    linked = both.join(size.withColumnsRenamed({"cid": "other", "copies": "m"}), "other").groupBy("cid").agg(F.sum("m").alias("m"))
+    per_class = classes.select("cid", "n", "copies").join(linked, "cid", "left").select("cid", "n", "copies", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return members.join(per_class, "cid").select("id", F.col("rid").alias("class_id"), "n", "copies", "links")
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_1, id_2): every pair of similar records, smaller id first, from the class pairs and the classes themselves."""
-    one, two = (members.select(F.col("ckey").alias(f"ckey_{s}"), F.col("id").alias(f"m_{s}")) for s in (1, 2))
-    across = pairs.select("ckey_1", "ckey_2").join(one, "ckey_1").join(two, "ckey_2").filter("m_1 <> m_2")
-    within = one.join(two.withColumnRenamed("ckey_2", "ckey_1"), "ckey_1").filter("m_1 < m_2")
+    one, two = (members.select(F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"m_{s}")) for s in (1, 2))
+    across = pairs.select("cid_1", "cid_2").join(one, "cid_1").join(two, "cid_2").filter("m_1 <> m_2")
+    within = one.join(two.withColumnRenamed("cid_2", "cid_1"), "cid_1").filter("m_1 < m_2")
     out = across.select(F.least("m_1", "m_2").alias("id_1"), F.greatest("m_1", "m_2").alias("id_2")).unionByName(within.select(F.col("m_1").alias("id_1"), F.col("m_2").alias("id_2")))
     return out.distinct()
