@@ -12,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,30 +26,31 @@ BLOCK = 2000
 
 
 def sequence_classes(corpus: DataFrame, least: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): ``members(id, ckey, rid)``, ``classes(ckey, cid, rid, seq, n, copies)`` of records with ``least`` terms or more.
+    """(members, classes): ``members(id, cid, rid)``, ``classes(cid, rid, seq, n, copies)`` of records with ``least`` terms or more; seq is one text, joined by commas.
 
-    Terms that are no whole numbers are dropped first, so a run goes on across them. Null ids are left out.
+    Terms that are no whole numbers are dropped first, so a run goes on across them. Null ids are left out. ``cid`` numbers the
+    classes, ``rid`` is the smallest id of one; a record stored with several sequences is in each sequence's class.
     """
-    rows = corpus.select(F.col("a_number").cast("bigint").alias("id"), clean_terms(F.col("terms")).alias("seq")).filter(F.col("id").isNotNull() & (F.size("seq") >= least))
-    rows = materialize(rows.withColumn("ckey", F.unhex(F.sha2(F.array_join("seq", ","), 256))), "seqs")
-    ids = rows.select("id", "ckey").distinct()
-    reps = ids.groupBy("ckey").agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
-    members = materialize(ids.join(reps, "ckey"), "members")
-    firsts = members.filter("id = rid")
-    classes = rows.join(firsts, ["ckey", "id"]).groupBy("ckey", "rid").agg(F.first("seq").alias("seq"), F.first("copies").alias("copies"))
-    classes = classes.select("ckey", F.xxhash64("ckey").alias("cid"), "rid", "seq", F.size("seq").alias("n"), "copies")
-    return members.select("id", "ckey", "rid"), materialize(classes, "classes")
+    rows = corpus.select(F.col("a_number").cast("bigint").alias("id"), clean_terms(F.col("terms")).alias("t")).filter(F.col("id").isNotNull() & (F.size("t") >= least))
+    rows = rows.select("id", F.size("t").alias("n"), F.array_join("t", ",").alias("seq"))
+    rows = materialize(rows.withColumn("key", F.unhex(F.sha2("seq", 256))), "seqs")
+    ids = rows.select("id", "key").distinct()
+    # numbered once and written, so a number stays with its class
+    reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
+    members = materialize(ids.join(reps, "key").select("id", "cid", "rid"), "members")
+    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("seq").alias("seq"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    return members, materialize(classes.select("cid", F.col("id").alias("rid"), "seq", "n", "copies"), "classes")
 
 
 def _anchors(gram: int, window: int):
     """(cid, hs ARRAY<BIGINT>) to (h, cid, pos): the winnowed grams of each record; a whole batch at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            n = pdf["hs"].map(len).to_numpy()
-            flat = np.concatenate(pdf["hs"].to_numpy()).astype(np.int64).view(np.uint64)
+            n = np.asarray(pc.list_value_length(b.column(1)))
+            flat = b.column(1).flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             m = len(flat) - gram + 1
@@ -69,26 +71,28 @@ def _anchors(gram: int, window: int):
                 best[less] = g[i : i + starts][less]
                 at[less] = np.flatnonzero(less) + i
             at = np.unique(at[inside])
-            yield pd.DataFrame({"h": g[at].view(np.int64), "cid": pdf["cid"].to_numpy()[row[at]], "pos": pos[at].astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(b.column(0).to_numpy()[row[at]]), pa.array(pos[at].astype(np.int32))], ["h", "cid", "pos"])
 
     return run
 
 
 def _extend(least: int):
-    """Pairs with the diagonals of their seeds to maximal runs of ``least`` terms or more."""
+    """Pairs with the diagonals of their seeds to maximal runs of ``least`` terms or more; one pair at a time is taken apart."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for one, two, a, b, diags in zip(pdf["cid_1"], pdf["cid_2"], pdf["seq_1"], pdf["seq_2"], pdf["diags"]):
-                for d in diags:  # position in 1 less position in 2
+            for one, two, a, b, diags in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("cid_1", "cid_2", "seq_1", "seq_2", "diags"))):
+                one, two, a, b = one.as_py(), two.as_py(), np.array(a.as_py().split(",")), np.array(b.as_py().split(","))
+                for d in diags.as_py():  # position in 1 less position in 2
                     i, j = max(d, 0), max(-d, 0)
                     m = min(len(a) - i, len(b) - j)
                     same = np.concatenate(([False], a[i : i + m] == b[j : j + m], [False])).astype(np.int8)
                     edge = np.diff(same)
                     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     out += [(one, two, i + s, j + s, e - s) for s, e in zip(lo.tolist(), hi.tolist()) if e - s >= least]
-            yield pd.DataFrame(out, columns=["cid_1", "cid_2", "start_1", "start_2", "len"])
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["cid_1", "cid_2", "start_1", "start_2", "len"])
 
     return run
 
@@ -96,15 +100,15 @@ def _extend(least: int):
 def shared_runs(classes: DataFrame, least: int = 12, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(cid_1, cid_2, start_1, start_2, len): maximal runs of at least ``least`` equal terms between different classes, cid_1 < cid_2."""
     gram = min(gram, least)
-    hs = classes.select("cid", F.transform("seq", lambda x: F.xxhash64(x)).alias("hs"))
-    postings = materialize(hs.mapInPandas(_anchors(gram, least - gram + 1), "h bigint, cid bigint, pos int"), "anchors")
+    hs = classes.select("cid", F.transform(F.split("seq", ","), lambda x: F.xxhash64(x)).alias("hs"))
+    postings = materialize(hs.mapInArrow(_anchors(gram, least - gram + 1), "h bigint, cid bigint, pos int"), "anchors")
     a, b, on = block_pairs(postings, postings, "h", "cid", block)
     a, b = (d.select(*on, *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "pos", "_b"))) for d, s in ((a, 1), (b, 2)))
     hits = a.join(b, on).filter("cid_1 < cid_2 and (_bi = _bj or _b_1 <> _b_2)")
     # at most n_1 + n_2 diagonals a pair
     seeds = hits.groupBy("cid_1", "cid_2").agg(F.collect_set(F.col("pos_1") - F.col("pos_2")).alias("diags"))
     side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("seq").alias(f"seq_{s}"))
-    return seeds.join(side(1), "cid_1").join(side(2), "cid_2").mapInPandas(_extend(least), "cid_1 bigint, cid_2 bigint, start_1 int, start_2 int, len int")
+    return seeds.join(side(1), "cid_1").join(side(2), "cid_2").mapInArrow(_extend(least), "cid_1 bigint, cid_2 bigint, start_1 int, start_2 int, len int")
 
 
 def _both(runs: DataFrame) -> DataFrame:
@@ -126,18 +130,17 @@ def coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     before = F.max("e").over(W.partitionBy("cid").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
     fresh = places.withColumn("b", F.coalesce(before, F.lit(0))).select("cid", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b")).alias("fresh"))
     covered = fresh.groupBy("cid").agg(F.sum("fresh").alias("c"), F.count("*").alias("runs"))
-    per_class = classes.select("cid", "ckey", "n", "copies").join(partners, "cid", "left").join(covered, "cid", "left")
+    per_class = classes.select("cid", "n", "copies").join(partners, "cid", "left").join(covered, "cid", "left")
     cov = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("c", F.lit(0)))
-    per_class = per_class.select("ckey", F.col("n").alias("n_terms"), "copies", (F.coalesce("p", F.lit(0)) + F.col("copies") - 1).alias("partners"), F.coalesce("runs", F.lit(0)).alias("runs"), cov.cast("int").alias("covered"))
-    return members.join(per_class, "ckey").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
+    per_class = per_class.select("cid", F.col("n").alias("n_terms"), "copies", (F.coalesce("p", F.lit(0)) + F.col("copies") - 1).alias("partners"), F.coalesce("runs", F.lit(0)).alias("runs"), cov.cast("int").alias("covered"))
+    return members.join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
 
 
 def run_pairs(corpus: DataFrame, least: int = 12) -> DataFrame:
     """(a_number_1, a_number_2): all pairs of records with a shared run of ``least`` terms, smaller first."""
     members, classes = sequence_classes(corpus, least)
     linked = shared_runs(classes, least).select("cid_1", "cid_2").distinct()
-    ids = members.select("ckey", "id").join(classes.select("ckey", "cid"), "ckey").select("cid", "id")
-    one, two = (ids.select(F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"m_{s}")) for s in (1, 2))
+    one, two = (members.select(F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"m_{s}")) for s in (1, 2))
     across = linked.join(one, "cid_1").join(two, "cid_2").filter("m_1 <> m_2")
     within = one.join(two.withColumnRenamed("cid_2", "cid_1"), "cid_1").filter("m_1 < m_2")
     out = across.select("m_1", "m_2").unionByName(within.select("m_1", "m_2"))

@@ -28,7 +28,7 @@ def test_runs_against_all_windows(table, block):
     members, classes = spans.sequence_classes(corpus)
     runs = spans.shared_runs(classes, block=block).collect()
     assert len(runs) == len(set(runs))
-    seqs = {r["cid"]: r["seq"] for r in classes.collect()}
+    seqs = {r["cid"]: r["seq"].split(",") for r in classes.collect()}
     for r in runs:  # equal, and maximal
         a, b, i, j, n = seqs[r.cid_1], seqs[r.cid_2], r.start_1, r.start_2, r.len
         assert n >= k and a[i : i + n] == b[j : j + n]
