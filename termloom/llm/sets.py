@@ -25,21 +25,22 @@ BLOCK = 2000
 
 
 def set_classes(records: DataFrame, id_col: str, terms_col: str, min_size: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): ``members(id, cid, rid)`` and ``classes(cid, rid, toks, n, copies)``.
+    """(members, classes): ``members(id, cid, rid)`` and ``classes(cid, rid, toks, n, copies)``; toks is one text, joined by commas.
 
     A record is in if it has at least ``min_size`` distinct whole-number terms. ``cid`` numbers the classes, ``rid`` is the smallest
     id of one. Null ids are left out; repeated rows count once; a record stored with several term lists is in each list's class.
     """
     toks = F.array_sort(F.array_distinct(clean_terms(F.col(terms_col))))
-    rows = records.select(F.col(id_col).cast("bigint").alias("id"), toks.alias("toks")).filter(F.col("id").isNotNull() & (F.size("toks") >= min_size))
-    rows = materialize(rows.withColumn("key", F.unhex(F.sha2(F.array_join("toks", ","), 256))), "sets")
+    rows = records.select(F.col(id_col).cast("bigint").alias("id"), toks.alias("t")).filter(F.col("id").isNotNull() & (F.size("t") >= min_size))
+    rows = rows.select("id", F.size("t").alias("n"), F.array_join("t", ",").alias("toks"))
+    rows = materialize(rows.withColumn("key", F.unhex(F.sha2("toks", 256))), "sets")
     ids = rows.select("id", "key").distinct()
     # numbered once and written, so a number stays with its class
     reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
     # reps is unique in key, so AQE can split a hot key of ids
     members = materialize(ids.join(reps, "key").select("id", "cid", "rid"), "members")
-    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("toks").alias("toks"), F.first("copies").alias("copies"))
-    return members, classes.select("cid", F.col("id").alias("rid"), "toks", F.size("toks").alias("n"), "copies")
+    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("toks").alias("toks"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    return members, classes.select("cid", F.col("id").alias("rid"), "toks", "n", "copies")
 
 
 def _ceil(share: Fraction, n: Column) -> Column:
@@ -66,7 +67,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, block: int = BLO
         classes = materialize(classes, "classes")
     if not directed:
         classes = classes.withColumns({"is_index": F.lit(True), "is_probe": F.lit(True)})
-    tokens = classes.select("cid", F.explode(F.transform("toks", lambda x: F.xxhash64(x))).alias("h"))
+    tokens = classes.select("cid", F.explode(F.transform(F.split("toks", ","), lambda x: F.xxhash64(x))).alias("h"))
     rare, frequent = _frequencies(tokens)
     frequent = F.broadcast(frequent)
     ranked = tokens.join(frequent, "h", "left_anti").join(rare, "h").unionByName(tokens.join(frequent, "h"))
@@ -87,7 +88,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, block: int = BLO
     pairs = a.join(b, on).filter(hit).select("cid_1", "cid_2").distinct()
 
     side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("n").alias(f"n_{s}"))
-    full = pairs.join(side(1), "cid_1").join(side(2), "cid_2").withColumn("overlap", F.size(F.array_intersect("toks_1", "toks_2")))
+    full = pairs.join(side(1), "cid_1").join(side(2), "cid_2").withColumn("overlap", F.size(F.array_intersect(F.split("toks_1", ","), F.split("toks_2", ","))))
     return full.filter(F.col("overlap") * t.denominator >= F.greatest("n_1", "n_2") * t.numerator).select("cid_1", "cid_2", "n_1", "n_2", "overlap")
 
 
