@@ -43,7 +43,7 @@ def word_runs(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
         if not text.isascii():
             # invisible characters and marks that compose with nothing stand inside words
-            text = re.sub("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]", "", text)
+            text = re.sub("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]", "", text)
     return re.findall(r"[^\W_]+", text)
 
 
