@@ -51,7 +51,7 @@ def read_entries(spark: SparkSession, folder: str, pattern: str = "*.seq") -> Da
 
 
 def read_archives(spark: SparkSession, path: str, suffix: str = ".seq") -> DataFrame:
-    """The same from tar archives, compressed or not: one task streams through each archive, member by member."""
+    """The same from tar archives of at most 2 GB each, compressed or not: one task goes through an archive, member by member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
