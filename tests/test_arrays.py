@@ -132,3 +132,44 @@ def test_transform_links(table):
     seqs = [(100, strs(sq)), (1, strs([y - x for x, y in zip(sq, sq[1:])])), (2, strs(sq[3:])), (3, strs([-x for x in sq])), (4, ["5"] * 20), (200, ["5"] * 20), (5, None), (6, ["1"])]
     got = {(r["q"], r["transform"], r["id"], r["s"]) for r in battery.transform_links(table("id int, seq array<string>", seqs)).collect()}
     assert {(100, "diff1", 1, 0), (100, "identity", 2, 3), (100, "negation", 3, 0)} <= got and not any(q == 200 for q, *_ in got)
+
+
+def test_smoke_aggregates_against_plain_python(spark):
+    import hashlib
+    import re
+
+    from termloom.plans import registry
+    from termloom.session import table as load
+
+    d = "/root/testdata/sf0.001"
+    seqs = {}
+    for r in load(spark, d, "corpus").collect():
+        t = [int(x) for x in r["terms"] or [] if x is not None and re.fullmatch(r"\s*[+-]?[0-9]+\s*", x)]
+        if t:
+            seqs[r["a_number"]] = t
+    pairs = {tuple(sorted((r["u"], r["v"]))) for r in load(spark, d, "splits").collect() if r["split"] == "train" and r["label"] == 1 and None not in (r["u"], r["v"])}
+    picked = sorted(pairs, key=lambda p: (hashlib.md5(f"42|{p[0]}|{p[1]}".encode()).hexdigest(), p))[:200]
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    rows = []
+    for u, v in picked:
+        if u in seqs and v in seqs:
+            a, b = seqs[u], seqs[v]
+            s, l = (a, b) if len(a) <= len(b) else (b, a)
+            hit = len(s) >= 8 and any(l[i : i + len(s)] == s[: len(l) - i] for i in range(len(l) - 7))
+            rows.append((jac(set(a), set(b)), jac(grams(a), grams(b)), float(hit), float(affine(a, b) is not None)))
+    got = registry.QUERIES["smoke_aggregates"](spark, d).first()
+    assert got["pairs"] == len(rows) > 20
+    for c, name in enumerate(("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")):
+        assert abs(got[name] - sum(r[c] for r in rows) / len(rows)) < 1e-4
+
+
+def test_trees_judge_held_out_pairs(table):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        y = i % 2
+        rows.append((i, i + 1, ["train", "train", "val", "test"][(i // 2) % 4], y, min(1.0, max(0.0, 0.25 + 0.5 * y + rng.gauss(0, 0.1))), rng.random(), 0.0, 0.0))
+    out = {r["split"]: r["auc"] for r in retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows)).collect()}
+    assert out.keys() == {"train", "val", "test"} and all(a > 0.9 for a in out.values())
+    assert retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows[:1])).first()["auc"] is None
