@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that enter a transform; binomial and Euler transforms grow with the square of it.
-USED = 64
+#: Complements of more terms are given by their gaps, as they can have any number of terms.
+LISTED = 10_000
+
+#: Sequences whose transforms are held at once.
+CHUNK = 200
 
 #: Names of all transforms. Index origins: binomial counts from 0, Euler and Moebius from 1; Moebius sums mu(n/d) a(d).
 TRANSFORMS = ("identity", "negation", "diff1", "partial_sums", "diff2", "even", "odd", "third_0", "third_1", "third_2", "binomial", "inverse_binomial", "euler", "inverse_euler", "moebius", "inverse_moebius", "complement")
@@ -27,8 +30,9 @@ def _divisors(n: int) -> tuple[list[list[int]], list[int]]:
     return divisors, mu
 
 
-def _transforms(a: list[int], tables: tuple | None = None) -> Iterator[tuple[str, list[int]]]:
-    from itertools import accumulate
+def _transforms(a: list[int], tables: tuple | None = None, first: int | None = None) -> Iterator[tuple[str, list]]:
+    """All transforms of the whole of a; of the complement only the ``first`` terms, if that is given."""
+    from itertools import accumulate, chain, islice
     from operator import add, mul, sub
 
     n = len(a)
@@ -62,25 +66,37 @@ def _transforms(a: list[int], tables: tuple | None = None) -> Iterator[tuple[str
     yield "inverse_euler", [sum(mu[m // d] * c[d] for d in divisors[m]) // m for m in range(1, n + 1)]
     yield "moebius", [sum(mu[m // d] * a[d - 1] for d in divisors[m] if mu[m // d]) for m in range(1, n + 1)]
     yield "inverse_moebius", [sum(a[d - 1] for d in divisors[m]) for m in range(1, n + 1)]
-    # of a strictly rising sequence of whole numbers >= 0 with a bounded span
-    if n > 1 and a[0] >= 0 and all(x < y for x, y in zip(a, a[1:])) and a[-1] <= 10_000:
-        held = set(a)
-        yield "complement", [x for x in range(a[-1]) if x not in held]
+    # of a strictly rising sequence of whole numbers >= 0, whatever its span
+    if n > 1 and a[0] >= 0 and all(x < y for x, y in zip(a, a[1:])):
+        gaps = [(lo, hi) for lo, hi in zip([0, *(x + 1 for x in a)], a) if lo < hi]
+        if first is not None or a[-1] - n < LISTED:
+            yield "complement", list(islice(chain.from_iterable(range(*g) for g in gaps), first))
+        else:
+            yield "complement_gaps", [f"{lo}..{hi - 1}" for lo, hi in gaps]
+
 
+def transformed(seqs: DataFrame, first: int | None = None) -> DataFrame:
+    """(id, transform, terms ARRAY<STRING>): each whole ``(id, seq)`` under every transform that applies and leaves terms.
 
-def transformed(seqs: DataFrame, used: int = USED) -> DataFrame:
-    """(id, transform, terms ARRAY<STRING>): the first ``used`` terms of each ``(id, seq)`` under every transform that applies and leaves terms."""
+    A complement of more than ``LISTED`` terms comes as ``complement_gaps``, its ranges lo..hi from the smallest on; no stored
+    sequence is as long. With ``first``, every complement is a list of that many terms at most.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _divisors(used)
-        for pdf in batches:
-            rows = [(i, name, [str(x) for x in t]) for i, s in zip(pdf["id"], pdf["seq"]) for name, t in _transforms([int(x) for x in s[:used]], tables) if t]
-            yield pd.DataFrame(rows, columns=["id", "transform", "terms"])
+        import sys
+
+        sys.set_int_max_str_digits(0)  # Euler transforms of large terms have more digits than Python reads or writes by default
+        for whole in batches:
+            tables = _divisors(max(map(len, whole["seq"]), default=0))
+            for k in range(0, len(whole), CHUNK):
+                pdf = whole.iloc[k : k + CHUNK]
+                rows = [(i, name, [str(x) for x in t]) for i, s in zip(pdf["id"], pdf["seq"]) for name, t in _transforms([int(x) for x in s], tables, first) if t]
+                yield pd.DataFrame(rows, columns=["id", "transform", "terms"])
 
     return seqs.select(F.col("id").cast("bigint").alias("id"), "seq").filter("seq is not null").mapInPandas(run, "id bigint, transform string, terms array<string>")
 
 
-def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: int = 8, used: int = USED) -> DataFrame:
+def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: int = 8) -> DataFrame:
     """(q, transform, id, s): sequences whose terms equal a transform of a query, over ``least`` terms, at an offset of at most ``shift``.
 
     Queries are the sequences whose id is divisible by ``every``; all sequences are searched. The offset s of smallest size is
@@ -89,7 +105,9 @@ def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: in
     """
     runs = lambda d, col: F.transform(F.sequence(F.lit(0), F.least(F.size(col) - least, F.lit(shift))), lambda i: F.struct(i.cast("int").alias("at"), F.slice(F.col(col), i + 1, least).alias("run")))
     sized = seqs.filter(F.size("seq") >= least)
-    asked = transformed(sized.filter(F.pmod("id", F.lit(every)) == 0), used).filter(F.size("terms") >= least)
+    longest = sized.agg(F.max(F.size("seq"))).first()[0] or 0
+    # of a complement, no term beyond the longest sequence and the shift meets another one
+    asked = transformed(sized.filter(F.pmod("id", F.lit(every)) == 0), longest + shift).filter(F.size("terms") >= least)
     left = asked.select(F.col("id").alias("q"), "transform", F.explode(runs(asked, "terms")).alias("x")).select("q", "transform", "x.at", "x.run")
     right = sized.select("id", F.explode(runs(sized, "seq")).alias("y")).select("id", F.col("y.at").alias("at2"), F.col("y.run").alias("run2"))
     varied = lambda c: F.size(F.array_distinct(F.col(c))) > 1

@@ -41,7 +41,7 @@ def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, shortli
     n-gram Jaccard are probed for a subsequence or an affine match with their best transform, and ranked by the match first,
     then by both Jaccards, ties by the smaller id.
     """
-    asked = transformed(queries).select(F.col("id").alias("q"), "transform", "terms").filter(F.size("terms") >= 3)
+    asked = transformed(queries).select(F.col("id").alias("q"), "transform", "terms").filter("size(terms) >= 3 and transform <> 'complement_gaps'")
     grams = lambda c: F.array_distinct(ngrams(F.col(c)))
     left = asked.select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
     right = seqs.select("id", grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))

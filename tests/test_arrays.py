@@ -173,3 +173,17 @@ def test_trees_judge_held_out_pairs(table):
     out = {r["split"]: r["auc"] for r in retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows)).collect()}
     assert out.keys() == {"train", "val", "test"} and all(a > 0.9 for a in out.values())
     assert retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows[:1])).first()["auc"] is None
+
+
+def test_transforms_take_whole_sequences(table):
+    rng = random.Random(8)
+    a = [10**60 + rng.randrange(10**60) for _ in range(340)]  # Euler terms of more than 4,300 digits
+    wide = [3, 5, 10**40]
+    df = table("id int, seq array<string>", [(1, strs(a)), (2, strs(wide)), (3, ["1", "20000", "20001"])])
+    rows = {(r["id"], r["transform"]): r["terms"] for r in battery.transformed(df).collect()}
+    for name, n in (("identity", 340), ("diff1", 339), ("third_0", 114), ("odd", 170), ("binomial", 340), ("euler", 340), ("moebius", 340)):
+        assert len(rows[1, name]) == n
+    assert rows[1, "negation"] == strs([-x for x in a]) and rows[1, "even"] == strs(a[::2])
+    assert rows[2, "complement_gaps"] == ["0..2", "4..4", f"6..{10**40 - 1}"] and (3, "complement") not in rows
+    cut = {(r["id"], r["transform"]): r["terms"] for r in battery.transformed(df, 5).collect()}
+    assert cut[2, "complement"] == ["0", "1", "2", "4", "6"] and cut[3, "complement"] == ["0", "2", "3", "4", "5"]
