@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import materialize, spread
+
 #: Complements of more terms are given by their gaps, as they can have any number of terms.
 LISTED = 10_000
 
@@ -96,21 +98,93 @@ def transformed(seqs: DataFrame, first: int | None = None) -> DataFrame:
     return seqs.select(F.col("id").cast("bigint").alias("id"), "seq").filter("seq is not null").mapInPandas(run, "id bigint, transform string, terms array<string>")
 
 
+def _varied_starts(shift: int, least: int):
+    """(..., terms as text) to (..., at, key): a key for each start 0..``shift`` that leaves ``least`` terms, not all of them the same.
+
+    The key is of the first ``least`` terms, or of as many as it takes to the first one that differs. Two overlaps that are
+    equal, and have a term that differs from their first, agree in the key, whatever follows. Keys with ~ are of the differences to
+    the first term in lowest terms and with the first of them positive, and agree if the overlaps are affine to each other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sys
+        from math import gcd
+
+        sys.set_int_max_str_digits(0)
+        for pdf in batches:
+            ref = [c for c in pdf.columns if c != "terms"]
+            rows = []
+            for *own, text in pdf[[*ref, "terms"]].itertuples(index=False):
+                a = text.split(",")
+                for at in range(min(shift, len(a) - least) + 1):
+                    k = next((i for i in range(at + 1, len(a)) if a[i] != a[at]), 0)
+                    if k:
+                        run_ = a[at : max(at + least, k + 1)]
+                        rows.append((*own, at, "=" + ",".join(run_)))
+                        d = [int(x) - int(run_[0]) for x in run_]
+                        g = gcd(*d) * (1 if d[k - at] > 0 else -1)
+                        rows.append((*own, at, "~" + ",".join(str(x // g) for x in d)))
+            yield pd.DataFrame(rows, columns=[*ref, "at", "key"])
+
+    return run
+
+
+def varied_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8) -> DataFrame:
+    """The columns of ``rows`` but ``terms``, with at, affine (whether the key is one for affine relations) and h, the key's hash."""
+    rest = [c for c in rows.columns if c != terms]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    keyed = rows.select(*rest, F.array_join(terms, ",").alias("terms")).mapInPandas(_varied_starts(shift, least), f"{kinds}, at int, key string")
+    return keyed.select(*rest, "at", F.col("key").startswith("~").alias("affine"), F.xxhash64("key").alias("h"))
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the candidate shifts the smallest at which the whole overlap agrees; the constants of affine relations."""
+    import sys
+    from fractions import Fraction
+
+    sys.set_int_max_str_digits(0)
+
+    def one(kind: str, shifts, a: list[str], b: list[str]) -> tuple | None:
+        for s in sorted(shifts, key=lambda s: (abs(s), s)):
+            p, q = a[max(s, 0) :], b[max(-s, 0) :]
+            m = min(len(p), len(q))
+            if kind != "affine":
+                if p[:m] == q[:m]:
+                    return s, None, None, None, None
+                continue
+            p, q = [int(x) for x in p[:m]], [int(x) for x in q[:m]]
+            k = next((i for i in range(m) if p[i] != p[0]), 0)
+            dp, dq = p[k] - p[0], q[k] - q[0]
+            if dp and dq and all((y - q[0]) * dp == dq * (x - p[0]) for x, y in zip(p, q)):
+                c = Fraction(dq, dp)
+                d = q[0] - c * p[0]
+                return s, str(c.numerator), str(c.denominator), str(d.numerator), str(d.denominator)
+        return None
+
+    for pdf in batches:
+        rows = [(q, t, i, *got) for q, t, i, shifts, a, b in pdf[["q", "transform", "id", "shifts", "a", "b"]].itertuples(index=False) if (got := one(t, shifts, a.split(","), b.split(",")))]
+        yield pd.DataFrame(rows, columns=["q", "transform", "id", "s", "c_num", "c_den", "d_num", "d_den"]).astype({"s": "int32"})
+
+
 def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: int = 8) -> DataFrame:
-    """(q, transform, id, s): sequences whose terms equal a transform of a query, over ``least`` terms, at an offset of at most ``shift``.
+    """(q, transform, id, s, c_num, c_den, d_num, d_den): sequences b that equal a transform t of a query, b[i] = t[i + s], in all
+    terms of their overlap, which are at least ``least``, at an offset of at most ``shift``.
 
-    Queries are the sequences whose id is divisible by ``every``; all sequences are searched. The offset s of smallest size is
-    given, the negative one if two are as small. Runs of ``least`` terms are joined by hash and compared term by term.
-    Runs of one repeated number tie nothing.
+    Queries are the sequences whose id is divisible by ``every``; all sequences are searched. For the transform ``affine`` it
+    is b[i] = c * q[i + s] + d with a rational c other than 0; the constants are null for all others. The offset of smallest size
+    is given, the negative one if two are as small. Candidates share a key of :func:`varied_starts`; the whole overlap of each
+    is compared. Overlaps of one repeated number tie nothing.
     """
-    runs = lambda d, col: F.transform(F.sequence(F.lit(0), F.least(F.size(col) - least, F.lit(shift))), lambda i: F.struct(i.cast("int").alias("at"), F.slice(F.col(col), i + 1, least).alias("run")))
     sized = seqs.filter(F.size("seq") >= least)
     longest = sized.agg(F.max(F.size("seq"))).first()[0] or 0
     # of a complement, no term beyond the longest sequence and the shift meets another one
-    asked = transformed(sized.filter(F.pmod("id", F.lit(every)) == 0), longest + shift).filter(F.size("terms") >= least)
-    left = asked.select(F.col("id").alias("q"), "transform", F.explode(runs(asked, "terms")).alias("x")).select("q", "transform", "x.at", "x.run")
-    right = sized.select("id", F.explode(runs(sized, "seq")).alias("y")).select("id", F.col("y.at").alias("at2"), F.col("y.run").alias("run2"))
-    varied = lambda c: F.size(F.array_distinct(F.col(c))) > 1
-    hits = left.filter(varied("run")).withColumn("h", F.xxhash64("run")).join(right.filter(varied("run2")).withColumn("h", F.xxhash64("run2")), "h").filter("run = run2 and q <> id and (at = 0 or at2 = 0)")
-    s = F.col("at") - F.col("at2")
-    return hits.groupBy("q", "transform", "id").agg(F.min_by(s, F.struct(F.abs(s), s)).alias("s"))
+    asked = transformed(seqs.filter(F.pmod("id", F.lit(every)) == 0), longest + shift).filter(F.size("terms") >= least)
+    asked = materialize(asked.withColumnRenamed("id", "q"), "asked")
+    left = varied_starts(asked, "terms", shift, least).filter("not affine or transform = 'identity'").withColumn("transform", F.when(F.col("affine"), "affine").otherwise(F.col("transform")))
+    right = varied_starts(spread(sized.select(F.col("id").cast("bigint").alias("id"), "seq")), "seq", shift, least).withColumnRenamed("at", "at2")
+    hits = left.join(right, ["h", "affine"]).filter("q <> id and (at = 0 or at2 = 0)")
+    pairs = hits.groupBy("q", "transform", "id").agg(F.collect_set(F.col("at") - F.col("at2")).alias("shifts"))
+    a = asked.select("q", "transform", F.array_join("terms", ",").alias("a"))
+    a = a.unionByName(a.filter("transform = 'identity'").withColumn("transform", F.lit("affine")))
+    b = sized.select(F.col("id").cast("bigint").alias("id"), F.array_join("seq", ",").alias("b"))
+    return pairs.join(a, ["q", "transform"]).join(b, "id").mapInPandas(_verified, "q bigint, transform string, id bigint, s int, c_num string, c_den string, d_num string, d_den string")

@@ -187,3 +187,36 @@ def test_transforms_take_whole_sequences(table):
     assert rows[2, "complement_gaps"] == ["0..2", "4..4", f"6..{10**40 - 1}"] and (3, "complement") not in rows
     cut = {(r["id"], r["transform"]): r["terms"] for r in battery.transformed(df, 5).collect()}
     assert cut[2, "complement"] == ["0", "1", "2", "4", "6"] and cut[3, "complement"] == ["0", "2", "3", "4", "5"]
+
+
+def test_links_hold_over_whole_overlaps(table):
+    rng = random.Random(9)
+    a = [rng.randrange(-50, 50) for _ in range(30)]
+    zeros = [0] * 12 + [1, 5, 2, 9, 4]
+    part = a[:20] + [999] + a[21:]  # parts from a after 20 terms
+    long = [rng.randrange(99) for _ in range(120)]
+    seqs = {100: a, 1: part, 2: [3 * x - 7 for x in a[4:]], 200: zeros, 3: zeros, 4: zeros[3:], 5: [0] * 12 + [1, 5, 2, 9, 5], 300: long, 6: long[:100] + [-1], 7: [-x for x in long], 400: [4, 6, 10**30], 8: [0, 1, 2, 3, 5, *range(7, 40)]}
+    for i in range(20):
+        b = [rng.randrange(2) for _ in range(rng.randrange(8, 14))]
+        seqs |= {500 + 100 * i: b, 10 + i: [rng.choice([1, -1, 2]) * x + rng.randrange(2) for x in b[rng.randrange(3) :]]}
+    df = table("id int, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
+    want = {}
+    for q in [q for q in seqs if q % 100 == 0]:
+        ts = dict(battery._transforms(seqs[q], None, 200)) | {"affine": seqs[q]}
+        for name, t in ts.items():
+            for i, b in seqs.items():
+                for s in sorted(range(-8, 9), key=lambda s: (abs(s), s)):
+                    x, y = t[max(s, 0) :], b[max(-s, 0) :]
+                    m = min(len(x), len(y))
+                    x, y = x[:m], y[:m]
+                    if i == q or m < 8 or len(set(x)) == 1 or len(set(y)) == 1:
+                        continue
+                    k = next(j for j in range(m) if x[j] != x[0])
+                    c = Fraction(y[k] - y[0], x[k] - x[0])
+                    if x == y if name != "affine" else c and all(c * (v - x[0]) == w - y[0] for v, w in zip(x, y)):
+                        want[q, name, i] = (s, c if name == "affine" else None)
+                        break
+    got = {(r["q"], r["transform"], r["id"]): (r["s"], None if r["c_num"] is None else Fraction(int(r["c_num"]), int(r["c_den"]))) for r in battery.transform_links(df).collect()}
+    assert got == want
+    assert got[100, "affine", 2] == (4, 3) and got[200, "identity", 3] == (0, None) and got[200, "identity", 4] == (3, None) and got[300, "negation", 7] == (0, None)
+    assert got[400, "complement", 8] == (0, None) and not got.keys() & {(100, "identity", 1), (200, "identity", 5), (300, "identity", 6)}
