@@ -55,8 +55,11 @@ def affine_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
     A constant a matches only a constant b, with c = 0; c = 0 matches nothing else. Fractions are exact, whatever the size of the terms.
     """
+    import sys
     from fractions import Fraction
 
+    sys.set_int_max_str_digits(0)
+
     def one(x: list[int], y: list[int]) -> tuple:
         for s in range(-8, 9):
             p, q = (x[s:], y) if s >= 0 else (x, y[-s:])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.arrays import affine_match, jaccard, ngrams, pair_features, subsequence_match
 from termloom.functions.terms import clean_terms
-from termloom.operators.battery import transformed
+from termloom.operators.battery import transformed, varied_starts
+from termloom.session import materialize, spread
 
 
 def sequences(corpus: DataFrame) -> DataFrame:
@@ -34,27 +35,118 @@ def top_k(scored: DataFrame, k: int, score: str = "jaccard") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col(score).desc(), "id"))).filter(F.col("rank") <= k)
 
 
-def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, shortlist: int = 100) -> DataFrame:
+def _constant_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8) -> DataFrame:
+    """The columns of ``rows`` but ``terms``, with at, n and lead: the starts 0..``shift`` from which ``least`` terms or more are the same, the terms from there on, and how many of them are."""
+    rest = [c for c in rows.columns if c != terms]
+    tail = F.slice(F.col(terms), F.col("at") + 1, F.size(terms) - F.col("at"))
+    starts = rows.filter(F.size(terms) >= least).withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.size(terms) - least, F.lit(shift))))).select(*rest, "at", tail.alias("t"))
+    other = F.array_position(F.transform("t", lambda x: x != F.get("t", F.lit(0))), True)
+    return starts.select(*rest, "at", F.size("t").alias("n"), F.when(other == 0, F.size("t")).otherwise(other - 1).alias("lead")).filter(F.col("lead") >= least)
+
+
+def _in_gaps(gaps: DataFrame, seqs: DataFrame, least: int = 8) -> DataFrame:
+    """(q, transform, id): sequences that stand in a complement given by its ranges, or from some place to its end with ``least`` terms.
+
+    A number that a sequence leaves out between its first ``least`` terms is the first one above some range of the
+    complement, or there is none, and they lie in one range.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from bisect import bisect_right
+
+        def stands(ranges: list[tuple[int, int]], b: list[int]) -> bool:
+            k = bisect_right(ranges, b[0], key=lambda r: r[0]) - 1
+            if k < 0 or b[0] > ranges[k][1]:
+                return False
+            x = b[0]
+            for i, y in enumerate(b):
+                if y != x:
+                    return False
+                x += 1
+                if x > ranges[k][1]:
+                    k += 1
+                    if k == len(ranges):
+                        return i + 1 >= least
+                    x = ranges[k][0]
+            return True
+
+        for pdf in batches:
+            rows = [(q, t, i) for q, t, i, g, b in pdf[["q", "transform", "id", "terms", "seq"]].itertuples(index=False) if stands([tuple(map(int, x.split(".."))) for x in g], [int(x) for x in b])]
+            yield pd.DataFrame(rows, columns=["q", "transform", "id"])
+
+    @F.pandas_udf("string")
+    def left_out(b: pd.Series) -> pd.Series:
+        def one(b) -> str | None:
+            a = [int(x) for x in b[:least]]
+            if a[0] < 0 or any(x >= y for x, y in zip(a, a[1:])):
+                return None
+            return next((str(x + 1) for x, y in zip(a, a[1:]) if y > x + 1), "")
+
+        return b.map(one)
+
+    @F.pandas_udf("array<string>")
+    def bounds(g: pd.Series) -> pd.Series:
+        return g.map(lambda g: ["", *(str(int(x.split("..")[1]) + 1) for x in g)])
+
+    rising = seqs.filter(F.size("seq") >= least).select("id", left_out("seq").alias("x")).filter("x is not null")
+    pairs = gaps.select("q", "transform", F.explode(bounds("terms")).alias("x")).join(rising, "x").filter("q <> id").drop("x")
+    return pairs.join(gaps, ["q", "transform"]).join(seqs, "id").mapInPandas(run, "q bigint, transform string, id bigint")
+
+
+def matches(queries: DataFrame, seqs: DataFrame, asked: DataFrame, least: int = 8, shift: int = 8) -> DataFrame:
+    """(q, transform, id): every sequence with a subsequence or an affine match to a query under a transform.
+
+    ``asked(q, transform, terms)`` are the transforms of ``queries``. Candidates come from hash joins: the first ``least`` terms
+    of one with all runs of the other, keys that agree under affine relations, and starts of one repeated number.
+    """
+    seqs = seqs.select(F.col("id").cast("bigint").alias("id"), "seq")
+    gaps, listed = asked.filter("transform = 'complement_gaps'"), asked.filter("transform <> 'complement_gaps'")
+    longest = seqs.agg(F.max(F.size("seq"))).first()[0] or 0
+    # an affine overlap ends with the other sequence, so the first terms of a complement suffice
+    heads = transformed(queries, longest + shift).filter("transform = 'complement'").select(F.col("id").alias("q"), "terms").join(gaps.select("q", "transform"), "q").select("q", "transform", "terms")
+    ends = materialize(listed.unionByName(heads), "ends")
+    first = lambda d, c: d.filter(F.size(c) >= least).withColumn("h", F.xxhash64(F.slice(c, 1, least))).drop(c)
+    runs = lambda d, c: d.filter(F.size(c) >= least).withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - least + 1), lambda i: F.xxhash64(F.slice(c, i, least)))))).drop(c)
+    key = ["q", "transform", "id"]
+    found = first(listed, "terms").join(runs(seqs, "seq"), "h").select(*key).unionByName(runs(listed, "terms").join(first(seqs, "seq"), "h").select(*key))
+    left, right = (varied_starts(d, c, shift, least).filter("affine") for d, c in ((ends, "terms"), (spread(seqs), "seq")))
+    found = found.unionByName(left.join(right.withColumnRenamed("at", "at2"), "h").filter("at = 0 or at2 = 0").select(*key)).filter("q <> id").distinct()
+    a, b = F.col("terms"), F.col("seq")
+    full = found.join(ends, ["q", "transform"]).join(seqs, "id").withColumn("m", affine_match(a, b)["s"].isNotNull())
+    held = full.filter(F.col("m") | ((F.col("transform") != "complement_gaps") & subsequence_match(a, b))).select(*key)
+    # one repeated number matches another one where the shorter of both has nothing else; the queries are a stated set
+    one, two = _constant_starts(ends, "terms", shift, least), _constant_starts(seqs, "seq", shift, least).withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"})
+    same = two.join(F.broadcast(one), F.expr("q <> id and (at = 0 or at2 = 0) and least(n, n2) <= least(lead, lead2)")).select(*key)
+    return held.unionByName(same).unionByName(_in_gaps(gaps, seqs, least)).distinct()
+
+
+def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, gramless: bool = False) -> DataFrame:
     """(q, id, transform, matched, ngram_jaccard, set_jaccard, rank): the k best related sequences of each query ``(id, seq)``.
 
-    Each query is searched under every transform. Candidates share an n-gram with one of them; the ``shortlist`` best by
-    n-gram Jaccard are probed for a subsequence or an affine match with their best transform, and ranked by the match first,
-    then by both Jaccards, ties by the smaller id.
+    Each query is searched under every transform, among all sequences that share an n-gram with it or have a subsequence or an
+    affine match; with ``gramless`` also where the match is all they share. A pair has the transform that ranks best: by the
+    match first, then by both Jaccards, then the last by name; ties of pairs go to the smaller id. Complements of more than
+    10,000 terms take part in matches only.
     """
-    asked = transformed(queries).select(F.col("id").alias("q"), "transform", "terms").filter("size(terms) >= 3 and transform <> 'complement_gaps'")
+    asked = materialize(transformed(queries).select(F.col("id").alias("q"), "transform", "terms"), "asked")
     grams = lambda c: F.array_distinct(ngrams(F.col(c)))
-    left = asked.select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
-    right = seqs.select("id", grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
+    left = asked.filter("size(terms) >= 3 and transform <> 'complement_gaps'").select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
+    right = seqs.select(F.col("id").cast("bigint").alias("id"), grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
     hits = left.join(right, "g").filter("q <> id").groupBy("q", "transform", "id", "nq", "nid").agg(F.count("*").alias("s"))
     score = F.col("s") / (F.col("nq") + F.col("nid") - F.col("s"))
-    # by name among equals, so that the untransformed query isn't preferred by chance
-    best = hits.groupBy("q", "id").agg(F.max_by(F.struct("transform", score.alias("j")), F.struct(score, "transform")).alias("b")).select("q", "id", "b.transform", F.col("b.j").alias("ngram_jaccard"))
-    short = top_k(best, shortlist, "ngram_jaccard").drop("rank")
-    full = short.join(asked, ["q", "transform"]).join(seqs, "id")
-    a, b = F.col("terms"), F.col("seq")
-    probed = full.select("q", "id", "transform", (subsequence_match(a, b) | affine_match(a, b)["s"].isNotNull()).alias("matched"), "ngram_jaccard", jaccard(a, b).alias("set_jaccard"))
+    found = materialize(matches(queries, seqs, asked), "matches")
+    both = hits.select("q", "transform", "id", score.alias("j"), F.lit(False).alias("m")).unionByName(found.select("q", "transform", "id", F.lit(0.0).alias("j"), F.lit(True).alias("m")))
+    by = both.groupBy("q", "transform", "id").agg(F.max("m").alias("m"), F.max("j").alias("j"))
+    pairs = by.groupBy("q", "id").agg(F.max(F.struct("m", "j")).alias("b"), F.max("j").alias("g"), F.collect_list(F.struct("m", "j", "transform")).alias("all"))
+    pairs = pairs if gramless else pairs.filter("g > 0")
+    # all that tie with the k-th stay until their sets are compared
+    near = pairs.withColumn("r", F.rank().over(W.partitionBy("q").orderBy(F.desc("b.m"), F.desc("b.j")))).filter(F.col("r") <= k)
+    near = near.select("q", "id", "b", F.explode(F.filter("all", lambda x: (x["m"] == F.col("b.m")) & (x["j"] == F.col("b.j")))["transform"]).alias("transform"))
+    listed = asked.withColumn("terms", F.when(F.col("transform") != "complement_gaps", F.col("terms")).otherwise(F.array().cast("array<string>")))
+    probed = near.join(listed, ["q", "transform"]).join(seqs, "id").select("q", "id", "b", "transform", jaccard(F.col("terms"), F.col("seq")).alias("set_jaccard"))
+    best = probed.groupBy("q", "id", "b").agg(F.max(F.struct("set_jaccard", "transform")).alias("t")).select("q", "id", "t.transform", F.col("b.m").alias("matched"), F.col("b.j").alias("ngram_jaccard"), "t.set_jaccard")
     order = W.partitionBy("q").orderBy(F.desc("matched"), F.desc("ngram_jaccard"), F.desc("set_jaccard"), "id")
-    return probed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def hit_ranks(held: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _ranked(s, d, k):
 
 def _baseline(s, d):
     seqs = materialize(_seqs(s, d), "seqs")
-    return retrieval.classical_baseline(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs)
+    return retrieval.classical_baseline(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs, gramless=True)
 
 
 def _novel_links(s, d):

@@ -220,3 +220,30 @@ def test_links_hold_over_whole_overlaps(table):
     assert got == want
     assert got[100, "affine", 2] == (4, 3) and got[200, "identity", 3] == (0, None) and got[200, "identity", 4] == (3, None) and got[300, "negation", 7] == (0, None)
     assert got[400, "complement", 8] == (0, None) and not got.keys() & {(100, "identity", 1), (200, "identity", 5), (300, "identity", 6)}
+
+
+def test_baseline_finds_every_match(table):
+    rng = random.Random(11)
+    long = [rng.randrange(9) for _ in range(340)]
+    sq = [i * i for i in range(1, 25)]
+    seqs = {100: long, 200: sq, 300: [7] * 10, 400: [10, 20, 30, 10**30], 1: long[200:208], 2: [7 * x + 1 for x in sq], 3: [4] * 9, 4: [*range(1000, 1020)], 5: [17, 18, 19, 21, 22, 23, 24, 25, 26], 6: [17, 18, 19, 20, 21, 22, 23, 24, 25]}
+    seqs |= {1001 + i: rng.sample(long[:40], 25) for i in range(99)}  # many that share small grams
+    df = table("id int, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
+    asked = battery.transformed(df.filter("id % 100 = 0")).withColumnRenamed("id", "q")
+    got = {(r["q"], r["transform"], r["id"]) for r in retrieval.matches(df.filter("id % 100 = 0"), df, asked).collect()}
+
+    def sub(a, b):
+        s, l = (a, b) if len(a) <= len(b) else (b, a)
+        return len(s) >= 8 and any(l[i : i + len(s)] == s[: len(l) - i] for i in range(len(l) - 7))
+
+    want = set()
+    for q in (100, 200, 300, 400):
+        for name, t in battery._transforms(seqs[q]):
+            want |= {(q, name, i) for i, b in seqs.items() if i != q and name != "complement_gaps" and (sub(t, b) or affine(t, b))}
+    assert {x for x in got if x[1] != "complement_gaps"} == want
+    gaps = asked.filter("transform = 'complement_gaps' and q = 400")
+    assert {r["id"] for r in retrieval._in_gaps(gaps, df).collect()} == {4, 5}
+    head = dict(battery._transforms(seqs[400], None, 400))["complement"]
+    assert {i for q, t, i in got if t == "complement_gaps" and q == 400} == {4, 5} | {i for i, b in seqs.items() if i != 400 and affine(head, b)}
+    rows = {(r["q"], r["id"]): r for r in retrieval.classical_baseline(df.filter("id % 100 = 0"), df, gramless=True).collect()}
+    assert rows[100, 1]["matched"] and rows[200, 2]["matched"] and rows[300, 3]["matched"] and rows[200, 2]["ngram_jaccard"] == 0
