@@ -36,6 +36,16 @@ def _positives(s, d):
     return _with_terms(s, d, pairs)
 
 
+def _all_pairs(s, d):
+    """The distinct pairs of the stored splits, of any label, with their terms."""
+    return _with_terms(s, d, table(s, d, "splits").filter("u is not null and v is not null").select("u", "v").distinct())
+
+
+def _all_features(s, d):
+    """All four features of every distinct pair, negatives included."""
+    return _all_pairs(s, d).select("u", "v", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("u", "v", *(F.round(f"f.{c}", 9).alias(c) for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")))
+
+
 def _smoke(s, d):
     pairs = _with_terms(s, d, _train_sample(s, d)).select(arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("f.*")
     return pairs.agg(F.count("*").alias("pairs"), *(F.round(F.avg(c), 4).alias(c) for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")))
@@ -52,7 +62,8 @@ QUERIES = {
     "set_jaccard": lambda s, d: _positives(s, d).select("u", "v", F.round(arrays.jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")),
     "ngram_jaccard": lambda s, d: _positives(s, d).select("u", "v", F.round(arrays.ngram_jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")),
     "exact_subseq": lambda s, d: _positives(s, d).select("u", "v", arrays.subsequence_match(F.col("su"), F.col("sv")).alias("hit")),
-    "affine_pairs": lambda s, d: _positives(s, d).select("u", "v", arrays.affine_match(F.col("su"), F.col("sv")).alias("m")).select("u", "v", "m.*").filter("s is not null"),
+    "affine_pairs": lambda s, d: _all_pairs(s, d).select("u", "v", arrays.affine_match(F.col("su"), F.col("sv")).alias("m")).select("u", "v", "m.*").filter("s is not null"),
+    "pair_features": _all_features,
     "smoke_aggregates": _smoke,
     "smoke_by_stratum": _smoke_strata,
     "pair_score_auc": lambda s, d: retrieval.boosted_trees_report(materialize(retrieval.scored_pairs(table(s, d, "splits"), table(s, d, "corpus")), "scored")),

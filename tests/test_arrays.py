@@ -247,3 +247,28 @@ def test_baseline_finds_every_match(table):
     assert {i for q, t, i in got if t == "complement_gaps" and q == 400} == {4, 5} | {i for i, b in seqs.items() if i != 400 and affine(head, b)}
     rows = {(r["q"], r["id"]): r for r in retrieval.classical_baseline(df.filter("id % 100 = 0"), df, gramless=True).collect()}
     assert rows[100, 1]["matched"] and rows[200, 2]["matched"] and rows[300, 3]["matched"] and rows[200, 2]["ngram_jaccard"] == 0
+
+
+@pytest.fixture
+def stored(table, tmp_path):
+    """A folder with five sequences, and splits of two positives and two negatives."""
+    seqs = [(1, strs(FIB)), (2, strs([2 * x + 1 for x in FIB])), (3, strs(FIB[2:])), (4, strs(POW2)), (5, None)]
+    table("a_number int, terms array<string>", seqs).write.parquet(f"{tmp_path}/corpus.parquet")
+    rows = [(1, 2, " S2", 1, "train"), (1, 2, "s2", 1, "train"), (1, 4, "s2", 1, "train"), (1, 3, "neg", 0, "train"), (2, 3, "neg", 0, "test"), (1, 5, "s3", 1, "train"), (1, None, "s3", 1, "train"), (3, 4, "s3", 1, "train")]
+    table("u int, v int, stratum string, label int, split string", rows).write.parquet(f"{tmp_path}/splits.parquet")
+    return str(tmp_path)
+
+
+def test_pair_features_of_negatives(spark, stored):
+    from termloom.plans import registry
+
+    of = {1: FIB, 2: [2 * x + 1 for x in FIB], 3: FIB[2:], 4: POW2}
+    rows = {(r["u"], r["v"]): r for r in registry.QUERIES["pair_features"](spark, stored).collect()}
+    assert rows.keys() == {(1, 2), (1, 4), (1, 3), (2, 3), (3, 4)}
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    for (u, v), r in rows.items():
+        for name, f in (("term_set_jaccard", set), ("ngram3_jaccard", grams)):
+            a, b = f(of[u]), f(of[v])
+            assert abs(r[name] - len(a & b) / len(a | b)) < 1e-8
+        assert r["exact_subseq"] == ((u, v) == (1, 3)) and r["affine_match"] == (affine(of[u], of[v]) is not None)
+    assert {(r["u"], r["v"]) for r in registry.QUERIES["affine_pairs"](spark, stored).collect()} == {(1, 2), (1, 3), (2, 3)}
