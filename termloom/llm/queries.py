@@ -35,6 +35,9 @@ def p4_report(spark, d):
 QUERIES = {
     "p2_found": lambda spark, d: spans.run_pairs(table(spark, d, "corpus")),
     "p2_coverage": lambda spark, d: spans.coverage(table(spark, d, "corpus")).drop("runs"),
+    "p2_runs": lambda spark, d: spans.record_runs(table(spark, d, "corpus")),
+    "p2_classes": lambda spark, d: spans.record_classes(table(spark, d, "corpus")),
+    "p2_records": lambda spark, d: spans.all_coverage(table(spark, d, "corpus")),
     "p3_found": p3_found,
     "p3_links": lambda spark, d: sets.links_per_record(*_p3(spark, d)),
     "p3_class_pairs": p3_class_pairs,

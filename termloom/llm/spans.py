@@ -136,6 +136,25 @@ def coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     return members.join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
 
 
+def record_runs(corpus: DataFrame, least: int = 12) -> DataFrame:
+    """(class_1, class_2, start_1, start_2, len): maximal shared runs between classes, by their smallest ids; starts count from 0. The records of a class are in :func:`record_classes`."""
+    _, classes = sequence_classes(corpus, least)
+    rid = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("rid").alias(f"class_{s}"))
+    return shared_runs(classes, least).join(rid(1), "cid_1").join(rid(2), "cid_2").select("class_1", "class_2", "start_1", "start_2", "len")
+
+
+def record_classes(corpus: DataFrame, least: int = 12) -> DataFrame:
+    """(a_number, class_id): the class of each record of ``least`` terms or more."""
+    return sequence_classes(corpus, least)[0].select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"))
+
+
+def all_coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
+    """:func:`coverage` with a row for every record: those of fewer than ``least`` terms have no class and count 0."""
+    rows = materialize(coverage(corpus, least), "coverage")
+    short = corpus.filter("a_number is not null").groupBy(F.col("a_number").cast("bigint").alias("a_number")).agg(F.max(F.size(clean_terms(F.col("terms")))).alias("n_terms")).join(rows, "a_number", "left_anti")
+    return rows.unionByName(short.select("a_number", "n_terms", F.lit(None).cast("bigint").alias("class_id"), *(F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("copies", "partners", "runs", "covered"))))
+
+
 def run_pairs(corpus: DataFrame, least: int = 12) -> DataFrame:
     """(a_number_1, a_number_2): all pairs of records with a shared run of ``least`` terms, smaller first."""
     members, classes = sequence_classes(corpus, least)

@@ -57,3 +57,17 @@ def test_what_is_no_number_interrupts_nothing(table):
 def test_nothing(table):
     assert spans.run_pairs(table("a_number int, terms array<string>")).count() == 0
     assert spans.coverage(table("a_number int, terms array<string>")).count() == 0
+
+
+def test_runs_and_records_of_a_folder(spark, table, tmp_path):
+    import __spark_entry__ as entry
+
+    run = [str(x) for x in range(1000, 1015)]
+    rows = [(1, [*"123", *run, "7"]), (2, [*"123", *run, "7"]), (3, [*run, "8"]), (4, ["1", "x"]), (5, []), (6, None)]
+    table("a_number int, terms array<string>", rows).write.parquet(f"{tmp_path}/corpus.parquet")
+    q = entry.queries()
+    (r,) = q["p2_runs"](spark, str(tmp_path)).collect()
+    assert (r["len"], {(r["class_1"], r["start_1"]), (r["class_2"], r["start_2"])}) == (15, {(1, 3), (3, 0)})
+    assert {tuple(r) for r in q["p2_classes"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3)}
+    got = {r["a_number"]: (r["class_id"], r["n_terms"], r["copies"], r["partners"], r["runs"], r["covered"]) for r in q["p2_records"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 19, 2, 2, 1, 19), 2: (1, 19, 2, 2, 1, 19), 3: (3, 16, 1, 2, 1, 15), 4: (None, 1, 0, 0, 0, 0), 5: (None, 0, 0, 0, 0, 0), 6: (None, 0, 0, 0, 0, 0)}
