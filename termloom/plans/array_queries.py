@@ -57,6 +57,13 @@ def _smoke_strata(s, d):
     return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("term_set_jaccard"), F.round(F.avg("g"), 6).alias("ngram3_jaccard"), F.round(F.avg("e"), 6).alias("exact_subseq"), F.grouping("stratum").cast("int").alias("total"))
 
 
+def _smoke_affine(s, d):
+    """The mean affine match of each stratum over all training positives, and over all of them (total = 1)."""
+    rows = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null").select("u", "v", F.lower(F.trim("stratum")).alias("stratum")).distinct()
+    rows = _with_terms(s, d, rows).select("stratum", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("stratum", "f.affine_match")
+    return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("affine_match"), 6).alias("affine_match"), F.grouping("stratum").cast("int").alias("total"))
+
+
 QUERIES = {
     "seq_features": _features,
     "set_jaccard": lambda s, d: _positives(s, d).select("u", "v", F.round(arrays.jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")),
@@ -66,6 +73,7 @@ QUERIES = {
     "pair_features": _all_features,
     "smoke_aggregates": _smoke,
     "smoke_by_stratum": _smoke_strata,
+    "smoke_affine_by_stratum": _smoke_affine,
     "pair_score_auc": lambda s, d: retrieval.boosted_trees_report(materialize(retrieval.scored_pairs(table(s, d, "splits"), table(s, d, "corpus")), "scored")),
 }
 

@@ -272,3 +272,13 @@ def test_pair_features_of_negatives(spark, stored):
             assert abs(r[name] - len(a & b) / len(a | b)) < 1e-8
         assert r["exact_subseq"] == ((u, v) == (1, 3)) and r["affine_match"] == (affine(of[u], of[v]) is not None)
     assert {(r["u"], r["v"]) for r in registry.QUERIES["affine_pairs"](spark, stored).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_smoke_affine_by_stratum(spark, stored):
+    from termloom.plans import registry
+
+    got = {(r["stratum"], r["total"]): (r["pairs"], r["affine_match"]) for r in registry.QUERIES["smoke_affine_by_stratum"](spark, stored).collect()}
+    of = {1: FIB, 2: [2 * x + 1 for x in FIB], 3: FIB[2:], 4: POW2}
+    hits = {s: [affine(of[u], of[v]) is not None for u, v in pairs] for s, pairs in {"s2": [(1, 2), (1, 4)], "s3": [(3, 4)]}.items()}
+    want = {(s, 0): (len(h), sum(h) / len(h)) for s, h in hits.items()} | {(None, 1): (3, round(sum(map(sum, hits.values())) / 3, 6))}
+    assert got == want and got["s2", 0] == (2, 0.5)
