@@ -66,7 +66,7 @@ _NEAR = """
  sz AS (SELECT id, count(*) AS n FROM tset GROUP BY id HAVING count(*) >= 8),
  big AS (SELECT id, t, n FROM tset JOIN sz USING (id)),
  near AS (SELECT a.id AS id_1, b.id AS id_2, count(*) AS overlap FROM big a JOIN big b ON a.t = b.t AND a.id < b.id
-          GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 6 * greatest(a.n, b.n))
+          GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 6 * (a.n + b.n - count(*)))
 """
 
 _SEQ = """

@@ -20,7 +20,7 @@ def clean(ts):
 
 def brute(records, threshold=0.6):
     good = [(i, s) for i, s in records if i is not None and len(s) >= 8]
-    return {(min(a, b), max(a, b)) for a, x in good for b, y in good if a < b and 10 * len(x & y) >= round(10 * threshold) * max(len(x), len(y))}
+    return {(min(a, b), max(a, b)) for a, x in good for b, y in good if a < b and 10 * len(x & y) >= round(10 * threshold) * len(x | y)}
 
 
 def rows(seed, n=120):
