@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.functions.terms import clean_terms
+from termloom.llm.copies import spelled_pairs
 from termloom.session import block_pairs, materialize
 
 GRAM = 8
@@ -26,7 +27,7 @@ BLOCK = 2000
 
 
 def sequence_classes(corpus: DataFrame, least: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): ``members(id, cid, rid)``, ``classes(cid, rid, seq, n, copies)`` of records with ``least`` terms or more; seq is one text, joined by commas.
+    """(members, classes): ``members(id, cid, rid, copies)``, ``classes(cid, rid, seq, n, copies)`` of records with ``least`` terms or more; seq is one text, joined by commas.
 
     Terms that are no whole numbers are dropped first, so a run goes on across them. Null ids are left out. ``cid`` numbers the
     classes, ``rid`` is the smallest id of one; a record stored with several sequences is in each sequence's class.
@@ -37,7 +38,7 @@ def sequence_classes(corpus: DataFrame, least: int = 12) -> tuple[DataFrame, Dat
     ids = rows.select("id", "key").distinct()
     # numbered once and written, so a number stays with its class
     reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
-    members = materialize(ids.join(reps, "key").select("id", "cid", "rid"), "members")
+    members = materialize(ids.join(reps, "key").select("id", "cid", "rid", "copies"), "members")
     classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("seq").alias("seq"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     return members, materialize(classes.select("cid", F.col("id").alias("rid"), "seq", "n", "copies"), "classes")
 
@@ -78,13 +79,18 @@ def _anchors(gram: int, window: int):
 
 def _extend(least: int):
     """Pairs with the diagonals of their seeds to maximal runs of ``least`` terms or more; one pair at a time is taken apart."""
+    names = ("cid_1", "cid_2", "seq_1", "seq_2", "diags")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for one, two, a, b, diags in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("cid_1", "cid_2", "seq_1", "seq_2", "diags"))):
-                one, two, a, b = one.as_py(), two.as_py(), np.array(a.as_py().split(",")), np.array(b.as_py().split(","))
-                for d in diags.as_py():  # position in 1 less position in 2
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in names)):
+                one, two, x, y, diags = (v.as_py() for v in row)
+                # terms become the numbers of a dictionary of the pair, so the comparison is exact and of machine words
+                codes: dict[str, int] = {}
+                a, b = (np.array([codes.setdefault(t, len(codes)) for t in s.split(",")], dtype=np.int64) for s in (x, y))
+                for d in diags:  # position in 1 less position in 2
                     i, j = max(d, 0), max(-d, 0)
                     m = min(len(a) - i, len(b) - j)
                     same = np.concatenate(([False], a[i : i + m] == b[j : j + m], [False])).astype(np.int8)
@@ -92,7 +98,7 @@ def _extend(least: int):
                     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     out += [(one, two, i + s, j + s, e - s) for s, e in zip(lo.tolist(), hi.tolist()) if e - s >= least]
             cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["cid_1", "cid_2", "start_1", "start_2", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["cid_1", "cid_2", "start_1", "start_2", "len"])
 
     return run
 
@@ -133,7 +139,7 @@ def coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     per_class = classes.select("cid", "n", "copies").join(partners, "cid", "left").join(covered, "cid", "left")
     cov = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("c", F.lit(0)))
     per_class = per_class.select("cid", F.col("n").alias("n_terms"), "copies", (F.coalesce("p", F.lit(0)) + F.col("copies") - 1).alias("partners"), F.coalesce("runs", F.lit(0)).alias("runs"), cov.cast("int").alias("covered"))
-    return members.join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
+    return members.drop("copies").join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
 
 
 def record_runs(corpus: DataFrame, least: int = 12) -> DataFrame:
@@ -158,9 +164,5 @@ def all_coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
 def run_pairs(corpus: DataFrame, least: int = 12) -> DataFrame:
     """(a_number_1, a_number_2): all pairs of records with a shared run of ``least`` terms, smaller first."""
     members, classes = sequence_classes(corpus, least)
-    linked = shared_runs(classes, least).select("cid_1", "cid_2").distinct()
-    one, two = (members.select(F.col("cid").alias(f"cid_{s}"), F.col("id").alias(f"m_{s}")) for s in (1, 2))
-    across = linked.join(one, "cid_1").join(two, "cid_2").filter("m_1 <> m_2")
-    within = one.join(two.withColumnRenamed("cid_2", "cid_1"), "cid_1").filter("m_1 < m_2")
-    out = across.select("m_1", "m_2").unionByName(within.select("m_1", "m_2"))
-    return out.select(F.least("m_1", "m_2").alias("a_number_1"), F.greatest("m_1", "m_2").alias("a_number_2")).distinct()
+    linked = materialize(shared_runs(classes, least).select("cid_1", "cid_2").distinct(), "linked")
+    return spelled_pairs(members, linked).select(F.col("id_1").alias("a_number_1"), F.col("id_2").alias("a_number_2"))
