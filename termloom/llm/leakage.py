@@ -47,16 +47,16 @@ def cross_split_overlaps(splits: DataFrame, corpus: DataFrame, threshold: float
         return d.select(*rest, "nu", "nv")
 
     held_nodes = materialize(nodes(held, "split", "u", "v"), "heldnodes")
-    asked = held_nodes.select("nu", "nv").distinct()
-    known = nodes(train).select(F.least("nu", "nv").alias("a"), F.greatest("nu", "nv").alias("b")).distinct()
-    # a node's neighbours in training: its near classes and itself
     themselves = held_nodes.select(F.explode(F.array("nu", "nv")).alias("n")).distinct()
+    # near nodes of evaluation nodes in training: their near classes and themselves
     around = materialize(near.select(of_class(F.col("cid_1")).alias("n"), of_class(F.col("cid_2")).alias("to")).unionByName(themselves.select("n", F.col("n").alias("to"))).distinct(), "near")
-    for c in ("nu", "nv"):
-        asked = asked.join(around.select(F.col("n").alias(c), F.col("to").alias(f"t{c}")), c)
-    hit = asked.withColumns({"a": F.least("tnu", "tnv"), "b": F.greatest("tnu", "tnv")}).join(known, ["a", "b"], "left_semi").select("nu", "nv").distinct()
+    # they meet in the middle: evaluation pairs go to the near nodes of one end, training pairs, both ways, to those of the other
+    asked = held_nodes.select(F.col("nu").alias("n"), F.col("nv").alias("y")).distinct().join(around, "n").select("n", F.col("to").alias("x"), "y")
+    ends = nodes(train).select(F.explode(F.array(F.struct(F.col("nu").alias("x"), F.col("nv").alias("to")), F.struct(F.col("nv").alias("x"), F.col("nu").alias("to")))).alias("e"))
+    known = ends.select("e.x", "e.to").distinct().join(around, "to").select("x", F.col("n").alias("y")).distinct()
+    hit = asked.join(known, ["x", "y"], "left_semi").select(F.col("n").alias("nu"), F.col("y").alias("nv")).distinct()
     exact = train.withColumn("exact", F.lit(True))
-    return held_nodes.join(hit, ["nu", "nv"], "left_semi").join(exact, ["u", "v"], "left").select("split", "u", "v", F.coalesce("exact", F.lit(False)).alias("exact")).distinct()
+    return held_nodes.join(hit, ["nu", "nv"], "left_semi").join(exact, ["u", "v"], "left").select("split", "u", "v", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def overlap_report(splits: DataFrame, overlaps: DataFrame) -> DataFrame:
