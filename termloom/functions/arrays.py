@@ -94,8 +94,9 @@ def pair_features(a: Column, b: Column) -> Column:
 
 
 def feature_names(k: int = K) -> list[str]:
+    # fixed values: the names and their order
     residues = [f"mod{m}_{r}" for m in MODULI for r in range(m)]
-    return [f"slog_{i}" for i in range(k)] + ["n_terms", "n_used", "growth_slope", "growth_icept", "growth_rms", "diff1_mean", "diff1_std", "diff2_mean", "diff2_std", *residues, "frac_neg", "frac_zero", "frac_even", "sign_alt", "parity_alt", "logratio_med", "logratio_std", "frac_nondec"]
+    return [f"slog_{i}" for i in range(k)] + ["n_terms", "n_used", "growth_slope", "growth_intercept", "growth_rms", "diff1_mean", "diff1_std", "diff2_mean", "diff2_std", *residues, "frac_neg", "frac_zero", "frac_even", "sign_alt", "parity_alt", "logratio_med", "logratio_std", "frac_nondec"]
 
 
 def sequence_features(k: int = K):

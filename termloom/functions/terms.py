@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 _WHOLE = r"^[\s\p{Z}\x1c-\x1f\x85]*(?:\+|(-))?0*([0-9]+)[\s\p{Z}\x1c-\x1f\x85]*$"
 
 
+#: Terms that are canonical as they stand, which most are; one cheap match spares them the other two.
+_PLAIN = r"\A(?:0|-?[1-9][0-9]*)\z"
+
+
 def canonical_term(t: Column) -> Column:
     """The one spelling of a whole number (no plus, no leading zeros, no minus zero); null for null and for anything else."""
     digits = F.regexp_extract(t, _WHOLE, 2)
-    return F.when(digits == "", None).when(digits == "0", digits).otherwise(F.concat(F.regexp_extract(t, _WHOLE, 1), digits))
+    other = F.when(digits == "", None).when(digits == "0", digits).otherwise(F.concat(F.regexp_extract(t, _WHOLE, 1), digits))
+    return F.when(t.rlike(_PLAIN), t).otherwise(other)
 
 
 def clean_terms(terms: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DIGITS = 3
+#: 65,536 buckets a stratum: offsets are a window over that many rows, and at 10**11 rows a bucket holds 1.5 million.
+DIGITS = 4
 
 
 def seeded_hash(seed: int, *keys: Column | str) -> Column:

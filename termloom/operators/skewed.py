@@ -2,8 +2,9 @@
 
 Rows are never shuffled by key. Each input split, whatever its keys, is reduced to dense accumulator arrays: the split's
 keys are dictionary-encoded to codes 0..k-1, ``numpy.bincount`` counts (code, category) cells, and the counts leave as one
-row for each touched block of ``WIDTH`` neighbouring keys. Blocks are then summed by a distributed reduction. A hot key
-costs a split one array cell like any other key, and a reducer receives at most one row per split and block.
+row for each touched block of ``WIDTH`` neighbouring keys. Blocks are then summed by a distributed reduction in two
+levels: first the rows of ``FAN`` splits, then those sums. A hot key costs a split one array cell like any other key, and a
+reducer receives at most one row per split and block. Splits are those of the scan, which are of equal size in bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from termloom.functions.text import clean_label
 WIDTH = 4096
 #: A split's dictionary is emptied into blocks when it holds this many keys, which bounds a task's memory.
 MAX_KEYS = 2_000_000
+#: Splits whose blocks are summed together first.
+FAN = 256
 
 
 def _partial(n_cat: int, width: int, max_keys: int):
@@ -69,8 +72,8 @@ def _partial(n_cat: int, width: int, max_keys: int):
     return run
 
 
-def _reduce(n_cat: int, width: int):
-    """The rows of one block to one row per key, summed in a dense array."""
+def _reduce(n_cat: int, width: int, last: bool):
+    """The rows of one block, summed in a dense array: to one row per key at the last level, to one row of the block before."""
 
     def run(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * n_cat, dtype=np.int64)
@@ -80,8 +83,15 @@ def _reduce(n_cat: int, width: int):
             np.add.at(total, (offs[:, None].astype(np.int64) * n_cat + np.arange(n_cat)).ravel(), counts)
         cells = total.reshape(width, n_cat)
         seen = np.flatnonzero(cells.any(axis=1))
-        keys = group[0].as_py() * width + seen
         picked = cells[seen]
+        if not last:
+            ends = np.array([0, len(seen)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group[0].as_py()]), pa.ListArray.from_arrays(ends, pa.array(seen.astype(np.int32))), pa.ListArray.from_arrays(ends * n_cat, pa.array(picked.ravel()))],
+                ["block", "offs", "counts"],
+            )
+            return
+        keys = group[0].as_py() * width + seen
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys), pa.ListArray.from_arrays(np.arange(len(seen) + 1, dtype=np.int32) * n_cat, pa.array(picked.ravel()))], ["key", "counts"]
         )
@@ -95,14 +105,21 @@ def dense_counts(df: DataFrame, key: Column, cat: Column, n_cat: int, n: Column
     ``key`` is a whole number of at most 64 bits, ``cat`` lies in 0..n_cat-1. Null keys are left out; an empty input gives no rows.
     """
     rows = df.select(key.cast("bigint").alias("key"), cat.cast("int").alias("cat"), (F.lit(1) if n is None else n).cast("bigint").alias("n")).filter("key is not null")
-    parts = rows.mapInArrow(_partial(n_cat, width, max_keys), "block bigint, offs array<int>, counts array<bigint>")
-    return parts.groupBy("block").applyInArrow(_reduce(n_cat, width), "key bigint, counts array<bigint>")
+    kind = "block bigint, offs array<int>, counts array<bigint>"
+    parts = rows.mapInArrow(_partial(n_cat, width, max_keys), kind).withColumn("fan", F.floor(F.spark_partition_id() / FAN))
+    sums = parts.groupBy("block", "fan").applyInArrow(_reduce(n_cat, width, False), kind)
+    return sums.groupBy("block").applyInArrow(_reduce(n_cat, width, True), "key bigint, counts array<bigint>")
 
 
 #: The strata that get a column of their own.
 STRATA = ("s1", "s2", "s3", "s4")
 
 
+def _side():
+    """The side of a key: sources and targets are counted together, as even and odd numbers."""
+    return F.when(F.pmod("key", F.lit(2)) == 0, "source").otherwise("target")
+
+
 def key_profile(xrefs: DataFrame) -> DataFrame:
     """For each sequence as source and as target: mentions, distinct partners and mentions by stratum.
 
@@ -114,14 +131,13 @@ def key_profile(xrefs: DataFrame) -> DataFrame:
         cat = F.when(clean_label(F.col("stratum")) == s, i).otherwise(cat)
     n_cat = len(STRATA) + 2
     rows = xrefs.select("source", "target", cat.alias("cat"))
-    # the two sides are counted together: keys of side 1 are the odd numbers
     mentions = rows.select(F.explode(F.array(*(F.struct((F.col(c).cast("bigint") * 2 + i).alias("k"), F.col("cat")) for i, c in enumerate(("source", "target"))))).alias("x")).select("x.k", "x.cat")
     pairs = xrefs.select("source", "target").distinct().filter("source is not null and target is not null")
     partners = pairs.select(F.explode(F.array(*(F.col(c).cast("bigint") * 2 + i for i, c in enumerate(("source", "target"))))).alias("k"), F.lit(n_cat - 1).alias("cat"))
     out = dense_counts(mentions.unionByName(partners), F.col("k"), F.col("cat"), n_cat)
     c = lambda i: F.element_at("counts", i + 1)
     return out.select(
-        F.when(F.pmod("key", F.lit(2)) == 0, "source").otherwise("target").alias("side"),
+        _side().alias("side"),
         F.floor(F.col("key") / 2).cast("bigint").alias("a_number"),
         sum((c(i) for i in range(1, n_cat - 1)), c(0)).alias("mentions"),
         c(n_cat - 1).alias("partners"),
@@ -133,4 +149,7 @@ def key_profile(xrefs: DataFrame) -> DataFrame:
 def heavy_keys(xrefs: DataFrame, share: float = 0.01) -> DataFrame:
     """(side, a_number): keys holding at least ``share`` of all stored rows, rows without a key included in the total."""
     least = math.ceil(Fraction(str(share)) * xrefs.count())
-    return key_profile(xrefs).filter((F.col("mentions") >= least) & (F.col("mentions") > 0)).select("side", "a_number")
+    keys = F.array(*(F.col(c).cast("bigint") * 2 + i for i, c in enumerate(("source", "target"))))
+    counts = dense_counts(xrefs.select(F.explode(keys).alias("k")), F.col("k"), F.lit(0), 1)
+    heavy = counts.filter((F.get("counts", F.lit(0)) >= least) & (F.get("counts", F.lit(0)) > 0))
+    return heavy.select(_side().alias("side"), F.floor(F.col("key") / 2).cast("bigint").alias("a_number"))

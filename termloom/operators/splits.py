@@ -24,19 +24,22 @@ def dead_ids(meta: DataFrame) -> DataFrame:
     return meta.filter(F.array_contains(keyword_list(F.col("keywords")), "dead")).select(F.col("a_number").alias("id")).filter("id is not null").distinct()
 
 
-def flagged_pairs(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame) -> DataFrame:
-    """(u, v, stratum, in_terms, dead, lt8_any): every pair with what decides its eligibility. Terms are counted as stored."""
+def flagged_pairs(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(u, v, stratum, in_terms, dead, lt8_any): every pair with what decides its eligibility. Terms are counted as stored.
+
+    ``pairs`` is the pair table of ``xrefs``, if it is there already.
+    """
     sizes = corpus.filter(F.size("terms") > 0).groupBy("a_number").agg(F.max(F.size("terms")).alias("n"))
     dead = dead_ids(meta)
-    pairs = pair_table(xrefs)
+    pairs = pair_table(xrefs) if pairs is None else pairs
     for c in ("u", "v"):
         pairs = pairs.join(sizes.select(F.col("a_number").alias(c), F.col("n").alias("n" + c)), c, "left").join(dead.select(F.col("id").alias(c), F.lit(True).alias("d" + c)), c, "left")
     return pairs.select("u", "v", "stratum", (F.col("nu").isNotNull() & F.col("nv").isNotNull()).alias("in_terms"), F.coalesce("du", "dv", F.lit(False)).alias("dead"), F.coalesce((F.least("nu", "nv") < SHORT).cast("int"), F.lit(0)).alias("lt8_any"))
 
 
-def eligible_pairs(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame) -> DataFrame:
+def eligible_pairs(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(u, v, stratum, lt8_any): labelled pairs of living sequences with terms. Pairs without a stratum can't be split and are left out."""
-    return flagged_pairs(xrefs, corpus, meta).filter("in_terms and not dead and stratum is not null").select("u", "v", "stratum", "lt8_any")
+    return flagged_pairs(xrefs, corpus, meta, pairs).filter("in_terms and not dead and stratum is not null").select("u", "v", "stratum", "lt8_any")
 
 
 def headline_pairs(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def funnel(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame) -> DataFrame:
     f = flagged_pairs(xrefs, corpus, meta)
     ok = F.col("in_terms") & ~F.col("dead")
     labelled = F.col("stratum").isNotNull()
-    nodes = universe(corpus).join(dead_ids(meta), "id", "left_anti").agg(F.count("*").alias("nodes"))
+    nodes = living_nodes(corpus, meta).agg(F.count("*").alias("nodes"))
     row = f.agg(F.count("*").alias("pairs"), F.count_if(~F.col("in_terms")).alias("not_in_terms"), F.count_if(F.col("in_terms") & F.col("dead")).alias("touching_dead"), F.count_if(ok & ~labelled).alias("unlabelled"), F.count_if(ok & labelled).alias("eligible"), F.count_if(ok & labelled & (F.col("lt8_any") == 1)).alias("short"))
     return row.join(F.broadcast(nodes))  # one row each
 
@@ -83,53 +86,72 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return spread.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("id"))).join(offsets, "_k").select("id", (F.col("_o") + F.col("_r") - 1).cast("bigint").alias("idx"))
 
 
-def room_for_negatives(nodes: DataFrame, forbidden: DataFrame) -> int:
-    """Half of the pairs of nodes that aren't forbidden: as many as attempts find in reasonable time."""
-    n = nodes.count()
-    return max(0, n * (n - 1) // 2 - forbidden.count()) // 2
+def _attempts(idx: DataFrame, size: int, attempts: int, seed: int) -> DataFrame:
+    """(iu, iv): two nodes for each attempt, by the seeded hash of its number."""
+    at = lambda side: F.pmod(F.conv(F.substring(seeded_hash(seed, F.lit(side), "id"), 1, 15), 16, 10).cast("bigint"), F.lit(size))
+    return idx.sparkSession.range(attempts).select(at("u").alias("iu"), at("v").alias("iv"))
+
 
+def _enumerated(idx: DataFrame, size: int) -> DataFrame:
+    """(iu, iv): every pair iu < iv of ``size`` nodes, from the numbers of the pairs."""
+    k = F.col("id")
+    root = F.floor((F.sqrt(8.0 * k + 1) + 1) / 2).cast("bigint")  # rounding can be off by one
+    row = F.when(root * (root - 1) / 2 > k, root - 1).when(root * (root + 1) / 2 <= k, root + 1).otherwise(root)
+    return idx.sparkSession.range(size * (size - 1) // 2).select(k, row.alias("iv")).select((k - (F.col("iv") * (F.col("iv") - 1) / 2).cast("bigint")).alias("iu"), "iv")
 
-def draw_negatives(n: int, nodes: DataFrame, forbidden: DataFrame, seed: int = SEED, min_gap: int = MIN_GAP, max_rounds: int = 8) -> DataFrame:
+
+def draw_negatives(n: int, nodes: DataFrame, forbidden: DataFrame, seed: int = SEED, min_gap: int = MIN_GAP, max_rounds: int = 8, fewer: bool = False) -> DataFrame:
     """(u, v, rn): ``n`` distinct pairs of nodes, u < v - ``min_gap``, none of them in ``forbidden(u, v)``; rn runs from 1 to n.
 
     Attempt i takes two nodes by the seeded hash of i. Pairs are kept in the order of their own hash. If a round of attempts
-    leaves too few, the next has twice as many. It raises at once if the nodes have fewer pairs, and after ``max_rounds``.
+    leaves too few, the next has twice as many; where attempts would be as many as the pairs of the nodes, all pairs are gone
+    through instead, so the draw is as large as asked whenever there are enough. If there aren't, it raises, or, with
+    ``fewer``, gives all there are.
     """
-    spark = nodes.sparkSession
-    size = nodes.count()
-    if n > size * (size - 1) // 2:
-        raise ValueError(f"{size} nodes don't have {n} pairs")
     idx = materialize(_numbered(nodes), "nodes")
+    size = idx.count()
+    total = size * (size - 1) // 2
+    if n > total and not fewer:
+        raise ValueError(f"{size} nodes don't have {n} pairs")
     attempts = max(2 * n, 1024)
     for _ in range(max_rounds):
-        at = lambda side: F.pmod(F.conv(F.substring(seeded_hash(seed, F.lit(side), "id"), 1, 15), 16, 10).cast("bigint"), F.lit(max(size, 1)))  # noqa: E731, B023
-        drawn = spark.range(attempts).select(at("u").alias("iu"), at("v").alias("iv"))
+        whole = attempts >= total
+        drawn = _enumerated(idx, size) if whole else _attempts(idx, max(size, 1), attempts, seed)
         for c in ("u", "v"):
             drawn = drawn.join(idx.select(F.col("idx").alias("i" + c), F.col("id").alias("_" + c)), "i" + c)
-        pairs = drawn.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).filter(F.col("v") - F.col("u") > min_gap).distinct()
-        pairs = materialize(pairs.join(forbidden.select("u", "v"), ["u", "v"], "left_anti"), "negatives")
-        if pairs.count() >= n:
+        pairs = drawn.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).filter(F.col("v") - F.col("u") > min_gap)
+        pairs = materialize((pairs if whole else pairs.distinct()).join(forbidden.select("u", "v"), ["u", "v"], "left_anti"), "negatives")
+        there = pairs.count()
+        if there >= n or (whole and fewer):
             return with_hash_rank(pairs.withColumn("_all", F.lit(0)), "_all", ["u", "v"], seed).filter(F.col("rn") <= n).select("u", "v", "rn")
+        if whole:
+            raise ValueError(f"{n} negatives asked for, the nodes have {there}")
         attempts *= 2
-    raise ValueError(f"the nodes don't give {n} negatives")
+    raise ValueError(f"{max_rounds} rounds of attempts don't give {n} negatives")
 
 
-def build_splits(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, seed: int = SEED, per_positive: int = NEGATIVES) -> DataFrame:
+def living_nodes(corpus: DataFrame, meta: DataFrame) -> DataFrame:
+    """(id): sequences with terms that aren't dead."""
+    return universe(corpus).join(dead_ids(meta), "id", "left_anti")
+
+
+def build_splits(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, seed: int = SEED, per_positive: int = NEGATIVES, fewer: bool = False) -> DataFrame:
     """(u, v, stratum, label, lt8_any, split): positives and, for each split, ``per_positive`` negatives each.
 
     Negatives are drawn once and dealt to train, val and test by rank, so no two splits share one. Their lt8_any is 0.
-    Nodes too few for that give half of their free pairs, in the same proportions.
+    It raises if the nodes have too few free pairs for that; with ``fewer``, all free pairs are dealt in the same proportions.
     """
-    positives = materialize(draw_splits(eligible_pairs(xrefs, corpus, meta), seed), "positives")
-    counts = {r[0]: r[1] for r in positives.groupBy("split").agg(F.count("*")).collect()}
-    nodes = universe(corpus).join(dead_ids(meta), "id", "left_anti")
     known = materialize(pair_table(xrefs), "known")
-    part = min(Fraction(1), Fraction(room_for_negatives(nodes, known), max(1, per_positive * sum(counts.values()))))
-    train, val, test = (int(part * per_positive * counts.get(s, 0)) for s in ("train", "val", "test"))
+    positives = materialize(draw_splits(eligible_pairs(xrefs, corpus, meta, known), seed), "positives")
+    counts = {r[0]: r[1] for r in positives.groupBy("split").agg(F.count("*")).collect()}
+    train, val, test = (per_positive * counts.get(s, 0) for s in ("train", "val", "test"))
     out = positives.select("u", "v", "stratum", F.lit(1).alias("label"), "lt8_any", "split")
     if not train + val + test:
         return out
-    neg = draw_negatives(train + val + test, nodes, known, seed)
+    neg = draw_negatives(train + val + test, living_nodes(corpus, meta), known, seed, fewer=fewer)
+    if fewer:
+        part = min(Fraction(1), Fraction(neg.count(), train + val + test))
+        train, val = int(part * train), int(part * val)
     split = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= train + val, "val").otherwise("test")
     return out.unionByName(neg.select("u", "v", F.lit("neg").alias("stratum"), F.lit(0).alias("label"), F.lit(0).alias("lt8_any"), split.alias("split")))
 
@@ -147,7 +169,13 @@ def manifest(splits: DataFrame, funnel_row: DataFrame, seed: int = SEED) -> dict
 
 
 def content_hash(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rows, hash): the wrapped sum of 64-bit row hashes; equal rows in any order give the same hash."""
+    """(by..., rows, hash): a hash of the rows that no order changes and any engine can repeat.
+
+    A row's text are its other columns by name, each with its value as text ('~' for null), joined by bars; the hash is the
+    sum of the first 15 hex digits of the texts' md5, modulo 2 ** 63.
+    """
     cols = sorted(c for c in df.columns if c not in by)
-    h = F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.lower(F.hex(F.pmod(h, F.lit("9223372036854775808").cast("decimal(38,0)")).cast("bigint"))).alias("hash"))
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols))
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = F.pmod(F.sum(part), F.lit("9223372036854775808").cast("decimal(38,0)"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), total.cast("bigint").alias("hash"))

@@ -94,7 +94,7 @@ _USED = f"""
    count(*) FILTER ((x < 0 AND y > 0) OR (x > 0 AND y < 0)) / greatest(count(*) - 1, 1) AS sign_alt, count(*) FILTER (abs(x % 2) <> abs(y % 2)) / greatest(count(*) - 1, 1) AS parity_alt, count(*) FILTER (y >= x) / greatest(count(*) - 1, 1) AS frac_nondec
    FROM nxt GROUP BY id)
 """
-_AS = {"n_terms": "least(total, 348)", "n_used": "n", "growth_slope": "gr.b", "growth_icept": "gr.c", "growth_rms": "gr.e", "diff1_mean": "a1.m", "diff1_std": "a1.s", "diff2_mean": "a2.m", "diff2_std": "a2.s", "logratio_med": "lr.m", "logratio_std": "lr.s"}
+_AS = {"n_terms": "least(total, 348)", "n_used": "n", "growth_slope": "gr.b", "growth_intercept": "gr.c", "growth_rms": "gr.e", "diff1_mean": "a1.m", "diff1_std": "a1.s", "diff2_mean": "a2.m", "diff2_std": "a2.s", "logratio_med": "lr.m", "logratio_std": "lr.s"}
 _PAIRS = f"""
  {TERMS},
  seq AS (SELECT id, list(t ORDER BY i) AS q FROM term GROUP BY id),

@@ -27,11 +27,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """(a_number INT, terms ARRAY<STRING>) of lines such as ``A000045 ,0,1,1,2,``; other lines are skipped.
 
-    Terms that are no whole number are dropped; a line without terms gives an empty array.
+    The terms are all that follows the first blank, with blanks around them or none. Terms that are no whole number are
+    dropped; a line without terms gives an empty array.
     """
     lines = _lines(spark, path).filter(F.col("value").startswith("A"))
-    body = F.regexp_replace(F.substring_index("value", " ", -1), "^,+|,+$", "")
-    return lines.select(parse_id(F.substring_index("value", " ", 1)).alias("a_number"), clean_terms(F.when(F.instr("value", " ") > 0, F.split(body, ","))).alias("terms")).filter("a_number is not null")
+    first = F.instr("value", " ")
+    body = F.when(first > 0, F.split(F.substring(F.col("value"), first + 1, F.length("value")), ","))
+    return lines.select(parse_id(F.substring_index("value", " ", 1)).alias("a_number"), clean_terms(body).alias("terms")).filter("a_number is not null")
 
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:

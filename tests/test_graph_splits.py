@@ -73,6 +73,22 @@ def test_negatives(spark, table, pairs):
         splits.draw_negatives(10, spark.range(5).select(F.col("id").cast("int").alias("id")), pairs, max_rounds=2)
 
 
+def test_negatives_of_a_dense_graph_are_all_there_are(spark, table):
+    nodes = spark.range(40).select(F.col("id").cast("int").alias("id"))
+    free = {(u, v) for u in range(40) for v in range(u + 21, 40)}
+    known = table("u int, v int", sorted(free)[:100])
+    left = free - set(sorted(free)[:100])
+    draw = lambda n, **k: [(r["u"], r["v"], r["rn"]) for r in splits.draw_negatives(n, nodes, known, **k).collect()]
+    got = draw(len(left))
+    assert {(u, v) for u, v, _ in got} == left and sorted(r for *_, r in got) == list(range(1, len(left) + 1))
+    assert {(u, v) for u, v, r in got if r <= 30} == {(u, v) for u, v, _ in draw(30)}
+    with pytest.raises(ValueError):
+        draw(len(left) + 1)
+    assert len(draw(10_000, fewer=True)) == len(left)
+    idx = table("id int, idx bigint", [(i, i) for i in range(300)])
+    assert {tuple(r) for r in splits._enumerated(idx, 300).collect()} == {(u, v) for v in range(300) for u in range(v)}
+
+
 def test_built_splits(table):
     rng = random.Random(1)
     x = table(X, [mention(rng.randrange(1, 300), rng.randrange(1, 300), rng.choice(["s1", "s2", "s3", "s4", None])) for _ in range(900)])
