@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from termloom.functions.arrays import affine_match, jaccard, ngrams, pair_features, subsequence_match
 from termloom.functions.terms import clean_terms
 from termloom.operators.battery import transformed, varied_starts
-from termloom.session import materialize, spread
+from termloom.session import join_hot, materialize, spread
 
 
 def sequences(corpus: DataFrame) -> DataFrame:
@@ -23,16 +23,18 @@ def sequences(corpus: DataFrame) -> DataFrame:
 def shared_gram_candidates(queries: DataFrame, seqs: DataFrame, n: int = 3) -> DataFrame:
     """(q, id, shared, jaccard): for each query sequence every other one that shares an n-gram, by the Jaccard of their n-gram sets.
 
-    The queries are a stated set, so a gram of many sequences meets few queries. Sides: ``(id, seq)``.
+    The queries are a stated set, so a gram of many sequences meets few queries; the rows of such a gram are cut into parts.
+    Sides: ``(id, seq)``.
     """
     grams = lambda d, k: d.select(F.col("id").alias(k), F.array_distinct(ngrams(F.col("seq"), n)).alias("g")).select(k, F.size("g").alias("n" + k), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
-    hits = grams(queries, "q").join(grams(seqs, "id"), "g").filter("q <> id")
+    hits = join_hot(grams(queries, "q"), materialize(grams(seqs, "id"), "grams"), "g", "id").filter("q <> id")
     return hits.groupBy("q", "id", "nq", "nid").agg(F.count("*").alias("shared")).select("q", "id", "shared", (F.col("shared") / (F.col("nq") + F.col("nid") - F.col("shared"))).alias("jaccard"))
 
 
-def top_k(scored: DataFrame, k: int, score: str = "jaccard") -> DataFrame:
-    """The k best candidates of each query with their rank; ties go to the smaller id."""
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col(score).desc(), "id"))).filter(F.col("rank") <= k)
+def top_k(scored: DataFrame, k: int | None, score: str = "jaccard") -> DataFrame:
+    """The k best candidates of each query with their rank, or all of them; ties go to the smaller id."""
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col(score).desc(), "id")))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def _constant_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8) -> DataFrame:
@@ -132,7 +134,7 @@ def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, gramles
     grams = lambda c: F.array_distinct(ngrams(F.col(c)))
     left = asked.filter("size(terms) >= 3 and transform <> 'complement_gaps'").select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
     right = seqs.select(F.col("id").cast("bigint").alias("id"), grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
-    hits = left.join(right, "g").filter("q <> id").groupBy("q", "transform", "id", "nq", "nid").agg(F.count("*").alias("s"))
+    hits = join_hot(left, materialize(right, "grams"), "g", "id").filter("q <> id").groupBy("q", "transform", "id", "nq", "nid").agg(F.count("*").alias("s"))
     score = F.col("s") / (F.col("nq") + F.col("nid") - F.col("s"))
     found = materialize(matches(queries, seqs, asked), "matches")
     both = hits.select("q", "transform", "id", score.alias("j"), F.lit(False).alias("m")).unionByName(found.select("q", "transform", "id", F.lit(0.0).alias("j"), F.lit(True).alias("m")))
@@ -156,6 +158,13 @@ def hit_ranks(held: DataFrame, ranked: DataFrame) -> DataFrame:
     return held.join(one, ["u", "v"], "left").join(two, ["u", "v"], "left").withColumn("rank", F.least("_a", "_b")).drop("_a", "_b")
 
 
+def report_parts(ranks: DataFrame) -> DataFrame:
+    """``ranks(u, v, stratum, lt8_any, rank)`` as (stratum, rank) with two more strata: (all), each pair once, and (short), pairs with lt8_any = 1."""
+    parts = F.array("stratum", F.lit("(all)"), F.when(F.col("lt8_any") == 1, F.lit("(short)")))
+    rows = ranks.select("u", "v", "rank", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("stratum"))
+    return rows.distinct().select("stratum", "rank")
+
+
 def retrieval_report(ranks: DataFrame, ks: tuple[int, ...] = (1, 10, 100), powered: int = 100) -> DataFrame:
     """(stratum, pairs, recall_k..., mrr, underpowered): shares of pairs found in the first k, and the mean reciprocal rank, absent pairs as 0."""
     hit = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}")
@@ -185,47 +194,54 @@ def bootstrap_ci(ranks: DataFrame, k: int = 10, resamples: int = 1000, seed: int
     return counts.mapInPandas(draw, "stratum string, low double, high double")
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 1000) -> DataFrame:
+def _best_of(k: int, ids, q, there, m):
+    """Of the rows m with ids ``there``, the k most similar to each query, and every tie with the k-th, as a frame."""
+    import numpy as np
+
+    sim = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+    sim[ids[:, None] == there[None, :]] = -2
+    top = np.argpartition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(sim, top, 1).min(axis=1, keepdims=True)
+    a, b = np.nonzero((sim >= edge) & (sim > -2))
+    return pd.DataFrame({"q": ids[a], "vec_id": there[b], "similarity": sim[a, b]})
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 20_000, rows: int = 50_000) -> DataFrame:
     """(q, vec_id, similarity, rank): the k nearest by cosine of each vector whose id is divisible by ``every``, itself excluded, exactly.
 
-    Queries go out in blocks of at most ``block`` vectors; each task multiplies a block with its rows and keeps its own k
-    best, and those are merged. Null and zero vectors, and those of another length than the block's first, match nothing.
+    Queries are cut into blocks of about ``block`` and all vectors into blocks of about ``rows``; each block of queries meets
+    each block of rows in one group of a grid, which keeps its own k best, and those are merged. Nothing passes the driver.
+    Null and zero vectors, and those of another length than most, match nothing.
     """
-    spark = vectors.sparkSession
-    usable = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter(F.exists("e", lambda x: x != 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x)))
-    asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    passes = max(1, -(-asked.count() // block))
-    best = None
-    for i in range(passes):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).collect()
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import numpy as np
-
-            if not shared.value:
-                return
-            width = len(shared.value[0][1])
-            own = [(i, v) for i, v in shared.value if len(v) == width]
-            ids = np.array([i for i, _ in own])
-            q = np.array([v for _, v in own])
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            for pdf in batches:
-                pdf = pdf[pdf["e"].map(len) == width]
-                if pdf.empty:
-                    continue
-                m = np.stack(pdf["e"].to_numpy())
-                sim = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-                there = pdf["vec_id"].to_numpy()
-                sim[ids[:, None] == there[None, :]] = -2
-                top = np.argpartition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, :k]
-                # ties at the edge stay in: every similarity as good as the k-th
-                edge = np.take_along_axis(sim, top, 1).min(axis=1, keepdims=True)
-                a, b = np.nonzero((sim >= edge) & (sim > -2))
-                yield pd.DataFrame({"q": ids[a], "vec_id": there[b], "similarity": sim[a, b]})
-
-        found = usable.mapInPandas(search, "q bigint, vec_id bigint, similarity double")
-        best = found if best is None else best.unionByName(found)
+    import numpy as np
+
+    usable = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    usable = usable.filter(F.exists("e", lambda x: x != 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x)))
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    # one row for each length: the most frequent one counts, the longer of two
+    widths = usable.groupBy(F.size("e").alias("w")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), F.desc("w")).first()
+    empty = vectors.sparkSession.createDataFrame([], "q bigint, vec_id bigint, similarity double, rank int")
+    if widths is None or not widths["asked"]:
+        return empty
+    usable = usable.filter(F.size("e") == widths["w"])
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    q_blocks, r_blocks = -(-widths["asked"] // block), max(-(-widths["n"] // rows), min(cores, -(-widths["n"] // 1000)))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    asked = usable.filter(is_query).select("vec_id", "e", of(q_blocks).alias("qb"), every_block(r_blocks).alias("rb"))
+    held = usable.select("vec_id", "e", of(r_blocks).alias("rb"), every_block(q_blocks).alias("qb"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"q": [], "vec_id": [], "similarity": []}).astype({"q": "int64", "vec_id": "int64"})
+        q = np.stack(left["e"].to_numpy())
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        ids, there, m = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), np.stack(right["e"].to_numpy())
+        step = max(1, 20_000_000 // len(q))  # similarities held at once
+        parts = [_best_of(k, ids, q, there[i : i + step], m[i : i + step]) for i in range(0, len(m), step)]
+        return pd.concat(parts)
+
+    best = asked.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInPandas(cell, "q bigint, vec_id bigint, similarity double")
     order = W.partitionBy("q").orderBy(F.round("similarity", 9).desc(), "vec_id")
     return best.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -156,12 +156,15 @@ def build_splits(xrefs: DataFrame, corpus: DataFrame, meta: DataFrame, seed: int
     return out.unionByName(neg.select("u", "v", F.lit("neg").alias("stratum"), F.lit(0).alias("label"), F.lit(0).alias("lt8_any"), split.alias("split")))
 
 
-def manifest(splits: DataFrame, funnel_row: DataFrame, seed: int = SEED) -> dict:
-    """Seed, shares, funnel, counts by split, stratum and label, and a content hash of each split that no order changes."""
+def manifest(splits: DataFrame, funnel_row: DataFrame, seed: int = SEED, code: str | None = None, seconds: float | None = None) -> dict:
+    """Seed, shares, funnel, counts by split, stratum and label, and a content hash of each split that no order changes.
+
+    ``code`` is the version of the code that built the splits, ``seconds`` the time it took; the caller knows both.
+    """
     counts = splits.groupBy("split", "stratum", "label").agg(F.count("*").alias("n")).collect()
     hashes = content_hash(splits, ["split"]).collect()
     return {
-        "seed": seed, "test_share": TEST_SHARE, "val_share": VAL_SHARE, "negatives_per_positive": NEGATIVES, "min_gap": MIN_GAP,
+        "seed": seed, "test_share": TEST_SHARE, "val_share": VAL_SHARE, "negatives_per_positive": NEGATIVES, "min_gap": MIN_GAP, "code": code, "seconds": seconds,
         "funnel": funnel_row.first().asDict(),
         "counts": [r.asDict() for r in sorted(counts, key=lambda r: (r[0], r[1] or "", r[2]))],
         "content": {r["split"]: {"rows": r["rows"], "hash": r["hash"]} for r in hashes},

@@ -30,15 +30,21 @@ def _with_terms(s, d, pairs):
     return pairs
 
 
+def _distinct(rows, *cols):
+    """Distinct rows in a partition for each core: what follows is heavier by row than the rows are by size."""
+    conf = rows.sparkSession
+    n = max(conf.sparkContext.defaultParallelism, int(conf.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(*cols).repartition(n, "u", "v").distinct()
+
+
 def _positives(s, d):
     """The distinct labelled pairs of the stored splits that are positive, with their terms."""
-    pairs = table(s, d, "splits").filter("label = 1 and u is not null and v is not null").select("u", "v").distinct()
-    return _with_terms(s, d, pairs)
+    return _with_terms(s, d, _distinct(table(s, d, "splits").filter("label = 1 and u is not null and v is not null"), "u", "v"))
 
 
 def _all_pairs(s, d):
     """The distinct pairs of the stored splits, of any label, with their terms."""
-    return _with_terms(s, d, table(s, d, "splits").filter("u is not null and v is not null").select("u", "v").distinct())
+    return _with_terms(s, d, _distinct(table(s, d, "splits").filter("u is not null and v is not null"), "u", "v"))
 
 
 def _all_features(s, d):
@@ -52,14 +58,16 @@ def _smoke(s, d):
 
 
 def _smoke_strata(s, d):
-    rows = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null").select("u", "v", F.lower(F.trim("stratum")).alias("stratum")).distinct()
+    train = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null")
+    rows = _distinct(train, "u", "v", F.lower(F.trim("stratum")).alias("stratum"))
     rows = _with_terms(s, d, rows).select("stratum", arrays.jaccard(F.col("su"), F.col("sv")).alias("j"), arrays.ngram_jaccard(F.col("su"), F.col("sv")).alias("g"), arrays.subsequence_match(F.col("su"), F.col("sv")).cast("double").alias("e"))
     return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("term_set_jaccard"), F.round(F.avg("g"), 6).alias("ngram3_jaccard"), F.round(F.avg("e"), 6).alias("exact_subseq"), F.grouping("stratum").cast("int").alias("total"))
 
 
 def _smoke_affine(s, d):
     """The mean affine match of each stratum over all training positives, and over all of them (total = 1)."""
-    rows = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null").select("u", "v", F.lower(F.trim("stratum")).alias("stratum")).distinct()
+    train = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null")
+    rows = _distinct(train, "u", "v", F.lower(F.trim("stratum")).alias("stratum"))
     rows = _with_terms(s, d, rows).select("stratum", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("stratum", "f.affine_match")
     return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("affine_match"), 6).alias("affine_match"), F.grouping("stratum").cast("int").alias("total"))
 
@@ -107,11 +115,62 @@ _SUB = """CASE WHEN least(len(p), len(q)) < 8 THEN false ELSE len(list_filter(ra
  list_slice(CASE WHEN len(p) <= len(q) THEN q ELSE p END, k + 1, k + least(len(p), len(q))) = list_slice(CASE WHEN len(p) <= len(q) THEN p ELSE q END, 1, least(least(len(p), len(q)), greatest(len(p), len(q)) - k)))) > 0 END"""
 
 
+# terms modulo a prime of 61 bits, from their digits: products of two residues fit HUGEINT, and unequal numbers agree with a chance below 1e-17
+_PRIME = 2**61 - 1
+RESIDUES = f"""
+ digits AS (SELECT id, i, t LIKE '-%' AS minus, lpad(ltrim(t, '-'), CAST(ceil(len(ltrim(t, '-')) / 15) * 15 AS INT), '0') AS g FROM term),
+ reduced AS (SELECT id, i, minus, list_reduce(list_transform(range(0, len(g) // 15), lambda j: CAST(substr(g, CAST(j * 15 + 1 AS INT), 15) AS HUGEINT)), lambda x, y: (x * 1000000000000000 + y) % {_PRIME}) % {_PRIME} AS r FROM digits),
+ residues AS (SELECT id, list(CASE WHEN minus AND r > 0 THEN {_PRIME} - r ELSE r END ORDER BY i) AS r FROM reduced GROUP BY id)
+"""
+# of pairs pr(u, v, p, q) of residues: matched(u, v, s)
+AFFINE = f"""
+ shifted AS (SELECT u, v, s, CASE WHEN s > 0 THEN list_slice(p, s + 1, len(p)) ELSE p END AS p, CASE WHEN s < 0 THEN list_slice(q, 1 - s, len(q)) ELSE q END AS q FROM (SELECT *, unnest(range(-8, 9)) AS s FROM pr)),
+ sized AS (SELECT u, v, s, list_slice(p, 1, least(len(p), len(q))) AS p, list_slice(q, 1, least(len(p), len(q))) AS q FROM shifted WHERE least(len(p), len(q)) >= 8),
+ first AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: p[i] <> p[1])[1] AS k FROM sized),
+ matched AS (SELECT u, v, s, k FROM first WHERE CASE WHEN k IS NULL THEN len(list_distinct(q)) = 1
+   ELSE q[k] <> q[1] AND len(list_filter(range(1, len(p) + 1), lambda i: (((q[i] - q[1] + {_PRIME}) % {_PRIME}) * ((p[k] - p[1] + {_PRIME}) % {_PRIME}) - ((q[k] - q[1] + {_PRIME}) % {_PRIME}) * ((p[i] - p[1] + {_PRIME}) % {_PRIME})) % {_PRIME} <> 0)) = 0 END)
+"""
+
+
 def _jac(x: str, y: str) -> str:
     return f"coalesce({_J.format(a=x, b=y)}, 0)"
 
 
+def _features_of(pairs: str) -> str:
+    """CTEs with feat(u, v, term_set_jaccard, ngram3_jaccard, exact_subseq, affine_match) of the pairs of a query."""
+    return f"""
+ {TERMS}, {RESIDUES},
+ seq AS (SELECT id, list(t ORDER BY i) AS q FROM term GROUP BY id),
+ asked AS ({pairs}),
+ st AS (SELECT u, v, a.q AS p, b.q AS q FROM asked JOIN seq a ON a.id = u JOIN seq b ON b.id = v),
+ g AS (SELECT *, {_GRAMS.format(x='p')} AS a, {_GRAMS.format(x='q')} AS b FROM st),
+ pr AS (SELECT u, v, a.r AS p, b.r AS q FROM asked JOIN residues a ON a.id = u JOIN residues b ON b.id = v), {AFFINE},
+ feat AS (SELECT u, v, {_jac('p', 'q')} AS term_set_jaccard, {_jac('a', 'b')} AS ngram3_jaccard, CASE WHEN {_SUB} THEN 1.0 ELSE 0.0 END AS exact_subseq, CASE WHEN (u, v) IN (SELECT (u, v) FROM matched) THEN 1.0 ELSE 0.0 END AS affine_match FROM g)
+"""
+
+
+_FEATURES = ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")
+_STORED = "SELECT DISTINCT u, v FROM splits WHERE u IS NOT NULL AND v IS NOT NULL"
+_TRAIN = f"{_STORED} AND split = 'train' AND label = 1"
+
 SQL = {
+    "pair_features": f"WITH {_features_of(_STORED)} SELECT u, v, {', '.join(f'round(CAST({c} AS DOUBLE), 9) AS {c}' for c in _FEATURES)} FROM feat",
+    # the four terms that fix c and d must fit HUGEINT, and so must their products
+    "affine_pairs": f"""
+WITH {_features_of(_STORED)},
+ least_ AS (SELECT u, v, min(s) AS s, arg_min(k, s) AS k FROM matched GROUP BY u, v),
+ ends AS (SELECT u, v, s, CAST(p[greatest(s, 0) + 1] AS HUGEINT) AS x0, CAST(q[greatest(-s, 0) + 1] AS HUGEINT) AS y0, CAST(p[greatest(s, 0) + k] AS HUGEINT) AS x1, CAST(q[greatest(-s, 0) + k] AS HUGEINT) AS y1 FROM least_ JOIN st USING (u, v)),
+ whole AS (SELECT u, v, s, CASE WHEN x1 IS NULL THEN 0 ELSE (y1 - y0) * sign(x1 - x0) END AS cn, coalesce(abs(x1 - x0), 1) AS cd, CASE WHEN x1 IS NULL THEN y0 ELSE (y0 * (x1 - x0) - (y1 - y0) * x0) * sign(x1 - x0) END AS dn FROM ends)
+SELECT u, v, CAST(cn // gcd(cn, cd) AS VARCHAR) AS c_num, CAST(cd // gcd(cn, cd) AS VARCHAR) AS c_den, CAST(dn // gcd(dn, cd) AS VARCHAR) AS d_num, CAST(cd // gcd(dn, cd) AS VARCHAR) AS d_den, CAST(s AS INT) AS s FROM whole
+""",
+    "smoke_aggregates": f"""
+WITH {_features_of("SELECT u, v FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM splits WHERE split = 'train' AND label = 1) QUALIFY row_number() OVER (ORDER BY md5('42|' || u || '|' || v), u, v) <= 200")}
+SELECT count(*) AS pairs, {', '.join(f'round(avg(CAST({c} AS DOUBLE)), 4) AS {c}' for c in _FEATURES)} FROM feat
+""",
+    "smoke_affine_by_stratum": f"""
+WITH {_features_of(_TRAIN)}, rows_ AS (SELECT DISTINCT u, v, lower(trim(stratum)) AS stratum FROM splits WHERE split = 'train' AND label = 1)
+SELECT stratum, count(*) AS pairs, round(avg(CAST(affine_match AS DOUBLE)), 6) AS affine_match, CAST(grouping(stratum) AS INT) AS total FROM feat JOIN rows_ USING (u, v) GROUP BY ROLLUP (stratum)
+""",
     "seq_features": f"WITH {_USED} SELECT base.id AS a_number, {', '.join(f'round(CAST(coalesce({_AS.get(n, n)}, 0) AS DOUBLE), 5) + 0.0 AS {n}' for n in NAMES)} FROM base JOIN size ON size.id = base.id LEFT JOIN gr ON gr.id = base.id LEFT JOIN a1 ON a1.id = base.id LEFT JOIN a2 ON a2.id = base.id LEFT JOIN lr ON lr.id = base.id",
     "set_jaccard": f"WITH {_PAIRS} SELECT u, v, round({_jac('p', 'q')}, 9) AS jaccard FROM pr",
     "ngram_jaccard": f"WITH {_PAIRS}, g AS (SELECT u, v, {_GRAMS.format(x='p')} AS a, {_GRAMS.format(x='q')} AS b FROM pr) SELECT u, v, round({_jac('a', 'b')}, 9) AS jaccard FROM g",

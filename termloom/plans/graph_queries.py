@@ -30,13 +30,17 @@ def _touching(spark, d):
     return graph.touching(edges, dead_ids(meta))
 
 
-def _full_catalog(spark, d):
+def catalog_rows(spark, d):
+    """The corpus joined from its terms, names and references."""
     corpus = table(spark, d, "corpus")
     terms = corpus.filter(F.size("terms") > 0).select("a_number", clean_terms(F.col("terms")).alias("terms"))
     names = names_of(corpus)
     refs = corpus.select("a_number", F.array_sort(F.array_distinct(F.filter("xrefs", lambda x: x.isNotNull() & (x != F.col("a_number"))))).alias("xrefs"))
-    out = catalog.full_catalog(terms, names, refs)
-    return out.select("a_number", F.size("terms").alias("n_terms"), F.array_join("terms", ",").alias("terms"), "name", F.array_join("xrefs", ",").alias("xrefs"), "dead")
+    return catalog.full_catalog(terms, names, refs)
+
+
+def _full_catalog(spark, d):
+    return catalog_rows(spark, d).select("a_number", F.size("terms").alias("n_terms"), F.array_join("terms", ",").alias("terms"), "name", F.array_join("xrefs", ",").alias("xrefs"), "dead")
 
 
 def _sets(spark, d):

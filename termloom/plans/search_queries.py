@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions.arrays import affine_match
 from termloom.operators import battery, exclude, retrieval
+from termloom.plans.array_queries import AFFINE, RESIDUES
 from termloom.plans.graph_queries import TERMS
 from termloom.session import materialize, spread, table
 from termloom.streaming.mentions import stream_counts
@@ -32,16 +34,29 @@ def _novel_links(s, d):
 
 
 def _held(s, d):
-    held = table(s, d, "splits").filter("split = 'test' and label = 1 and u is not null and v is not null").select("u", "v", F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")).distinct()
-    # only pairs with a query sequence at an end can be found
-    return held.filter("pmod(u, 100) = 0 or pmod(v, 100) = 0")
+    """Positive test pairs with an end whose id is divisible by 100: (u, v, stratum, lt8_any)."""
+    held = table(s, d, "splits").filter("split = 'test' and label = 1 and u is not null and v is not null").filter("pmod(u, 100) = 0 or pmod(v, 100) = 0")
+    return held.groupBy("u", "v", F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")).agg(F.max("lt8_any").alias("lt8_any"))
 
 
 def _ranks(s, d):
-    return materialize(retrieval.hit_ranks(_held(s, d), _ranked(s, d, 100)), "ranks")
+    """Ranks of the partners in these pairs from both ends, among all candidates of each."""
+    held, seqs = materialize(_held(s, d), "held"), materialize(_seqs(s, d), "seqs")
+    asked = seqs.join(held.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+    ranked = retrieval.top_k(retrieval.shared_gram_candidates(asked, seqs), None)
+    return materialize(retrieval.report_parts(retrieval.hit_ranks(held, ranked)), "ranks")
+
+
+def _affine_shifts(s, d):
+    """The ten best candidates of each query by shared 3-grams, those that are affine to it, with the shift."""
+    seqs = materialize(_seqs(s, d), "seqs")
+    pairs = retrieval.top_k(retrieval.shared_gram_candidates(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs), 10).select("q", "id")
+    both = pairs.join(seqs.withColumnsRenamed({"id": "q", "seq": "a"}), "q").join(seqs.withColumnRenamed("seq", "b"), "id")
+    return both.select("q", "id", affine_match(F.col("a"), F.col("b"))["s"].alias("s")).filter("s is not null")
 
 
 QUERIES = {
+    "affine_shifts": _affine_shifts,
     "gram_top10": lambda s, d: _ranked(s, d, 10).select("q", "id", "shared", F.round("jaccard", 9).alias("jaccard"), "rank"),
     "retrieval_report": lambda s, d: retrieval.retrieval_report(_ranks(s, d)),
     "retrieval_ci": lambda s, d: retrieval.bootstrap_ci(_ranks(s, d)),
@@ -53,23 +68,30 @@ QUERIES = {
     "stream_daily_mentions": lambda s, d: stream_counts(s, f"{d}/xrefs.parquet"),
 }
 
-_GRAM = f"""
+_GRAM_OF = f"""
  {TERMS},
  g AS (SELECT DISTINCT id, t || ',' || t2 || ',' || t3 AS g FROM (SELECT id, t, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM term WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE t3 IS NOT NULL),
  n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
- hit AS (SELECT a.id AS q, b.id AS id, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY 1, 2),
+ hit AS (SELECT a.id AS q, b.id AS id, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id WHERE {{asked}} GROUP BY 1, 2),
  sc AS (SELECT q, hit.id, shared, shared / (x.n + y.n - shared) AS jaccard FROM hit JOIN n x ON x.id = q JOIN n y ON y.id = hit.id),
  rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, id) AS INT) AS rank FROM sc)
 """
 
+_GRAM = _GRAM_OF.format(asked="a.id % 100 = 0")
+
 SQL = {
+    "affine_shifts": f"""
+WITH {_GRAM}, {RESIDUES}, pr AS (SELECT q AS u, rk.id AS v, a.r AS p, b.r AS q FROM rk JOIN residues a ON a.id = rk.q JOIN residues b ON b.id = rk.id WHERE rank <= 10), {AFFINE}
+SELECT u AS q, v AS id, CAST(min(s) AS INT) AS s FROM matched GROUP BY u, v
+""",
     "gram_top10": f"WITH {_GRAM} SELECT q, id, shared, round(jaccard, 9) AS jaccard, rank FROM rk WHERE rank <= 10",
     "retrieval_report": f"""
-WITH {_GRAM}, top AS (SELECT * FROM rk WHERE rank <= 100),
- held AS (SELECT DISTINCT u, v, coalesce(lower(trim(stratum)), '(none)') AS stratum FROM splits WHERE split = 'test' AND label = 1 AND u IS NOT NULL AND v IS NOT NULL AND (u % 100 = 0 OR v % 100 = 0)),
- r AS (SELECT held.*, least(a.rank, b.rank) AS rank FROM held LEFT JOIN top a ON a.q = u AND a.id = v LEFT JOIN top b ON b.q = v AND b.id = u)
+WITH held AS (SELECT u, v, coalesce(lower(trim(stratum)), '(none)') AS stratum, max(lt8_any) AS lt8 FROM splits WHERE split = 'test' AND label = 1 AND u IS NOT NULL AND v IS NOT NULL AND (u % 100 = 0 OR v % 100 = 0) GROUP BY ALL),
+ {_GRAM_OF.format(asked="a.id IN (SELECT u FROM held UNION SELECT v FROM held)")},
+ r AS (SELECT held.*, least(a.rank, b.rank) AS rank FROM held LEFT JOIN rk a ON a.q = u AND a.id = v LEFT JOIN rk b ON b.q = v AND b.id = u),
+ parts AS (SELECT u, v, stratum, rank FROM r UNION SELECT u, v, '(all)', rank FROM r UNION SELECT u, v, '(short)', rank FROM r WHERE lt8 = 1)
 SELECT stratum, count(*) AS pairs, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 100 THEN 1.0 ELSE 0.0 END), 6) AS recall_100,
- round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, count(*) < 100 AS underpowered FROM r GROUP BY stratum
+ round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, count(*) < 100 AS underpowered FROM parts GROUP BY stratum
 """,
     "nearest_vectors": """
 WITH s AS (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)

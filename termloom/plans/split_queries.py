@@ -22,6 +22,16 @@ def _built(s, d):
     return splits.build_splits(*_t(s, d), fewer=True)  # the smallest test data have too few free pairs
 
 
+def _manifest(s, d):
+    """(section, item, value) of the manifest of the built splits."""
+    m = splits.manifest(materialize(_built(s, d), "built"), splits.funnel(*_t(s, d)))
+    rows = [("run", k, str(v)) for k, v in m.items() if not isinstance(v, (dict, list)) and v is not None]
+    rows += [("funnel", k, str(v)) for k, v in m["funnel"].items()]
+    rows += [("count", f"{r['split']}/{r['stratum']}/{r['label']}", str(r["n"])) for r in m["counts"]]
+    rows += [(f"content of {k}", i, str(x)) for k, v in m["content"].items() for i, x in v.items()]
+    return s.createDataFrame(rows, "section string, item string, value string")
+
+
 def _negatives(s, d):
     xrefs, corpus, meta = _t(s, d)
     known = materialize(graph.pair_table(xrefs), "known")
@@ -44,6 +54,7 @@ QUERIES = {
     "split_build": _built,
     "split_build_counts": lambda s, d: _built(s, d).groupBy("split", "stratum", "label").agg(F.count("*").alias("n")),
     "split_content_hash": lambda s, d: splits.content_hash(materialize(_built(s, d), "built"), ["split"]),
+    "split_manifest": _manifest,
     "stored_split_counts": lambda s, d: table(s, d, "splits").cube("split", "stratum", "label").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")),
     "train_sample": _train_sample,
 }
@@ -74,6 +85,20 @@ NEG = f"""
    UNION ALL SELECT u, v, 'neg', 0, 0, CASE WHEN rn <= 5 * (SELECT count(*) FROM drawn WHERE split = 'train') THEN 'train' WHEN rn <= 5 * (SELECT count(*) FROM drawn WHERE split <> 'test') THEN 'val' ELSE 'test' END FROM neg)
 """
 
+HASH = """
+ text AS (SELECT split, concat_ws('|', coalesce(CAST(label AS VARCHAR), '~'), coalesce(CAST(lt8_any AS VARCHAR), '~'), coalesce(stratum, '~'), coalesce(CAST(u AS VARCHAR), '~'), coalesce(CAST(v AS VARCHAR), '~')) AS t FROM built),
+ hashed AS (SELECT split, count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS HUGEINT)) % 9223372036854775808 AS BIGINT) AS hash FROM text GROUP BY split)
+"""
+FUNNEL = {
+    "pairs": "(SELECT count(*) FROM flagged)",
+    "not_in_terms": "(SELECT count(*) FROM flagged WHERE NOT in_terms)",
+    "touching_dead": "(SELECT count(*) FROM flagged WHERE in_terms AND dead)",
+    "unlabelled": "(SELECT count(*) FROM flagged WHERE in_terms AND NOT dead AND stratum IS NULL)",
+    "eligible": "(SELECT count(*) FROM elig)",
+    "short": "(SELECT count(*) FROM elig WHERE lt8_any = 1)",
+    "nodes": "(SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM dead))",
+}
+
 SQL = {
     "headline_pairs": f"WITH {ELIGIBLE}, h AS (SELECT a_number FROM corpus WHERE contains(lower(name), 'allocated')) SELECT u, v, stratum FROM elig WHERE stratum IN ('s1', 's2') AND lt8_any = 0 AND u NOT IN (SELECT a_number FROM h) AND v NOT IN (SELECT a_number FROM h)",
     "eligible_pairs": f"WITH {ELIGIBLE} SELECT * FROM elig",
@@ -86,6 +111,15 @@ SELECT count(*) AS pairs, count(*) FILTER (NOT in_terms) AS not_in_terms, count(
     "negatives": f"WITH {NEG} SELECT u, v FROM neg",
     "split_build": f"WITH {NEG} SELECT * FROM built",
     "split_build_counts": f"WITH {NEG} SELECT split, stratum, label, count(*) AS n FROM built GROUP BY ALL",
+    "split_content_hash": f"WITH {NEG}, {HASH} SELECT * FROM hashed",
+    "split_manifest": f"""
+WITH {NEG}, {HASH}
+SELECT 'run' AS section, x[1] AS item, x[2] AS value FROM (SELECT UNNEST([['seed', '42'], ['test_share', '0.10'], ['val_share', '0.09'], ['negatives_per_positive', '5'], ['min_gap', '20']]) AS x)
+UNION ALL SELECT 'count', split || '/' || stratum || '/' || label, CAST(count(*) AS VARCHAR) FROM built GROUP BY split, stratum, label
+UNION ALL SELECT 'content of ' || split, 'rows', CAST(rows AS VARCHAR) FROM hashed
+UNION ALL SELECT 'content of ' || split, 'hash', CAST(hash AS VARCHAR) FROM hashed
+UNION ALL {' UNION ALL '.join(f"SELECT 'funnel', '{k}', CAST({v} AS VARCHAR)" for k, v in FUNNEL.items())}
+""",
     "stored_split_counts": "SELECT split, stratum, label, count(*) AS n, CAST(grouping_id(split, stratum, label) AS INT) AS level FROM splits GROUP BY CUBE (split, stratum, label)",
     "train_sample": "WITH p AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM splits WHERE split = 'train' AND label = 1 AND u IS NOT NULL AND v IS NOT NULL) SELECT u, v FROM p QUALIFY row_number() OVER (ORDER BY md5('42|' || u || '|' || v), u, v) <= 200",
 }

@@ -42,6 +42,12 @@ def _precision(s, d):
     return audit.precision_report(rated)
 
 
+def _split_precision(s, d):
+    """The strongest stratum of each pair of xrefs, judged by the labels that the stored splits have for the pair."""
+    stored = table(s, d, "splits").filter("label = 1").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("stratum").alias("hand_label")).distinct()
+    return audit.precision_report(graph.pair_table(table(s, d, "xrefs")).filter("stratum is not null").join(stored, ["u", "v"]))
+
+
 def _names(s, d):
     return stratify.names_of(table(s, d, "corpus"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "id_round_trip": lambda s, d: table(s, d, "corpus").select("a_number", ids.format_id(F.col("a_number")).alias("label")).withColumn("parsed", ids.parse_id(F.concat(F.lit(" "), F.col("label")))),
     "audit_sample": lambda s, d: audit.audit_sample(table(s, d, "xrefs"), graph.universe(table(s, d, "corpus")), _names(s, d)),
     "audit_precision": _precision,
+    "split_precision": _split_precision,
     "confusion": _confusion,
 }
 
@@ -144,6 +151,12 @@ FROM mm JOIN lt ON lt.source = mm.source AND lt.raw_text = mm.raw_text
     "audit_precision": f"""
 WITH {_SAMPLE}, mm AS (SELECT source, target, raw_text, paren, st FROM picked), {_V1.replace(_NAMES + ',', '')}
 SELECT st AS stratum, CAST(count(*) FILTER (stratum_v1 = st) AS BIGINT) AS correct, count(*) AS n, round(count(*) FILTER (stratum_v1 = st) / count(*), 4) AS precision FROM v1 GROUP BY st
+""",
+    "split_precision": f"""
+WITH p AS (SELECT least(source, target) AS u, greatest(source, target) AS v, min({_RANK}) AS r FROM xrefs WHERE source <> target GROUP BY 1, 2 HAVING min({_RANK}) IS NOT NULL),
+ h AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v, stratum AS hand FROM splits WHERE label = 1),
+ j AS (SELECT ['s1', 's2', 's4', 's3'][r + 1] AS stratum, lower(trim(hand)) AS hand FROM p JOIN h USING (u, v) WHERE trim(hand) <> '')
+SELECT stratum, count(*) FILTER (hand = stratum) AS correct, count(*) AS n, round(count(*) FILTER (hand = stratum) / count(*), 4) AS precision FROM j GROUP BY stratum
 """,
     "confusion": f"""
 WITH mm AS (SELECT source, target, raw_text, paren, lower(trim(stratum)) AS given FROM xrefs WHERE source <> target AND stratum IS NOT NULL AND raw_text IS NOT NULL), {_V1}

@@ -35,14 +35,20 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     The copy is dropped by :func:`release`, or when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/termloom-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._termloom_path = path
     return back
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/termloom-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a DataFrame of :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_termloom_path", None)
@@ -90,6 +96,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, member: str, block: int = 2000) -> DataFrame:
+    """The inner join on ``key`` of a side with few rows a key, ``left``, and one with any number, ``right``, hot keys cut.
+
+    A key with c rows on the right gets ceil(c / block) parts by the hash of ``member``; its rows on the left go to every
+    part. Counts of hot keys are broadcast only while they are few.
+    """
+    hot = materialize(right.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") > block), "hot")
+    n = hot.count()
+    if n == 0:
+        return left.join(right, key)
+    side = F.broadcast(hot) if n <= 100_000 else hot
+    parts = F.coalesce(F.ceil(F.col("_c") / block), F.lit(1)).cast("int")
+    many = right.join(side, key, "left").withColumn("_p", F.pmod(F.xxhash64(member), parts).cast("int")).drop("_c")
+    few = left.join(side, key, "left").withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_c")
+    return few.join(many, [key, "_p"]).drop("_p")
+
+
 def block_pairs(left: DataFrame, right: DataFrame, key: str, member: str, block: int = 2000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Split the hot keys of a many-to-many self join into tiles of at most ``2 * block`` rows.
 

@@ -54,6 +54,11 @@ def read_entries(spark: SparkSession, folder: str, pattern: str = "*.seq") -> Da
 
 def read_archives(spark: SparkSession, path: str, suffix: str = ".seq") -> DataFrame:
     """The same from tar archives of at most 2 GB each, compressed or not: one task goes through an archive, member by member."""
+    return archive_members(spark.read.format("binaryFile").load(path).select("content"), suffix)
+
+
+def archive_members(archives: DataFrame, suffix: str = ".seq") -> DataFrame:
+    """(a_number INT, text STRING): the entries in archives ``(content BINARY)``; members of other names are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -74,7 +79,7 @@ def read_archives(spark: SparkSession, path: str, suffix: str = ".seq") -> DataF
                             ids, texts = [], []
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(texts, pa.string())], ["a_number", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "a_number int, text string")
+    return archives.select("content").mapInArrow(run, "a_number int, text string")
 
 
 def _tagged(tag: str) -> Column:

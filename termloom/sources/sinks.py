@@ -22,7 +22,8 @@ def write_json_lines(df: DataFrame, path: str, order: str = "a_number", force: b
 
 
 def write_csv(df: DataFrame, path: str, force: bool = False) -> None:
-    df.write.mode("overwrite" if force else "ignore").option("escape", '"').csv(path, header=True)
+    rows = df.write.mode("overwrite" if force else "ignore").option("escape", '"')
+    rows.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True)
 
 
 def write_blind_audit(sample: DataFrame, path: str, force: bool = False) -> None:

@@ -156,7 +156,7 @@ def test_nearest_vectors_against_all(table):
     rng = random.Random(1)
     data = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(0, 400, 4)] + [(1, None), (3, [0.0] * 5), (None, [1.0] * 5)]
     got = {}
-    for r in retrieval.nearest_vectors(table("vec_id bigint, embedding array<double>", data), k=5, block=2).collect():
+    for r in retrieval.nearest_vectors(table("vec_id bigint, embedding array<double>", data), k=5, block=2, rows=30).collect():
         got.setdefault(r["q"], []).append((r["rank"], r["vec_id"]))
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     good = [(i, v) for i, v in data if v and i is not None and any(v)]
