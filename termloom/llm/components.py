@@ -1,9 +1,11 @@
 """One group identifier for all records linked directly or through others, over a two-dimensional grid of edge blocks.
 
 Vertices are hashed to B blocks, and an edge lies in the cell of its two blocks, so the edges of a hub are spread over a
-whole row of cells. A round solves every cell by a local union-find, exchanges the cells' representatives of each vertex
-along its row and column, ties them to the smallest, and lets every tie skip one representative. Vertices that are left with a single tie are settled and leave
-the grid; the rounds end when no edge is left, and the settled pointers are then followed back, round by round.
+whole row of cells; a cell with more edges than a task should hold, such as those of a hub's row, is cut into parts. A
+round solves every part by a local union-find, exchanges the representatives of each vertex along its row and column,
+ties them to the smallest, and lets every tie skip one representative. Vertices that are left with a single tie are
+settled and leave the grid. What is left after the first round shrinks the grid, to one cell in the end; the rounds end
+when no edge is left, and the settled pointers are then followed back, doubling their reach.
 """
 
 from __future__ import annotations
@@ -47,12 +49,21 @@ def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": names[child], "r": names[p[child]]})
 
 
-def _round(edges: DataFrame, blocks: int) -> DataFrame:
-    """Edges (u < v) to fewer, equally connected edges."""
+def _cells(edges: DataFrame, blocks: int, cell_edges: int) -> DataFrame:
+    """``edges`` with the number of their cell, and the part of it: any part of any cell can be solved by itself."""
     bu, bv = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("u", "v"))
     cells = edges.withColumn("cell", F.least(bu, bv) * blocks + F.greatest(bu, bv))
-    stars = cells.groupBy("cell").applyInPandas(_union_find, "v bigint, r bigint")
-    # a vertex lies in at most 2 B cells, which bounds the set
+    if blocks == 1:
+        return cells.withColumn("part", F.lit(0))
+    # one row for each cell that is too large: fewer than edges / cell_edges
+    large = cells.groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * cell_edges).select("cell", F.ceil(F.col("c") / cell_edges).cast("int").alias("parts"))
+    return cells.join(large, "cell", "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
+def _round(edges: DataFrame, blocks: int, cell_edges: int) -> DataFrame:
+    """Edges (u < v) to fewer, equally connected edges."""
+    stars = _cells(edges, blocks, cell_edges).groupBy("cell", "part").applyInPandas(_union_find, "v bigint, r bigint")
+    # a vertex lies in at most 2 B cells and their parts, which bounds the set
     reps = stars.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("rs"))
     ties = F.concat(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v"))), F.transform(F.filter("rs", lambda r: r != F.col("m")), lambda r: F.struct(F.col("m").alias("u"), r.alias("v"))))
     return reps.select(F.explode(ties).alias("e")).select("e.u", "e.v").distinct()
@@ -70,8 +81,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
     while left:
         if len(settled) == max_rounds:
             raise RuntimeError(f"not stable after {max_rounds} rounds")
-        blocks = max(4, round((2 * left / cell_edges) ** 0.5))
-        stars = materialize(_round(alive, blocks), "stars")
+        blocks = round((2 * left / cell_edges) ** 0.5)
+        # the whole graph is never one cell; what a round has left of it can be, if it is small enough
+        blocks = max(1 if settled and left <= cell_edges else 4, blocks)
+        stars = materialize(_round(alive, blocks, cell_edges), "stars")
         # representatives pass from cell to cell: each tie moves up to the smallest tie of its smaller end
         parents = stars.groupBy("v").agg(F.min("u").alias("p"))
         ups = materialize(stars.select("u").distinct().join(parents.select(F.col("v").alias("u"), F.col("p").alias("top")), "u"), "ups")
