@@ -46,7 +46,7 @@ QUERIES = {
     "p5_found": lambda spark, d: components.tied_sequences(table(spark, d, "xrefs")),
     "p6_found": lambda spark, d: passages.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id"),
     "p6_leak_report": lambda spark, d: passages.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
-    "p7_found": lambda spark, d: _p7(spark, d).report().filter("below_target").select("source"),
+    "p7_found": lambda spark, d: _p7(spark, d).fitted().filter("below_target").select("source"),
     "p7_mix_report": lambda spark, d: _p7(spark, d).report(),
     "p7_mix_documents": lambda spark, d: _p7(spark, d).documents(),
     "p8_found": lambda spark, d: pieces.long_pieces(table(spark, d, "documents")).filter("piece = 0").select("doc_id").distinct(),
