@@ -23,7 +23,7 @@ WORDS = 15
 BLOCK = 12
 #: Patterns shorter than this get tables of their own, so that they don't shorten the jumps of the rest.
 SHORT = 40
-#: Characters of item text searched for at once; more items are searched in several passes over the documents.
+#: Characters of item text searched for at once; more items are searched in several passes over the normalised documents.
 ITEM_CHARS = 4_000_000
 
 
@@ -104,13 +104,19 @@ def find_patterns(runs: list[str], tables: list) -> dict[int, set[int]]:
     return found
 
 
-def _search(tables, words: int):
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with the word runs of each text, joined by blanks."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(word_runs(t)) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+
+def _search(tables, words: int, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tables.value
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for item, firsts in find_patterns(word_runs(text), own).items():
+                for item, firsts in find_patterns(word_runs(text) if raw else text.split(" "), own).items():
                     covered = len(set().union(*(range(i, i + words) for i in firsts)))
                     out.append((doc, item, covered))
             cols = list(zip(*out)) or [(), (), ()]
@@ -123,18 +129,21 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, ite
     """(doc_id, item_id, words): each document with each item of which it holds ``words`` consecutive words or more.
 
     ``words`` counts the words of the item inside such runs. Null texts, null ids and items that are too short give no row;
-    an id with several texts counts for each. The items, a fixed set, go to every task, ``item_chars`` characters at a time.
+    an id with several texts counts for each. The items, a fixed set, go to every task, ``item_chars`` characters at a time;
+    if they take more than one time, the documents are normalised once before.
     """
     spark = documents.sparkSession
     asked = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct()
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-size // item_chars) or 1
     docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if passes > 1:
+        docs = materialize(docs.mapInArrow(_normalised, "doc_id bigint, text string"), "normalised")
     out = None
     for i in range(passes):
         part = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else asked
         tables = spark.sparkContext.broadcast(pattern_tables([(r[0], r[1]) for r in part.collect()], words))
-        hits = docs.mapInArrow(_search(tables, words), "doc_id bigint, item_id bigint, words int")
+        hits = docs.mapInArrow(_search(tables, words, passes == 1), "doc_id bigint, item_id bigint, words int")
         out = hits if out is None else out.unionByName(hits)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
