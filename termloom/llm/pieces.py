@@ -65,9 +65,11 @@ def cut(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) ->
         while True:
             e, kind = end_of(s, most)
             over = len(enc.ids(text[char[s] : char[e]])) - limit
-            if over <= 0 or most <= overlap + 8:  # encoded alone, a piece can have a few tokens more than it had in the text
+            if over <= 0:  # encoded alone, a piece can have a few tokens more than it had in the text
                 break
-            most -= over + 4
+            if most <= overlap + 8:
+                raise ValueError(f"no piece of at most {limit} tokens moves on from character {char[s]}")
+            most = max(most - over - 4, overlap + 8)
         out.append((len(out), s, e, int(char[s]), int(char[e]), kind))
         if e == n:
             return out
@@ -94,9 +96,11 @@ def long_pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
 
     Each piece has at most ``limit`` tokens and begins ``overlap`` tokens before the end of the one before it (a few more if a
     character would be split). ``cut`` tells what the piece ends at: claim, paragraph, sentence, hard or end. Shorter, empty
-    and null texts give no rows. A token holds at least one byte, so texts with fewer bytes aren't encoded at all.
+    and null texts give no rows. A token of a rank file holds at least one byte of the text as it stands, so with these, texts
+    of fewer bytes aren't encoded at all. A text that can't be cut so raises; none of those files gives such a case at this limit.
     """
     if not 0 <= overlap < limit // 4:
         raise ValueError("the overlap must be less than a quarter of the limit")
-    long = documents.filter((F.octet_length("text") >= limit) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    least = limit if tokenizer.endswith(".tiktoken") else 1  # other tokenizers may expand what they normalise
+    long = documents.filter((F.octet_length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return long.mapInPandas(_pieces(tokenizer, limit, overlap), SCHEMA)
