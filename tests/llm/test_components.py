@@ -32,6 +32,8 @@ def test_paths_stars_cycles_and_random_graphs(table):
     assert run(table, edges) == groups(edges)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)]
     assert run(table, edges, cell_edges=10) == groups(edges)  # many cells
+    hub = [(5, i) for i in range(6, 400)] + [(i, i + 1000) for i in range(300, 420)]
+    assert run(table, hub, cell_edges=15) == groups(hub)  # the hub's cells are cut into parts
 
 
 def test_nulls_loops_repeats_and_nothing(table):

@@ -91,3 +91,27 @@ def test_leaks_across_splits(table):
     report = {(r["split"], r["stratum"]): r for r in leakage.overlap_report(table_, got).collect()}
     assert sum(r["exact"] + r["near"] for r in report.values()) >= len(want)
     assert leakage.cross_split_overlaps(table_.limit(0), corpus).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_of_large_classes_come_from_blocks(table, block):
+    from termloom.llm.copies import spelled_pairs
+
+    rng = random.Random(6)
+    cid = {i: 1 if i % 2 else rng.choice([2, 3, 4, 5]) for i in range(120)}  # one class has half of all records
+    size = {c: list(cid.values()).count(c) for c in range(1, 6)}
+    members = table("id bigint, cid bigint, copies bigint", [(i, c, size[c]) for i, c in cid.items()])
+    linked = {(1, 2), (3, 4)}
+    out = spelled_pairs(members, table("cid_1 bigint, cid_2 bigint, overlap int", [(*x, 1) for x in linked]), block)
+    got = [tuple(r) for r in out.collect()]
+    want = {(i, j) for i in cid for j in cid if i < j and (cid[i] == cid[j] or (cid[i], cid[j]) in linked or (cid[j], cid[i]) in linked)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert out.rdd.getNumPartitions() >= 4
+
+
+def test_token_of_nearly_every_set(table):
+    rng = random.Random(12)
+    data = [(i, ["0", "1"] + [str(x) for x in rng.sample(range(2, 40), 10)]) for i in range(150)]
+    classes = table("cid bigint, toks string, n int", [(i, ",".join(t), len(t)) for i, t in data])
+    got = {(r["cid_1"], r["cid_2"]) for r in sets.similar_classes(classes, 0.6, 10).collect()}
+    assert got == brute([(i, clean(t)) for i, t in data]) and got

@@ -106,12 +106,22 @@ def test_mix_meets_its_targets_where_it_can(table):
     assert report["C"]["below_target"] and report["none-such"]["below_target"] and report["none-such"]["mix_tokens"] == 0
     own = sum(len(enc.ids(t)) for _, t, s in docs if t and s == "C ")
     assert report["C"]["most_tokens"] == report["C"]["tokens"] == own and 0 <= report["C"]["mix_tokens"] - own < 5  # a little of the unlabelled
+    assert mix.converged and len(mix.steps) < 20
+    for s in ("a", "b"):  # whole copies hold the shares too
+        assert abs(report[s]["actual_share"] * size - report[s]["mix_tokens"]) < 0.03 * size
     used = mix.documents().collect()
+    assert sum(r["tokens"] * r["copies"] for r in used if r["source"] == "a") == report["a"]["copied_tokens"]
     cap = {"a": 2, "b": 3, "C": 1, None: 5}
     assert len(used) == len(docs) and all(0 <= r["rate"] <= cap[r["source"]] + 1e-9 and abs(r["copies"] - r["rate"]) < 1 for r in used)
     assert any(r["rate"] > 1 for r in used)
 
 
+def test_memberships_stay_soft_and_whole():
+    q = mixing._memberships(np.array([0, 1, -1]), np.array([[0.9, 0.1], [1.0, 0.0], [0.7, 0.3]], np.float32))
+    assert q.sum(axis=1).tolist() == [mixing.UNIT] * 3 and q[2].tolist() == [700, 300]
+    assert q[0][0] >= 999 and 0 < q[1][0] < 0.2 * mixing.UNIT  # a label outweighs a text that speaks against it
+
+
 def test_classifier_knows_held_out_documents(table):
     docs = [(i, t, "abc".index(s.strip().lower())) for i, t, s in _docs(300)]
     w, b = mixing.fit_classifier(table("doc_id bigint, text string, label int", docs[:200]), 3, size=64)
