@@ -15,10 +15,10 @@ ENTRY = "%I A000010\n%N A000010 Some name.\n%Y A000010 Cf. A000020 (complement),
 
 def test_term_and_name_lists(spark, tmp_path):
     with gzip.open(tmp_path / "stripped.gz", "wt") as f:
-        f.write("# comment\nA000045 ,0,1,1,2,\nA000001 ,+1,x,,-5,\nA000002 ,\nA000003\nB000004 ,1,\n")
+        f.write("# comment\nA000045 ,0,1,1,2,\nA000001 ,+1,x,,-5,\nA000002 ,\nA000003\nB000004 ,1,\nA000046 ,0,1, 1,\nA000047 ,0,1,2, \n")
     (tmp_path / "names").write_text("# comment\nA000045 Fibonacci numbers: F(n). \nA12 no\n")
-    assert {(r[0], tuple(r[1])) for r in dumps.read_terms(spark, str(tmp_path / "stripped.gz")).collect()} == {(45, ("0", "1", "1", "2")), (1, ("1", "-5")), (2, ()), (3, ())}
-    assert {tuple(r) for r in dumps.read_lengths(spark, str(tmp_path / "stripped.gz")).filter("n > 0").collect()} == {(45, 4), (1, 2)}
+    assert {(r[0], tuple(r[1])) for r in dumps.read_terms(spark, str(tmp_path / "stripped.gz")).collect()} == {(45, ("0", "1", "1", "2")), (1, ("1", "-5")), (2, ()), (3, ()), (46, ("0", "1", "1")), (47, ("0", "1", "2"))}
+    assert {tuple(r) for r in dumps.read_lengths(spark, str(tmp_path / "stripped.gz")).filter("n > 0").collect()} == {(45, 4), (1, 2), (46, 3), (47, 3)}
     assert [tuple(r) for r in dumps.read_names(spark, str(tmp_path / "names")).collect()] == [(45, "Fibonacci numbers: F(n).")]
 
 
