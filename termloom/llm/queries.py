@@ -83,7 +83,20 @@ _HELD = """
          JOIN train t ON (t.u = x.b AND t.v = y.b) OR (t.u = y.b AND t.v = x.b))
 """
 
+# maximal runs between the first records of the classes, smaller first
+_RUNS = """
+ class AS (SELECT id, s, len(s) AS n, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM seq),
+ rep AS (SELECT gram.* FROM gram JOIN class USING (id) WHERE id = class_id),
+ hit AS (SELECT a.id AS a, b.id AS b, a.p, b.p - a.p AS d FROM rep a JOIN rep b ON a.g = b.g AND a.id < b.id),
+ isle AS (SELECT *, p - row_number() OVER (PARTITION BY a, b, d ORDER BY p) AS k FROM hit),
+ run AS (SELECT a, b, min(p) - 1 AS s1, min(p) - 1 + d AS s2, count(*) + 11 AS n FROM isle GROUP BY a, b, d, k)
+"""
+
 SQL = {
+    "p2_runs": f"WITH {_TERMS.format(more='')}, {_SEQ}, {_RUNS} SELECT a AS class_1, b AS class_2, CAST(s1 AS INT) AS start_1, CAST(s2 AS INT) AS start_2, CAST(n AS INT) AS len FROM run",
+    "p2_classes": f"WITH {_TERMS.format(more='')}, {_SEQ} SELECT id AS a_number, min(id) OVER (PARTITION BY s) AS class_id FROM seq",
+    # texts are far from the limit: those above it have over 26,000 bytes, the others less than 7,000
+    "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4 * 4096",
     "p2_found": f"""
 WITH {_TERMS.format(more='')}, {_SEQ}
 SELECT DISTINCT a.id AS a_number_1, b.id AS a_number_2 FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id
@@ -96,6 +109,16 @@ WITH {_TERMS.format(more='')}, {_SEQ},
  cov AS (SELECT id, count(DISTINCT q) AS covered FROM (SELECT id, unnest(range(p, p + 12)) AS q FROM (SELECT DISTINCT id, p FROM link)) GROUP BY id)
 SELECT id AS a_number, class_id, n AS n_terms, copies, coalesce(partners, 0) AS partners, coalesce(covered, 0) AS covered
 FROM class LEFT JOIN par USING (id) LEFT JOIN cov USING (id)
+""",
+    "p2_records": f"""
+WITH {_TERMS.format(more='')}, {_SEQ}, {_RUNS},
+ link AS (SELECT DISTINCT a.id, a.p, b.id AS o FROM gram a JOIN gram b ON a.g = b.g AND a.id <> b.id),
+ par AS (SELECT id, count(DISTINCT o) AS partners FROM link GROUP BY id),
+ cov AS (SELECT id, count(DISTINCT q) AS covered FROM (SELECT id, unnest(range(p, p + 12)) AS q FROM (SELECT DISTINCT id, p FROM link)) GROUP BY id),
+ places AS (SELECT class_id, count(*) AS runs FROM (SELECT a AS class_id, s1, n FROM run UNION SELECT b, s2, n FROM run) GROUP BY class_id),
+ sizes AS (SELECT corpus.a_number AS id, count(t) AS n FROM corpus LEFT JOIN term ON term.id = corpus.a_number WHERE corpus.a_number IS NOT NULL GROUP BY ALL)
+SELECT sizes.id AS a_number, class_id, CAST(sizes.n AS INT) AS n_terms, coalesce(copies, 0) AS copies, coalesce(partners, 0) AS partners, coalesce(runs, 0) AS runs, CAST(coalesce(covered, 0) AS INT) AS covered
+FROM sizes LEFT JOIN class USING (id) LEFT JOIN par USING (id) LEFT JOIN cov USING (id) LEFT JOIN places USING (class_id)
 """,
     "p3_found": f"WITH {_TERMS.format(more=_BOTH)}, {_NEAR} SELECT id_1, id_2 FROM near",
     "p3_links": f"""

@@ -142,11 +142,21 @@ def coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     return members.drop("copies").join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
 
 
+def _ordered(one: str, two: str, *with_: str) -> list:
+    """Two columns, smaller first, and two more that go with them."""
+    up = F.col(one) <= F.col(two)
+    turned = {one: two, two: one, with_[0]: with_[1], with_[1]: with_[0]}
+    return [F.when(up, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in turned.items()]
+
+
 def record_runs(corpus: DataFrame, least: int = 12) -> DataFrame:
-    """(class_1, class_2, start_1, start_2, len): maximal shared runs between classes, by their smallest ids; starts count from 0. The records of a class are in :func:`record_classes`."""
+    """(class_1, class_2, start_1, start_2, len): maximal shared runs between classes, by their smallest ids, the smaller first.
+
+    Starts count from 0. The records of a class are in :func:`record_classes`.
+    """
     _, classes = sequence_classes(corpus, least)
     rid = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("rid").alias(f"class_{s}"))
-    return shared_runs(classes, least).join(rid(1), "cid_1").join(rid(2), "cid_2").select("class_1", "class_2", "start_1", "start_2", "len")
+    return shared_runs(classes, least).join(rid(1), "cid_1").join(rid(2), "cid_2").select(*_ordered("class_1", "class_2", "start_1", "start_2"), "len")
 
 
 def record_classes(corpus: DataFrame, least: int = 12) -> DataFrame:
