@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.session import materialize, spread
 
@@ -98,6 +99,15 @@ def transformed(seqs: DataFrame, first: int | None = None) -> DataFrame:
     return seqs.select(F.col("id").cast("bigint").alias("id"), "seq").filter("seq is not null").mapInPandas(run, "id bigint, transform string, terms array<string>")
 
 
+@F.pandas_udf(T.LongType())
+def residue_sum(terms: pd.Series) -> pd.Series:
+    """The sum of all terms, each times its place from 1, modulo 2**61 - 1: a check value that any engine can repeat."""
+    import sys
+
+    sys.set_int_max_str_digits(0)
+    return terms.map(lambda t: sum(i * int(x) for i, x in enumerate(t, 1)) % (2**61 - 1))
+
+
 def _varied_starts(shift: int, least: int):
     """(..., terms as text) to (..., at, key): a key for each start 0..``shift`` that leaves ``least`` terms, not all of them the same.
 

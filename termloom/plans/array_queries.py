@@ -116,11 +116,11 @@ _SUB = """CASE WHEN least(len(p), len(q)) < 8 THEN false ELSE len(list_filter(ra
 
 
 # terms modulo a prime of 61 bits, from their digits: products of two residues fit HUGEINT, and unequal numbers agree with a chance below 1e-17
-_PRIME = 2**61 - 1
+PRIME = 2**61 - 1
 RESIDUES = f"""
  digits AS (SELECT id, i, t LIKE '-%' AS minus, lpad(ltrim(t, '-'), CAST(ceil(len(ltrim(t, '-')) / 15) * 15 AS INT), '0') AS g FROM term),
- reduced AS (SELECT id, i, minus, list_reduce(list_transform(range(0, len(g) // 15), lambda j: CAST(substr(g, CAST(j * 15 + 1 AS INT), 15) AS HUGEINT)), lambda x, y: (x * 1000000000000000 + y) % {_PRIME}) % {_PRIME} AS r FROM digits),
- residues AS (SELECT id, list(CASE WHEN minus AND r > 0 THEN {_PRIME} - r ELSE r END ORDER BY i) AS r FROM reduced GROUP BY id)
+ reduced AS (SELECT id, i, minus, list_reduce(list_transform(range(0, len(g) // 15), lambda j: CAST(substr(g, CAST(j * 15 + 1 AS INT), 15) AS HUGEINT)), lambda x, y: (x * 1000000000000000 + y) % {PRIME}) % {PRIME} AS r FROM digits),
+ residues AS (SELECT id, list(CASE WHEN minus AND r > 0 THEN {PRIME} - r ELSE r END ORDER BY i) AS r FROM reduced GROUP BY id)
 """
 # of pairs pr(u, v, p, q) of residues: matched(u, v, s)
 AFFINE = f"""
@@ -128,7 +128,7 @@ AFFINE = f"""
  sized AS (SELECT u, v, s, list_slice(p, 1, least(len(p), len(q))) AS p, list_slice(q, 1, least(len(p), len(q))) AS q FROM shifted WHERE least(len(p), len(q)) >= 8),
  first AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: p[i] <> p[1])[1] AS k FROM sized),
  matched AS (SELECT u, v, s, k FROM first WHERE CASE WHEN k IS NULL THEN len(list_distinct(q)) = 1
-   ELSE q[k] <> q[1] AND len(list_filter(range(1, len(p) + 1), lambda i: (((q[i] - q[1] + {_PRIME}) % {_PRIME}) * ((p[k] - p[1] + {_PRIME}) % {_PRIME}) - ((q[k] - q[1] + {_PRIME}) % {_PRIME}) * ((p[i] - p[1] + {_PRIME}) % {_PRIME})) % {_PRIME} <> 0)) = 0 END)
+   ELSE q[k] <> q[1] AND len(list_filter(range(1, len(p) + 1), lambda i: (((q[i] - q[1] + {PRIME}) % {PRIME}) * ((p[k] - p[1] + {PRIME}) % {PRIME}) - ((q[k] - q[1] + {PRIME}) % {PRIME}) * ((p[i] - p[1] + {PRIME}) % {PRIME})) % {PRIME} <> 0)) = 0 END)
 """
 
 

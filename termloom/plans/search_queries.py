@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.arrays import affine_match
 from termloom.operators import battery, exclude, retrieval
-from termloom.plans.array_queries import AFFINE, RESIDUES
+from termloom.plans.array_queries import AFFINE, PRIME, RESIDUES
 from termloom.plans.graph_queries import TERMS
 from termloom.session import materialize, spread, table
 from termloom.streaming.mentions import stream_counts
@@ -47,6 +47,13 @@ def _ranks(s, d):
     return materialize(retrieval.report_parts(retrieval.hit_ranks(held, ranked)), "ranks")
 
 
+def _linear(s, d):
+    """The transforms that are sums of terms, as their length and a check value."""
+    other = ["euler", "inverse_euler", "complement", "complement_gaps"]
+    rows = battery.transformed(spread(_seqs(s, d))).filter(~F.col("transform").isin(other))
+    return rows.select("id", "transform", F.size("terms").alias("n"), battery.residue_sum("terms").alias("check_sum"))
+
+
 def _affine_shifts(s, d):
     """The ten best candidates of each query by shared 3-grams, those that are affine to it, with the shift."""
     seqs = materialize(_seqs(s, d), "seqs")
@@ -62,6 +69,7 @@ QUERIES = {
     "retrieval_ci": lambda s, d: retrieval.bootstrap_ci(_ranks(s, d)),
     "nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")).select("q", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"),
     "transforms": lambda s, d: battery.transformed(spread(_seqs(s, d))).select("id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")),
+    "linear_transforms": _linear,
     "classical_baseline": _baseline,
     "novel_links": _novel_links,
     "transform_links": lambda s, d: battery.transform_links(_seqs(s, d)),
@@ -79,7 +87,31 @@ _GRAM_OF = f"""
 
 _GRAM = _GRAM_OF.format(asked="a.id % 100 = 0")
 
+# places count from 1
+_LINEAR = f"""
+ {TERMS}, {RESIDUES},
+ x AS (SELECT id, i + 1 AS i, CASE WHEN minus AND r > 0 THEN {PRIME} - r ELSE r END AS x FROM reduced),
+ d1 AS (SELECT id, i, (lead(x) OVER w - x + {PRIME}) % {PRIME} AS x FROM x WINDOW w AS (PARTITION BY id ORDER BY i) QUALIFY lead(x) OVER w IS NOT NULL),
+ d2 AS (SELECT id, i, (lead(x) OVER w - x + {PRIME}) % {PRIME} AS x FROM d1 WINDOW w AS (PARTITION BY id ORDER BY i) QUALIFY lead(x) OVER w IS NOT NULL),
+ top AS (SELECT max(i) AS m FROM x),
+ xs AS (SELECT id, i, x, count(*) OVER (PARTITION BY id) AS z FROM x),
+ pascal(n, c) AS (SELECT 0, [CAST(1 AS HUGEINT)] UNION ALL SELECT n + 1, [CAST(1 AS HUGEINT)] || list_transform(range(1, len(c)), lambda k: (c[k] + c[k + 1]) % {PRIME}) || [CAST(1 AS HUGEINT)] FROM pascal WHERE n < (SELECT m FROM top)),
+ choose AS (SELECT n, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS c FROM pascal),
+ nat AS (SELECT CAST(unnest(range(1, (SELECT m FROM top) + 1)) AS BIGINT) AS n),
+ prime AS (SELECT n AS p FROM nat a WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM nat b WHERE b.n > 1 AND b.n < a.n AND a.n % b.n = 0)),
+ mu AS (SELECT n, CASE WHEN EXISTS (SELECT 1 FROM prime WHERE n % (p * p) = 0) THEN 0 WHEN (SELECT count(*) FROM prime WHERE n % p = 0) % 2 = 0 THEN 1 ELSE -1 END AS mu FROM nat),
+ divisor AS (SELECT a.n, b.n AS i, mu FROM nat a JOIN nat b ON a.n % b.n = 0 JOIN mu ON mu.n = a.n // b.n),
+ every_ AS (SELECT id, 'identity' AS transform, i, x FROM x UNION ALL SELECT id, 'negation', i, ({PRIME} - x) % {PRIME} FROM x
+  UNION ALL SELECT id, 'diff1', i, x FROM d1 UNION ALL SELECT id, 'diff2', i, x FROM d2 UNION ALL SELECT id, 'partial_sums', i, sum(x) OVER (PARTITION BY id ORDER BY i) % {PRIME} FROM x
+  UNION ALL SELECT id, CASE i % 2 WHEN 1 THEN 'even' ELSE 'odd' END, (i + 1) // 2, x FROM x UNION ALL SELECT id, 'third_' || ((i - 1) % 3), (i - 1) // 3 + 1, x FROM x
+  UNION ALL SELECT id, 'binomial', n + 1, sum(c * x % {PRIME}) % {PRIME} FROM xs JOIN choose USING (i) WHERE n < z GROUP BY id, n
+  UNION ALL SELECT id, 'inverse_binomial', n + 1, sum(c * (CASE WHEN (n + 1 - i) % 2 = 0 THEN x ELSE {PRIME} - x END) % {PRIME}) % {PRIME} FROM xs JOIN choose USING (i) WHERE n < z GROUP BY id, n
+  UNION ALL SELECT id, 'moebius', n, (sum(mu * x) % {PRIME} + {PRIME}) % {PRIME} FROM xs JOIN divisor USING (i) WHERE n <= z GROUP BY id, n
+  UNION ALL SELECT id, 'inverse_moebius', n, sum(x) % {PRIME} FROM xs JOIN divisor USING (i) WHERE n <= z GROUP BY id, n)
+"""
+
 SQL = {
+    "linear_transforms": f"WITH RECURSIVE {_LINEAR} SELECT id, transform, CAST(count(*) AS INT) AS n, CAST(sum(x * i % {PRIME}) % {PRIME} AS BIGINT) AS check_sum FROM every_ GROUP BY id, transform",
     "affine_shifts": f"""
 WITH {_GRAM}, {RESIDUES}, pr AS (SELECT q AS u, rk.id AS v, a.r AS p, b.r AS q FROM rk JOIN residues a ON a.id = rk.q JOIN residues b ON b.id = rk.id WHERE rank <= 10), {AFFINE}
 SELECT u AS q, v AS id, CAST(min(s) AS INT) AS s FROM matched GROUP BY u, v

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import clean_label
-from termloom.session import shared_dir
+from termloom.session import scratch
 
 
 def read_mentions(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -51,7 +51,7 @@ def stream_counts(spark: SparkSession, path: str) -> DataFrame:
 
     Late rows count: without a watermark a day's state stays open, and days times strata are few.
     """
-    name, at = f"t{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    name, at = f"t{uuid.uuid4().hex}", scratch(spark, "stream")
     query = daily_counts(read_mentions(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).withColumn("day", F.col("day").cast("timestamp_ntz"))
