@@ -49,6 +49,25 @@ def subsequence_match(a: Column, b: Column, least: int = 8) -> Column:
 AFFINE = T.StructType([*(T.StructField(c, T.StringType()) for c in ("c_num", "c_den", "d_num", "d_den")), T.StructField("s", T.IntegerType())])
 
 
+def _affine(x: list[int], y: list[int]) -> tuple | None:
+    """(s, c numerator and denominator as they stand, first terms of the overlap) of the first affine shift, or None."""
+    for s in range(-8, 9):
+        p, q = (x[s:], y) if s >= 0 else (x, y[-s:])
+        m = min(len(p), len(q))
+        if m < 8:
+            continue
+        p0, q0 = p[0], q[0]
+        k = next((i for i in range(1, m) if p[i] != p0), 0)
+        if not k:
+            if all(v == q0 for v in q[:m]):
+                return s, 0, 1, p0, q0
+            continue
+        dp, dq = p[k] - p0, q[k] - q0
+        if dq and all((q[i] - q0) * dp == dq * (p[i] - p0) for i in range(m)):
+            return s, dq, dp, p0, q0
+    return None
+
+
 @F.pandas_udf(AFFINE)
 def affine_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The first shift s in -8..8 with b[i] = c * a[i + s] + d exactly over an overlap of at least 8 terms; all null if there is none.
@@ -60,37 +79,43 @@ def affine_match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
     sys.set_int_max_str_digits(0)
 
-    def one(x: list[int], y: list[int]) -> tuple:
-        for s in range(-8, 9):
-            p, q = (x[s:], y) if s >= 0 else (x, y[-s:])
-            m = min(len(p), len(q))
-            if m < 8:
-                continue
-            k = next((i for i in range(1, m) if p[i] != p[0]), 0)
-            if not k:
-                if all(v == q[0] for v in q[:m]):
-                    return "0", "1", str(q[0]), "1", s
-                continue
-            dp, dq = p[k] - p[0], q[k] - q[0]
-            if dq and all((q[i] - q[0]) * dp == dq * (p[i] - p[0]) for i in range(m)):
-                c = Fraction(dq, dp)
-                d = q[0] - c * p[0]
-                return str(c.numerator), str(c.denominator), str(d.numerator), str(d.denominator), s
-        return (None,) * 5
-
-    rows = [one([int(t) for t in x], [int(t) for t in y]) if x is not None and y is not None else (None,) * 5 for x, y in zip(a, b)]
-    out = pd.DataFrame(rows, columns=["c_num", "c_den", "d_num", "d_den", "s"])
+    def one(x, y) -> tuple:
+        got = None if x is None or y is None else _affine([int(t) for t in x], [int(t) for t in y])
+        if got is None:
+            return (None,) * 5
+        s, dq, dp, p0, q0 = got
+        c = Fraction(dq, dp)
+        d = q0 - c * p0
+        return str(c.numerator), str(c.denominator), str(d.numerator), str(d.denominator), s
+
+    out = pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["c_num", "c_den", "d_num", "d_den", "s"])
     return out.astype({"s": "Int32"})
 
 
-def pair_features(a: Column, b: Column) -> Column:
-    """STRUCT<term_set_jaccard, ngram3_jaccard, exact_subseq, affine_match: DOUBLE> of two arrays of clean terms."""
-    return F.struct(
-        jaccard(a, b).alias("term_set_jaccard"),
-        ngram_jaccard(a, b).alias("ngram3_jaccard"),
-        subsequence_match(a, b).cast("double").alias("exact_subseq"),
-        affine_match(a, b)["s"].isNotNull().cast("double").alias("affine_match"),
-    )
+FEATURES = ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in FEATURES]))
+def pair_features(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """STRUCT<term_set_jaccard, ngram3_jaccard, exact_subseq, affine_match: DOUBLE> of two arrays of clean terms; null counts as empty.
+
+    The same as ``jaccard``, ``ngram_jaccard``, ``subsequence_match`` and ``affine_match`` one by one. The last needs both arrays
+    in Python, and there all four are cheaper than array functions, which build each gram by itself.
+    """
+    import sys
+
+    sys.set_int_max_str_digits(0)
+    part = lambda x, y: len(x & y) / len(x | y) if x or y else 0.0
+
+    def one(x: list[str], y: list[str]) -> tuple:
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        m, n = len(short), len(long)
+        sub = m >= 8 and any(long[i] == short[0] and long[i : i + m] == short[: n - i] for i in range(n - 7))
+        grams = (set(zip(t, t[1:], t[2:])) for t in (x, y))
+        return part(set(x), set(y)), part(*grams), float(sub), float(_affine(list(map(int, x)), list(map(int, y))) is not None)
+
+    rows = [one([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)]
+    return pd.DataFrame(rows, columns=FEATURES)
 
 
 def feature_names(k: int = K) -> list[str]:

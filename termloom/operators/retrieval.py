@@ -248,7 +248,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: in
 
 def scored_pairs(splits: DataFrame, corpus: DataFrame) -> DataFrame:
     """(u, v, split, label, and the four pair features) of the distinct labelled pairs whose two sequences have terms."""
-    seqs = sequences(corpus)
+    seqs = spread(sequences(corpus))
     pairs = splits.filter("u is not null and v is not null and label is not null").select("u", "v", "split", F.col("label").cast("int").alias("label")).distinct()
     for c in ("u", "v"):
         pairs = pairs.join(seqs.select(F.col("id").alias(c), F.col("seq").alias("s" + c)), c)

@@ -24,7 +24,7 @@ def _features(s, d):
 
 
 def _with_terms(s, d, pairs):
-    seqs = _seqs(s, d)
+    seqs = spread(_seqs(s, d))  # Spark may broadcast the pairs and stream the sequences
     for c in ("u", "v"):
         pairs = pairs.join(seqs.select(F.col("id").alias(c), F.col("seq").alias("s" + c)), c)
     return pairs
