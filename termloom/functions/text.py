@@ -41,6 +41,7 @@ def mentions(text: Column) -> Column:
 
 def line_type(text: Column) -> Column:
     """duplicate, transform, Cf., See also or other: the first that holds."""
+    # fixed values: the names of the types and how their lines begin
     return F.when(has(text, S1_CUE), "duplicate").when(has(text, S2_CUE_V0), "transform").when(has(text, r"^cf\b"), "Cf.").when(has(text, r"^see also\b"), "See also").otherwise("other")
 
 
