@@ -23,7 +23,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def ngrams(terms: Column, n: int = 3) -> Column:
     """All runs of n neighbouring terms as strings, joined by commas; empty if there are fewer terms."""
     m = F.size(terms) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, n), ","))
+    grams = F.transform(
+        F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, n), ",")
+    )
     return F.when(m >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -41,12 +43,21 @@ def subsequence_match(a: Column, b: Column, least: int = 8) -> Column:
     m, n = F.size(short), F.size(long)
     starts = F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))
     # slices are built only where the first terms agree
-    hit = F.exists(starts, lambda s: (F.get(long, s) == F.get(short, F.lit(0))) & (F.slice(long, s + 1, F.least(m, n - s)) == F.slice(short, F.lit(1), F.least(m, n - s))))
+    hit = F.exists(
+        starts,
+        lambda s: (F.get(long, s) == F.get(short, F.lit(0)))
+        & (F.slice(long, s + 1, F.least(m, n - s)) == F.slice(short, F.lit(1), F.least(m, n - s)))
+    )
     return F.when(m >= least, hit).otherwise(False)
 
 
 #: c and d as exact fractions, and the shift.
-AFFINE = T.StructType([*(T.StructField(c, T.StringType()) for c in ("c_num", "c_den", "d_num", "d_den")), T.StructField("s", T.IntegerType())])
+AFFINE = T.StructType(
+    [
+        *(T.StructField(c, T.StringType()) for c in ("c_num", "c_den", "d_num", "d_den")),
+        T.StructField("s", T.IntegerType())
+    ]
+)
 
 
 def _affine(x: list[int], y: list[int]) -> tuple | None:
@@ -112,7 +123,12 @@ def pair_features(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         m, n = len(short), len(long)
         sub = m >= 8 and any(long[i] == short[0] and long[i : i + m] == short[: n - i] for i in range(n - 7))
         grams = (set(zip(t, t[1:], t[2:])) for t in (x, y))
-        return part(set(x), set(y)), part(*grams), float(sub), float(_affine(list(map(int, x)), list(map(int, y))) is not None)
+        return (
+            part(set(x), set(y)),
+            part(*grams),
+            float(sub),
+            float(_affine(list(map(int, x)), list(map(int, y))) is not None)
+        )
 
     rows = [one([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b)]
     return pd.DataFrame(rows, columns=FEATURES)
@@ -121,7 +137,29 @@ def pair_features(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def feature_names(k: int = K) -> list[str]:
     # fixed values: the names and their order
     residues = [f"mod{m}_{r}" for m in MODULI for r in range(m)]
-    return [f"slog_{i}" for i in range(k)] + ["n_terms", "n_used", "growth_slope", "growth_intercept", "growth_rms", "diff1_mean", "diff1_std", "diff2_mean", "diff2_std", *residues, "frac_neg", "frac_zero", "frac_even", "sign_alt", "parity_alt", "logratio_med", "logratio_std", "frac_nondec"]
+    return (
+        [f"slog_{i}" for i in range(k)]
+        + [
+            "n_terms",
+            "n_used",
+            "growth_slope",
+            "growth_intercept",
+            "growth_rms",
+            "diff1_mean",
+            "diff1_std",
+            "diff2_mean",
+            "diff2_std",
+            *residues,
+            "frac_neg",
+            "frac_zero",
+            "frac_even",
+            "sign_alt",
+            "parity_alt",
+            "logratio_med",
+            "logratio_std",
+            "frac_nondec"
+        ]
+    )
 
 
 def sequence_features(k: int = K):

@@ -16,13 +16,17 @@ _PLAIN = r"\A(?:0|-?[1-9][0-9]*)\z"
 def canonical_term(t: Column) -> Column:
     """The one spelling of a whole number (no plus, no leading zeros, no minus zero); null for null and for anything else."""
     digits = F.regexp_extract(t, _WHOLE, 2)
-    other = F.when(digits == "", None).when(digits == "0", digits).otherwise(F.concat(F.regexp_extract(t, _WHOLE, 1), digits))
+    other = F.when(digits == "", None).when(digits == "0", digits).otherwise(
+        F.concat(F.regexp_extract(t, _WHOLE, 1), digits)
+    )
     return F.when(t.rlike(_PLAIN), t).otherwise(other)
 
 
 def clean_terms(terms: Column) -> Column:
     """The terms that are whole numbers, canonical and in order; an empty array for a null one."""
-    return F.coalesce(F.filter(F.transform(terms, canonical_term), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    return F.coalesce(
+        F.filter(F.transform(terms, canonical_term), lambda x: x.isNotNull()), F.array().cast("array<string>")
+    )
 
 
 def exact_longs(terms: Column) -> Column:

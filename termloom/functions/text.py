@@ -42,7 +42,13 @@ def mentions(text: Column) -> Column:
 def line_type(text: Column) -> Column:
     """duplicate, transform, Cf., See also or other: the first that holds."""
     # fixed values: the names of the types and how their lines begin
-    return F.when(has(text, S1_CUE), "duplicate").when(has(text, S2_CUE_V0), "transform").when(has(text, r"^cf\b"), "Cf.").when(has(text, r"^see also\b"), "See also").otherwise("other")
+    return (
+        F.when(has(text, S1_CUE), "duplicate")
+        .when(has(text, S2_CUE_V0), "transform")
+        .when(has(text, r"^cf\b"), "Cf.")
+        .when(has(text, r"^see also\b"), "See also")
+        .otherwise("other")
+    )
 
 
 def strip_parens(text: Column, rounds: int = 3) -> Column:
@@ -65,16 +71,26 @@ def line_cues(source: Column, raw: Column) -> Column:
     whose raw text has no such cue mark nothing.
     """
     none = F.array().cast("array<int>")
-    parts = F.transform(F.transform(sentences(raw), lambda s: strip_parens(s)), lambda s: F.struct(s.alias("bare"), all_ids(s).alias("ids")))
+    parts = F.transform(
+        F.transform(sentences(raw), lambda s: strip_parens(s)),
+        lambda s: F.struct(s.alias("bare"), all_ids(s).alias("ids"))
+    )
     direct = F.transform(F.regexp_extract_all(strip_parens(raw), F.lit(_I + S1_DIRECT), 1), lambda x: x.cast("int"))
     cluster = F.flatten(F.transform(F.filter(parts, lambda p: has(p["bare"], S1_CLUSTER)), lambda p: p["ids"]))
-    alone = F.transform(parts, lambda p: F.when(has(p["bare"], S2_CUE_V1), F.array_except(F.array_distinct(p["ids"]), F.array(source))))
+    alone = F.transform(
+        parts, lambda p: F.when(has(p["bare"], S2_CUE_V1), F.array_except(F.array_distinct(p["ids"]), F.array(source)))
+    )
     s2 = F.flatten(F.filter(alone, lambda a: F.size(a) == 1))
     gate_1 = has(raw, S1_CUE)
     gate_2 = has(raw, S2_CUE_V1)
-    return F.struct(F.when(gate_1, F.array_union(direct, cluster)).otherwise(none).alias("s1"), F.when(gate_2, F.array_distinct(s2)).otherwise(none).alias("s2"))
+    return F.struct(
+        F.when(gate_1, F.array_union(direct, cluster)).otherwise(none).alias("s1"),
+        F.when(gate_2, F.array_distinct(s2)).otherwise(none).alias("s2")
+    )
 
 
 def keyword_list(keywords: Column) -> Column:
     """The keywords of a comma list, trimmed, each once; an empty array for null."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != ""))
+    return F.array_distinct(
+        F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
+    )

@@ -18,7 +18,25 @@ LISTED = 10_000
 CHUNK = 200
 
 #: Names of all transforms. Index origins: binomial counts from 0, Euler and Moebius from 1; Moebius sums mu(n/d) a(d).
-TRANSFORMS = ("identity", "negation", "diff1", "partial_sums", "diff2", "even", "odd", "third_0", "third_1", "third_2", "binomial", "inverse_binomial", "euler", "inverse_euler", "moebius", "inverse_moebius", "complement")
+TRANSFORMS = (
+    "identity",
+    "negation",
+    "diff1",
+    "partial_sums",
+    "diff2",
+    "even",
+    "odd",
+    "third_0",
+    "third_1",
+    "third_2",
+    "binomial",
+    "inverse_binomial",
+    "euler",
+    "inverse_euler",
+    "moebius",
+    "inverse_moebius",
+    "complement"
+)
 
 
 def _divisors(n: int) -> tuple[list[list[int]], list[int]]:
@@ -88,15 +106,25 @@ def transformed(seqs: DataFrame, first: int | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import sys
 
-        sys.set_int_max_str_digits(0)  # Euler transforms of large terms have more digits than Python reads or writes by default
+        # Euler transforms of large terms have more digits than Python reads or writes by default
+        sys.set_int_max_str_digits(0)
         for whole in batches:
             tables = _divisors(max(map(len, whole["seq"]), default=0))
             for k in range(0, len(whole), CHUNK):
                 pdf = whole.iloc[k : k + CHUNK]
-                rows = [(i, name, [str(x) for x in t]) for i, s in zip(pdf["id"], pdf["seq"]) for name, t in _transforms([int(x) for x in s], tables, first) if t]
+                rows = [
+                    (i, name, [str(x) for x in t])
+                    for i, s in zip(pdf["id"], pdf["seq"])
+                    for name, t in _transforms([int(x) for x in s], tables, first)
+                    if t
+                ]
                 yield pd.DataFrame(rows, columns=["id", "transform", "terms"])
 
-    return seqs.select(F.col("id").cast("bigint").alias("id"), "seq").filter("seq is not null").mapInPandas(run, "id bigint, transform string, terms array<string>")
+    return (
+        seqs.select(F.col("id").cast("bigint").alias("id"), "seq")
+        .filter("seq is not null")
+        .mapInPandas(run, "id bigint, transform string, terms array<string>")
+    )
 
 
 @F.pandas_udf(T.LongType())
@@ -143,7 +171,9 @@ def varied_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8) -
     """The columns of ``rows`` but ``terms``, with at, affine (whether the key is one for affine relations) and h, the key's hash."""
     rest = [c for c in rows.columns if c != terms]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
-    keyed = rows.select(*rest, F.array_join(terms, ",").alias("terms")).mapInPandas(_varied_starts(shift, least), f"{kinds}, at int, key string")
+    keyed = rows.select(*rest, F.array_join(terms, ",").alias("terms")).mapInPandas(
+        _varied_starts(shift, least), f"{kinds}, at int, key string"
+    )
     return keyed.select(*rest, "at", F.col("key").startswith("~").alias("affine"), F.xxhash64("key").alias("h"))
 
 
@@ -172,8 +202,14 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return None
 
     for pdf in batches:
-        rows = [(q, t, i, *got) for q, t, i, shifts, a, b in pdf[["q", "transform", "id", "shifts", "a", "b"]].itertuples(index=False) if (got := one(t, shifts, a.split(","), b.split(",")))]
-        yield pd.DataFrame(rows, columns=["q", "transform", "id", "s", "c_num", "c_den", "d_num", "d_den"]).astype({"s": "int32"})
+        rows = [
+            (q, t, i, *got)
+            for q, t, i, shifts, a, b in pdf[["q", "transform", "id", "shifts", "a", "b"]].itertuples(index=False)
+            if (got := one(t, shifts, a.split(","), b.split(",")))
+        ]
+        yield pd.DataFrame(
+            rows, columns=["q", "transform", "id", "s", "c_num", "c_den", "d_num", "d_den"]
+        ).astype({"s": "int32"})
 
 
 def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: int = 8) -> DataFrame:
@@ -190,11 +226,20 @@ def transform_links(seqs: DataFrame, every: int = 100, least: int = 8, shift: in
     # of a complement, no term beyond the longest sequence and the shift meets another one
     asked = transformed(seqs.filter(F.pmod("id", F.lit(every)) == 0), longest + shift).filter(F.size("terms") >= least)
     asked = materialize(asked.withColumnRenamed("id", "q"), "asked")
-    left = varied_starts(asked, "terms", shift, least).filter("not affine or transform = 'identity'").withColumn("transform", F.when(F.col("affine"), "affine").otherwise(F.col("transform")))
-    right = varied_starts(spread(sized.select(F.col("id").cast("bigint").alias("id"), "seq")), "seq", shift, least).withColumnRenamed("at", "at2")
+    left = (
+        varied_starts(asked, "terms", shift, least)
+        .filter("not affine or transform = 'identity'")
+        .withColumn("transform", F.when(F.col("affine"), "affine").otherwise(F.col("transform")))
+    )
+    right = varied_starts(
+        spread(sized.select(F.col("id").cast("bigint").alias("id"), "seq")), "seq", shift, least
+    ).withColumnRenamed("at", "at2")
     hits = left.join(right, ["h", "affine"]).filter("q <> id and (at = 0 or at2 = 0)")
     pairs = hits.groupBy("q", "transform", "id").agg(F.collect_set(F.col("at") - F.col("at2")).alias("shifts"))
     a = asked.select("q", "transform", F.array_join("terms", ",").alias("a"))
     a = a.unionByName(a.filter("transform = 'identity'").withColumn("transform", F.lit("affine")))
     b = sized.select(F.col("id").cast("bigint").alias("id"), F.array_join("seq", ",").alias("b"))
-    return pairs.join(a, ["q", "transform"]).join(b, "id").mapInPandas(_verified, "q bigint, transform string, id bigint, s int, c_num string, c_den string, d_num string, d_den string")
+    return pairs.join(a, ["q", "transform"]).join(b, "id").mapInPandas(
+        _verified,
+        "q bigint, transform string, id bigint, s int, c_num string, c_den string, d_num string, d_den string"
+    )

@@ -22,9 +22,18 @@ def seeded_hash(seed: int, *keys: Column | str) -> Column:
 
 def with_hash_rank(df: DataFrame, stratum: str, keys: list[str], seed: int, digits: int = DIGITS) -> DataFrame:
     """``df`` with rn (1 for the smallest hash of the stratum) and n (rows of the stratum). Ties go by the keys, nulls first."""
-    h = df.withColumn("_h", seeded_hash(seed, *keys)).withColumns({"_s": F.coalesce(F.col(stratum).cast("string"), F.lit("\0")), "_b": F.substring("_h", 1, digits)})
+    h = df.withColumn("_h", seeded_hash(seed, *keys)).withColumns(
+        {"_s": F.coalesce(F.col(stratum).cast("string"), F.lit("\0")), "_b": F.substring("_h", 1, digits)}
+    )
     counts = h.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
     inside = W.partitionBy("_s").orderBy("_b")
-    offsets = counts.select("_s", "_b", (F.sum("_c").over(inside) - F.col("_c")).alias("_o"), F.sum("_c").over(W.partitionBy("_s")).alias("n"))
+    offsets = counts.select(
+        "_s",
+        "_b",
+        (F.sum("_c").over(inside) - F.col("_c")).alias("_o"),
+        F.sum("_c").over(W.partitionBy("_s")).alias("n")
+    )
     numbered = h.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", *keys)))
-    return numbered.join(offsets, ["_s", "_b"]).withColumn("rn", F.col("_o") + F.col("_r")).drop("_s", "_b", "_h", "_o", "_r")
+    return numbered.join(offsets, ["_s", "_b"]).withColumn(
+        "rn", F.col("_o") + F.col("_r")
+    ).drop("_s", "_b", "_h", "_o", "_r")

@@ -17,7 +17,9 @@ from termloom.session import join_hot, materialize, spread
 
 def sequences(corpus: DataFrame) -> DataFrame:
     """(id, seq): the clean terms of each sequence that has any."""
-    return corpus.filter("a_number is not null").select(F.col("a_number").alias("id"), clean_terms(F.col("terms")).alias("seq")).filter(F.size("seq") > 0)
+    return corpus.filter("a_number is not null").select(
+        F.col("a_number").alias("id"), clean_terms(F.col("terms")).alias("seq")
+    ).filter(F.size("seq") > 0)
 
 
 def shared_gram_candidates(queries: DataFrame, seqs: DataFrame, n: int = 3) -> DataFrame:
@@ -26,9 +28,15 @@ def shared_gram_candidates(queries: DataFrame, seqs: DataFrame, n: int = 3) -> D
     The queries are a stated set, so a gram of many sequences meets few queries; the rows of such a gram are cut into parts.
     Sides: ``(id, seq)``.
     """
-    grams = lambda d, k: d.select(F.col("id").alias(k), F.array_distinct(ngrams(F.col("seq"), n)).alias("g")).select(k, F.size("g").alias("n" + k), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
+    grams = (
+        lambda d, k: d.select(F.col("id").alias(k), F.array_distinct(ngrams(F.col("seq"), n)).alias("g"))
+        .select(k, F.size("g").alias("n" + k), F.explode("g").alias("g"))
+        .withColumn("g", F.xxhash64("g"))
+    )
     hits = join_hot(grams(queries, "q"), materialize(grams(seqs, "id"), "grams"), "g", "id").filter("q <> id")
-    return hits.groupBy("q", "id", "nq", "nid").agg(F.count("*").alias("shared")).select("q", "id", "shared", (F.col("shared") / (F.col("nq") + F.col("nid") - F.col("shared"))).alias("jaccard"))
+    return hits.groupBy("q", "id", "nq", "nid").agg(F.count("*").alias("shared")).select(
+        "q", "id", "shared", (F.col("shared") / (F.col("nq") + F.col("nid") - F.col("shared"))).alias("jaccard")
+    )
 
 
 def top_k(scored: DataFrame, k: int | None, score: str = "jaccard") -> DataFrame:
@@ -41,9 +49,13 @@ def _constant_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8
     """The columns of ``rows`` but ``terms``, with at, n and lead: the starts 0..``shift`` from which ``least`` terms or more are the same, the terms from there on, and how many of them are."""
     rest = [c for c in rows.columns if c != terms]
     tail = F.slice(F.col(terms), F.col("at") + 1, F.size(terms) - F.col("at"))
-    starts = rows.filter(F.size(terms) >= least).withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.size(terms) - least, F.lit(shift))))).select(*rest, "at", tail.alias("t"))
+    starts = rows.filter(F.size(terms) >= least).withColumn(
+        "at", F.explode(F.sequence(F.lit(0), F.least(F.size(terms) - least, F.lit(shift))))
+    ).select(*rest, "at", tail.alias("t"))
     other = F.array_position(F.transform("t", lambda x: x != F.get("t", F.lit(0))), True)
-    return starts.select(*rest, "at", F.size("t").alias("n"), F.when(other == 0, F.size("t")).otherwise(other - 1).alias("lead")).filter(F.col("lead") >= least)
+    return starts.select(
+        *rest, "at", F.size("t").alias("n"), F.when(other == 0, F.size("t")).otherwise(other - 1).alias("lead")
+    ).filter(F.col("lead") >= least)
 
 
 def _in_gaps(gaps: DataFrame, seqs: DataFrame, least: int = 8) -> DataFrame:
@@ -73,7 +85,11 @@ def _in_gaps(gaps: DataFrame, seqs: DataFrame, least: int = 8) -> DataFrame:
             return True
 
         for pdf in batches:
-            rows = [(q, t, i) for q, t, i, g, b in pdf[["q", "transform", "id", "terms", "seq"]].itertuples(index=False) if stands([tuple(map(int, x.split(".."))) for x in g], [int(x) for x in b])]
+            rows = [
+                (q, t, i)
+                for q, t, i, g, b in pdf[["q", "transform", "id", "terms", "seq"]].itertuples(index=False)
+                if stands([tuple(map(int, x.split(".."))) for x in g], [int(x) for x in b])
+            ]
             yield pd.DataFrame(rows, columns=["q", "transform", "id"])
 
     @F.pandas_udf("string")
@@ -91,8 +107,12 @@ def _in_gaps(gaps: DataFrame, seqs: DataFrame, least: int = 8) -> DataFrame:
         return g.map(lambda g: ["", *(str(int(x.split("..")[1]) + 1) for x in g)])
 
     rising = seqs.filter(F.size("seq") >= least).select("id", left_out("seq").alias("x")).filter("x is not null")
-    pairs = gaps.select("q", "transform", F.explode(bounds("terms")).alias("x")).join(rising, "x").filter("q <> id").drop("x")
-    return pairs.join(gaps, ["q", "transform"]).join(seqs, "id").mapInPandas(run, "q bigint, transform string, id bigint")
+    pairs = gaps.select(
+        "q", "transform", F.explode(bounds("terms")).alias("x")
+    ).join(rising, "x").filter("q <> id").drop("x")
+    return pairs.join(gaps, ["q", "transform"]).join(seqs, "id").mapInPandas(
+        run, "q bigint, transform string, id bigint"
+    )
 
 
 def matches(queries: DataFrame, seqs: DataFrame, asked: DataFrame, least: int = 8, shift: int = 8) -> DataFrame:
@@ -105,20 +125,44 @@ def matches(queries: DataFrame, seqs: DataFrame, asked: DataFrame, least: int =
     gaps, listed = asked.filter("transform = 'complement_gaps'"), asked.filter("transform <> 'complement_gaps'")
     longest = seqs.agg(F.max(F.size("seq"))).first()[0] or 0
     # an affine overlap ends with the other sequence, so the first terms of a complement suffice
-    heads = transformed(queries, longest + shift).filter("transform = 'complement'").select(F.col("id").alias("q"), "terms").join(gaps.select("q", "transform"), "q").select("q", "transform", "terms")
+    heads = (
+        transformed(queries, longest + shift)
+        .filter("transform = 'complement'")
+        .select(F.col("id").alias("q"), "terms")
+        .join(gaps.select("q", "transform"), "q")
+        .select("q", "transform", "terms")
+    )
     ends = materialize(listed.unionByName(heads), "ends")
     first = lambda d, c: d.filter(F.size(c) >= least).withColumn("h", F.xxhash64(F.slice(c, 1, least))).drop(c)
-    runs = lambda d, c: d.filter(F.size(c) >= least).withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - least + 1), lambda i: F.xxhash64(F.slice(c, i, least)))))).drop(c)
+    runs = lambda d, c: d.filter(F.size(c) >= least).withColumn(
+        "h",
+        F.explode(
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.size(c) - least + 1), lambda i: F.xxhash64(F.slice(c, i, least)))
+            )
+        )
+    ).drop(c)
     key = ["q", "transform", "id"]
-    found = first(listed, "terms").join(runs(seqs, "seq"), "h").select(*key).unionByName(runs(listed, "terms").join(first(seqs, "seq"), "h").select(*key))
-    left, right = (varied_starts(d, c, shift, least).filter("affine") for d, c in ((ends, "terms"), (spread(seqs), "seq")))
-    found = found.unionByName(left.join(right.withColumnRenamed("at", "at2"), "h").filter("at = 0 or at2 = 0").select(*key)).filter("q <> id").distinct()
+    found = first(listed, "terms").join(runs(seqs, "seq"), "h").select(*key).unionByName(
+        runs(listed, "terms").join(first(seqs, "seq"), "h").select(*key)
+    )
+    left, right = (
+        varied_starts(d, c, shift, least).filter("affine") for d, c in ((ends, "terms"), (spread(seqs), "seq"))
+    )
+    found = found.unionByName(
+        left.join(right.withColumnRenamed("at", "at2"), "h").filter("at = 0 or at2 = 0").select(*key)
+    ).filter("q <> id").distinct()
     a, b = F.col("terms"), F.col("seq")
     full = found.join(ends, ["q", "transform"]).join(seqs, "id").withColumn("m", affine_match(a, b)["s"].isNotNull())
     held = full.filter(F.col("m") | ((F.col("transform") != "complement_gaps") & subsequence_match(a, b))).select(*key)
     # one repeated number matches another one where the shorter of both has nothing else; the queries are a stated set
-    one, two = _constant_starts(ends, "terms", shift, least), _constant_starts(seqs, "seq", shift, least).withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"})
-    same = two.join(F.broadcast(one), F.expr("q <> id and (at = 0 or at2 = 0) and least(n, n2) <= least(lead, lead2)")).select(*key)
+    one, two = (
+        _constant_starts(ends, "terms", shift, least),
+        _constant_starts(seqs, "seq", shift, least).withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"})
+    )
+    same = two.join(
+        F.broadcast(one), F.expr("q <> id and (at = 0 or at2 = 0) and least(n, n2) <= least(lead, lead2)")
+    ).select(*key)
     return held.unionByName(same).unionByName(_in_gaps(gaps, seqs, least)).distinct()
 
 
@@ -132,21 +176,66 @@ def classical_baseline(queries: DataFrame, seqs: DataFrame, k: int = 10, gramles
     """
     asked = materialize(transformed(queries).select(F.col("id").alias("q"), "transform", "terms"), "asked")
     grams = lambda c: F.array_distinct(ngrams(F.col(c)))
-    left = asked.filter("size(terms) >= 3 and transform <> 'complement_gaps'").select("q", "transform", grams("terms").alias("g")).select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
-    right = seqs.select(F.col("id").cast("bigint").alias("id"), grams("seq").alias("g")).select("id", F.size("g").alias("nid"), F.explode("g").alias("g")).withColumn("g", F.xxhash64("g"))
-    hits = join_hot(left, materialize(right, "grams"), "g", "id").filter("q <> id").groupBy("q", "transform", "id", "nq", "nid").agg(F.count("*").alias("s"))
+    left = (
+        asked.filter("size(terms) >= 3 and transform <> 'complement_gaps'")
+        .select("q", "transform", grams("terms").alias("g"))
+        .select("q", "transform", F.size("g").alias("nq"), F.explode("g").alias("g"))
+        .withColumn("g", F.xxhash64("g"))
+    )
+    right = (
+        seqs.select(F.col("id").cast("bigint").alias("id"), grams("seq").alias("g"))
+        .select("id", F.size("g").alias("nid"), F.explode("g").alias("g"))
+        .withColumn("g", F.xxhash64("g"))
+    )
+    hits = (
+        join_hot(left, materialize(right, "grams"), "g", "id")
+        .filter("q <> id")
+        .groupBy("q", "transform", "id", "nq", "nid")
+        .agg(F.count("*").alias("s"))
+    )
     score = F.col("s") / (F.col("nq") + F.col("nid") - F.col("s"))
     found = materialize(matches(queries, seqs, asked), "matches")
-    both = hits.select("q", "transform", "id", score.alias("j"), F.lit(False).alias("m")).unionByName(found.select("q", "transform", "id", F.lit(0.0).alias("j"), F.lit(True).alias("m")))
+    both = hits.select("q", "transform", "id", score.alias("j"), F.lit(False).alias("m")).unionByName(
+        found.select("q", "transform", "id", F.lit(0.0).alias("j"), F.lit(True).alias("m"))
+    )
     by = both.groupBy("q", "transform", "id").agg(F.max("m").alias("m"), F.max("j").alias("j"))
-    pairs = by.groupBy("q", "id").agg(F.max(F.struct("m", "j")).alias("b"), F.max("j").alias("g"), F.collect_list(F.struct("m", "j", "transform")).alias("all"))
+    pairs = by.groupBy("q", "id").agg(
+        F.max(F.struct("m", "j")).alias("b"),
+        F.max("j").alias("g"),
+        F.collect_list(F.struct("m", "j", "transform")).alias("all")
+    )
     pairs = pairs if gramless else pairs.filter("g > 0")
     # all that tie with the k-th stay until their sets are compared
-    near = pairs.withColumn("r", F.rank().over(W.partitionBy("q").orderBy(F.desc("b.m"), F.desc("b.j")))).filter(F.col("r") <= k)
-    near = near.select("q", "id", "b", F.explode(F.filter("all", lambda x: (x["m"] == F.col("b.m")) & (x["j"] == F.col("b.j")))["transform"]).alias("transform"))
-    listed = asked.withColumn("terms", F.when(F.col("transform") != "complement_gaps", F.col("terms")).otherwise(F.array().cast("array<string>")))
-    probed = near.join(listed, ["q", "transform"]).join(seqs, "id").select("q", "id", "b", "transform", jaccard(F.col("terms"), F.col("seq")).alias("set_jaccard"))
-    best = probed.groupBy("q", "id", "b").agg(F.max(F.struct("set_jaccard", "transform")).alias("t")).select("q", "id", "t.transform", F.col("b.m").alias("matched"), F.col("b.j").alias("ngram_jaccard"), "t.set_jaccard")
+    near = pairs.withColumn(
+        "r", F.rank().over(W.partitionBy("q").orderBy(F.desc("b.m"), F.desc("b.j")))
+    ).filter(F.col("r") <= k)
+    near = near.select(
+        "q",
+        "id",
+        "b",
+        F.explode(
+            F.filter("all", lambda x: (x["m"] == F.col("b.m")) & (x["j"] == F.col("b.j")))["transform"]
+        ).alias("transform")
+    )
+    listed = asked.withColumn(
+        "terms",
+        F.when(F.col("transform") != "complement_gaps", F.col("terms")).otherwise(F.array().cast("array<string>"))
+    )
+    probed = near.join(listed, ["q", "transform"]).join(seqs, "id").select(
+        "q", "id", "b", "transform", jaccard(F.col("terms"), F.col("seq")).alias("set_jaccard")
+    )
+    best = (
+        probed.groupBy("q", "id", "b")
+        .agg(F.max(F.struct("set_jaccard", "transform")).alias("t"))
+        .select(
+            "q",
+            "id",
+            "t.transform",
+            F.col("b.m").alias("matched"),
+            F.col("b.j").alias("ngram_jaccard"),
+            "t.set_jaccard"
+        )
+    )
     order = W.partitionBy("q").orderBy(F.desc("matched"), F.desc("ngram_jaccard"), F.desc("set_jaccard"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -155,7 +244,12 @@ def hit_ranks(held: DataFrame, ranked: DataFrame) -> DataFrame:
     """``held(u, v, ...)`` with rank: the better of v among the candidates of u and u among those of v; null if in neither."""
     one = ranked.select(F.col("q").alias("u"), F.col("id").alias("v"), F.col("rank").alias("_a"))
     two = ranked.select(F.col("q").alias("v"), F.col("id").alias("u"), F.col("rank").alias("_b"))
-    return held.join(one, ["u", "v"], "left").join(two, ["u", "v"], "left").withColumn("rank", F.least("_a", "_b")).drop("_a", "_b")
+    return (
+        held.join(one, ["u", "v"], "left")
+        .join(two, ["u", "v"], "left")
+        .withColumn("rank", F.least("_a", "_b"))
+        .drop("_a", "_b")
+    )
 
 
 def report_parts(ranks: DataFrame) -> DataFrame:
@@ -168,7 +262,12 @@ def report_parts(ranks: DataFrame) -> DataFrame:
 def retrieval_report(ranks: DataFrame, ks: tuple[int, ...] = (1, 10, 100), powered: int = 100) -> DataFrame:
     """(stratum, pairs, recall_k..., mrr, underpowered): shares of pairs found in the first k, and the mean reciprocal rank, absent pairs as 0."""
     hit = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}")
-    return ranks.groupBy("stratum").agg(F.count("*").alias("pairs"), *map(hit, ks), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), (F.count("*") < powered).alias("underpowered"))
+    return ranks.groupBy("stratum").agg(
+        F.count("*").alias("pairs"),
+        *map(hit, ks),
+        F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"),
+        (F.count("*") < powered).alias("underpowered")
+    )
 
 
 def bootstrap_ci(ranks: DataFrame, k: int = 10, resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -206,7 +305,9 @@ def _best_of(k: int, ids, q, there, m):
     return pd.DataFrame({"q": ids[a], "vec_id": there[b], "similarity": sim[a, b]})
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 20_000, rows: int = 50_000) -> DataFrame:
+def nearest_vectors(
+    vectors: DataFrame, k: int = 10, every: int = 100, block: int = 20_000, rows: int = 50_000
+) -> DataFrame:
     """(q, vec_id, similarity, rank): the k nearest by cosine of each vector whose id is divisible by ``every``, itself excluded, exactly.
 
     Queries are cut into blocks of about ``block`` and all vectors into blocks of about ``rows``; each block of queries meets
@@ -215,11 +316,15 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: in
     """
     import numpy as np
 
-    usable = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    usable = vectors.filter("vec_id is not null and embedding is not null").select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")
+    )
     usable = usable.filter(F.exists("e", lambda x: x != 0) & ~F.exists("e", lambda x: x.isNull() | F.isnan(x)))
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     # one row for each length: the most frequent one counts, the longer of two
-    widths = usable.groupBy(F.size("e").alias("w")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked")).orderBy(F.desc("n"), F.desc("w")).first()
+    widths = usable.groupBy(F.size("e").alias("w")).agg(
+        F.count("*").alias("n"), F.count_if(is_query).alias("asked")
+    ).orderBy(F.desc("n"), F.desc("w")).first()
     empty = vectors.sparkSession.createDataFrame([], "q bigint, vec_id bigint, similarity double, rank int")
     if widths is None or not widths["asked"]:
         return empty
@@ -241,7 +346,9 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: in
         parts = [_best_of(k, ids, q, there[i : i + step], m[i : i + step]) for i in range(0, len(m), step)]
         return pd.concat(parts)
 
-    best = asked.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInPandas(cell, "q bigint, vec_id bigint, similarity double")
+    best = asked.groupBy("qb", "rb").cogroup(held.groupBy("qb", "rb")).applyInPandas(
+        cell, "q bigint, vec_id bigint, similarity double"
+    )
     order = W.partitionBy("q").orderBy(F.round("similarity", 9).desc(), "vec_id")
     return best.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -249,10 +356,16 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, block: in
 def scored_pairs(splits: DataFrame, corpus: DataFrame) -> DataFrame:
     """(u, v, split, label, and the four pair features) of the distinct labelled pairs whose two sequences have terms."""
     seqs = spread(sequences(corpus))
-    pairs = splits.filter("u is not null and v is not null and label is not null").select("u", "v", "split", F.col("label").cast("int").alias("label")).distinct()
+    pairs = (
+        splits.filter("u is not null and v is not null and label is not null")
+        .select("u", "v", "split", F.col("label").cast("int").alias("label"))
+        .distinct()
+    )
     for c in ("u", "v"):
         pairs = pairs.join(seqs.select(F.col("id").alias(c), F.col("seq").alias("s" + c)), c)
-    return pairs.select("u", "v", "split", "label", pair_features(F.col("su"), F.col("sv")).alias("f")).select("u", "v", "split", "label", "f.*")
+    return pairs.select(
+        "u", "v", "split", "label", pair_features(F.col("su"), F.col("sv")).alias("f")
+    ).select("u", "v", "split", "label", "f.*")
 
 
 def boosted_trees_report(pairs: DataFrame, seed: int = 42) -> DataFrame:

@@ -36,7 +36,10 @@ def _partial(n_cat: int, width: int, max_keys: int):
         counts = np.concatenate([c for _, c in parts])
         cell = (codes[:, None] * n_cat + np.arange(n_cat)).ravel()
         # float64 sums are exact up to 2**53 rows
-        return keys, np.bincount(cell, weights=counts.ravel(), minlength=len(keys) * n_cat).astype(np.int64).reshape(-1, n_cat)
+        return (
+            keys,
+            np.bincount(cell, weights=counts.ravel(), minlength=len(keys) * n_cat).astype(np.int64).reshape(-1, n_cat)
+        )
 
     def blocks(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         block = keys // width
@@ -45,7 +48,11 @@ def _partial(n_cat: int, width: int, max_keys: int):
         offs = (keys - block * width).astype(np.int32)
         at = np.r_[0, ends].astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(block[starts]), pa.ListArray.from_arrays(at, pa.array(offs)), pa.ListArray.from_arrays(at * n_cat, pa.array(counts.ravel()))],
+            [
+                pa.array(block[starts]),
+                pa.ListArray.from_arrays(at, pa.array(offs)),
+                pa.ListArray.from_arrays(at * n_cat, pa.array(counts.ravel()))
+            ],
             ["block", "offs", "counts"],
         )
 
@@ -57,7 +64,9 @@ def _partial(n_cat: int, width: int, max_keys: int):
                 continue
             key, cat, n = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             keys, codes = np.unique(key, return_inverse=True)
-            counts = np.bincount(codes * n_cat + cat, weights=n, minlength=len(keys) * n_cat).astype(np.int64).reshape(-1, n_cat)
+            counts = np.bincount(
+                codes * n_cat + cat, weights=n, minlength=len(keys) * n_cat
+            ).astype(np.int64).reshape(-1, n_cat)
             held.append((keys, counts))
             size += len(keys)
             if size > max_keys:
@@ -87,26 +96,48 @@ def _reduce(n_cat: int, width: int, last: bool):
         if not last:
             ends = np.array([0, len(seen)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group[0].as_py()]), pa.ListArray.from_arrays(ends, pa.array(seen.astype(np.int32))), pa.ListArray.from_arrays(ends * n_cat, pa.array(picked.ravel()))],
+                [
+                    pa.array([group[0].as_py()]),
+                    pa.ListArray.from_arrays(ends, pa.array(seen.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends * n_cat, pa.array(picked.ravel()))
+                ],
                 ["block", "offs", "counts"],
             )
             return
         keys = group[0].as_py() * width + seen
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.ListArray.from_arrays(np.arange(len(seen) + 1, dtype=np.int32) * n_cat, pa.array(picked.ravel()))], ["key", "counts"]
+            [
+                pa.array(keys),
+                pa.ListArray.from_arrays(np.arange(len(seen) + 1, dtype=np.int32) * n_cat, pa.array(picked.ravel()))
+            ],
+            ["key", "counts"]
         )
 
     return run
 
 
-def dense_counts(df: DataFrame, key: Column, cat: Column, n_cat: int, n: Column | None = None, width: int = WIDTH, max_keys: int = MAX_KEYS) -> DataFrame:
+def dense_counts(
+    df: DataFrame,
+    key: Column,
+    cat: Column,
+    n_cat: int,
+    n: Column | None = None,
+    width: int = WIDTH,
+    max_keys: int = MAX_KEYS
+) -> DataFrame:
     """(key BIGINT, counts ARRAY<BIGINT> of length ``n_cat``): how many rows, or how much of ``n``, each key has in each category.
 
     ``key`` is a whole number of at most 64 bits, ``cat`` lies in 0..n_cat-1. Null keys are left out; an empty input gives no rows.
     """
-    rows = df.select(key.cast("bigint").alias("key"), cat.cast("int").alias("cat"), (F.lit(1) if n is None else n).cast("bigint").alias("n")).filter("key is not null")
+    rows = df.select(
+        key.cast("bigint").alias("key"),
+        cat.cast("int").alias("cat"),
+        (F.lit(1) if n is None else n).cast("bigint").alias("n")
+    ).filter("key is not null")
     kind = "block bigint, offs array<int>, counts array<bigint>"
-    parts = rows.mapInArrow(_partial(n_cat, width, max_keys), kind).withColumn("fan", F.floor(F.spark_partition_id() / FAN))
+    parts = rows.mapInArrow(_partial(n_cat, width, max_keys), kind).withColumn(
+        "fan", F.floor(F.spark_partition_id() / FAN)
+    )
     sums = parts.groupBy("block", "fan").applyInArrow(_reduce(n_cat, width, False), kind)
     return sums.groupBy("block").applyInArrow(_reduce(n_cat, width, True), "key bigint, counts array<bigint>")
 
@@ -131,9 +162,21 @@ def key_profile(xrefs: DataFrame) -> DataFrame:
         cat = F.when(clean_label(F.col("stratum")) == s, i).otherwise(cat)
     n_cat = len(STRATA) + 2
     rows = xrefs.select("source", "target", cat.alias("cat"))
-    mentions = rows.select(F.explode(F.array(*(F.struct((F.col(c).cast("bigint") * 2 + i).alias("k"), F.col("cat")) for i, c in enumerate(("source", "target"))))).alias("x")).select("x.k", "x.cat")
+    mentions = rows.select(
+        F.explode(
+            F.array(
+                *(
+                    F.struct((F.col(c).cast("bigint") * 2 + i).alias("k"), F.col("cat"))
+                    for i, c in enumerate(("source", "target"))
+                )
+            )
+        ).alias("x")
+    ).select("x.k", "x.cat")
     pairs = xrefs.select("source", "target").distinct().filter("source is not null and target is not null")
-    partners = pairs.select(F.explode(F.array(*(F.col(c).cast("bigint") * 2 + i for i, c in enumerate(("source", "target"))))).alias("k"), F.lit(n_cat - 1).alias("cat"))
+    partners = pairs.select(
+        F.explode(F.array(*(F.col(c).cast("bigint") * 2 + i for i, c in enumerate(("source", "target"))))).alias("k"),
+        F.lit(n_cat - 1).alias("cat")
+    )
     out = dense_counts(mentions.unionByName(partners), F.col("k"), F.col("cat"), n_cat)
     c = lambda i: F.element_at("counts", i + 1)
     return out.select(

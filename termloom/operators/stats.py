@@ -24,7 +24,12 @@ def statistics(corpus: DataFrame, xrefs: DataFrame, meta: DataFrame, relations:
         "link types": some(xrefs.groupBy("link_type").agg(F.count("*").alias("n")), F.desc("n"), "link_type"),
         "strata": some(graph.stratum_counts(xrefs, nodes), "scope", "stratum"),
         "degrees": some(graph.distribution(degrees, ["out_deg", "in_deg", "und_deg"]), "kind"),
-        "nodes": {"with_terms": nodes.count(), "isolated": degrees.filter("und_deg = 0").count(), "dead": dead.count(), "edges_touching_dead": graph.touching(edges, dead).count()},
+        "nodes": {
+            "with_terms": nodes.count(),
+            "isolated": degrees.filter("und_deg = 0").count(),
+            "dead": dead.count(),
+            "edges_touching_dead": graph.touching(edges, dead).count()
+        },
         "lengths": one(catalog.length_stats(corpus)),
         "names": one(catalog.name_flags(corpus)),
         "keywords": some(catalog.keyword_counts(meta), "keyword"),

@@ -10,7 +10,9 @@ from termloom.functions import text as T
 
 def names_of(corpus: DataFrame) -> DataFrame:
     """(a_number, name): one non-null name for each sequence."""
-    return corpus.filter("a_number is not null and name is not null").groupBy("a_number").agg(F.min("name").alias("name"))
+    return corpus.filter(
+        "a_number is not null and name is not null"
+    ).groupBy("a_number").agg(F.min("name").alias("name"))
 
 
 def duplicate_of(names: DataFrame) -> DataFrame:
@@ -22,7 +24,10 @@ def duplicate_of(names: DataFrame) -> DataFrame:
 def name_references(names: DataFrame) -> DataFrame:
     """(holder, ref): every sequence that a name is a transform of."""
     found = F.regexp_extract_all("name", F.lit("(?iU)" + T.NAME_TRANSFORM), 1)
-    return names.select(F.col("a_number").alias("holder"), F.explode(F.transform(F.array_distinct(found), lambda x: x.cast("int"))).alias("ref")).distinct()
+    return names.select(
+        F.col("a_number").alias("holder"),
+        F.explode(F.transform(F.array_distinct(found), lambda x: x.cast("int"))).alias("ref")
+    ).distinct()
 
 
 def constant_like(names: DataFrame, meta: DataFrame, version: int = 1) -> DataFrame:
@@ -33,7 +38,9 @@ def constant_like(names: DataFrame, meta: DataFrame, version: int = 1) -> DataFr
     k = T.keyword_list(F.col("keywords"))
     marked = F.array_contains(k, "cons") if version == 0 else F.array_contains(k, "cons") & ~F.array_contains(k, "core")
     named = names.filter(T.has(F.col("name"), T.CONSTANT_NAME_V0 if version == 0 else T.CONSTANT_NAME_V1))
-    return named.select(F.col("a_number").alias("id")).union(meta.filter(marked).select("a_number")).filter("id is not null").distinct()
+    return named.select(F.col("a_number").alias("id")).union(
+        meta.filter(marked).select("a_number")
+    ).filter("id is not null").distinct()
 
 
 def _flag(df: DataFrame, nodes: DataFrame, column: str, flag: str) -> DataFrame:
@@ -44,11 +51,19 @@ def _name_flags(edges: DataFrame, names: DataFrame, meta: DataFrame, version: in
     """Directed edges with dup, ref and const: what the names and keywords of the two ends say. Computed once per edge, not per mention."""
     dup = duplicate_of(names).select(F.col("a_number").alias("x"), F.col("ref").alias("y"))
     dup = dup.unionByName(dup.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    out = edges.join(dup.select(F.col("x").alias("source"), F.col("y").alias("target"), F.lit(True).alias("dup")), ["source", "target"], "left")
+    out = edges.join(
+        dup.select(F.col("x").alias("source"), F.col("y").alias("target"), F.lit(True).alias("dup")),
+        ["source", "target"],
+        "left"
+    )
     if version == 1:
         ref = name_references(names).select(F.col("holder").alias("x"), F.col("ref").alias("y"))
         ref = ref.unionByName(ref.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-        out = out.join(ref.select(F.col("x").alias("source"), F.col("y").alias("target"), F.lit(True).alias("ref")), ["source", "target"], "left")
+        out = out.join(
+            ref.select(F.col("x").alias("source"), F.col("y").alias("target"), F.lit(True).alias("ref")),
+            ["source", "target"],
+            "left"
+        )
     const = constant_like(names, meta, version)
     out = _flag(_flag(out, const, "source", "_cs"), const, "target", "_ct")
     return out.withColumn("const", F.coalesce("_cs", "_ct")).drop("_cs", "_ct")
@@ -64,7 +79,9 @@ def stratum_v0(mentions: DataFrame, names: DataFrame, meta: DataFrame) -> DataFr
     The targets of a line are counted with repeats and without the source itself.
     """
     n_line = F.size(F.filter(T.mentions(F.col("raw_text")), lambda m: m["target"] != F.col("source")))
-    lines = mentions.select("source", "raw_text").distinct().withColumns({"_type": T.line_type(F.col("raw_text")), "_n": n_line})
+    lines = mentions.select("source", "raw_text").distinct().withColumns(
+        {"_type": T.line_type(F.col("raw_text")), "_n": n_line}
+    )
     edges = _name_flags(mentions.select("source", "target").distinct(), names, meta, 0)
     paren = F.coalesce("paren", F.lit(""))
     rule = (
@@ -78,7 +95,9 @@ def stratum_v0(mentions: DataFrame, names: DataFrame, meta: DataFrame) -> DataFr
 
 
 def _joined(mentions: DataFrame, lines: DataFrame, edges: DataFrame) -> DataFrame:
-    null_safe = lambda a, b, keys: a.join(b.withColumnsRenamed({k: "_" + k for k in keys}), [a[k].eqNullSafe(F.col("_" + k)) for k in keys], "left").drop(*("_" + k for k in keys))
+    null_safe = lambda a, b, keys: a.join(
+        b.withColumnsRenamed({k: "_" + k for k in keys}), [a[k].eqNullSafe(F.col("_" + k)) for k in keys], "left"
+    ).drop(*("_" + k for k in keys))
     return null_safe(null_safe(mentions, lines, ["source", "raw_text"]), edges, ["source", "target"])
 
 
@@ -87,7 +106,9 @@ def stratum_v1(mentions: DataFrame, names: DataFrame, meta: DataFrame) -> DataFr
 
     The cues of a line are found once per distinct line, what names say once per distinct edge.
     """
-    lines = mentions.select("source", "raw_text").distinct().withColumn("_cues", T.line_cues(F.col("source"), F.col("raw_text")))
+    lines = mentions.select("source", "raw_text").distinct().withColumn(
+        "_cues", T.line_cues(F.col("source"), F.col("raw_text"))
+    )
     edges = _name_flags(mentions.select("source", "target").distinct(), names, meta, 1)
     paren = F.coalesce("paren", F.lit(""))
     rule = (
@@ -102,4 +123,8 @@ def stratum_v1(mentions: DataFrame, names: DataFrame, meta: DataFrame) -> DataFr
 
 def line_mentions(lines: DataFrame) -> DataFrame:
     """Entry lines ``(source, raw_text)`` to their mentions (source, raw_text, pos, target, paren), self-mentions dropped."""
-    return lines.select("source", "raw_text", F.posexplode(T.mentions(F.col("raw_text"))).alias("pos", "m")).select("source", "raw_text", "pos", "m.target", "m.paren").filter(~F.coalesce(F.col("target") == F.col("source"), F.lit(False)))
+    return (
+        lines.select("source", "raw_text", F.posexplode(T.mentions(F.col("raw_text"))).alias("pos", "m"))
+        .select("source", "raw_text", "pos", "m.target", "m.paren")
+        .filter(~F.coalesce(F.col("target") == F.col("source"), F.lit(False)))
+    )

@@ -39,7 +39,9 @@ def _distinct(rows, *cols):
 
 def _positives(s, d):
     """The distinct labelled pairs of the stored splits that are positive, with their terms."""
-    return _with_terms(s, d, _distinct(table(s, d, "splits").filter("label = 1 and u is not null and v is not null"), "u", "v"))
+    return _with_terms(
+        s, d, _distinct(table(s, d, "splits").filter("label = 1 and u is not null and v is not null"), "u", "v")
+    )
 
 
 def _all_pairs(s, d):
@@ -49,40 +51,84 @@ def _all_pairs(s, d):
 
 def _all_features(s, d):
     """All four features of every distinct pair, negatives included."""
-    return _all_pairs(s, d).select("u", "v", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("u", "v", *(F.round(f"f.{c}", 9).alias(c) for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")))
+    return (
+        _all_pairs(s, d)
+        .select("u", "v", arrays.pair_features(F.col("su"), F.col("sv")).alias("f"))
+        .select(
+            "u",
+            "v",
+            *(
+                F.round(f"f.{c}", 9).alias(c)
+                for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")
+            )
+        )
+    )
 
 
 def _smoke(s, d):
-    pairs = _with_terms(s, d, _train_sample(s, d)).select(arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("f.*")
-    return pairs.agg(F.count("*").alias("pairs"), *(F.round(F.avg(c), 4).alias(c) for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match")))
+    pairs = _with_terms(s, d, _train_sample(s, d)).select(
+        arrays.pair_features(F.col("su"), F.col("sv")).alias("f")
+    ).select("f.*")
+    return pairs.agg(
+        F.count("*").alias("pairs"),
+        *(F.round(F.avg(c), 4).alias(c) for c in ("term_set_jaccard", "ngram3_jaccard", "exact_subseq", "affine_match"))
+    )
 
 
 def _smoke_strata(s, d):
     train = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null")
     rows = _distinct(train, "u", "v", F.lower(F.trim("stratum")).alias("stratum"))
-    rows = _with_terms(s, d, rows).select("stratum", arrays.jaccard(F.col("su"), F.col("sv")).alias("j"), arrays.ngram_jaccard(F.col("su"), F.col("sv")).alias("g"), arrays.subsequence_match(F.col("su"), F.col("sv")).cast("double").alias("e"))
-    return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("term_set_jaccard"), F.round(F.avg("g"), 6).alias("ngram3_jaccard"), F.round(F.avg("e"), 6).alias("exact_subseq"), F.grouping("stratum").cast("int").alias("total"))
+    rows = _with_terms(s, d, rows).select(
+        "stratum",
+        arrays.jaccard(F.col("su"), F.col("sv")).alias("j"),
+        arrays.ngram_jaccard(F.col("su"), F.col("sv")).alias("g"),
+        arrays.subsequence_match(F.col("su"), F.col("sv")).cast("double").alias("e")
+    )
+    return rows.rollup("stratum").agg(
+        F.count("*").alias("pairs"),
+        F.round(F.avg("j"), 6).alias("term_set_jaccard"),
+        F.round(F.avg("g"), 6).alias("ngram3_jaccard"),
+        F.round(F.avg("e"), 6).alias("exact_subseq"),
+        F.grouping("stratum").cast("int").alias("total")
+    )
 
 
 def _smoke_affine(s, d):
     """The mean affine match of each stratum over all training positives, and over all of them (total = 1)."""
     train = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null")
     rows = _distinct(train, "u", "v", F.lower(F.trim("stratum")).alias("stratum"))
-    rows = _with_terms(s, d, rows).select("stratum", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")).select("stratum", "f.affine_match")
-    return rows.rollup("stratum").agg(F.count("*").alias("pairs"), F.round(F.avg("affine_match"), 6).alias("affine_match"), F.grouping("stratum").cast("int").alias("total"))
+    rows = _with_terms(s, d, rows).select(
+        "stratum", arrays.pair_features(F.col("su"), F.col("sv")).alias("f")
+    ).select("stratum", "f.affine_match")
+    return rows.rollup("stratum").agg(
+        F.count("*").alias("pairs"),
+        F.round(F.avg("affine_match"), 6).alias("affine_match"),
+        F.grouping("stratum").cast("int").alias("total")
+    )
 
 
 QUERIES = {
     "seq_features": _features,
-    "set_jaccard": lambda s, d: _positives(s, d).select("u", "v", F.round(arrays.jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")),
-    "ngram_jaccard": lambda s, d: _positives(s, d).select("u", "v", F.round(arrays.ngram_jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")),
-    "exact_subseq": lambda s, d: _positives(s, d).select("u", "v", arrays.subsequence_match(F.col("su"), F.col("sv")).alias("hit")),
-    "affine_pairs": lambda s, d: _all_pairs(s, d).select("u", "v", arrays.affine_match(F.col("su"), F.col("sv")).alias("m")).select("u", "v", "m.*").filter("s is not null"),
+    "set_jaccard": lambda s, d: _positives(s, d).select(
+        "u", "v", F.round(arrays.jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")
+    ),
+    "ngram_jaccard": lambda s, d: _positives(s, d).select(
+        "u", "v", F.round(arrays.ngram_jaccard(F.col("su"), F.col("sv")), 9).alias("jaccard")
+    ),
+    "exact_subseq": lambda s, d: _positives(s, d).select(
+        "u", "v", arrays.subsequence_match(F.col("su"), F.col("sv")).alias("hit")
+    ),
+    "affine_pairs": lambda s, d: _all_pairs(s, d)
+    .select("u", "v", arrays.affine_match(F.col("su"), F.col("sv")).alias("m"))
+    .select("u", "v", "m.*")
+    .filter("s is not null"),
     "pair_features": _all_features,
     "smoke_aggregates": _smoke,
     "smoke_by_stratum": _smoke_strata,
     "smoke_affine_by_stratum": _smoke_affine,
-    "pair_score_auc": lambda s, d: retrieval.boosted_trees_report(materialize(retrieval.scored_pairs(table(s, d, "splits"), table(s, d, "corpus")), "scored")),
+    "pair_score_auc": lambda s, d: retrieval.boosted_trees_report(
+        materialize(retrieval.scored_pairs(table(s, d, "splits"), table(s, d, "corpus")), "scored")
+    ),
 }
 
 _USED = f"""
@@ -102,7 +148,19 @@ _USED = f"""
    count(*) FILTER ((x < 0 AND y > 0) OR (x > 0 AND y < 0)) / greatest(count(*) - 1, 1) AS sign_alt, count(*) FILTER (abs(x % 2) <> abs(y % 2)) / greatest(count(*) - 1, 1) AS parity_alt, count(*) FILTER (y >= x) / greatest(count(*) - 1, 1) AS frac_nondec
    FROM nxt GROUP BY id)
 """
-_AS = {"n_terms": "least(total, 348)", "n_used": "n", "growth_slope": "gr.b", "growth_intercept": "gr.c", "growth_rms": "gr.e", "diff1_mean": "a1.m", "diff1_std": "a1.s", "diff2_mean": "a2.m", "diff2_std": "a2.s", "logratio_med": "lr.m", "logratio_std": "lr.s"}
+_AS = {
+    "n_terms": "least(total, 348)",
+    "n_used": "n",
+    "growth_slope": "gr.b",
+    "growth_intercept": "gr.c",
+    "growth_rms": "gr.e",
+    "diff1_mean": "a1.m",
+    "diff1_std": "a1.s",
+    "diff2_mean": "a2.m",
+    "diff2_std": "a2.s",
+    "logratio_med": "lr.m",
+    "logratio_std": "lr.s"
+}
 _PAIRS = f"""
  {TERMS},
  seq AS (SELECT id, list(t ORDER BY i) AS q FROM term GROUP BY id),
@@ -110,7 +168,9 @@ _PAIRS = f"""
  pr AS (SELECT u, v, a.q AS p, b.q AS q FROM pos JOIN seq a ON a.id = u JOIN seq b ON b.id = v)
 """
 _J = "len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)"
-_GRAMS = "(CASE WHEN len({x}) >= 3 THEN list_transform(range(1, len({x}) - 1), lambda k: array_to_string(list_slice({x}, k, k + 2), ',')) ELSE [] END)"
+_GRAMS = (
+    "(CASE WHEN len({x}) >= 3 THEN list_transform(range(1, len({x}) - 1), lambda k: array_to_string(list_slice({x}, k, k + 2), ',')) ELSE [] END)"
+)
 _SUB = """CASE WHEN least(len(p), len(q)) < 8 THEN false ELSE len(list_filter(range(0, greatest(len(p), len(q)) - 7), lambda k:
  list_slice(CASE WHEN len(p) <= len(q) THEN q ELSE p END, k + 1, k + least(len(p), len(q))) = list_slice(CASE WHEN len(p) <= len(q) THEN p ELSE q END, 1, least(least(len(p), len(q)), greatest(len(p), len(q)) - k)))) > 0 END"""
 

@@ -35,12 +35,24 @@ def catalog_rows(spark, d):
     corpus = table(spark, d, "corpus")
     terms = corpus.filter(F.size("terms") > 0).select("a_number", clean_terms(F.col("terms")).alias("terms"))
     names = names_of(corpus)
-    refs = corpus.select("a_number", F.array_sort(F.array_distinct(F.filter("xrefs", lambda x: x.isNotNull() & (x != F.col("a_number"))))).alias("xrefs"))
+    refs = corpus.select(
+        "a_number",
+        F.array_sort(
+            F.array_distinct(F.filter("xrefs", lambda x: x.isNotNull() & (x != F.col("a_number"))))
+        ).alias("xrefs")
+    )
     return catalog.full_catalog(terms, names, refs)
 
 
 def _full_catalog(spark, d):
-    return catalog_rows(spark, d).select("a_number", F.size("terms").alias("n_terms"), F.array_join("terms", ",").alias("terms"), "name", F.array_join("xrefs", ",").alias("xrefs"), "dead")
+    return catalog_rows(spark, d).select(
+        "a_number",
+        F.size("terms").alias("n_terms"),
+        F.array_join("terms", ",").alias("terms"),
+        "name",
+        F.array_join("xrefs", ",").alias("xrefs"),
+        "dead"
+    )
 
 
 def _sets(spark, d):
@@ -49,7 +61,14 @@ def _sets(spark, d):
     named = names_of(corpus).select(F.col("a_number").alias("id"))
     seen = xrefs.select(F.explode(F.array("source", "target")).alias("id")).filter("id is not null").distinct()
     dead = dead_ids(meta)
-    parts = {"with_terms": have, "names_only": named.join(have, "id", "left_anti"), "mentioned_only": seen.subtract(have), "dead_with_terms": dead.intersect(have), "alive": have.join(dead, "id", "left_anti"), "all_ids": have.union(named).union(seen).distinct()}
+    parts = {
+        "with_terms": have,
+        "names_only": named.join(have, "id", "left_anti"),
+        "mentioned_only": seen.subtract(have),
+        "dead_with_terms": dead.intersect(have),
+        "alive": have.join(dead, "id", "left_anti"),
+        "all_ids": have.union(named).union(seen).distinct()
+    }
     out = None
     for k, p in parts.items():
         p = p.agg(F.lit(k).alias("part"), F.count("*").alias("n"))
@@ -59,27 +78,40 @@ def _sets(spark, d):
 
 QUERIES = {
     "pair_table": lambda s, d: graph.pair_table(table(s, d, "xrefs")),
-    "directed_edges": lambda s, d: graph.directed_edges(table(s, d, "xrefs")).select("source", "target", graph.stratum_of(F.col("rank")).alias("stratum"), "mentions"),
+    "directed_edges": lambda s, d: graph.directed_edges(table(s, d, "xrefs")).select(
+        "source", "target", graph.stratum_of(F.col("rank")).alias("stratum"), "mentions"
+    ),
     "link_type_counts": lambda s, d: table(s, d, "xrefs").groupBy("link_type").agg(F.count("*").alias("n")),
     "mention_counts": lambda s, d: graph.mention_counts(table(s, d, "xrefs")),
     "stratum_counts": lambda s, d: graph.stratum_counts(table(s, d, "xrefs"), graph.universe(table(s, d, "corpus"))),
     "degrees": _degree_rows,
     "degree_summary": lambda s, d: graph.distribution(_degree_rows(s, d), ["out_deg", "in_deg", "und_deg"]),
     "isolated_nodes": _isolated,
-    "universe_pairs": lambda s, d: graph.within(graph.pair_table(table(s, d, "xrefs")), graph.universe(table(s, d, "corpus"))),
+    "universe_pairs": lambda s, d: graph.within(
+        graph.pair_table(table(s, d, "xrefs")), graph.universe(table(s, d, "corpus"))
+    ),
     "edges_touching_dead": _touching,
     "id_set_sizes": _sets,
     "full_catalog": _full_catalog,
     "direct_references": lambda s, d: catalog.direct_references(table(s, d, "xrefs")),
-    "term_lengths": lambda s, d: table(s, d, "corpus").filter(F.size("terms") > 0).select("a_number", F.size("terms").alias("n")),
-    "term_subset": lambda s, d: catalog.term_subset(table(s, d, "corpus"), table(s, d, "relations").select(F.col("program").alias("a_number"))).select("a_number", F.array_join(clean_terms(F.col("terms")), ",").alias("terms")),
+    "term_lengths": lambda s, d: table(s, d, "corpus")
+    .filter(F.size("terms") > 0)
+    .select("a_number", F.size("terms").alias("n")),
+    "term_subset": lambda s, d: catalog.term_subset(
+        table(s, d, "corpus"), table(s, d, "relations").select(F.col("program").alias("a_number"))
+    ).select("a_number", F.array_join(clean_terms(F.col("terms")), ",").alias("terms")),
     "keyword_counts": lambda s, d: catalog.keyword_counts(table(s, d, "seq_meta")),
     "length_stats": lambda s, d: catalog.length_stats(table(s, d, "corpus")),
     "name_flags": lambda s, d: catalog.name_flags(table(s, d, "corpus")),
-    "program_coverage": lambda s, d: catalog.coverage(table(s, d, "relations").select(F.col("program").alias("id")), graph.universe(table(s, d, "corpus"))),
+    "program_coverage": lambda s, d: catalog.coverage(
+        table(s, d, "relations").select(F.col("program").alias("id")), graph.universe(table(s, d, "corpus"))
+    ),
     "relation_sizes": lambda s, d: exclude.relation_sizes(table(s, d, "relations")),
     "known_pairs": lambda s, d: exclude.known_pairs(table(s, d, "relations"), table(s, d, "xrefs")),
-    "novel_negatives": lambda s, d: exclude.without_known(table(s, d, "splits").filter("label = 0").select("u", "v", "split").distinct(), exclude.known_pairs(table(s, d, "relations"), table(s, d, "xrefs"))),
+    "novel_negatives": lambda s, d: exclude.without_known(
+        table(s, d, "splits").filter("label = 0").select("u", "v", "split").distinct(),
+        exclude.known_pairs(table(s, d, "relations"), table(s, d, "xrefs"))
+    ),
 }
 
 RANK = "CASE lower(trim(stratum)) WHEN 's1' THEN 0 WHEN 's2' THEN 1 WHEN 's4' THEN 2 WHEN 's3' THEN 3 END"
@@ -95,7 +127,9 @@ TERMS = r"""
  cut AS (SELECT id, i, regexp_extract(t, '^\s*([+-]?)0*([0-9]+)\s*$', 1) AS s, regexp_extract(t, '^\s*([+-]?)0*([0-9]+)\s*$', 2) AS g FROM raw WHERE regexp_matches(t, '^\s*[+-]?[0-9]+\s*$')),
  term AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS i, CASE WHEN s = '-' AND g <> '0' THEN '-' || g ELSE g END AS t FROM cut)
 """
-KEYS = " keys AS (SELECT a_number AS id, trim(unnest(string_split(coalesce(keywords, ''), ','))) AS k FROM seq_meta WHERE a_number IS NOT NULL)"
+KEYS = (
+    " keys AS (SELECT a_number AS id, trim(unnest(string_split(coalesce(keywords, ''), ','))) AS k FROM seq_meta WHERE a_number IS NOT NULL)"
+)
 DEAD = " dead AS (SELECT DISTINCT id FROM keys WHERE k = 'dead')"
 DEGREES = f"""
  {EDGES}, {NODES},
@@ -103,7 +137,9 @@ DEGREES = f"""
           UNION ALL SELECT unnest([u, v]), 2 FROM und WHERE u IN (SELECT id FROM nodes) AND v IN (SELECT id FROM nodes)),
  deg AS (SELECT CAST(nodes.id AS BIGINT) AS id, count(*) FILTER (c = 0) AS out_deg, count(*) FILTER (c = 1) AS in_deg, count(*) FILTER (c = 2) AS und_deg FROM nodes LEFT JOIN ends USING (id) GROUP BY nodes.id)
 """
-KNOWN = " known AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (SELECT program AS a, calls AS b FROM relations UNION ALL SELECT source, target FROM xrefs) WHERE a <> b)"
+KNOWN = (
+    " known AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (SELECT program AS a, calls AS b FROM relations UNION ALL SELECT source, target FROM xrefs) WHERE a <> b)"
+)
 
 SQL = {
     "pair_table": f"WITH {EDGES} SELECT u, v, {LABEL} AS stratum FROM und",

@@ -20,14 +20,20 @@ def _terms_file(s, d):
     """Corpus written as lines of a term list, stored spellings and all, and scanned."""
     at = scratch(s, "terms")
     terms = F.array_join(F.coalesce(F.col("terms"), F.array().cast("array<string>")), ",", "")
-    lines = table(s, d, "corpus").filter("a_number is not null").select(F.concat(format_id(F.col("a_number")), F.lit(" ,"), terms, F.lit(",")).alias("value"))
+    lines = table(s, d, "corpus").filter("a_number is not null").select(
+        F.concat(format_id(F.col("a_number")), F.lit(" ,"), terms, F.lit(",")).alias("value")
+    )
     lines.write.option("compression", "gzip").text(at)
-    return dumps.read_terms(s, at + "/*.gz").select("a_number", F.size("terms").alias("n"), F.array_join("terms", ",").alias("terms"))
+    return dumps.read_terms(s, at + "/*.gz").select(
+        "a_number", F.size("terms").alias("n"), F.array_join("terms", ",").alias("terms")
+    )
 
 
 def _names_file(s, d):
     at = scratch(s, "names")
-    table(s, d, "corpus").filter("a_number is not null and name is not null").select(F.concat(format_id(F.col("a_number")), F.lit(" "), "name").alias("value")).write.text(at)
+    table(s, d, "corpus").filter("a_number is not null and name is not null").select(
+        F.concat(format_id(F.col("a_number")), F.lit(" "), "name").alias("value")
+    ).write.text(at)
     return dumps.read_names(s, at)
 
 
@@ -35,28 +41,44 @@ def _json_lines(s, d):
     at = scratch(s, "corpus-json")
     sinks.write_json_lines(graph_queries.catalog_rows(s, d), at)
     return s.read.schema("a_number int, terms array<string>, name string, xrefs array<int>, dead boolean").json(at).select(
-        "a_number", F.size("terms").alias("n_terms"), F.array_join("terms", ",").alias("terms"), "name", F.array_join("xrefs", ",").alias("xrefs"), "dead"
+        "a_number",
+        F.size("terms").alias("n_terms"),
+        F.array_join("terms", ",").alias("terms"),
+        "name",
+        F.array_join("xrefs", ",").alias("xrefs"),
+        "dead"
     )
 
 
 def _audit_files(s, d):
     """The audit sample as blind CSV and key, its rows in seeded order, read again and joined."""
     at = scratch(s, "audit")
-    sample = audit.audit_sample(table(s, d, "xrefs"), graph.universe(table(s, d, "corpus")), stratify.names_of(table(s, d, "corpus")))
+    sample = audit.audit_sample(
+        table(s, d, "xrefs"), graph.universe(table(s, d, "corpus")), stratify.names_of(table(s, d, "corpus"))
+    )
     sinks.write_blind_audit(sample, at)
     back = dumps.read_audit(s, f"{at}/blind", f"{at}/key")
     texts = ("paren", "raw_text", "name_source", "name_target", "hand_label")
-    return back.select("u", "v", "source", "target", "stratum", "link_type", *(F.coalesce(c, F.lit("")).alias(c) for c in texts))
+    return back.select(
+        "u", "v", "source", "target", "stratum", "link_type", *(F.coalesce(c, F.lit("")).alias(c) for c in texts)
+    )
 
 
 def _kept_table(s, d):
     """A table that is there already is kept, unless it is forced; partitions by a column come back."""
     at = scratch(s, "table")
-    xrefs = table(s, d, "xrefs").filter("source is not null").select("source", "target", "y_line_idx", F.coalesce("link_type", F.lit("none")).alias("link_type"))
+    xrefs = table(s, d, "xrefs").filter("source is not null").select(
+        "source", "target", "y_line_idx", F.coalesce("link_type", F.lit("none")).alias("link_type")
+    )
     sinks.write_table(xrefs.limit(0), at, partition_by=["link_type"])
     sinks.write_table(xrefs, at, force=True, partition_by=["link_type"])
     sinks.write_table(xrefs.limit(1), at, partition_by=["link_type"])
-    return s.read.parquet(at).select("source", "target", "y_line_idx", "link_type").groupBy("source", "target", "y_line_idx", "link_type").agg(F.count("*").alias("n"))
+    return (
+        s.read.parquet(at)
+        .select("source", "target", "y_line_idx", "link_type")
+        .groupBy("source", "target", "y_line_idx", "link_type")
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def _id_list(s, d):
@@ -71,7 +93,9 @@ def _report(s, d):
     sinks.write_report(s, at, {"mentions": graph.mention_counts(table(s, d, "xrefs")).first().asDict()})
     sinks.write_report(s, at, {}, force=False)
     sinks.require(s, at)
-    kind = "mentions struct<stored bigint, self_mentions bigint, open_ended bigint, usable bigint, directed bigint, undirected bigint, symmetric bigint, asymmetric bigint>"
+    kind = (
+        "mentions struct<stored bigint, self_mentions bigint, open_ended bigint, usable bigint, directed bigint, undirected bigint, symmetric bigint, asymmetric bigint>"
+    )
     return s.read.schema(kind).json(at, multiLine=True).select("mentions.*")
 
 
@@ -106,7 +130,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _archives(s, d):
     """Entries with the names of corpus, packed into tars by task and taken out again."""
-    rows = table(s, d, "corpus").filter("a_number is not null").select(format_id(F.col("a_number")).alias("name"), F.concat(F.lit("%N "), F.coalesce("name", F.lit("-"))).alias("text"))
+    rows = table(s, d, "corpus").filter("a_number is not null").select(
+        format_id(F.col("a_number")).alias("name"), F.concat(F.lit("%N "), F.coalesce("name", F.lit("-"))).alias("text")
+    )
     return dumps.archive_members(rows.mapInArrow(_packed, "content binary"))
 
 
@@ -114,8 +140,17 @@ def _bfiles(s, d):
     """A listing of a tree in which every sequence has a folder and those of even id a b-file."""
     ids = table(s, d, "corpus").filter("a_number is not null")
     even = F.col("a_number") % 2 == 0
-    path = F.concat(F.lit("files/"), format_id(F.col("a_number")), F.lit("/"), F.when(even, "b").otherwise("a"), F.format_string("%06d", "a_number"), F.lit(".txt"))
-    return dumps.listed_ids(ids.select(path.alias("path")).unionByName(ids.select(F.concat(path, F.lit(".bak")).alias("path"))))
+    path = F.concat(
+        F.lit("files/"),
+        format_id(F.col("a_number")),
+        F.lit("/"),
+        F.when(even, "b").otherwise("a"),
+        F.format_string("%06d", "a_number"),
+        F.lit(".txt")
+    )
+    return dumps.listed_ids(
+        ids.select(path.alias("path")).unionByName(ids.select(F.concat(path, F.lit(".bak")).alias("path")))
+    )
 
 
 QUERIES = {

@@ -35,8 +35,14 @@ def _novel_links(s, d):
 
 def _held(s, d):
     """Positive test pairs with an end whose id is divisible by 100: (u, v, stratum, lt8_any)."""
-    held = table(s, d, "splits").filter("split = 'test' and label = 1 and u is not null and v is not null").filter("pmod(u, 100) = 0 or pmod(v, 100) = 0")
-    return held.groupBy("u", "v", F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")).agg(F.max("lt8_any").alias("lt8_any"))
+    held = (
+        table(s, d, "splits")
+        .filter("split = 'test' and label = 1 and u is not null and v is not null")
+        .filter("pmod(u, 100) = 0 or pmod(v, 100) = 0")
+    )
+    return held.groupBy(
+        "u", "v", F.coalesce(F.lower(F.trim("stratum")), F.lit("(none)")).alias("stratum")
+    ).agg(F.max("lt8_any").alias("lt8_any"))
 
 
 def _ranks(s, d):
@@ -57,18 +63,28 @@ def _linear(s, d):
 def _affine_shifts(s, d):
     """The ten best candidates of each query by shared 3-grams, those that are affine to it, with the shift."""
     seqs = materialize(_seqs(s, d), "seqs")
-    pairs = retrieval.top_k(retrieval.shared_gram_candidates(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs), 10).select("q", "id")
-    both = pairs.join(seqs.withColumnsRenamed({"id": "q", "seq": "a"}), "q").join(seqs.withColumnRenamed("seq", "b"), "id")
+    pairs = retrieval.top_k(
+        retrieval.shared_gram_candidates(seqs.filter(F.pmod("id", F.lit(100)) == 0), seqs), 10
+    ).select("q", "id")
+    both = pairs.join(
+        seqs.withColumnsRenamed({"id": "q", "seq": "a"}), "q"
+    ).join(seqs.withColumnRenamed("seq", "b"), "id")
     return both.select("q", "id", affine_match(F.col("a"), F.col("b"))["s"].alias("s")).filter("s is not null")
 
 
 QUERIES = {
     "affine_shifts": _affine_shifts,
-    "gram_top10": lambda s, d: _ranked(s, d, 10).select("q", "id", "shared", F.round("jaccard", 9).alias("jaccard"), "rank"),
+    "gram_top10": lambda s, d: _ranked(s, d, 10).select(
+        "q", "id", "shared", F.round("jaccard", 9).alias("jaccard"), "rank"
+    ),
     "retrieval_report": lambda s, d: retrieval.retrieval_report(_ranks(s, d)),
     "retrieval_ci": lambda s, d: retrieval.bootstrap_ci(_ranks(s, d)),
-    "nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")).select("q", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"),
-    "transforms": lambda s, d: battery.transformed(spread(_seqs(s, d))).select("id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")),
+    "nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")).select(
+        "q", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"
+    ),
+    "transforms": lambda s, d: battery.transformed(spread(_seqs(s, d))).select(
+        "id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")
+    ),
     "linear_transforms": _linear,
     "classical_baseline": _baseline,
     "novel_links": _novel_links,

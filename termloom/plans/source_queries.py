@@ -15,12 +15,21 @@ from termloom.sources import dumps
 
 def _entries(s, d):
     """One entry text for each sequence and sync of xrefs: at most as many distinct lines as y_line_idx can count."""
-    lines = table(s, d, "xrefs").filter("source is not null and raw_text is not null").select("source", "sync_id", "y_line_idx", "raw_text").distinct()
+    lines = (
+        table(s, d, "xrefs")
+        .filter("source is not null and raw_text is not null")
+        .select("source", "sync_id", "y_line_idx", "raw_text")
+        .distinct()
+    )
     line = F.concat(F.lit("%Y "), format_id(F.col("source")), F.lit(" "), "raw_text")
-    texts = lines.groupBy("source", "sync_id").agg(F.array_sort(F.collect_list(F.struct("y_line_idx", line.alias("l")))).alias("x"))
+    texts = lines.groupBy("source", "sync_id").agg(
+        F.array_sort(F.collect_list(F.struct("y_line_idx", line.alias("l")))).alias("x")
+    )
     body = F.array_join(F.transform("x", lambda e: e["l"]), "\n")
     # a %K line for each distinct list of keywords that seq_meta has of the sequence
-    stored = table(s, d, "seq_meta").filter("keywords is not null").select(F.col("a_number").alias("source"), "keywords").distinct()
+    stored = table(s, d, "seq_meta").filter("keywords is not null").select(
+        F.col("a_number").alias("source"), "keywords"
+    ).distinct()
     keys = stored.groupBy("source").agg(F.array_sort(F.collect_list("keywords")).alias("k"))
     name = format_id(F.col("source"))
     meta = F.array_join(F.transform("k", lambda k: F.concat(F.lit("\n%K "), name, F.lit(" "), k)), "")
@@ -29,21 +38,33 @@ def _entries(s, d):
 
 
 def _stats(s, d):
-    return stats.statistics_table(stats.statistics(*(table(s, d, t) for t in ("corpus", "xrefs", "seq_meta", "relations"))), s)
+    return stats.statistics_table(
+        stats.statistics(*(table(s, d, t) for t in ("corpus", "xrefs", "seq_meta", "relations"))), s
+    )
 
 
 def _calls(s, d):
     """Calls of programs, from one assembly text for each stored relation."""
     rel = table(s, d, "relations").filter("program is not null and calls is not null")
-    return dumps.program_calls(rel.select("program", F.format_string("; seq $1,999\n  seq $1,%06d\n", "calls").alias("text")))
+    return dumps.program_calls(
+        rel.select("program", F.format_string("; seq $1,999\n  seq $1,%06d\n", "calls").alias("text"))
+    )
 
 
 QUERIES = {
-    "entry_mentions": lambda s, d: dumps.entry_mentions(_entries(s, d)).groupBy("source", "target", "y_line_idx", "link_type", "paren", "raw_text").agg(F.count("*").alias("n")),
+    "entry_mentions": lambda s, d: dumps.entry_mentions(_entries(s, d))
+    .groupBy("source", "target", "y_line_idx", "link_type", "paren", "raw_text")
+    .agg(F.count("*").alias("n")),
     "entry_meta": lambda s, d: dumps.entry_meta(_entries(s, d)),
-    "entry_references": lambda s, d: dumps.entry_references(_entries(s, d)).select("a_number", F.explode("xrefs").alias("ref")).distinct(),
+    "entry_references": lambda s, d: dumps.entry_references(_entries(s, d))
+    .select("a_number", F.explode("xrefs").alias("ref"))
+    .distinct(),
     "program_calls": _calls,
-    "json_mentions": lambda s, d: dumps.json_mentions(table(s, d, "xrefs").filter("source is not null").select(F.col("source").alias("a_number"), F.to_json(F.struct("raw_text", "link_type")).alias("json_text"))),
+    "json_mentions": lambda s, d: dumps.json_mentions(
+        table(s, d, "xrefs")
+        .filter("source is not null")
+        .select(F.col("source").alias("a_number"), F.to_json(F.struct("raw_text", "link_type")).alias("json_text"))
+    ),
     "statistics": _stats,
 }
 
@@ -52,7 +73,9 @@ _LINES = """
  l AS (SELECT DISTINCT source, sync_id, y_line_idx, raw_text FROM xrefs WHERE source IS NOT NULL AND raw_text IS NOT NULL),
  lines AS (SELECT source, sync_id, CAST(row_number() OVER (PARTITION BY source, sync_id ORDER BY y_line_idx NULLS FIRST, raw_text) - 1 AS SMALLINT) AS y_line_idx, trim(raw_text) AS raw_text FROM l)
 """
-_L = "SELECT DISTINCT source, sync_id, y_line_idx, raw_text FROM xrefs WHERE source IS NOT NULL AND raw_text IS NOT NULL"
+_L = (
+    "SELECT DISTINCT source, sync_id, y_line_idx, raw_text FROM xrefs WHERE source IS NOT NULL AND raw_text IS NOT NULL"
+)
 
 
 
@@ -61,7 +84,9 @@ def _part(section: str, sql: str, order: str = "") -> str:
     place = f"row_number() OVER ({'ORDER BY ' + order if order else ''}) - 1"
     rows = f"SELECT {place} AS _i, COLUMNS(*) FROM ({sql})"
     texts = f"SELECT CAST(_i AS VARCHAR) AS _i, CAST(COLUMNS(* EXCLUDE (_i)) AS VARCHAR) FROM ({rows})"
-    return f"SELECT '{section}' AS section, lpad(_i, 3, '0') || '.' || item AS item, value FROM (UNPIVOT ({texts}) ON COLUMNS(* EXCLUDE (_i)) INTO NAME item VALUE value)"
+    return (
+        f"SELECT '{section}' AS section, lpad(_i, 3, '0') || '.' || item AS item, value FROM (UNPIVOT ({texts}) ON COLUMNS(* EXCLUDE (_i)) INTO NAME item VALUE value)"
+    )
 
 
 _G = graph_queries.SQL

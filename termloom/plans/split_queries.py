@@ -41,7 +41,12 @@ def _negatives(s, d):
 
 def _train_sample(s, d):
     """200 distinct positive training pairs of the stored splits by seeded hash, in the order of their ids."""
-    pos = table(s, d, "splits").filter("split = 'train' and label = 1 and u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pos = (
+        table(s, d, "splits")
+        .filter("split = 'train' and label = 1 and u is not null and v is not null")
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        .distinct()
+    )
     return with_hash_rank(pos.withColumn("g", F.lit(0)), "g", ["u", "v"], 42).filter("rn <= 200").select("u", "v")
 
 
@@ -55,7 +60,9 @@ QUERIES = {
     "split_build_counts": lambda s, d: _built(s, d).groupBy("split", "stratum", "label").agg(F.count("*").alias("n")),
     "split_content_hash": lambda s, d: splits.content_hash(materialize(_built(s, d), "built"), ["split"]),
     "split_manifest": _manifest,
-    "stored_split_counts": lambda s, d: table(s, d, "splits").cube("split", "stratum", "label").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")),
+    "stored_split_counts": lambda s, d: table(s, d, "splits")
+    .cube("split", "stratum", "label")
+    .agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level")),
     "train_sample": _train_sample,
 }
 

@@ -16,7 +16,12 @@ def _lines(s, d):
 
 
 def _mentions(s, d):
-    return table(s, d, "xrefs").filter("source is not null and raw_text is not null").select("source", "target", "raw_text", "paren").distinct()
+    return (
+        table(s, d, "xrefs")
+        .filter("source is not null and raw_text is not null")
+        .select("source", "target", "raw_text", "paren")
+        .distinct()
+    )
 
 
 def _strata(version):
@@ -29,7 +34,12 @@ def _strata(version):
 
 
 def _confusion(s, d):
-    given = table(s, d, "xrefs").filter("source <> target").select("source", "target", "raw_text", "paren", F.lower(F.trim("stratum")).alias("given")).filter("given is not null and raw_text is not null")
+    given = (
+        table(s, d, "xrefs")
+        .filter("source <> target")
+        .select("source", "target", "raw_text", "paren", F.lower(F.trim("stratum")).alias("given"))
+        .filter("given is not null and raw_text is not null")
+    )
     corpus, meta = table(s, d, "corpus"), table(s, d, "seq_meta")
     rated = stratify.stratum_v1(given, stratify.names_of(corpus), meta)
     return audit.confusion(rated, "given", "stratum_v1", ["s1", "s2", "s3", "s4"])
@@ -38,14 +48,20 @@ def _confusion(s, d):
 def _precision(s, d):
     corpus, meta, xrefs = table(s, d, "corpus"), table(s, d, "seq_meta"), table(s, d, "xrefs")
     sample = audit.audit_sample(xrefs, graph.universe(corpus), stratify.names_of(corpus))
-    rated = stratify.stratum_v1(sample.drop("hand_label"), stratify.names_of(corpus), meta).withColumn("hand_label", F.col("stratum_v1"))
+    rated = stratify.stratum_v1(
+        sample.drop("hand_label"), stratify.names_of(corpus), meta
+    ).withColumn("hand_label", F.col("stratum_v1"))
     return audit.precision_report(rated)
 
 
 def _split_precision(s, d):
     """The strongest stratum of each pair of xrefs, judged by the labels that the stored splits have for the pair."""
-    stored = table(s, d, "splits").filter("label = 1").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("stratum").alias("hand_label")).distinct()
-    return audit.precision_report(graph.pair_table(table(s, d, "xrefs")).filter("stratum is not null").join(stored, ["u", "v"]))
+    stored = table(s, d, "splits").filter("label = 1").select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("stratum").alias("hand_label")
+    ).distinct()
+    return audit.precision_report(
+        graph.pair_table(table(s, d, "xrefs")).filter("stratum is not null").join(stored, ["u", "v"])
+    )
 
 
 def _names(s, d):
@@ -53,20 +69,43 @@ def _names(s, d):
 
 
 QUERIES = {
-    "mention_extract": lambda s, d: stratify.line_mentions(_lines(s, d)).groupBy("source", "target", "paren").agg(F.count("*").alias("n")),
-    "targets_per_line": lambda s, d: _lines(s, d).select("source", "raw_text", F.size(F.filter(text.mentions(F.col("raw_text")), lambda m: m["target"] != F.col("source"))).alias("n")),
-    "line_types": lambda s, d: _lines(s, d).groupBy(text.line_type(F.col("raw_text")).alias("line_type")).agg(F.count("*").alias("n")),
-    "strip_parens": lambda s, d: _lines(s, d).select("raw_text", text.strip_parens(F.col("raw_text")).alias("bare")).distinct(),
-    "sentences": lambda s, d: _lines(s, d).select("raw_text", F.posexplode(text.sentences(F.col("raw_text"))).alias("i", "sentence")).distinct(),
-    "line_cues": lambda s, d: _lines(s, d).select("source", "raw_text", text.line_cues(F.col("source"), F.col("raw_text")).alias("c")).select("source", "raw_text", F.array_join(F.array_sort("c.s1"), ",").alias("s1"), F.array_join(F.array_sort("c.s2"), ",").alias("s2")),
+    "mention_extract": lambda s, d: stratify.line_mentions(_lines(s, d))
+    .groupBy("source", "target", "paren")
+    .agg(F.count("*").alias("n")),
+    "targets_per_line": lambda s, d: _lines(s, d).select(
+        "source",
+        "raw_text",
+        F.size(F.filter(text.mentions(F.col("raw_text")), lambda m: m["target"] != F.col("source"))).alias("n")
+    ),
+    "line_types": lambda s, d: _lines(s, d)
+    .groupBy(text.line_type(F.col("raw_text")).alias("line_type"))
+    .agg(F.count("*").alias("n")),
+    "strip_parens": lambda s, d: _lines(s, d)
+    .select("raw_text", text.strip_parens(F.col("raw_text")).alias("bare"))
+    .distinct(),
+    "sentences": lambda s, d: _lines(s, d)
+    .select("raw_text", F.posexplode(text.sentences(F.col("raw_text"))).alias("i", "sentence"))
+    .distinct(),
+    "line_cues": lambda s, d: _lines(s, d)
+    .select("source", "raw_text", text.line_cues(F.col("source"), F.col("raw_text")).alias("c"))
+    .select(
+        "source",
+        "raw_text",
+        F.array_join(F.array_sort("c.s1"), ",").alias("s1"),
+        F.array_join(F.array_sort("c.s2"), ",").alias("s2")
+    ),
     "duplicate_names": lambda s, d: stratify.duplicate_of(_names(s, d)),
     "name_references": lambda s, d: stratify.name_references(_names(s, d)),
     "constants_v0": lambda s, d: stratify.constant_like(_names(s, d), table(s, d, "seq_meta"), 0),
     "constants_v1": lambda s, d: stratify.constant_like(_names(s, d), table(s, d, "seq_meta"), 1),
     "stratum_v0": _strata(0),
     "stratum_v1": _strata(1),
-    "id_round_trip": lambda s, d: table(s, d, "corpus").select("a_number", ids.format_id(F.col("a_number")).alias("label")).withColumn("parsed", ids.parse_id(F.concat(F.lit(" "), F.col("label")))),
-    "audit_sample": lambda s, d: audit.audit_sample(table(s, d, "xrefs"), graph.universe(table(s, d, "corpus")), _names(s, d)),
+    "id_round_trip": lambda s, d: table(s, d, "corpus")
+    .select("a_number", ids.format_id(F.col("a_number")).alias("label"))
+    .withColumn("parsed", ids.parse_id(F.concat(F.lit(" "), F.col("label")))),
+    "audit_sample": lambda s, d: audit.audit_sample(
+        table(s, d, "xrefs"), graph.universe(table(s, d, "corpus")), _names(s, d)
+    ),
     "audit_precision": _precision,
     "split_precision": _split_precision,
     "confusion": _confusion,
@@ -94,14 +133,30 @@ def _has(x: str, p: str) -> str:
     return f"regexp_matches({x}, '{p}', 'i')"
 
 
-_TYPE = f"CASE WHEN {_has('raw_text', text.S1_CUE)} THEN 'duplicate' WHEN {_has('raw_text', text.S2_CUE_V0)} THEN 'transform' WHEN {_has('raw_text', '^cf' + chr(92) + 'b')} THEN 'Cf.' WHEN {_has('raw_text', '^see also' + chr(92) + 'b')} THEN 'See also' ELSE 'other' END"
-_SENT = rf" sent AS (SELECT source, raw_text, unnest(list_filter(string_split(regexp_replace(raw_text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS sentence FROM lines)"
-_NAMES = " names AS (SELECT a_number AS id, min(name) AS name FROM corpus WHERE a_number IS NOT NULL AND name IS NOT NULL GROUP BY 1)"
-_DUP = f" dup AS (SELECT id, CAST(regexp_extract(name, '{text.DUPLICATE_NAME}', 1, 'i') AS INT) AS ref FROM names WHERE regexp_matches(name, '{text.DUPLICATE_NAME}', 'i'))"
-_REF = f" nref AS (SELECT DISTINCT id AS holder, CAST(unnest(regexp_extract_all(name, '{text.NAME_TRANSFORM}', 1, 'i')) AS INT) AS ref FROM names)"
-_KW = " kw AS (SELECT a_number AS id, list_transform(string_split(coalesce(keywords, ''), ','), lambda k: trim(k)) AS k FROM seq_meta WHERE a_number IS NOT NULL)"
-_C0 = f" c0 AS (SELECT id FROM names WHERE {_has('name', text.CONSTANT_NAME_V0)} UNION SELECT id FROM kw WHERE list_contains(k, 'cons'))"
-_C1 = f" c1 AS (SELECT id FROM names WHERE {_has('name', text.CONSTANT_NAME_V1)} UNION SELECT id FROM kw WHERE list_contains(k, 'cons') AND NOT list_contains(k, 'core'))"
+_TYPE = (
+    f"CASE WHEN {_has('raw_text', text.S1_CUE)} THEN 'duplicate' WHEN {_has('raw_text', text.S2_CUE_V0)} THEN 'transform' WHEN {_has('raw_text', '^cf' + chr(92) + 'b')} THEN 'Cf.' WHEN {_has('raw_text', '^see also' + chr(92) + 'b')} THEN 'See also' ELSE 'other' END"
+)
+_SENT = (
+    rf" sent AS (SELECT source, raw_text, unnest(list_filter(string_split(regexp_replace(raw_text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS sentence FROM lines)"
+)
+_NAMES = (
+    " names AS (SELECT a_number AS id, min(name) AS name FROM corpus WHERE a_number IS NOT NULL AND name IS NOT NULL GROUP BY 1)"
+)
+_DUP = (
+    f" dup AS (SELECT id, CAST(regexp_extract(name, '{text.DUPLICATE_NAME}', 1, 'i') AS INT) AS ref FROM names WHERE regexp_matches(name, '{text.DUPLICATE_NAME}', 'i'))"
+)
+_REF = (
+    f" nref AS (SELECT DISTINCT id AS holder, CAST(unnest(regexp_extract_all(name, '{text.NAME_TRANSFORM}', 1, 'i')) AS INT) AS ref FROM names)"
+)
+_KW = (
+    " kw AS (SELECT a_number AS id, list_transform(string_split(coalesce(keywords, ''), ','), lambda k: trim(k)) AS k FROM seq_meta WHERE a_number IS NOT NULL)"
+)
+_C0 = (
+    f" c0 AS (SELECT id FROM names WHERE {_has('name', text.CONSTANT_NAME_V0)} UNION SELECT id FROM kw WHERE list_contains(k, 'cons'))"
+)
+_C1 = (
+    f" c1 AS (SELECT id FROM names WHERE {_has('name', text.CONSTANT_NAME_V1)} UNION SELECT id FROM kw WHERE list_contains(k, 'cons') AND NOT list_contains(k, 'core'))"
+)
 _CUES = f"""
  bare AS (SELECT source, raw_text, {_bare('sentence')} AS b FROM sent),
  part AS (SELECT source, raw_text, b, {_all('b')} AS ids FROM bare),
@@ -110,8 +165,12 @@ _CUES = f"""
  s2 AS (SELECT DISTINCT source, raw_text, list_filter(list_distinct(ids), lambda y: y <> source)[1] AS t FROM part
         WHERE {_has('raw_text', text.S2_CUE_V1)} AND {_has('b', text.S2_CUE_V1)} AND len(list_filter(list_distinct(ids), lambda y: y <> source)) = 1)
 """
-_MENT = " mm AS (SELECT DISTINCT source, target, raw_text, paren FROM xrefs WHERE raw_text IS NOT NULL AND source <> target)"
-_DUPED = "EXISTS (SELECT 1 FROM dup WHERE (dup.id = mm.source AND dup.ref = mm.target) OR (dup.id = mm.target AND dup.ref = mm.source))"
+_MENT = (
+    " mm AS (SELECT DISTINCT source, target, raw_text, paren FROM xrefs WHERE raw_text IS NOT NULL AND source <> target)"
+)
+_DUPED = (
+    "EXISTS (SELECT 1 FROM dup WHERE (dup.id = mm.source AND dup.ref = mm.target) OR (dup.id = mm.target AND dup.ref = mm.source))"
+)
 _V1 = f"""
  {_LINES}, {_SENT}, {_CUES}, {_NAMES}, {_DUP}, {_REF}, {_KW}, {_C1},
  v1 AS (SELECT mm.*, CASE WHEN {_DUPED} OR {_has("coalesce(paren, '')", text.S1_CUE)} OR EXISTS (SELECT 1 FROM s1 WHERE s1.source = mm.source AND s1.raw_text = mm.raw_text AND s1.t = mm.target) THEN 's1'

@@ -19,7 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: ``spark.checkpoint.dir``, or, on a local master that has none, one of our own."""
     conf = spark.sparkContext.getConf()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or conf.get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
+    )
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -113,7 +117,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, member: str, block: in
     return few.join(many, [key, "_p"]).drop("_p")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, key: str, member: str, block: int = 2000) -> tuple[DataFrame, DataFrame, list[str]]:
+def block_pairs(
+    left: DataFrame, right: DataFrame, key: str, member: str, block: int = 2000
+) -> tuple[DataFrame, DataFrame, list[str]]:
     """Split the hot keys of a many-to-many self join into tiles of at most ``2 * block`` rows.
 
     ``left`` and ``right`` are row subsets of the same postings. A key with c rows gets ceil(c / block) blocks by the
@@ -132,7 +138,9 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, member: str, block:
 
     def tile(d: DataFrame) -> DataFrame:
         nb = F.coalesce(F.ceil(F.col("_c") / block), F.lit(1)).cast("int")
-        d = d.join(side, key, "left").withColumn("_nb", nb).withColumn("_b", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int"))
+        d = d.join(side, key, "left").withColumn("_nb", nb).withColumn(
+            "_b", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int")
+        )
         d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
         return d.withColumns({"_bi": F.least("_b", "_o"), "_bj": F.greatest("_b", "_o")}).drop("_c", "_nb", "_o")
 

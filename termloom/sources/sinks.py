@@ -37,7 +37,9 @@ def write_blind_audit(sample: DataFrame, path: str, force: bool = False) -> None
 
 def write_id_list(ids: DataFrame, path: str, force: bool = False) -> None:
     """Sorted identifiers, one a line."""
-    ids.select("id").distinct().orderBy("id").select(format_id(F.col("id"))).write.mode("overwrite" if force else "ignore").text(path)
+    ids.select("id").distinct().orderBy("id").select(format_id(F.col("id"))).write.mode(
+        "overwrite" if force else "ignore"
+    ).text(path)
 
 
 def _file(spark: SparkSession, path: str):
@@ -78,7 +80,13 @@ def markdown(report: dict, title: str) -> str:
     lines = [f"# {title}", ""]
     for section, body in report.items():
         lines += [f"## {section}", ""]
-        rows = body if isinstance(body, list) else [{"name": k, "value": v} for k, v in body.items()] if isinstance(body, dict) else [{"value": body}]
+        rows = (
+            body
+            if isinstance(body, list)
+            else [{"name": k, "value": v} for k, v in body.items()]
+            if isinstance(body, dict)
+            else [{"value": body}]
+        )
         if rows:
             cols = list(rows[0])
             lines += ["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]

@@ -32,7 +32,10 @@ def _seen(mentions: DataFrame) -> DataFrame:
 
 
 def _by_day(seen: DataFrame) -> DataFrame:
-    counts = seen.groupBy(F.window("seen_at", "1 day").alias("w"), F.coalesce(clean_label(F.col("stratum")), F.lit("(none)")).alias("stratum")).agg(F.count("*").alias("mentions"), F.count_if(F.col("source") == F.col("target")).alias("self_mentions"))
+    counts = seen.groupBy(
+        F.window("seen_at", "1 day").alias("w"),
+        F.coalesce(clean_label(F.col("stratum")), F.lit("(none)")).alias("stratum")
+    ).agg(F.count("*").alias("mentions"), F.count_if(F.col("source") == F.col("target")).alias("self_mentions"))
     return counts.select(F.col("w.start").alias("day"), "stratum", "mentions", "self_mentions")
 
 
@@ -52,6 +55,14 @@ def stream_counts(spark: SparkSession, path: str) -> DataFrame:
     Late rows count: without a watermark a day's state stays open, and days times strata are few.
     """
     name, at = f"t{uuid.uuid4().hex}", scratch(spark, "stream")
-    query = daily_counts(read_mentions(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
+    query = (
+        daily_counts(read_mentions(spark, path))
+        .writeStream.outputMode("complete")
+        .format("memory")
+        .queryName(name)
+        .option("checkpointLocation", at)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     return spark.table(name).withColumn("day", F.col("day").cast("timestamp_ntz"))

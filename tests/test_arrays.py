@@ -20,7 +20,11 @@ def strs(a):
 @pytest.fixture
 def feats(table):
     def run(a):
-        f = table("t array<string>", [(strs(a),)]).select(arrays.sequence_features()(F.col("t")).alias("f")).first()["f"]
+        f = (
+            table("t array<string>", [(strs(a),)])
+            .select(arrays.sequence_features()(F.col("t")).alias("f"))
+            .first()["f"]
+        )
         return dict(zip(arrays.feature_names(), f, strict=True))
 
     return run
@@ -28,7 +32,10 @@ def feats(table):
 
 def test_sequence_features(feats):
     assert len(arrays.feature_names()) == 66 == len(set(arrays.feature_names()))
-    assert all(math.isfinite(x) for x in feats(FIB).values()) and set(feats([]).values()) == {0.0} == set(feats(None).values())
+    assert (
+        all(math.isfinite(x) for x in feats(FIB).values())
+        and set(feats([]).values()) == {0.0} == set(feats(None).values())
+    )
     assert all(math.isfinite(x) for x in feats([5]).values())
     assert abs(feats(POW2)["growth_slope"] - math.log(2)) < 1e-9 and feats(POW2)["growth_rms"] < 1e-9
     even = feats([2 * i for i in range(1, 9)])
@@ -42,13 +49,19 @@ def test_sequence_features(feats):
 
 
 def one(table, a, b, f):
-    r = table("a array<string>, b array<string>", [(strs(a), strs(b))]).select(f(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    r = (
+        table("a array<string>, b array<string>", [(strs(a), strs(b))])
+        .select(f(F.col("a"), F.col("b")).alias("x"))
+        .first()["x"]
+    )
     return r
 
 
 def test_jaccards(table):
     assert one(table, FIB, FIB, arrays.jaccard) == one(table, FIB, FIB, arrays.ngram_jaccard) == 1
-    assert one(table, [1, 2], [3], arrays.jaccard) == one(table, [], [], arrays.jaccard) == one(table, [1, 2], [1, 2], arrays.ngram_jaccard) == 0
+    assert one(table, [1, 2], [3], arrays.jaccard) == one(table, [], [], arrays.jaccard) == one(
+        table, [1, 2], [1, 2], arrays.ngram_jaccard
+    ) == 0
     assert one(table, None, [1], arrays.jaccard) == 0 and one(table, [1, 1, 2], [2, 3], arrays.jaccard) == 1 / 3
 
 
@@ -86,31 +99,67 @@ def affine(a, b):
 def test_affine_matches(table):
     rng = random.Random(5)
     big = [rng.randrange(-(10**40), 10**40) for _ in range(20)]
-    cases = [(FIB, [2 * x for x in FIB]), (FIB, [3 * x - 1 for x in FIB[2:]]), (NAT, POW2), (NAT, list(range(2, 18))), ([4] * 9, [7] * 9), ([4] * 9, NAT), (NAT, [4] * 16), (big, [7 * x + 10**41 for x in big[3:]]), ([2 * x for x in big], big), (FIB[:7], FIB[:7]), ([], FIB)]
+    cases = [
+        (FIB, [2 * x for x in FIB]),
+        (FIB, [3 * x - 1 for x in FIB[2:]]),
+        (NAT, POW2),
+        (NAT, list(range(2, 18))),
+        ([4] * 9, [7] * 9),
+        ([4] * 9, NAT),
+        (NAT, [4] * 16),
+        (big, [7 * x + 10**41 for x in big[3:]]),
+        ([2 * x for x in big], big),
+        (FIB[:7], FIB[:7]),
+        ([], FIB)
+    ]
     for _ in range(20):
         a = [rng.randrange(-3, 4) for _ in range(12)]
         s = rng.randrange(4)
-        cases.append((a, [rng.choice([1, -2]) * x + 5 for x in a[s:]] if rng.random() < 0.5 else [-3 * x + 1 for x in a[s:]]))
-    rows = table("i int, a array<string>, b array<string>", [(i, strs(a), strs(b)) for i, (a, b) in enumerate(cases)]).select("i", arrays.affine_match(F.col("a"), F.col("b")).alias("m")).collect()
+        cases.append(
+            (a, [rng.choice([1, -2]) * x + 5 for x in a[s:]] if rng.random() < 0.5 else [-3 * x + 1 for x in a[s:]])
+        )
+    rows = (
+        table("i int, a array<string>, b array<string>", [(i, strs(a), strs(b)) for i, (a, b) in enumerate(cases)])
+        .select("i", arrays.affine_match(F.col("a"), F.col("b")).alias("m"))
+        .collect()
+    )
     for r in rows:
         m, want = r["m"], affine(*cases[r["i"]])
-        got = None if m is None or m["s"] is None else (Fraction(int(m["c_num"]), int(m["c_den"])), Fraction(int(m["d_num"]), int(m["d_den"])), m["s"])
+        got = (
+            None
+            if m is None
+            or m["s"] is None
+            else (Fraction(int(m["c_num"]), int(m["c_den"])), Fraction(int(m["d_num"]), int(m["d_den"])), m["s"])
+        )
         assert got == want, cases[r["i"]]
     assert affine(*cases[0]) == (2, 0, 0) and affine(*cases[1]) == (3, -1, 2)
 
 
 def test_terms(table):
     raw = [" 007", "+5", "-0", "-03", "\t12 ", "1.0", "", " ", None, "?", "--1", "9" * 50, "１"]
-    got = table("t array<string>", [(raw,), (None,), ([],)]).select(clean_terms(F.col("t")).alias("c"), exact_longs(clean_terms(F.col("t"))).alias("l")).collect()
-    assert got[0]["c"] == ["7", "5", "0", "-3", "12", "9" * 50] and got[0]["l"] is None and got[1]["c"] == [] == got[2]["c"]
+    got = (
+        table("t array<string>", [(raw,), (None,), ([],)])
+        .select(clean_terms(F.col("t")).alias("c"), exact_longs(clean_terms(F.col("t"))).alias("l"))
+        .collect()
+    )
+    assert (
+        got[0]["c"] == ["7", "5", "0", "-3", "12", "9" * 50]
+        and got[0]["l"] is None
+        and got[1]["c"] == [] == got[2]["c"]
+    )
 
 
 def test_transforms_invert_each_other():
     rng = random.Random(3)
     a = [rng.randrange(-9, 9) for _ in range(16)]
     t = dict(battery._transforms(a))
-    assert dict(battery._transforms(t["binomial"]))["inverse_binomial"] == a == dict(battery._transforms(t["inverse_binomial"]))["binomial"]
-    assert dict(battery._transforms(t["euler"]))["inverse_euler"] == a and dict(battery._transforms(t["moebius"]))["inverse_moebius"] == a
+    assert dict(battery._transforms(t["binomial"]))["inverse_binomial"] == a == dict(
+        battery._transforms(t["inverse_binomial"])
+    )["binomial"]
+    assert (
+        dict(battery._transforms(t["euler"]))["inverse_euler"] == a
+        and dict(battery._transforms(t["moebius"]))["inverse_moebius"] == a
+    )
     assert dict(battery._transforms(t["partial_sums"]))["diff1"] == a[1:] and t["third_1"] == a[1::3]
     assert dict(battery._transforms([1] * 6))["euler"] == [1, 2, 3, 5, 7, 11]  # partitions
     assert dict(battery._transforms([0, 2, 3, 7]))["complement"] == [1, 4, 5, 6] and "complement" not in t
@@ -120,18 +169,46 @@ def test_transforms_invert_each_other():
 def test_classical_baseline(table):
     rng = random.Random(4)
     sq = [i * i for i in range(1, 25)]
-    seqs = [(100, sq), (1, [y - x for x, y in zip(sq, sq[1:])]), (2, sq[3:]), (3, [-x for x in sq]), (4, sq[:4] + [rng.randrange(999) for _ in range(20)]), (5, [5, 6]), (6, [7 * x + 1 for x in sq])]
+    seqs = [
+        (100, sq),
+        (1, [y - x for x, y in zip(sq, sq[1:])]),
+        (2, sq[3:]),
+        (3, [-x for x in sq]),
+        (4, sq[:4] + [rng.randrange(999) for _ in range(20)]),
+        (5, [5, 6]),
+        (6, [7 * x + 1 for x in sq])
+    ]
     df = table("id int, seq array<string>", [(i, strs(s)) for i, s in seqs])
     rows = {r["id"]: r for r in retrieval.classical_baseline(df.filter("id = 100"), df).collect()}
-    assert rows.keys() == {1, 2, 3, 4} and all(rows[i]["matched"] for i in (1, 2, 3)) and not rows[4]["matched"] and rows[4]["rank"] == 4
+    assert (
+        rows.keys() == {1, 2, 3, 4}
+        and all(rows[i]["matched"] for i in (1, 2, 3))
+        and not rows[4]["matched"]
+        and rows[4]["rank"] == 4
+    )
     assert (rows[1]["transform"], rows[3]["transform"], rows[3]["rank"]) == ("diff1", "negation", 2)
 
 
 def test_transform_links(table):
     sq = [i * i for i in range(1, 25)]
-    seqs = [(100, strs(sq)), (1, strs([y - x for x, y in zip(sq, sq[1:])])), (2, strs(sq[3:])), (3, strs([-x for x in sq])), (4, ["5"] * 20), (200, ["5"] * 20), (5, None), (6, ["1"])]
-    got = {(r["q"], r["transform"], r["id"], r["s"]) for r in battery.transform_links(table("id int, seq array<string>", seqs)).collect()}
-    assert {(100, "diff1", 1, 0), (100, "identity", 2, 3), (100, "negation", 3, 0)} <= got and not any(q == 200 for q, *_ in got)
+    seqs = [
+        (100, strs(sq)),
+        (1, strs([y - x for x, y in zip(sq, sq[1:])])),
+        (2, strs(sq[3:])),
+        (3, strs([-x for x in sq])),
+        (4, ["5"] * 20),
+        (200, ["5"] * 20),
+        (5, None),
+        (6, ["1"])
+    ]
+    got = {
+        (r["q"], r["transform"], r["id"], r["s"])
+        for r in battery.transform_links(table("id int, seq array<string>", seqs)).collect()
+    }
+    assert (
+        {(100, "diff1", 1, 0), (100, "identity", 2, 3), (100, "negation", 3, 0)} <= got
+        and not any(q == 200 for q, *_ in got)
+    )
 
 
 def test_smoke_aggregates_against_plain_python(spark):
@@ -147,7 +224,13 @@ def test_smoke_aggregates_against_plain_python(spark):
         t = [int(x) for x in r["terms"] or [] if x is not None and re.fullmatch(r"\s*[+-]?[0-9]+\s*", x)]
         if t:
             seqs[r["a_number"]] = t
-    pairs = {tuple(sorted((r["u"], r["v"]))) for r in load(spark, d, "splits").collect() if r["split"] == "train" and r["label"] == 1 and None not in (r["u"], r["v"])}
+    pairs = {
+        tuple(sorted((r["u"], r["v"])))
+        for r in load(spark, d, "splits").collect()
+        if r["split"] == "train"
+        and r["label"] == 1
+        and None not in (r["u"], r["v"])
+    }
     picked = sorted(pairs, key=lambda p: (hashlib.md5(f"42|{p[0]}|{p[1]}".encode()).hexdigest(), p))[:200]
     jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
     grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
@@ -169,10 +252,34 @@ def test_trees_judge_held_out_pairs(table):
     rows = []
     for i in range(300):
         y = i % 2
-        rows.append((i, i + 1, ["train", "train", "val", "test"][(i // 2) % 4], y, min(1.0, max(0.0, 0.25 + 0.5 * y + rng.gauss(0, 0.1))), rng.random(), 0.0, 0.0))
-    out = {r["split"]: r["auc"] for r in retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows)).collect()}
+        rows.append(
+            (
+                i,
+                i + 1,
+                ["train", "train", "val", "test"][(i // 2) % 4],
+                y,
+                min(1.0, max(0.0, 0.25 + 0.5 * y + rng.gauss(0, 0.1))),
+                rng.random(),
+                0.0,
+                0.0
+            )
+        )
+    out = {
+        r["split"]: r["auc"]
+        for r in retrieval.boosted_trees_report(
+            table(
+                "u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double",
+                rows
+            )
+        ).collect()
+    }
     assert out.keys() == {"train", "val", "test"} and all(a > 0.9 for a in out.values())
-    assert retrieval.boosted_trees_report(table("u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double", rows[:1])).first()["auc"] is None
+    assert retrieval.boosted_trees_report(
+        table(
+            "u int, v int, split string, label int, term_set_jaccard double, ngram3_jaccard double, exact_subseq double, affine_match double",
+            rows[:1]
+        )
+    ).first()["auc"] is None
 
 
 def test_transforms_take_whole_sequences(table):
@@ -181,7 +288,15 @@ def test_transforms_take_whole_sequences(table):
     wide = [3, 5, 10**40]
     df = table("id int, seq array<string>", [(1, strs(a)), (2, strs(wide)), (3, ["1", "20000", "20001"])])
     rows = {(r["id"], r["transform"]): r["terms"] for r in battery.transformed(df).collect()}
-    for name, n in (("identity", 340), ("diff1", 339), ("third_0", 114), ("odd", 170), ("binomial", 340), ("euler", 340), ("moebius", 340)):
+    for name, n in (
+        ("identity", 340),
+        ("diff1", 339),
+        ("third_0", 114),
+        ("odd", 170),
+        ("binomial", 340),
+        ("euler", 340),
+        ("moebius", 340)
+    ):
         assert len(rows[1, name]) == n
     assert rows[1, "negation"] == strs([-x for x in a]) and rows[1, "even"] == strs(a[::2])
     assert rows[2, "complement_gaps"] == ["0..2", "4..4", f"6..{10**40 - 1}"] and (3, "complement") not in rows
@@ -195,10 +310,25 @@ def test_links_hold_over_whole_overlaps(table):
     zeros = [0] * 12 + [1, 5, 2, 9, 4]
     part = a[:20] + [999] + a[21:]  # parts from a after 20 terms
     long = [rng.randrange(99) for _ in range(120)]
-    seqs = {100: a, 1: part, 2: [3 * x - 7 for x in a[4:]], 200: zeros, 3: zeros, 4: zeros[3:], 5: [0] * 12 + [1, 5, 2, 9, 5], 300: long, 6: long[:100] + [-1], 7: [-x for x in long], 400: [4, 6, 10**30], 8: [0, 1, 2, 3, 5, *range(7, 40)]}
+    seqs = {
+        100: a,
+        1: part,
+        2: [3 * x - 7 for x in a[4:]],
+        200: zeros,
+        3: zeros,
+        4: zeros[3:],
+        5: [0] * 12 + [1, 5, 2, 9, 5],
+        300: long,
+        6: long[:100] + [-1],
+        7: [-x for x in long],
+        400: [4, 6, 10**30],
+        8: [0, 1, 2, 3, 5, *range(7, 40)]
+    }
     for i in range(20):
         b = [rng.randrange(2) for _ in range(rng.randrange(8, 14))]
-        seqs |= {500 + 100 * i: b, 10 + i: [rng.choice([1, -1, 2]) * x + rng.randrange(2) for x in b[rng.randrange(3) :]]}
+        seqs |= {
+            500 + 100 * i: b, 10 + i: [rng.choice([1, -1, 2]) * x + rng.randrange(2) for x in b[rng.randrange(3) :]]
+        }
     df = table("id int, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
     want = {}
     for q in [q for q in seqs if q % 100 == 0]:
@@ -216,17 +346,42 @@ def test_links_hold_over_whole_overlaps(table):
                     if x == y if name != "affine" else c and all(c * (v - x[0]) == w - y[0] for v, w in zip(x, y)):
                         want[q, name, i] = (s, c if name == "affine" else None)
                         break
-    got = {(r["q"], r["transform"], r["id"]): (r["s"], None if r["c_num"] is None else Fraction(int(r["c_num"]), int(r["c_den"]))) for r in battery.transform_links(df).collect()}
+    got = {
+        (r["q"], r["transform"], r["id"]): (
+            r["s"], None if r["c_num"] is None else Fraction(int(r["c_num"]), int(r["c_den"]))
+        )
+        for r in battery.transform_links(df).collect()
+    }
     assert got == want
-    assert got[100, "affine", 2] == (4, 3) and got[200, "identity", 3] == (0, None) and got[200, "identity", 4] == (3, None) and got[300, "negation", 7] == (0, None)
-    assert got[400, "complement", 8] == (0, None) and not got.keys() & {(100, "identity", 1), (200, "identity", 5), (300, "identity", 6)}
+    assert (
+        got[100, "affine", 2] == (4, 3)
+        and got[200, "identity", 3] == (0, None)
+        and got[200, "identity", 4] == (3, None)
+        and got[300, "negation", 7] == (0, None)
+    )
+    assert (
+        got[400, "complement", 8] == (0, None)
+        and not got.keys()
+        & {(100, "identity", 1), (200, "identity", 5), (300, "identity", 6)}
+    )
 
 
 def test_baseline_finds_every_match(table):
     rng = random.Random(11)
     long = [rng.randrange(9) for _ in range(340)]
     sq = [i * i for i in range(1, 25)]
-    seqs = {100: long, 200: sq, 300: [7] * 10, 400: [10, 20, 30, 10**30], 1: long[200:208], 2: [7 * x + 1 for x in sq], 3: [4] * 9, 4: [*range(1000, 1020)], 5: [17, 18, 19, 21, 22, 23, 24, 25, 26], 6: [17, 18, 19, 20, 21, 22, 23, 24, 25]}
+    seqs = {
+        100: long,
+        200: sq,
+        300: [7] * 10,
+        400: [10, 20, 30, 10**30],
+        1: long[200:208],
+        2: [7 * x + 1 for x in sq],
+        3: [4] * 9,
+        4: [*range(1000, 1020)],
+        5: [17, 18, 19, 21, 22, 23, 24, 25, 26],
+        6: [17, 18, 19, 20, 21, 22, 23, 24, 25]
+    }
     seqs |= {1001 + i: rng.sample(long[:40], 25) for i in range(99)}  # many that share small grams
     df = table("id int, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
     asked = battery.transformed(df.filter("id % 100 = 0")).withColumnRenamed("id", "q")
@@ -239,14 +394,31 @@ def test_baseline_finds_every_match(table):
     want = set()
     for q in (100, 200, 300, 400):
         for name, t in battery._transforms(seqs[q]):
-            want |= {(q, name, i) for i, b in seqs.items() if i != q and name != "complement_gaps" and (sub(t, b) or affine(t, b))}
+            want |= {
+                (q, name, i)
+                for i, b in seqs.items()
+                if i != q
+                and name != "complement_gaps"
+                and (sub(t, b) or affine(t, b))
+            }
     assert {x for x in got if x[1] != "complement_gaps"} == want
     gaps = asked.filter("transform = 'complement_gaps' and q = 400")
     assert {r["id"] for r in retrieval._in_gaps(gaps, df).collect()} == {4, 5}
     head = dict(battery._transforms(seqs[400], None, 400))["complement"]
-    assert {i for q, t, i in got if t == "complement_gaps" and q == 400} == {4, 5} | {i for i, b in seqs.items() if i != 400 and affine(head, b)}
-    rows = {(r["q"], r["id"]): r for r in retrieval.classical_baseline(df.filter("id % 100 = 0"), df, gramless=True).collect()}
-    assert rows[100, 1]["matched"] and rows[200, 2]["matched"] and rows[300, 3]["matched"] and rows[200, 2]["ngram_jaccard"] == 0
+    assert (
+        {i for q, t, i in got if t == "complement_gaps" and q == 400} == {4, 5}
+        | {i for i, b in seqs.items() if i != 400 and affine(head, b)}
+    )
+    rows = {
+        (r["q"], r["id"]): r
+        for r in retrieval.classical_baseline(df.filter("id % 100 = 0"), df, gramless=True).collect()
+    }
+    assert (
+        rows[100, 1]["matched"]
+        and rows[200, 2]["matched"]
+        and rows[300, 3]["matched"]
+        and rows[200, 2]["ngram_jaccard"] == 0
+    )
 
 
 @pytest.fixture
@@ -254,7 +426,16 @@ def stored(table, tmp_path):
     """A folder with five sequences, and splits of two positives and two negatives."""
     seqs = [(1, strs(FIB)), (2, strs([2 * x + 1 for x in FIB])), (3, strs(FIB[2:])), (4, strs(POW2)), (5, None)]
     table("a_number int, terms array<string>", seqs).write.parquet(f"{tmp_path}/corpus.parquet")
-    rows = [(1, 2, " S2", 1, "train"), (1, 2, "s2", 1, "train"), (1, 4, "s2", 1, "train"), (1, 3, "neg", 0, "train"), (2, 3, "neg", 0, "test"), (1, 5, "s3", 1, "train"), (1, None, "s3", 1, "train"), (3, 4, "s3", 1, "train")]
+    rows = [
+        (1, 2, " S2", 1, "train"),
+        (1, 2, "s2", 1, "train"),
+        (1, 4, "s2", 1, "train"),
+        (1, 3, "neg", 0, "train"),
+        (2, 3, "neg", 0, "test"),
+        (1, 5, "s3", 1, "train"),
+        (1, None, "s3", 1, "train"),
+        (3, 4, "s3", 1, "train")
+    ]
     table("u int, v int, stratum string, label int, split string", rows).write.parquet(f"{tmp_path}/splits.parquet")
     return str(tmp_path)
 
@@ -271,14 +452,25 @@ def test_pair_features_of_negatives(spark, stored):
             a, b = f(of[u]), f(of[v])
             assert abs(r[name] - len(a & b) / len(a | b)) < 1e-8
         assert r["exact_subseq"] == ((u, v) == (1, 3)) and r["affine_match"] == (affine(of[u], of[v]) is not None)
-    assert {(r["u"], r["v"]) for r in registry.QUERIES["affine_pairs"](spark, stored).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {
+        (r["u"], r["v"]) for r in registry.QUERIES["affine_pairs"](spark, stored).collect()
+    } == {(1, 2), (1, 3), (2, 3)}
 
 
 def test_smoke_affine_by_stratum(spark, stored):
     from termloom.plans import registry
 
-    got = {(r["stratum"], r["total"]): (r["pairs"], r["affine_match"]) for r in registry.QUERIES["smoke_affine_by_stratum"](spark, stored).collect()}
+    got = {
+        (r["stratum"], r["total"]): (r["pairs"], r["affine_match"])
+        for r in registry.QUERIES["smoke_affine_by_stratum"](spark, stored).collect()
+    }
     of = {1: FIB, 2: [2 * x + 1 for x in FIB], 3: FIB[2:], 4: POW2}
-    hits = {s: [affine(of[u], of[v]) is not None for u, v in pairs] for s, pairs in {"s2": [(1, 2), (1, 4)], "s3": [(3, 4)]}.items()}
-    want = {(s, 0): (len(h), sum(h) / len(h)) for s, h in hits.items()} | {(None, 1): (3, round(sum(map(sum, hits.values())) / 3, 6))}
+    hits = {
+        s: [affine(of[u], of[v]) is not None for u, v in pairs]
+        for s, pairs in {"s2": [(1, 2), (1, 4)], "s3": [(3, 4)]}.items()
+    }
+    want = (
+        {(s, 0): (len(h), sum(h) / len(h)) for s, h in hits.items()}
+        | {(None, 1): (3, round(sum(map(sum, hits.values())) / 3, 6))}
+    )
     assert got == want and got["s2", 0] == (2, 0.5)

@@ -38,9 +38,13 @@ def test_profile_with_hot_keys_nulls_and_repeats(table):
 @pytest.mark.parametrize("width,max_keys", [(1, 10), (7, 3), (4096, 100)])
 def test_blocks_and_dictionaries_of_any_size(table, width, max_keys):
     data = [(i % 37 - 5, i % 3) for i in range(1000)]
-    got = skewed.dense_counts(table("k int, c int", data).repartition(3), F.col("k"), F.col("c"), 3, width=width, max_keys=max_keys)
+    got = skewed.dense_counts(
+        table("k int, c int", data).repartition(3), F.col("k"), F.col("c"), 3, width=width, max_keys=max_keys
+    )
     want = Counter(data)
-    assert {r["key"]: r["counts"] for r in got.collect()} == {k: [want[k, c] for c in range(3)] for k in {k for k, _ in data}}
+    assert {r["key"]: r["counts"] for r in got.collect()} == {
+        k: [want[k, c] for c in range(3)] for k in {k for k, _ in data}
+    }
 
 
 def test_sums_of_many_splits_in_two_levels(table, monkeypatch):
@@ -48,11 +52,15 @@ def test_sums_of_many_splits_in_two_levels(table, monkeypatch):
     data = [(5 if i % 2 else i % 90, i % 2) for i in range(2000)]  # one key has half of the rows
     got = skewed.dense_counts(table("k int, c int", data).repartition(9), F.col("k"), F.col("c"), 2, width=16)
     want = Counter(data)
-    assert {r["key"]: r["counts"] for r in got.collect()} == {k: [want[k, c] for c in range(2)] for k in {k for k, _ in data}}
+    assert {r["key"]: r["counts"] for r in got.collect()} == {
+        k: [want[k, c] for c in range(2)] for k in {k for k, _ in data}
+    }
 
 
 def test_weights_are_summed(table):
-    got = skewed.dense_counts(table("k int, w bigint", [(1, 5), (1, 2**40), (2, 0)]), F.col("k"), F.lit(0), 1, F.col("w"))
+    got = skewed.dense_counts(
+        table("k int, w bigint", [(1, 5), (1, 2**40), (2, 0)]), F.col("k"), F.lit(0), 1, F.col("w")
+    )
     assert {r["key"]: r["counts"][0] for r in got.collect()} == {1: 2**40 + 5}
 
 
