@@ -56,8 +56,12 @@ def _cells(edges: DataFrame, blocks: int, cell_edges: int) -> DataFrame:
     if blocks == 1:
         return cells.withColumn("part", F.lit(0))
     # one row for each cell that is too large: fewer than edges / cell_edges
-    large = cells.groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * cell_edges).select("cell", F.ceil(F.col("c") / cell_edges).cast("int").alias("parts"))
-    return cells.join(large, "cell", "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    large = cells.groupBy("cell").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * cell_edges).select(
+        "cell", F.ceil(F.col("c") / cell_edges).cast("int").alias("parts")
+    )
+    return cells.join(large, "cell", "left").withColumn(
+        "part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1)))
+    ).drop("parts")
 
 
 def _round(edges: DataFrame, blocks: int, cell_edges: int) -> DataFrame:
@@ -65,11 +69,16 @@ def _round(edges: DataFrame, blocks: int, cell_edges: int) -> DataFrame:
     stars = _cells(edges, blocks, cell_edges).groupBy("cell", "part").applyInPandas(_union_find, "v bigint, r bigint")
     # a vertex lies in at most 2 B cells and their parts, which bounds the set
     reps = stars.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("rs"))
-    ties = F.concat(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v"))), F.transform(F.filter("rs", lambda r: r != F.col("m")), lambda r: F.struct(F.col("m").alias("u"), r.alias("v"))))
+    ties = F.concat(
+        F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v"))),
+        F.transform(F.filter("rs", lambda r: r != F.col("m")), lambda r: F.struct(F.col("m").alias("u"), r.alias("v")))
+    )
     return reps.select(F.explode(ties).alias("e")).select("e.u", "e.v").distinct()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(
+    edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES, max_rounds: int = MAX_ROUNDS
+) -> DataFrame:
     """(group_id, id BIGINT): every vertex of an edge to another vertex, with the smallest vertex of its group.
 
     Edges with a null end and loops join nothing; repeated edges count once; without edges the result is empty.
@@ -87,11 +96,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
         stars = materialize(_round(alive, blocks, cell_edges), "stars")
         # representatives pass from cell to cell: each tie moves up to the smallest tie of its smaller end
         parents = stars.groupBy("v").agg(F.min("u").alias("p"))
-        ups = materialize(stars.select("u").distinct().join(parents.select(F.col("v").alias("u"), F.col("p").alias("top")), "u"), "ups")
+        ups = materialize(
+            stars.select("u").distinct().join(parents.select(F.col("v").alias("u"), F.col("p").alias("top")), "u"),
+            "ups"
+        )
         higher = stars.join(F.broadcast(ups) if ups.count() <= BROADCAST_ROWS else ups, "u", "left")
         tied = materialize(higher.select(F.coalesce("top", "u").alias("u"), "v").distinct(), "ties")
         ends = tied.select(F.explode(F.array("u", "v")).alias("v")).groupBy("v").agg(F.count("*").alias("deg"))
-        flagged = materialize(tied.join(ends, "v", "left").select("u", "v", (F.col("deg") == 1).alias("leaf")), "flagged")
+        flagged = materialize(
+            tied.join(ends, "v", "left").select("u", "v", (F.col("deg") == 1).alias("leaf")), "flagged"
+        )
         settled.append(flagged.filter("leaf").select("u", "v"))
         for old in (alive, stars, ups, tied):
             release(old)

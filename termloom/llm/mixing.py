@@ -64,18 +64,23 @@ def _sample_rows(path: str, size: int):
             rows = [_features(enc.ids(t), size) for t in b.column(1).to_pylist()]
             at = np.arange(len(rows) + 1, dtype=np.int32) * size
             flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(at, pa.array(flat))], ["label", "x"]
+            )
 
     return run
 
 
-def fit_classifier(labelled: DataFrame, n_sources: int, sample: int = SAMPLE, size: int = FEATURES, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+def fit_classifier(
+    labelled: DataFrame, n_sources: int, sample: int = SAMPLE, size: int = FEATURES, tokenizer: str = DEFAULT_TOKENIZER
+) -> tuple[np.ndarray, np.ndarray]:
     """(weights, intercepts), one row per source, from ``labelled(doc_id, label, text)``; sources without documents get no weight.
 
     The sample takes of each source the documents whose id hashes below ``sample`` / its count.
     """
     weights, bias = np.zeros((n_sources, size), np.float32), np.full(n_sources, -1e9, np.float32)
-    counts = {r[0]: r[1] for r in labelled.groupBy("label").agg(F.count("*")).collect()}  # one row per source; no text is read
+    # one row per source; no text is read
+    counts = {r[0]: r[1] for r in labelled.groupBy("label").agg(F.count("*")).collect()}
     seen = sorted(counts)
     if len(seen) < 2:
         bias[seen or slice(None)] = 0.0
@@ -86,7 +91,11 @@ def fit_classifier(labelled: DataFrame, n_sources: int, sample: int = SAMPLE, si
     code = F.lit(-1)
     for i, k in enumerate(seen):
         code = F.when(F.col("label") == k, F.lit(i)).otherwise(code)
-    chosen = labelled.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < rate * 1_000_000).select(code.cast("double").alias("label"), "text")
+    chosen = (
+        labelled.filter("text is not null")
+        .filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < rate * 1_000_000)
+        .select(code.cast("double").alias("label"), "text")
+    )
     rows = materialize(chosen.mapInArrow(_sample_rows(tokenizer, size), "label double, x array<float>"), "sample")
     data = rows.select("label", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
     present = data.agg(F.count_distinct("label")).first()[0]
@@ -133,7 +142,9 @@ def _measured(path: str, weights: np.ndarray, bias: np.ndarray):
                 posts[i] = e / e.sum()
             q = _memberships(b.column(1).to_numpy(zero_copy_only=False), posts).ravel() if k else np.zeros(0, np.int16)
             units = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * k, pa.array(q))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens), units], ["doc_id", "label", "tokens", "q"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(tokens), units], ["doc_id", "label", "tokens", "q"]
+            )
 
     return run
 
@@ -157,7 +168,13 @@ def _moved(r: np.ndarray, cap: np.ndarray, q: np.ndarray, step: Step) -> np.ndar
 def _rates(b: pa.RecordBatch, steps: list[Step], caps: np.ndarray) -> tuple[np.ndarray, ...]:
     """(label, memberships, caps, rates) of a batch of documents or groups; rates follow from the steps alone."""
     label = _column(b, "label").to_numpy(zero_copy_only=False)
-    q = _column(b, "q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(caps)).astype(np.float64) / UNIT
+    q = (
+        _column(b, "q")
+        .flatten()
+        .to_numpy(zero_copy_only=False)
+        .reshape(b.num_rows, len(caps))
+        .astype(np.float64) / UNIT
+    )
     if not len(caps):
         return label, q, np.zeros(len(label)), np.zeros(len(label))
     cap = caps[np.where(label >= 0, label, q.argmax(axis=1))]
@@ -194,7 +211,9 @@ class Mix:
 
     def __init__(self, measured: DataFrame, names: list[str], shares: np.ndarray, caps: np.ndarray):
         self.measured, self.names, self.caps, self.shares = measured, names, caps, shares
-        groups = measured.filter("tokens > 0").groupBy("label", "q").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        groups = measured.filter("tokens > 0").groupBy("label", "q").agg(
+            F.sum("tokens").alias("tokens"), F.count("*").alias("n")
+        )
         self.groups = materialize(groups, "groups")
         self.steps: list[Step] = []
         k = len(names)
@@ -233,7 +252,9 @@ class Mix:
                 if b.num_rows and len(caps):
                     t = _column(b, "tokens").to_numpy(zero_copy_only=False).astype(np.float64)
                     total += measure(*_rates(b, steps, caps), t, *more)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["at", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["at", "x"]
+            )
 
         out = np.zeros(shape[0] * shape[1])
         for at, x in self.groups.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
@@ -252,7 +273,9 @@ class Mix:
         below = (s["own_used"] < self.target) & (s["own_most"] < self.target)
         cols = (self.shares, s["expected"] / size, s["own"], s["own_used"] + s["other_used"], s["own_most"])
         rows = [(n, *(float(x[k]) for x in cols), bool(below[k]), self.converged) for k, n in enumerate(self.names)]
-        kinds = "source string, target_share double, expected_share double, tokens double, mix_tokens double, most_tokens double, below_target boolean, converged boolean"
+        kinds = (
+            "source string, target_share double, expected_share double, tokens double, mix_tokens double, most_tokens double, below_target boolean, converged boolean"
+        )
         return self.measured.sparkSession.createDataFrame(rows, kinds)
 
     def report(self) -> DataFrame:
@@ -270,19 +293,35 @@ class Mix:
             for b in batches:
                 if b.num_rows:
                     cols = [_column(b, c) for c in ("doc_id", "label", "tokens")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(_rates(b, steps, caps)[-1])], ["doc_id", "label", "tokens", "rate"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*cols, pa.array(_rates(b, steps, caps)[-1])], ["doc_id", "label", "tokens", "rate"]
+                    )
 
         rated = self.measured.mapInArrow(run, "doc_id bigint, label int, tokens bigint, rate double")
         parts = F.lit(max(1, self.count // WINDOW))
-        near = W.partitionBy("label", F.floor(F.log2(F.col("tokens") + 1)), F.pmod(F.xxhash64("doc_id"), parts)).orderBy("tokens", "doc_id")
+        near = W.partitionBy(
+            "label", F.floor(F.log2(F.col("tokens") + 1)), F.pmod(F.xxhash64("doc_id"), parts)
+        ).orderBy("tokens", "doc_id")
         over = F.col("rate") - F.floor("rate")
         so_far = F.sum(over).over(near) + 0.5
         names = F.array(*map(F.lit, self.names)).cast("array<string>")
         copies = (F.floor("rate") + F.floor(so_far) - F.floor(so_far - over)).cast("int")
-        return rated.select("doc_id", F.when(F.col("label") >= 0, F.get(names, F.col("label"))).alias("source"), "tokens", "rate", copies.alias("copies"))
-
-
-def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, sample: int = SAMPLE, size: int = FEATURES) -> Mix:
+        return rated.select(
+            "doc_id",
+            F.when(F.col("label") >= 0, F.get(names, F.col("label"))).alias("source"),
+            "tokens",
+            "rate",
+            copies.alias("copies")
+        )
+
+
+def mix_sources(
+    documents: DataFrame,
+    targets: DataFrame,
+    tokenizer: str = DEFAULT_TOKENIZER,
+    sample: int = SAMPLE,
+    size: int = FEATURES
+) -> Mix:
     """Fit the mix of ``documents(doc_id, text, source)`` to ``targets(source, target_share, max_repeats)``.
 
     Targets whose names agree after ``source_key`` are one (largest share, largest cap); a null share or cap counts as 0.
@@ -290,12 +329,29 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = DEFAU
     Without targets the report is empty and no document is used.
     """
     # one row per source: small by its meaning, and checked
-    rows = targets.filter("source is not null").groupBy(source_key(F.col("source")).alias("key")).agg(F.min("source"), F.max("target_share"), F.max("max_repeats")).orderBy("key").limit(10_001).collect()
+    rows = (
+        targets.filter("source is not null")
+        .groupBy(source_key(F.col("source")).alias("key"))
+        .agg(F.min("source"), F.max("target_share"), F.max("max_repeats"))
+        .orderBy("key")
+        .limit(10_001)
+        .collect()
+    )
     if len(rows) > 10_000:
         raise ValueError("more than 10000 sources")
-    names, shares, caps = [r[1] for r in rows], np.array([r[2] or 0.0 for r in rows], float), np.array([r[3] or 0 for r in rows], float)
-    label = F.coalesce(F.array_position(F.array(*(F.lit(r[0]) for r in rows)).cast("array<string>"), source_key(F.col("source"))), F.lit(0)).cast("int") - 1
+    names, shares, caps = (
+        [r[1] for r in rows], np.array([r[2] or 0.0 for r in rows], float), np.array([r[3] or 0 for r in rows], float)
+    )
+    label = (
+        F.coalesce(
+            F.array_position(F.array(*(F.lit(r[0]) for r in rows)).cast("array<string>"), source_key(F.col("source"))),
+            F.lit(0)
+        ).cast("int")
+        - 1
+    )
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.alias("label"), "text")
     weights, bias = fit_classifier(docs.filter("label >= 0"), len(rows), sample, size, tokenizer)
-    measured = docs.mapInArrow(_measured(tokenizer, weights, bias), "doc_id bigint, label int, tokens bigint, q array<smallint>")
+    measured = docs.mapInArrow(
+        _measured(tokenizer, weights, bias), "doc_id bigint, label int, tokens bigint, q array<smallint>"
+    )
     return Mix(materialize(measured, "measured"), names, shares, caps)

@@ -34,7 +34,12 @@ def word_runs(text: str) -> list[str]:
     import unicodedata
 
     if "<" in text:
-        text = re.sub(r"""<!--.*?-->|</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s<>"']+))*\s*/?>""", " ", text, flags=re.S)
+        text = re.sub(
+            r"""<!--.*?-->|</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s<>"']+))*\s*/?>""",
+            " ",
+            text,
+            flags=re.S
+        )
     if "&" in text:
         text = html.unescape(text)
     if text.isascii():
@@ -43,7 +48,11 @@ def word_runs(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
         if not text.isascii():
             # invisible characters and marks that compose with nothing stand inside words
-            text = re.sub("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]", "", text)
+            text = re.sub(
+                "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]",
+                "",
+                text
+            )
     return re.findall(r"[^\W_]+", text)
 
 
@@ -58,7 +67,9 @@ def pattern_tables(items: list[tuple[int, str]], words: int = WORDS) -> list[tup
         for i in range(len(runs) - words + 1):
             where["".join(runs[i : i + words])].append((item, i))
     tables = []
-    for part in ({p: w for p, w in where.items() if len(p) < SHORT}, {p: w for p, w in where.items() if len(p) >= SHORT}):
+    for part in (
+        {p: w for p, w in where.items() if len(p) < SHORT}, {p: w for p, w in where.items() if len(p) >= SHORT}
+    ):
         if not part:
             continue
         m = min(map(len, part))
@@ -107,7 +118,10 @@ def find_patterns(runs: list[str], tables: list) -> dict[int, set[int]]:
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) with the word runs of each text, joined by blanks."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(word_runs(t)) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([" ".join(word_runs(t)) for t in b.column(1).to_pylist()], pa.string())],
+            ["doc_id", "text"]
+        )
 
 
 def _search(tables, words: int, raw: bool):
@@ -120,7 +134,10 @@ def _search(tables, words: int, raw: bool):
                     covered = len(set().union(*(range(i, i + words) for i in firsts)))
                     out.append((doc, item, covered))
             cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())],
+                ["doc_id", "item_id", "words"]
+            )
 
     return run
 
@@ -133,10 +150,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, ite
     if they take more than one time, the documents are normalised once before.
     """
     spark = documents.sparkSession
-    asked = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct()
+    asked = (
+        items.filter("item_id is not null and text is not null")
+        .select(F.col("item_id").cast("bigint"), "text")
+        .distinct()
+    )
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-size // item_chars) or 1
-    docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = documents.filter("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
+    )
     if passes > 1:
         docs = materialize(docs.mapInArrow(_normalised, "doc_id bigint, text string"), "normalised")
     out = None
@@ -150,6 +173,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = WORDS, ite
 
 def leak_report(documents: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
     """(item_id, split, kind, documents, most_words): per item how many documents leak it, and the most of its words in one; 0 if none."""
-    hits = materialize(leaked_items(documents, items, words), "leaks").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+    hits = (
+        materialize(leaked_items(documents, items, words), "leaks")
+        .groupBy("item_id")
+        .agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+    )
     named = items.select(F.col("item_id").cast("bigint").alias("item_id"), "split", "kind").distinct()
-    return named.join(hits, "item_id", "left").select("item_id", "split", "kind", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
+    return named.join(hits, "item_id", "left").select(
+        "item_id",
+        "split",
+        "kind",
+        F.coalesce("documents", F.lit(0)).alias("documents"),
+        F.coalesce("most_words", F.lit(0)).alias("most_words")
+    )

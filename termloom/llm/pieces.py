@@ -19,7 +19,9 @@ from termloom.llm.tokens import DEFAULT_TOKENIZER, Encoder, encoder
 LIMIT = 4096
 OVERLAP = 128
 
-SCHEMA = "doc_id bigint, piece int, token_start int, token_end int, char_start int, char_end int, cut string, text string"
+SCHEMA = (
+    "doc_id bigint, piece int, token_start int, token_end int, char_start int, char_end int, cut string, text string"
+)
 
 
 def boundaries(text: str) -> list[tuple[str, np.ndarray]]:
@@ -49,7 +51,8 @@ def cut(text: str, enc: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) ->
     def end_of(s: int, most: int) -> tuple[int, str]:
         if s + most >= n:
             return n, "end"
-        for least in (most // 2, overlap + 4):  # first a boundary of any kind in the later half, the strongest kind first
+        # first a boundary of any kind in the later half, the strongest kind first
+        for least in (most // 2, overlap + 4):
             for kind, t in marks:
                 i = int(np.searchsorted(t, s + most, "right")) - 1
                 if i >= 0 and t[i] > s + least:
@@ -86,12 +89,17 @@ def _pieces(path: str, limit: int, overlap: int):
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 rows = cut(text, enc, limit, overlap)
                 if rows:
-                    yield pd.DataFrame([(doc, *r, text[r[3] : r[4]]) for r in rows], columns=["doc_id", "piece", "token_start", "token_end", "char_start", "char_end", "cut", "text"])
+                    yield pd.DataFrame(
+                        [(doc, *r, text[r[3] : r[4]]) for r in rows],
+                        columns=["doc_id", "piece", "token_start", "token_end", "char_start", "char_end", "cut", "text"]
+                    )
 
     return run
 
 
-def long_pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def long_pieces(
+    documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str = DEFAULT_TOKENIZER
+) -> DataFrame:
     """(doc_id, piece, token_start, token_end, char_start, char_end, cut, text): the pieces of each text of more than ``limit`` tokens.
 
     Each piece has at most ``limit`` tokens and begins ``overlap`` tokens before the end of the one before it (a few more if a
@@ -102,5 +110,7 @@ def long_pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     if not 0 <= overlap < limit // 4:
         raise ValueError("the overlap must be less than a quarter of the limit")
     least = limit if tokenizer.endswith(".tiktoken") else 1  # other tokenizers may expand what they normalise
-    long = documents.filter((F.octet_length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    long = documents.filter(
+        (F.octet_length("text") >= least) & F.col("doc_id").isNotNull()
+    ).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return long.mapInPandas(_pieces(tokenizer, limit, overlap), SCHEMA)

@@ -20,7 +20,11 @@ def p3_found(spark, d):
 def p3_class_pairs(spark, d):
     _, classes, pairs = _p3(spark, d)
     rid = classes.select("cid", "rid")
-    return pairs.join(rid.withColumnsRenamed({"cid": "cid_1", "rid": "r1"}), "cid_1").join(rid.withColumnsRenamed({"cid": "cid_2", "rid": "r2"}), "cid_2").select(F.least("r1", "r2").alias("class_1"), F.greatest("r1", "r2").alias("class_2"), "overlap")
+    return (
+        pairs.join(rid.withColumnsRenamed({"cid": "cid_1", "rid": "r1"}), "cid_1")
+        .join(rid.withColumnsRenamed({"cid": "cid_2", "rid": "r2"}), "cid_2")
+        .select(F.least("r1", "r2").alias("class_1"), F.greatest("r1", "r2").alias("class_2"), "overlap")
+    )
 
 
 def _p7(spark, d):
@@ -41,15 +45,24 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_links": lambda spark, d: sets.links_per_record(*_p3(spark, d)),
     "p3_class_pairs": p3_class_pairs,
-    "p4_found": lambda spark, d: leakage.cross_split_overlaps(table(spark, d, "splits"), table(spark, d, "corpus")).select("split", "u", "v"),
+    "p4_found": lambda spark, d: leakage.cross_split_overlaps(
+        table(spark, d, "splits"), table(spark, d, "corpus")
+    ).select("split", "u", "v"),
     "p4_report": p4_report,
     "p5_found": lambda spark, d: components.tied_sequences(table(spark, d, "xrefs")),
-    "p6_found": lambda spark, d: passages.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id"),
-    "p6_leak_report": lambda spark, d: passages.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p6_found": lambda spark, d: passages.leaked_items(
+        table(spark, d, "documents"), table(spark, d, "eval_items")
+    ).select("item_id", "doc_id"),
+    "p6_leak_report": lambda spark, d: passages.leak_report(
+        table(spark, d, "documents"), table(spark, d, "eval_items")
+    ),
     "p7_found": lambda spark, d: _p7(spark, d).fitted().filter("below_target").select("source"),
     "p7_mix_report": lambda spark, d: _p7(spark, d).report(),
     "p7_mix_documents": lambda spark, d: _p7(spark, d).documents(),
-    "p8_found": lambda spark, d: pieces.long_pieces(table(spark, d, "documents")).filter("piece = 0").select("doc_id").distinct(),
+    "p8_found": lambda spark, d: pieces.long_pieces(table(spark, d, "documents"))
+    .filter("piece = 0")
+    .select("doc_id")
+    .distinct(),
     "p8_pieces": lambda spark, d: pieces.long_pieces(table(spark, d, "documents")),
 }
 
@@ -59,7 +72,9 @@ _TERMS = r"""
  cut AS (SELECT id, k, i, regexp_extract(t, '^\s*([+-]?)0*([0-9]+)\s*$', 1) AS s, regexp_extract(t, '^\s*([+-]?)0*([0-9]+)\s*$', 2) AS g FROM raw WHERE regexp_matches(t, '^\s*[+-]?[0-9]+\s*$')),
  term AS (SELECT id, k, i, CASE WHEN s = '-' AND g <> '0' THEN '-' || g ELSE g END AS t FROM cut)
 """
-_BOTH = " UNION ALL SELECT sub_id, 1, generate_subscripts(terms, 1), unnest(terms) FROM (SELECT DISTINCT sub_id, terms FROM submissions)"
+_BOTH = (
+    " UNION ALL SELECT sub_id, 1, generate_subscripts(terms, 1), unnest(terms) FROM (SELECT DISTINCT sub_id, terms FROM submissions)"
+)
 
 _NEAR = """
  tset AS (SELECT DISTINCT id, t FROM term),

@@ -34,15 +34,31 @@ def set_classes(records: DataFrame, id_col: str, terms_col: str, min_size: int =
     id of one. Null ids are left out; repeated rows count once; a record stored with several term lists is in each list's class.
     """
     toks = F.array_sort(F.array_distinct(clean_terms(F.col(terms_col))))
-    rows = records.select(F.col(id_col).cast("bigint").alias("id"), toks.alias("t")).filter(F.col("id").isNotNull() & (F.size("t") >= min_size))
+    rows = records.select(
+        F.col(id_col).cast("bigint").alias("id"), toks.alias("t")
+    ).filter(F.col("id").isNotNull() & (F.size("t") >= min_size))
     rows = rows.select("id", F.size("t").alias("n"), F.array_join("t", ",").alias("toks"))
     rows = materialize(rows.withColumn("key", F.unhex(F.sha2("toks", 256))), "sets")
     ids = rows.select("id", "key").distinct()
     # numbered once and written, so a number stays with its class
-    reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
+    reps = materialize(
+        ids.groupBy("key")
+        .agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
+        .withColumn("cid", F.monotonically_increasing_id()),
+        "reps"
+    )
     # reps is unique in key, so AQE can split a hot key of ids
     members = materialize(ids.join(reps, "key").select("id", "cid", "rid", "copies"), "members")
-    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("toks").alias("toks"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    classes = (
+        rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"])
+        .groupBy("key", "id")
+        .agg(
+            F.first("cid").alias("cid"),
+            F.first("toks").alias("toks"),
+            F.first("n").alias("n"),
+            F.first("copies").alias("copies")
+        )
+    )
     return members, classes.select("cid", F.col("id").alias("rid"), "toks", "n", "copies")
 
 
@@ -76,37 +92,68 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, block: int = BLO
     ranked = tokens.join(frequent, "h", "left_anti").join(rare, "h").unionByName(tokens.join(frequent, "h"))
     bit = F.expr("shiftleft(1L, cast(pmod(h, 64) AS INT))")
     high = F.pmod(F.shiftright("h", 6), F.lit(2)) == 1
-    sketch = (F.bit_xor(F.when(~high, bit).otherwise(0)).alias("s"), F.bit_xor(F.when(high, bit).otherwise(0)).alias("t"))
+    sketch = (
+        F.bit_xor(F.when(~high, bit).otherwise(0)).alias("s"), F.bit_xor(F.when(high, bit).otherwise(0)).alias("t")
+    )
     lists = ranked.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"), *sketch)
     lists = lists.join(classes.select("cid", "n", "is_index", "is_probe"), "cid")
     # tokens of this class only come first in the order and match nothing: m is the number of the others
     keep = F.greatest(F.lit(0), F.size("l") - _ceil(t, F.col("n")) + 1)
-    prefix = lists.select("cid", "n", "is_index", "is_probe", "s", "t", F.size("l").alias("m"), F.posexplode(F.slice("l", F.lit(1), keep)).alias("i", "x"))
-    postings = materialize(prefix.select(F.col("x.h").alias("h"), "cid", "n", "m", "i", "s", "t", "is_index", "is_probe"), "prefix")
-
-    a, b, on = block_pairs(postings.filter("is_index") if directed else postings, postings.filter("is_probe") if directed else postings, "h", "cid", block)
-    a, b = (d.select(*on, *(F.col(c).alias(f"{c}_{k}") for c in ("_b", "cid", "n", "m", "i", "s", "t"))) for d, k in ((a, 1), (b, 2)))
+    prefix = lists.select(
+        "cid",
+        "n",
+        "is_index",
+        "is_probe",
+        "s",
+        "t",
+        F.size("l").alias("m"),
+        F.posexplode(F.slice("l", F.lit(1), keep)).alias("i", "x")
+    )
+    postings = materialize(
+        prefix.select(F.col("x.h").alias("h"), "cid", "n", "m", "i", "s", "t", "is_index", "is_probe"), "prefix"
+    )
+
+    a, b, on = block_pairs(
+        postings.filter("is_index") if directed else postings,
+        postings.filter("is_probe") if directed else postings,
+        "h",
+        "cid",
+        block
+    )
+    a, b = (
+        d.select(*on, *(F.col(c).alias(f"{c}_{k}") for c in ("_b", "cid", "n", "m", "i", "s", "t")))
+        for d, k in ((a, 1), (b, 2))
+    )
     enough = lambda overlap: overlap * (t.numerator + t.denominator) >= (F.col("n_1") + F.col("n_2")) * t.numerator
     rest = F.least(F.col("m_1") - F.col("i_1"), F.col("m_2") - F.col("i_2")) - 1
     differ = F.bit_count(F.col("s_1").bitwiseXOR(F.col("s_2"))) + F.bit_count(F.col("t_1").bitwiseXOR(F.col("t_2")))
     hit = (F.col("cid_1") != F.col("cid_2")) if directed else (F.col("cid_1") < F.col("cid_2"))
     hit &= (F.col("_bi") == F.col("_bj")) | (F.col("_b_1") != F.col("_b_2"))
     hit &= F.least("n_1", "n_2") * t.denominator >= F.greatest("n_1", "n_2") * t.numerator  # sizes
-    hit &= enough(F.least("i_1", "i_2") + 1 + rest)  # positions: at most so many tokens are shared before and after this one
+    # positions: at most so many tokens are shared before and after this one
+    hit &= enough(F.least("i_1", "i_2") + 1 + rest)
     hit &= enough((F.col("m_1") + F.col("m_2") - differ) / 2)  # sketches
     # the order of tokens is one, so the last shared one is the last of either prefix
     last = F.count("*") + F.least(F.max("m_1") - F.max("i_1"), F.max("m_2") - F.max("i_2")) - 1
     hits = a.join(b, on).filter(hit).groupBy("cid_1", "cid_2", "n_1", "n_2").agg(last.alias("most"))
     pairs = hits.filter(enough(F.col("most"))).select("cid_1", "cid_2")
 
-    side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("n").alias(f"n_{s}"))
-    full = pairs.join(side(1), "cid_1").join(side(2), "cid_2").withColumn("overlap", F.size(F.array_intersect(F.split("toks_1", ","), F.split("toks_2", ","))))
+    side = lambda s: classes.select(
+        F.col("cid").alias(f"cid_{s}"), F.col("toks").alias(f"toks_{s}"), F.col("n").alias(f"n_{s}")
+    )
+    full = pairs.join(side(1), "cid_1").join(side(2), "cid_2").withColumn(
+        "overlap", F.size(F.array_intersect(F.split("toks_1", ","), F.split("toks_2", ",")))
+    )
     return full.filter(enough(F.col("overlap"))).select("cid_1", "cid_2", "n_1", "n_2", "overlap")
 
 
-def similar_records(corpus: DataFrame, submissions: DataFrame, threshold: float = 0.6, min_size: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_records(
+    corpus: DataFrame, submissions: DataFrame, threshold: float = 0.6, min_size: int = 8
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, class pairs) of the records of both tables together."""
-    records = corpus.select(F.col("a_number").cast("bigint").alias("id"), "terms").unionByName(submissions.select(F.col("sub_id").cast("bigint").alias("id"), "terms"))
+    records = corpus.select(F.col("a_number").cast("bigint").alias("id"), "terms").unionByName(
+        submissions.select(F.col("sub_id").cast("bigint").alias("id"), "terms")
+    )
     members, classes = set_classes(records, "id", "terms", min_size)
     classes = materialize(classes, "classes")
     point = mark()
@@ -121,10 +168,18 @@ def links_per_record(members: DataFrame, classes: DataFrame, pairs: DataFrame) -
     Counts are summed per class, so no group of copies is spelled out.
     """
     size = classes.select("cid", "copies")
-    both = pairs.select(F.col("cid_1").alias("cid"), F.col("cid_2").alias("other")).unionByName(pairs.select(F.col("cid_2").alias("cid"), F.col("cid_1").alias("other")))
-    linked = both.join(size.withColumnsRenamed({"cid": "other", "copies": "m"}), "other").groupBy("cid").agg(F.sum("m").alias("m"))
-    per_class = classes.select("cid", "n", "copies").join(linked, "cid", "left").select("cid", "n", "copies", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
-    return members.drop("copies").join(per_class, "cid").select("id", F.col("rid").alias("class_id"), "n", "copies", "links")
+    both = pairs.select(F.col("cid_1").alias("cid"), F.col("cid_2").alias("other")).unionByName(
+        pairs.select(F.col("cid_2").alias("cid"), F.col("cid_1").alias("other"))
+    )
+    linked = both.join(
+        size.withColumnsRenamed({"cid": "other", "copies": "m"}), "other"
+    ).groupBy("cid").agg(F.sum("m").alias("m"))
+    per_class = classes.select("cid", "n", "copies").join(linked, "cid", "left").select(
+        "cid", "n", "copies", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("links")
+    )
+    return members.drop("copies").join(per_class, "cid").select(
+        "id", F.col("rid").alias("class_id"), "n", "copies", "links"
+    )
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

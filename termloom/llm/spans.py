@@ -32,14 +32,30 @@ def sequence_classes(corpus: DataFrame, least: int = 12) -> tuple[DataFrame, Dat
     Terms that are no whole numbers are dropped first, so a run goes on across them. Null ids are left out. ``cid`` numbers the
     classes, ``rid`` is the smallest id of one; a record stored with several sequences is in each sequence's class.
     """
-    rows = corpus.select(F.col("a_number").cast("bigint").alias("id"), clean_terms(F.col("terms")).alias("t")).filter(F.col("id").isNotNull() & (F.size("t") >= least))
+    rows = corpus.select(
+        F.col("a_number").cast("bigint").alias("id"), clean_terms(F.col("terms")).alias("t")
+    ).filter(F.col("id").isNotNull() & (F.size("t") >= least))
     rows = rows.select("id", F.size("t").alias("n"), F.array_join("t", ",").alias("seq"))
     rows = materialize(rows.withColumn("key", F.unhex(F.sha2("seq", 256))), "seqs")
     ids = rows.select("id", "key").distinct()
     # numbered once and written, so a number stays with its class
-    reps = materialize(ids.groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "reps")
+    reps = materialize(
+        ids.groupBy("key")
+        .agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
+        .withColumn("cid", F.monotonically_increasing_id()),
+        "reps"
+    )
     members = materialize(ids.join(reps, "key").select("id", "cid", "rid", "copies"), "members")
-    classes = rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"]).groupBy("key", "id").agg(F.first("cid").alias("cid"), F.first("seq").alias("seq"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    classes = (
+        rows.join(reps.withColumnRenamed("rid", "id"), ["key", "id"])
+        .groupBy("key", "id")
+        .agg(
+            F.first("cid").alias("cid"),
+            F.first("seq").alias("seq"),
+            F.first("n").alias("n"),
+            F.first("copies").alias("copies")
+        )
+    )
     return members, materialize(classes.select("cid", F.col("id").alias("rid"), "seq", "n", "copies"), "classes")
 
 
@@ -72,7 +88,14 @@ def _anchors(gram: int, window: int):
                 best[less] = g[i : i + starts][less]
                 at[less] = np.flatnonzero(less) + i
             at = np.unique(at[inside])
-            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(b.column(0).to_numpy()[row[at]]), pa.array(pos[at].astype(np.int32))], ["h", "cid", "pos"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(g[at].view(np.int64)),
+                    pa.array(b.column(0).to_numpy()[row[at]]),
+                    pa.array(pos[at].astype(np.int32))
+                ],
+                ["h", "cid", "pos"]
+            )
 
     return run
 
@@ -89,7 +112,9 @@ def _extend(least: int):
                 one, two, x, y, diags = (v.as_py() for v in row)
                 # terms become the numbers of a dictionary of the pair, so the comparison is exact and of machine words
                 codes: dict[str, int] = {}
-                a, b = (np.array([codes.setdefault(t, len(codes)) for t in s.split(",")], dtype=np.int64) for s in (x, y))
+                a, b = (
+                    np.array([codes.setdefault(t, len(codes)) for t in s.split(",")], dtype=np.int64) for s in (x, y)
+                )
                 for d in diags:  # position in 1 less position in 2
                     i, j = max(d, 0), max(-d, 0)
                     m = min(len(a) - i, len(b) - j)
@@ -98,7 +123,9 @@ def _extend(least: int):
                     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     out += [(one, two, i + s, j + s, e - s) for s, e in zip(lo.tolist(), hi.tolist()) if e - s >= least]
             cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["cid_1", "cid_2", "start_1", "start_2", "len"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds)], ["cid_1", "cid_2", "start_1", "start_2", "len"]
+            )
 
     return run
 
@@ -114,11 +141,15 @@ def shared_runs(classes: DataFrame, least: int = 12, gram: int = GRAM, block: in
     # at most n_1 + n_2 diagonals a pair
     seeds = hits.groupBy("cid_1", "cid_2").agg(F.collect_set(F.col("pos_1") - F.col("pos_2")).alias("diags"))
     side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("seq").alias(f"seq_{s}"))
-    return seeds.join(side(1), "cid_1").join(side(2), "cid_2").mapInArrow(_extend(least), "cid_1 bigint, cid_2 bigint, start_1 int, start_2 int, len int")
+    return seeds.join(side(1), "cid_1").join(side(2), "cid_2").mapInArrow(
+        _extend(least), "cid_1 bigint, cid_2 bigint, start_1 int, start_2 int, len int"
+    )
 
 
 def _both(runs: DataFrame) -> DataFrame:
-    turn = lambda a, b: runs.select(F.col(f"cid_{a}").alias("cid"), F.col(f"cid_{b}").alias("other"), F.col(f"start_{a}").alias("s"), "len")
+    turn = lambda a, b: runs.select(
+        F.col(f"cid_{a}").alias("cid"), F.col(f"cid_{b}").alias("other"), F.col(f"start_{a}").alias("s"), "len"
+    )
     return turn(1, 2).unionByName(turn(2, 1))
 
 
@@ -130,16 +161,35 @@ def coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     """
     members, classes = sequence_classes(corpus, least)
     both = materialize(_both(shared_runs(classes, least)), "runs")
-    partners = both.select("cid", "other").distinct().join(classes.select(F.col("cid").alias("other"), "copies"), "other").groupBy("cid").agg(F.sum("copies").alias("p"))
+    partners = both.select("cid", "other").distinct().join(
+        classes.select(F.col("cid").alias("other"), "copies"), "other"
+    ).groupBy("cid").agg(F.sum("copies").alias("p"))
     # distinct places first: a record has few, however many partners it has
     places = both.select("cid", "s", (F.col("s") + F.col("len")).alias("e")).distinct()
     before = F.max("e").over(W.partitionBy("cid").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
-    fresh = places.withColumn("b", F.coalesce(before, F.lit(0))).select("cid", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b")).alias("fresh"))
+    fresh = places.withColumn("b", F.coalesce(before, F.lit(0))).select(
+        "cid", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b")).alias("fresh")
+    )
     covered = fresh.groupBy("cid").agg(F.sum("fresh").alias("c"), F.count("*").alias("runs"))
     per_class = classes.select("cid", "n", "copies").join(partners, "cid", "left").join(covered, "cid", "left")
     cov = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("c", F.lit(0)))
-    per_class = per_class.select("cid", F.col("n").alias("n_terms"), "copies", (F.coalesce("p", F.lit(0)) + F.col("copies") - 1).alias("partners"), F.coalesce("runs", F.lit(0)).alias("runs"), cov.cast("int").alias("covered"))
-    return members.drop("copies").join(per_class, "cid").select(F.col("id").alias("a_number"), F.col("rid").alias("class_id"), "n_terms", "copies", "partners", "runs", "covered")
+    per_class = per_class.select(
+        "cid",
+        F.col("n").alias("n_terms"),
+        "copies",
+        (F.coalesce("p", F.lit(0)) + F.col("copies") - 1).alias("partners"),
+        F.coalesce("runs", F.lit(0)).alias("runs"),
+        cov.cast("int").alias("covered")
+    )
+    return members.drop("copies").join(per_class, "cid").select(
+        F.col("id").alias("a_number"),
+        F.col("rid").alias("class_id"),
+        "n_terms",
+        "copies",
+        "partners",
+        "runs",
+        "covered"
+    )
 
 
 def _ordered(one: str, two: str, *with_: str) -> list:
@@ -156,7 +206,9 @@ def record_runs(corpus: DataFrame, least: int = 12) -> DataFrame:
     """
     _, classes = sequence_classes(corpus, least)
     rid = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("rid").alias(f"class_{s}"))
-    return shared_runs(classes, least).join(rid(1), "cid_1").join(rid(2), "cid_2").select(*_ordered("class_1", "class_2", "start_1", "start_2"), "len")
+    return shared_runs(classes, least).join(rid(1), "cid_1").join(rid(2), "cid_2").select(
+        *_ordered("class_1", "class_2", "start_1", "start_2"), "len"
+    )
 
 
 def record_classes(corpus: DataFrame, least: int = 12) -> DataFrame:
@@ -167,8 +219,20 @@ def record_classes(corpus: DataFrame, least: int = 12) -> DataFrame:
 def all_coverage(corpus: DataFrame, least: int = 12) -> DataFrame:
     """:func:`coverage` with a row for every record: those of fewer than ``least`` terms have no class and count 0."""
     rows = materialize(coverage(corpus, least), "coverage")
-    short = corpus.filter("a_number is not null").groupBy(F.col("a_number").cast("bigint").alias("a_number")).agg(F.max(F.size(clean_terms(F.col("terms")))).alias("n_terms")).join(rows, "a_number", "left_anti")
-    return rows.unionByName(short.select("a_number", "n_terms", F.lit(None).cast("bigint").alias("class_id"), *(F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("copies", "partners", "runs", "covered"))))
+    short = (
+        corpus.filter("a_number is not null")
+        .groupBy(F.col("a_number").cast("bigint").alias("a_number"))
+        .agg(F.max(F.size(clean_terms(F.col("terms")))).alias("n_terms"))
+        .join(rows, "a_number", "left_anti")
+    )
+    return rows.unionByName(
+        short.select(
+            "a_number",
+            "n_terms",
+            F.lit(None).cast("bigint").alias("class_id"),
+            *(F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("copies", "partners", "runs", "covered"))
+        )
+    )
 
 
 def run_pairs(corpus: DataFrame, least: int = 12) -> DataFrame:

@@ -28,7 +28,11 @@ def test_paths_stars_cycles_and_random_graphs(table):
     rng = random.Random(3)
     path = list(range(1, 120))
     rng.shuffle(path)
-    edges = list(zip(path, path[1:])) + [(1000, 1000 + i) for i in range(1, 80)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)]
+    edges = (
+        list(zip(path, path[1:]))
+        + [(1000, 1000 + i) for i in range(1, 80)]
+        + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)]
+    )
     assert run(table, edges) == groups(edges)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)]
     assert run(table, edges, cell_edges=10) == groups(edges)  # many cells
@@ -44,5 +48,8 @@ def test_nulls_loops_repeats_and_nothing(table):
 
 
 def test_only_the_stratum_ties_whatever_its_spelling(table):
-    x = table("source int, target int, stratum string, u int, v int", [(1, 2, " S1", 9, 9), (2, 3, "s1\t", 9, 9), (3, 4, "s2", 9, 9), (5, 6, None, 9, 9)])
+    x = table(
+        "source int, target int, stratum string, u int, v int",
+        [(1, 2, " S1", 9, 9), (2, 3, "s1\t", 9, 9), (3, 4, "s2", 9, 9), (5, 6, None, 9, 9)]
+    )
     assert {tuple(r) for r in components.tied_sequences(x).collect()} == {(1, 1), (1, 2), (1, 3)}

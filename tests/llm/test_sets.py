@@ -20,14 +20,23 @@ def clean(ts):
 
 def brute(records, threshold=0.6):
     good = [(i, s) for i, s in records if i is not None and len(s) >= 8]
-    return {(min(a, b), max(a, b)) for a, x in good for b, y in good if a < b and 10 * len(x & y) >= round(10 * threshold) * len(x | y)}
+    return {
+        (min(a, b), max(a, b))
+        for a, x in good
+        for b, y in good
+        if a < b
+        and 10 * len(x & y) >= round(10 * threshold) * len(x | y)
+    }
 
 
 def rows(seed, n=120):
     rng = random.Random(seed)
     out = []
     for i in range(n):
-        base = [str(rng.choice([0, 1, 2, 3]) if rng.random() < 0.3 else rng.randrange(60)) for _ in range(rng.choice([0, 5, 9, 14, 25]))]
+        base = [
+            str(rng.choice([0, 1, 2, 3]) if rng.random() < 0.3 else rng.randrange(60))
+            for _ in range(rng.choice([0, 5, 9, 14, 25]))
+        ]
         if i % 3 == 0 and out:
             base = list(rng.choice(out)[1] or [])
             for _ in range(rng.randrange(4)):
@@ -40,10 +49,17 @@ def rows(seed, n=120):
 def test_against_all_pairs(table, spark, monkeypatch, block):
     data = rows(5)
     # every spelling of the same number, and what is no number
-    data += [(900, ["+1", "01", " 2 ", "\t3", "4", "5", "6", "7", "8", "-0", None, "", "?", "1.5"]), (901, ["0", "1", "2", "3", "4", "5", "6", "7", "8", "0008"])]
+    data += [
+        (900, ["+1", "01", " 2 ", "\t3", "4", "5", "6", "7", "8", "-0", None, "", "?", "1.5"]),
+        (901, ["0", "1", "2", "3", "4", "5", "6", "7", "8", "0008"])
+    ]
     corpus = table("a_number int, terms array<string>", data + [(None, data[0][1]), (77777, None)])
     subs = table("sub_id bigint, terms array<string>", [(10_000 + i, t) for i, t in data[:20]] * 2)
-    members, classes = sets.set_classes(corpus.selectExpr("cast(a_number as bigint) id", "terms").unionByName(subs.selectExpr("sub_id id", "terms")), "id", "terms")
+    members, classes = sets.set_classes(
+        corpus.selectExpr("cast(a_number as bigint) id", "terms").unionByName(subs.selectExpr("sub_id id", "terms")),
+        "id",
+        "terms"
+    )
     pairs = sets.similar_classes(classes, 0.6, block)
     want = brute([(i, clean(t)) for i, t in data] + [(10_000 + i, clean(t)) for i, t in data[:20]])
     got = [tuple(r) for r in sets.record_pairs(members, pairs).collect()]
@@ -60,9 +76,14 @@ def test_one_record_stored_with_two_lists_and_clashing_columns(table):
 
 def test_copies_are_counted_not_spelled_out(table):
     a = [str(i) for i in range(10)]
-    c = table("a_number int, terms array<string>", [(i, a) for i in range(1, 31)] + [(50, a[:9] + ["99"]), (60, ["7"] * 9)])
+    c = table(
+        "a_number int, terms array<string>", [(i, a) for i in range(1, 31)] + [(50, a[:9] + ["99"]), (60, ["7"] * 9)]
+    )
     members, classes, pairs = sets.similar_records(c, table("sub_id bigint, terms array<string>", []))
-    links = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in sets.links_per_record(members, classes, pairs).collect()}
+    links = {
+        r["id"]: (r["class_id"], r["copies"], r["links"])
+        for r in sets.links_per_record(members, classes, pairs).collect()
+    }
     assert pairs.count() == 1 and links[1] == (1, 30, 30) and links[50] == (50, 1, 30) and 60 not in links
 
 
@@ -75,14 +96,27 @@ def test_leaks_across_splits(table):
     rng = random.Random(9)
     data = rows(11)
     corpus = table("a_number int, terms array<string>, split string", [(*r, "x") for r in data])
-    splits = [(rng.randrange(130), rng.randrange(130), rng.choice(["train", " Train", "val", "test", None]), rng.choice(["s1", "S1 ", None])) for _ in range(400)] + [(None, 3, "train", "s1"), (4, None, "val", "s1")]
+    splits = (
+        [
+            (
+                rng.randrange(130),
+                rng.randrange(130),
+                rng.choice(["train", " Train", "val", "test", None]),
+                rng.choice(["s1", "S1 ", None])
+            )
+            for _ in range(400)
+        ]
+        + [(None, 3, "train", "s1"), (4, None, "val", "s1")]
+    )
     near = brute([(i, clean(t)) for i, t in data])
     near |= {(b, a) for a, b in near} | {(i, i) for i in range(130)}
     train = {(u, v) for u, v, s, _ in splits if s and s.strip().lower() == "train" and u is not None and v is not None}
     train |= {(v, u) for u, v in train}
     want = set()
     for u, v, s, _ in splits:
-        if s in ("val", "test") and u is not None and v is not None and any((a, b) in train for a in range(130) if (u, a) in near for b in range(130) if (v, b) in near):
+        if s in ("val", "test") and u is not None and v is not None and any(
+            (a, b) in train for a in range(130) if (u, a) in near for b in range(130) if (v, b) in near
+        ):
             want.add((s, min(u, v), max(u, v)))
     table_ = table("u int, v int, split string, stratum string", splits)
     got = leakage.cross_split_overlaps(table_, corpus)
@@ -104,7 +138,13 @@ def test_pairs_of_large_classes_come_from_blocks(table, block):
     linked = {(1, 2), (3, 4)}
     out = spelled_pairs(members, table("cid_1 bigint, cid_2 bigint, overlap int", [(*x, 1) for x in linked]), block)
     got = [tuple(r) for r in out.collect()]
-    want = {(i, j) for i in cid for j in cid if i < j and (cid[i] == cid[j] or (cid[i], cid[j]) in linked or (cid[j], cid[i]) in linked)}
+    want = {
+        (i, j)
+        for i in cid
+        for j in cid
+        if i < j
+        and (cid[i] == cid[j] or (cid[i], cid[j]) in linked or (cid[j], cid[i]) in linked)
+    }
     assert len(got) == len(set(got)) and set(got) == want
     assert out.rdd.getNumPartitions() >= 4
 

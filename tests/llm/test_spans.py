@@ -23,7 +23,10 @@ def test_runs_against_all_windows(table, block):
             s = s[:5] + [0] * rng.choice([11, 12, 14, 20]) + s[:3]  # one repeated number
         data.append((i, s))
     data += [(100, data[1][1]), (101, data[1][1])]
-    corpus = table("a_number int, terms array<string>, cid int, h int", [(i, [str(x) for x in s], 1, 1) for i, s in data] + [(None, ["1"] * 20, 1, 1), (200, None, 1, 1)])
+    corpus = table(
+        "a_number int, terms array<string>, cid int, h int",
+        [(i, [str(x) for x in s], 1, 1) for i, s in data] + [(None, ["1"] * 20, 1, 1), (200, None, 1, 1)]
+    )
     want = {(a, b) for a, x in data for b, y in data if a < b and grams(x, k).keys() & grams(y, k).keys()}
     members, classes = spans.sequence_classes(corpus)
     runs = spans.shared_runs(classes, block=block).collect()
@@ -50,7 +53,9 @@ def test_runs_against_all_windows(table, block):
 def test_what_is_no_number_interrupts_nothing(table):
     s = [str(i * i) for i in range(14)]
     dirty = [x for t in s for x in (t, None, " ", "?")]
-    corpus = table("a_number int, terms array<string>", [(1, s), (2, ["+" + t for t in s]), (3, dirty), (3, dirty), (4, s[:11])])
+    corpus = table(
+        "a_number int, terms array<string>", [(1, s), (2, ["+" + t for t in s]), (3, dirty), (3, dirty), (4, s[:11])]
+    )
     assert {tuple(r) for r in spans.run_pairs(corpus).collect()} == {(1, 2), (1, 3), (2, 3)}
 
 
@@ -69,5 +74,15 @@ def test_runs_and_records_of_a_folder(spark, table, tmp_path):
     (r,) = q["p2_runs"](spark, str(tmp_path)).collect()
     assert (r["len"], {(r["class_1"], r["start_1"]), (r["class_2"], r["start_2"])}) == (15, {(1, 3), (3, 0)})
     assert {tuple(r) for r in q["p2_classes"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3)}
-    got = {r["a_number"]: (r["class_id"], r["n_terms"], r["copies"], r["partners"], r["runs"], r["covered"]) for r in q["p2_records"](spark, str(tmp_path)).collect()}
-    assert got == {1: (1, 19, 2, 2, 1, 19), 2: (1, 19, 2, 2, 1, 19), 3: (3, 16, 1, 2, 1, 15), 4: (None, 1, 0, 0, 0, 0), 5: (None, 0, 0, 0, 0, 0), 6: (None, 0, 0, 0, 0, 0)}
+    got = {
+        r["a_number"]: (r["class_id"], r["n_terms"], r["copies"], r["partners"], r["runs"], r["covered"])
+        for r in q["p2_records"](spark, str(tmp_path)).collect()
+    }
+    assert got == {
+        1: (1, 19, 2, 2, 1, 19),
+        2: (1, 19, 2, 2, 1, 19),
+        3: (3, 16, 1, 2, 1, 15),
+        4: (None, 1, 0, 0, 0, 0),
+        5: (None, 0, 0, 0, 0, 0),
+        6: (None, 0, 0, 0, 0, 0)
+    }
