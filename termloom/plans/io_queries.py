@@ -74,7 +74,8 @@ def _kept_table(s, d):
     sinks.write_table(xrefs, at, force=True, partition_by=["link_type"])
     sinks.write_table(xrefs.limit(1), at, partition_by=["link_type"])
     return (
-        s.read.parquet(at)
+        s.read.schema(xrefs.schema)  # without rows there is no file that tells it
+        .parquet(at)
         .select("source", "target", "y_line_idx", "link_type")
         .groupBy("source", "target", "y_line_idx", "link_type")
         .agg(F.count("*").alias("n"))
