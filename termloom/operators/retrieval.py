@@ -58,6 +58,26 @@ def _constant_starts(rows: DataFrame, terms: str, shift: int = 8, least: int = 8
     ).filter(F.col("lead") >= least)
 
 
+def _both_constant(asked: DataFrame, there: DataFrame, least: int) -> DataFrame:
+    """Pairs of starts of one repeated number, ``asked(q, ..., at, n, lead)`` and ``there(id, at2, n2, lead2)``, that match.
+
+    The shorter of both has nothing but its number, and the longer one repeats its own for as long. So one side's whole length
+    is at most what the other repeats: they meet by the binary magnitude of that length, in parts of bounded size.
+    """
+    bits = lambda x: F.length(F.bin(x))
+    up_to = lambda side, lead: F.transform(
+        F.sequence(bits(F.lit(least)), bits(lead)), lambda k: F.concat(F.lit(side), k.cast("string"))
+    )
+    whole = lambda side, n, lead: F.filter(
+        F.array(F.when(F.col(n) == F.col(lead), F.concat(F.lit(side), bits(n).cast("string")))), F.isnotnull
+    )
+    left = asked.withColumn("_k", F.explode(F.concat(whole("q", "n", "lead"), up_to("id", "lead"))))
+    right = there.withColumn("_k", F.explode(F.concat(up_to("q", "lead2"), whole("id", "n2", "lead2"))))
+    return join_hot(left, materialize(right, "constants"), "_k", "id").filter(
+        "q <> id and (at = 0 or at2 = 0) and least(n, n2) <= least(lead, lead2)"
+    )
+
+
 def _in_gaps(gaps: DataFrame, seqs: DataFrame, least: int = 8) -> DataFrame:
     """(q, transform, id): sequences that stand in a complement given by its ranges, or from some place to its end with ``least`` terms.
 
@@ -155,13 +175,10 @@ def matches(queries: DataFrame, seqs: DataFrame, asked: DataFrame, least: int =
     a, b = F.col("terms"), F.col("seq")
     full = found.join(ends, ["q", "transform"]).join(seqs, "id").withColumn("m", affine_match(a, b)["s"].isNotNull())
     held = full.filter(F.col("m") | ((F.col("transform") != "complement_gaps") & subsequence_match(a, b))).select(*key)
-    # one repeated number matches another one where the shorter of both has nothing else; the queries are a stated set
-    one, two = (
+    same = _both_constant(
         _constant_starts(ends, "terms", shift, least),
-        _constant_starts(seqs, "seq", shift, least).withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"})
-    )
-    same = two.join(
-        F.broadcast(one), F.expr("q <> id and (at = 0 or at2 = 0) and least(n, n2) <= least(lead, lead2)")
+        _constant_starts(seqs, "seq", shift, least).withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"}),
+        least
     ).select(*key)
     return held.unionByName(same).unionByName(_in_gaps(gaps, seqs, least)).distinct()
 

@@ -474,3 +474,25 @@ def test_smoke_affine_by_stratum(spark, stored):
         | {(None, 1): (3, round(sum(map(sum, hits.values())) / 3, 6))}
     )
     assert got == want and got["s2", 0] == (2, 0.5)
+
+
+def test_constant_starts_meet_by_magnitude(table):
+    """Whole constants, constants of another number, constant heads of many lengths, and starts of 8 and of 7 terms."""
+    heads = (7, 8, 9, 15, 16, 17, 31, 32, 33, 64)
+    seqs = {100: [5] * 16, 200: [1] * 33 + [2], 300: [3, 4] + [0] * 12, 400: [7] * 8 + [1, 2]}
+    seqs |= {i: [i] * n for i, n in enumerate(heads, 1)} | {i: [9] * n + [3, 1] for i, n in enumerate(heads, 21)}
+    seqs |= {50: [2] + [6] * 20, 51: [], 52: [8]}
+    df = table("id bigint, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
+    asked = df.filter("id % 100 = 0").select("id", F.lit("identity").alias("transform"), F.col("seq").alias("terms"))
+    one = retrieval._constant_starts(asked.withColumnRenamed("id", "q"), "terms")
+    two = retrieval._constant_starts(df, "seq").withColumnsRenamed({"at": "at2", "n": "n2", "lead": "lead2"})
+    got = {(r["q"], r["id"]) for r in retrieval._both_constant(one, two, 8).select("q", "id").distinct().collect()}
+    want = set()
+    for q in (100, 200, 300, 400):
+        for i, b in seqs.items():
+            for s in range(-8, 9):
+                x, y = seqs[q][max(s, 0) :], b[max(-s, 0) :]
+                m = min(len(x), len(y))
+                if i != q and m >= 8 and len(set(x[:m])) == 1 and len(set(y[:m])) == 1:
+                    want.add((q, i))
+    assert got == want and len(want) > 20
