@@ -107,6 +107,26 @@ _RUNS = """
  run AS (SELECT a, b, min(p) - 1 AS s1, min(p) - 1 + d AS s2, count(*) + 11 AS n FROM isle GROUP BY a, b, d, k)
 """
 
+# texts in one form: full-width letters and digits, ligatures and invisible characters are those that the tables hold
+_WIDE, _NARROW = ("".join(chr(c + up) for c in range(0x21, 0x7F)).replace("'", "''") for up in (0xFEE0, 0))
+_INVISIBLE = r"\x{ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}"
+
+# the first words i of an item's runs of 15 words that stand in a document between word boundaries: (item_id, doc_id, i)
+_LEAKS = rf"""
+ _whole AS (SELECT 'd' AS kind, CAST(doc_id AS BIGINT) AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT DISTINCT 'i', CAST(item_id AS BIGINT), text FROM eval_items),
+ _plain AS (SELECT kind, id, replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g'), '&nbsp;', ' ') AS x FROM _whole WHERE text IS NOT NULL),
+ _form AS (SELECT kind, id, nfc_normalize(replace(replace(replace(replace(lower(translate(regexp_replace(x, '[{_INVISIBLE}]', '', 'g'), '{_WIDE}²³¹', '{_NARROW}231')), 'ß', 'ss'), 'ﬃ', 'ffi'), 'ﬁ', 'fi'), 'ﬂ', 'fl')) AS x FROM _plain),
+ _list AS (SELECT kind, id, regexp_extract_all(x, '[\p{{L}}\p{{N}}]+') AS w FROM _form),
+ _word AS (SELECT kind, id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM _list),
+ _place AS (SELECT kind, id, i, CAST(sum(length(t)) OVER (PARTITION BY kind, id ORDER BY i) AS BIGINT) AS e, length(t) AS n,
+            left(string_agg(t, '') OVER (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING), 15) AS h FROM _word),
+ pattern AS (SELECT DISTINCT id AS item_id, i, array_to_string(list_slice(w, i, i + 14), '') AS p FROM (SELECT id, w, unnest(range(1, len(w) - 13)) AS i FROM _list WHERE kind = 'i')),
+ stream AS (SELECT id AS doc_id, array_to_string(w, '') AS s FROM _list WHERE kind = 'd'),
+ head AS (SELECT id AS doc_id, e - n AS b, h FROM _place WHERE kind = 'd'),
+ hit AS (SELECT item_id, doc_id, i, b, length(p) AS n FROM pattern JOIN head ON h = left(p, 15) JOIN stream USING (doc_id) WHERE substr(s, b + 1, length(p)) = p),
+ held AS (SELECT DISTINCT item_id, hit.doc_id, hit.i FROM hit JOIN _place ON kind = 'd' AND _place.id = hit.doc_id AND e = hit.b + hit.n)
+"""
+
 SQL = {
     "p2_runs": f"WITH {_TERMS.format(more='')}, {_SEQ}, {_RUNS} SELECT a AS class_1, b AS class_2, CAST(s1 AS INT) AS start_1, CAST(s2 AS INT) AS start_2, CAST(n AS INT) AS len FROM run",
     "p2_classes": f"WITH {_TERMS.format(more='')}, {_SEQ} SELECT id AS a_number, min(id) OVER (PARTITION BY s) AS class_id FROM seq",
@@ -162,6 +182,13 @@ WITH RECURSIVE e AS (SELECT DISTINCT CAST(source AS BIGINT) AS a, CAST(target AS
  tie AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  reach AS (SELECT a AS id, a AS r FROM tie UNION SELECT tie.b, reach.r FROM reach JOIN tie ON tie.a = reach.id WHERE reach.r < tie.b)
 SELECT min(r) AS group_id, id AS a_number FROM (SELECT id, r FROM reach UNION SELECT a, a FROM tie) GROUP BY id
+""",
+    "p6_found": f"WITH {_LEAKS} SELECT DISTINCT item_id, doc_id FROM held",
+    "p6_leak_report": f"""
+WITH {_LEAKS},
+ words AS (SELECT item_id, doc_id, count(DISTINCT k) AS n FROM (SELECT item_id, doc_id, unnest(range(i, i + 15)) AS k FROM held) GROUP BY ALL),
+ per AS (SELECT item_id, count(*) AS documents, max(n) AS most_words FROM words GROUP BY item_id)
+SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, split, kind, coalesce(documents, 0) AS documents, CAST(coalesce(most_words, 0) AS INT) AS most_words FROM eval_items LEFT JOIN per USING (item_id)
 """,
     # sizes in bytes: every usual tokenizer gives the same sources, and so do bytes
     "p7_found": r"""
