@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termloom.functions.arrays import affine_match
 from termloom.operators import battery, exclude, retrieval
 from termloom.plans.array_queries import AFFINE, PRIME, RESIDUES
-from termloom.plans.graph_queries import TERMS
+from termloom.plans.graph_queries import KNOWN, TERMS
 from termloom.session import materialize, spread, table
 from termloom.streaming.mentions import stream_counts
 
@@ -53,11 +53,21 @@ def _ranks(s, d):
     return materialize(retrieval.report_parts(retrieval.hit_ranks(held, ranked)), "ranks")
 
 
+def _checked(rows):
+    return rows.select("id", "transform", F.size("terms").alias("n"), battery.residue_sum("terms").alias("check_sum"))
+
+
 def _linear(s, d):
     """The transforms that are sums of terms, as their length and a check value."""
     other = ["euler", "inverse_euler", "complement", "complement_gaps"]
-    rows = battery.transformed(spread(_seqs(s, d))).filter(~F.col("transform").isin(other))
-    return rows.select("id", "transform", F.size("terms").alias("n"), battery.residue_sum("terms").alias("check_sum"))
+    return _checked(battery.transformed(spread(_seqs(s, d))).filter(~F.col("transform").isin(other)))
+
+
+def _euler(s, d):
+    """Both Euler transforms in the same form."""
+    return _checked(
+        battery.transformed(spread(_seqs(s, d))).filter(F.col("transform").isin("euler", "inverse_euler"))
+    )
 
 
 def _affine_shifts(s, d):
@@ -86,6 +96,7 @@ QUERIES = {
         "id", "transform", F.size("terms").alias("n"), F.md5(F.array_join("terms", ",").cast("binary")).alias("content")
     ),
     "linear_transforms": _linear,
+    "euler_transforms": _euler,
     "classical_baseline": _baseline,
     "novel_links": _novel_links,
     "transform_links": lambda s, d: battery.transform_links(_seqs(s, d)),
@@ -126,7 +137,50 @@ _LINEAR = f"""
   UNION ALL SELECT id, 'inverse_moebius', n, sum(x) % {PRIME} FROM xs JOIN divisor USING (i) WHERE n <= z GROUP BY id, n)
 """
 
+# all transforms of some sequences, of complements as many terms as can meet another sequence: shifted(q, transform, i, x, n);
+# division by a number is by its inverse, its power PRIME - 2
+_ALL = _LINEAR.replace("AS x FROM reduced)", "AS x FROM reduced WHERE {only})") + f"""
+ , power AS (SELECT n, CAST({PRIME} - 2 AS HUGEINT) AS e, CAST(n AS HUGEINT) AS b, CAST(1 AS HUGEINT) AS v FROM nat UNION ALL SELECT n, e // 2, b * b % {PRIME}, CASE WHEN e % 2 = 1 THEN v * b % {PRIME} ELSE v END FROM power WHERE e > 0),
+ inverse AS (SELECT n, v FROM power WHERE e = 0),
+ listed AS (SELECT id, list(CAST(x AS HUGEINT) ORDER BY i) AS a, count(*) AS z FROM x GROUP BY id),
+ sums AS (SELECT id, list(c ORDER BY n) AS c FROM (SELECT id, n, sum(i * x % {PRIME}) % {PRIME} AS c FROM xs JOIN divisor USING (i) WHERE n <= z GROUP BY id, n) GROUP BY id),
+ euler AS (SELECT id, 0 AS m, [CAST(1 AS HUGEINT)] AS b FROM listed UNION ALL
+  SELECT id, m + 1, b || [CAST(list_sum(list_transform(range(1, m + 2), lambda j: c[j] * b[m + 2 - j] % {PRIME})) % {PRIME} * v % {PRIME} AS HUGEINT)] FROM euler JOIN sums USING (id) JOIN listed USING (id) JOIN inverse ON n = m + 1 WHERE m < z),
+ parts AS (SELECT id, 1 AS m, [a[1]] AS c FROM listed UNION ALL
+  SELECT id, m + 1, c || [CAST(((m + 1) * a[m + 1] + {PRIME} - list_sum(list_transform(range(1, m + 1), lambda j: c[j] * a[m + 1 - j] % {PRIME})) % {PRIME}) % {PRIME} AS HUGEINT)] FROM parts JOIN listed USING (id) WHERE m < z),
+ part AS (SELECT id, unnest(range(1, m + 1)) AS i, unnest(c) AS x FROM parts JOIN listed USING (id) WHERE m = z),
+ own AS (SELECT id, i, t, lead(t) OVER (PARTITION BY id ORDER BY i) AS t2 FROM term WHERE {{only}}),
+ rising AS (SELECT id, max(CASE WHEN t2 IS NULL THEN t END) AS last_ FROM own GROUP BY id HAVING count(*) > 1 AND bool_and(t NOT LIKE '-%' AND (t2 IS NULL OR len(t2) > len(t) OR (len(t2) = len(t) AND t2 > t)))),
+ longest AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM term GROUP BY id)),
+ missing AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY v) AS i FROM rising, (SELECT unnest(range(0, 2 * (SELECT n FROM longest) + 9)) AS v)
+  WHERE (len(last_) > 9 OR v < TRY_CAST(last_ AS BIGINT)) AND NOT EXISTS (SELECT 1 FROM own WHERE own.id = rising.id AND own.t = CAST(v AS VARCHAR))),
+ whole_ AS (SELECT id, transform, i, CAST(x AS HUGEINT) AS x FROM every_
+  UNION ALL SELECT id, 'euler', unnest(range(1, m + 1)), unnest(list_slice(b, 2, m + 1)) FROM euler JOIN listed USING (id) WHERE m = z
+  UNION ALL SELECT id, 'inverse_euler', n, (sum(mu * x) % {PRIME} + {PRIME}) % {PRIME} * any_value(inverse.v) % {PRIME} FROM part JOIN divisor USING (i) JOIN inverse USING (n) JOIN listed USING (id) WHERE n <= z GROUP BY id, n
+  UNION ALL SELECT id, 'complement', i, v FROM missing WHERE i <= (SELECT n FROM longest) + 8),
+ shifted_ AS (SELECT id AS q, transform, i, x, count(*) OVER (PARTITION BY id, transform) AS n FROM whole_)
+"""
+
+# links as of :func:`transform_links`: equal ones, and affine ones with the constants, whose terms and products must fit HUGEINT
+_LINKS = _ALL.replace("{only}", "id % 100 = 0") + f"""
+ , there AS (SELECT id, i + 1 AS i, CASE WHEN minus AND r > 0 THEN {PRIME} - r ELSE r END AS x, count(*) OVER (PARTITION BY id) AS n FROM reduced),
+ meets AS (SELECT a.q, a.transform, b.id, a.i - b.i AS s, least(a.n - greatest(a.i - b.i, 0), b.n - greatest(b.i - a.i, 0)) AS m, count(*) AS same, count(DISTINCT a.x) AS kinds
+  FROM shifted_ a JOIN there b ON a.x = b.x AND abs(a.i - b.i) <= 8 AND a.q <> b.id GROUP BY ALL HAVING count(*) >= 8),
+ equal AS (SELECT q, transform, id, arg_min(s, 2 * abs(s) + CAST(s > 0 AS INT)) AS s FROM meets WHERE same = m AND kinds > 1 GROUP BY q, transform, id),
+ pr AS (SELECT a.id AS u, b.id AS v, a.r AS p, b.r AS q FROM residues a JOIN residues b ON a.id <> b.id WHERE a.id % 100 = 0), {AFFINE},
+ least_ AS (SELECT u, v, arg_min(s, 2 * abs(s) + CAST(s > 0 AS INT)) AS s, arg_min(k, 2 * abs(s) + CAST(s > 0 AS INT)) AS k FROM matched WHERE k IS NOT NULL GROUP BY u, v),
+ texts AS (SELECT id, list(t ORDER BY i) AS t FROM term GROUP BY id),
+ ends AS (SELECT u, v, s, CAST(a.t[greatest(s, 0) + 1] AS HUGEINT) AS x0, CAST(b.t[greatest(-s, 0) + 1] AS HUGEINT) AS y0, CAST(a.t[greatest(s, 0) + k] AS HUGEINT) AS x1, CAST(b.t[greatest(-s, 0) + k] AS HUGEINT) AS y1
+  FROM least_ JOIN texts a ON a.id = u JOIN texts b ON b.id = v),
+ fractions AS (SELECT u, v, s, (y1 - y0) * sign(x1 - x0) AS cn, abs(x1 - x0) AS cd, (y0 * (x1 - x0) - (y1 - y0) * x0) * sign(x1 - x0) AS dn FROM ends),
+ links AS (SELECT q, transform, id, CAST(s AS INT) AS s, CAST(NULL AS VARCHAR) AS c_num, CAST(NULL AS VARCHAR) AS c_den, CAST(NULL AS VARCHAR) AS d_num, CAST(NULL AS VARCHAR) AS d_den FROM equal UNION ALL
+  SELECT u, 'affine', v, CAST(s AS INT), CAST(cn // gcd(cn, cd) AS VARCHAR), CAST(cd // gcd(cn, cd) AS VARCHAR), CAST(dn // gcd(dn, cd) AS VARCHAR), CAST(cd // gcd(dn, cd) AS VARCHAR) FROM fractions)
+"""
+
 SQL = {
+    "euler_transforms": f"WITH RECURSIVE {_ALL.replace('{only}', 'true')} SELECT q AS id, transform, CAST(any_value(n) AS INT) AS n, CAST(sum(x * i % {PRIME}) % {PRIME} AS BIGINT) AS check_sum FROM shifted_ WHERE transform IN ('euler', 'inverse_euler') GROUP BY q, transform",
+    "transform_links": f"WITH RECURSIVE {_LINKS} SELECT q, transform, id, s, c_num, c_den, d_num, d_den FROM links",
+    "novel_links": f"WITH RECURSIVE {_LINKS}, {KNOWN} SELECT q AS u, transform, id AS v, s, c_num, c_den, d_num, d_den FROM links WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.u = least(q, id) AND k.v = greatest(q, id))",
     "linear_transforms": f"WITH RECURSIVE {_LINEAR} SELECT id, transform, CAST(count(*) AS INT) AS n, CAST(sum(x * i % {PRIME}) % {PRIME} AS BIGINT) AS check_sum FROM every_ GROUP BY id, transform",
     "affine_shifts": f"""
 WITH {_GRAM}, {RESIDUES}, pr AS (SELECT q AS u, rk.id AS v, a.r AS p, b.r AS q FROM rk JOIN residues a ON a.id = rk.q JOIN residues b ON b.id = rk.id WHERE rank <= 10), {AFFINE}
