@@ -421,6 +421,76 @@ def test_baseline_finds_every_match(table):
     )
 
 
+def test_constant_starts_of_a_long_list_take_linear_time(table):
+    import time
+
+    rows = [(1, [str(i) for i in range(60_000)]), (2, ["3"] * 60_000), (3, ["1", "2", *["7"] * 9, "8"]), (4, ["5"] * 7)]
+    df = table("id int, seq array<string>", rows)
+    began = time.time()
+    got = {(r["id"], r["at"], r["n"], r["lead"]) for r in retrieval._constant_starts(df, "seq").collect()}
+    assert got == {(2, i, 60_000 - i, 60_000 - i) for i in range(9)} | {(3, 2, 10, 9), (3, 3, 9, 8)}
+    assert time.time() - began < 20  # minutes if every term gets a copy of the list
+
+
+def test_hot_grams_do_not_spell_out_all_pairs(table):
+    rng = random.Random(21)
+    tail = lambda n: [rng.randrange(10**6) for _ in range(n)]
+    seqs = {i: [0, 1, 2, *tail(rng.randrange(9, 40))] for i in range(1, 120)}
+    seqs |= {i: [0, 1, 2, 3, *tail(rng.randrange(9, 40))] for i in range(120, 160)}
+    seqs |= {i: [rng.randrange(3) for _ in range(rng.randrange(3, 30))] for i in range(160, 200)}
+    seqs |= {i: [0, 1, 2] for i in range(205, 235)} | {300: [0, 1, 2, 3, *tail(20)], 400: [7] * 9 + [0, 1, 2], 500: [0, 1, 2]}
+    seqs |= {236: [7] * 9, 237: seqs[100][:], 238: [-x for x in seqs[100]], 239: [2 * x for x in seqs[300]]}
+    df = table("id int, seq array<string>", [(i, strs(x)) for i, x in seqs.items()])
+    asked = df.filter("id % 100 = 0")
+
+    def sub(a, b):
+        s, l = (a, b) if len(a) <= len(b) else (b, a)
+        return len(s) >= 8 and any(l[i : i + len(s)] == s[: len(l) - i] for i in range(len(l) - 7))
+
+    part = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    grams = lambda t: set(zip(t, t[1:], t[2:]))
+    head = lambda a: dict(battery._transforms(a, None, 60)).get("complement", [])
+    every = {
+        q: [
+            (b, i, name, t == "gaps", [] if t == "gaps" else t, head(seqs[q]) if t == "gaps" else t)
+            for name, t in ((n, "gaps" if n == "complement_gaps" else t) for n, t in battery._transforms(seqs[q]) if t)
+            for i, b in seqs.items()
+            if i != q
+        ]
+        for q in seqs
+        if q % 100 == 0
+    }
+
+    def best(q, gramless):
+        of, any_ = {}, {}
+        for b, i, name, gaps, t, first in every[q]:
+            m = affine(first, b) is not None or not gaps and sub(t, b)
+            j = 0.0 if gaps else part(grams(t), grams(b))
+            any_[i] = max(any_.get(i, 0), j)
+            if m or j:
+                of.setdefault(i, []).append((m, j, part(set(t), set(b)), name))
+        rows = [(i, *max(x)) for i, x in of.items() if gramless or any_[i]]
+        return sorted(rows, key=lambda r: (-r[1], -r[2], -r[3], r[0]))[:10]
+
+    for gramless in (True, False):
+        want = [
+            (q, i, name, m, round(j, 12), round(s, 12), k)
+            for q in every
+            for k, (i, m, j, s, name) in enumerate(best(q, gramless), 1)
+        ]
+        for block in (15, 2000):
+            got = retrieval.classical_baseline(asked, df, gramless=gramless, block=block).collect()
+            assert sorted(
+                (r["q"], r["id"], r["transform"], r["matched"], round(r["ngram_jaccard"], 12), round(r["set_jaccard"], 12), r["rank"])
+                for r in got
+            ) == sorted(want)
+    seqs_ = df.select(F.col("id").cast("bigint").alias("id"), "seq")
+    lists = battery.transformed(asked).withColumnRenamed("id", "q")
+    none = lists.select("q", "transform", F.col("q").alias("id")).limit(0)
+    few, all_ = (retrieval._gram_scores(lists, seqs_, none, 10, True, b).count() for b in (15, 2000))
+    assert few < all_ / 2
+
+
 @pytest.fixture
 def stored(table, tmp_path):
     """A folder with five sequences, and splits of two positives and two negatives."""
